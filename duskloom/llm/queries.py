@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, simhash
+from . import bpe, exact_dedup, langid, license_scan, mixing, simhash
 from .common import table
 
 #: Folder of the vocabulary files of public tokenizers.
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_language_id, op5_simhash, op6_source_mixing, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_exact_dedup, op4_language_id, op5_simhash, op6_source_mixing, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE}
