@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, license_scan, mixing, quality, simhash, toxicity, url_filter
+from . import bpe, embed_dedup, exact_dedup, langid, license_scan, mixing, quality, simhash, toxicity, url_filter
 from .common import table
 
 #: Folder of the vocabulary files of public tokenizers.
@@ -47,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -61,5 +65,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_exact_dedup, op4_language_id, op5_simhash, op6_source_mixing, op7_quality, op9_url_filter, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_exact_dedup, op4_language_id, op5_simhash, op6_source_mixing, op7_quality, op8_embedding_dedup, op9_url_filter, op10_toxicity, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_embedding_dedup": embed_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
