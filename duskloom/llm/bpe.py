@@ -26,8 +26,8 @@ from .common import map_batches
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces, and words with what surrounds them, whose ids a worker remembers, and the longest of them in characters.
-CACHED_PIECES = 400_000
-CACHED_WORDS = 600_000
+CACHED_PIECES = 150_000
+CACHED_WORDS = 250_000
 CACHED_LENGTH = 64
 
 
@@ -123,7 +123,7 @@ class BytePairs:
         key = x << 32 | y
         found = self._agree.get(key)
         if found is None:
-            if len(self._agree) > 1_000_000:
+            if len(self._agree) > 500_000:
                 self._agree.clear()
             found = self._agree[key] = self._apart(x, y)
         return found

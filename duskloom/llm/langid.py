@@ -7,9 +7,8 @@ where it isn't in it. The nearest profile gives the language.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,8 @@ from pyspark.sql.window import Window
 
 from .common import crc_mod, map_batches
 
-#: Longest n-gram, and n-grams in a profile and in a document's list.
-LONGEST = 3
+#: N-grams have 1 to 3 letters, a blank before and after each word counting as one; a blank alone isn't an n-gram.
+#: N-grams in a profile and in a document's list.
 PROFILE = 300
 
 #: Labelled documents of a language that a profile is learned from, about: those with the least hashes.
@@ -28,103 +27,79 @@ DOCS_A_LANGUAGE = 2000
 
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_TABLE_ROWS = 2_000_000  # n-grams that a worker numbers before it starts anew
+_BLANK = 32
+_PLACE = 21  # bits of a letter in a packed n-gram: left-aligned, so that numbers order as strings do
 
 
-def words_of(text: str | None) -> Counter:
-    """The lower-cased runs of letters."""
-    return Counter(_LETTERS.findall(text.lower())) if text else Counter()
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams_of(word: str, longest: int = LONGEST) -> list[str]:
-    """The n-grams of a word between two blanks; a blank alone isn't one."""
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, longest + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
+def spell(gram: int) -> str:
+    """The letters of a packed n-gram."""
+    return "".join(chr(c) for i in (2, 1, 0) if (c := gram >> _PLACE * i & 0x1FFFFF))
 
 
-def ranked(counts: dict[str, int], size: int = PROFILE) -> list[str]:
-    """The most frequent n-grams; ties in their own order."""
-    return sorted(counts, key=lambda g: (-counts[g], g))[:size]
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The packed n-grams of the lower-cased runs of letters, in order, and how often each occurs."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    letter = _letters()[codes]
+    if not letter.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.concatenate([[_BLANK], np.where(letter, codes, _BLANK), [_BLANK]])
+    codes = codes[np.concatenate([[True], (codes[1:] != _BLANK) | (codes[:-1] != _BLANK)])]  # one blank between words
+    solid = codes != _BLANK
+    one = codes[solid] << 2 * _PLACE
+    two = codes[:-1] << 2 * _PLACE | codes[1:] << _PLACE
+    three = (codes[:-2] << 2 * _PLACE | codes[1:-1] << _PLACE | codes[2:])[solid[1:-1]]
+    return np.unique(np.concatenate([one, two, three]), return_counts=True)
+
+
+def top_grams(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
+    """The most frequent n-grams, ties in their own order."""
+    if len(grams) > size:
+        often = counts >= np.partition(counts, len(counts) - size)[len(counts) - size]
+        grams, counts = grams[often], counts[often]
+    return grams[np.lexsort((grams, -counts))[:size]]
 
 
 class Profiles:
-    """Profiles by language, and what a worker remembers of words: the numbers of their n-grams."""
-
-    def __init__(self, profiles: dict[str, list[str]], longest: int = LONGEST, size: int = PROFILE):
-        self.names = sorted(profiles)
-        self._given, self._longest, self._size = profiles, longest, size
-        self._start()
-
-    def _start(self) -> None:
-        self._number: dict[str, int] = {}
-        self._order: list[str] = []
-        self._words: dict[str, np.ndarray] = {}
-        for grams in self._given.values():
-            for gram in grams:
-                self._numbered(gram)
-        self._known = len(self._order)
-        self._rank = np.full((len(self.names), self._known + 1), -1)  # the last column: n-grams of no profile
+    """Packed n-grams by language, the most frequent first."""
+
+    def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
+        self.names, self._size = sorted(profiles), size
+        self._grams = np.unique(np.array([g for grams in profiles.values() for g in grams] + [-1], np.int64))
+        self._rank = np.full((len(self.names), len(self._grams)), -1)
         for row, name in enumerate(self.names):
-            for rank, gram in enumerate(self._given[name]):
-                self._rank[row, self._number[gram]] = rank
-
-    def _numbered(self, gram: str) -> int:
-        if (n := self._number.get(gram)) is None:
-            n = self._number[gram] = len(self._order)
-            self._order.append(gram)
-        return n
-
-    def _grams(self, word: str) -> np.ndarray:
-        if (found := self._words.get(word)) is None:
-            found = np.array([self._numbered(g) for g in grams_of(word, self._longest)], np.int32)
-            if len(word) <= 64:
-                self._words[word] = found
-        return found
+            self._rank[row, np.searchsorted(self._grams, np.array(profiles[name], np.int64))] = np.arange(len(profiles[name]))
 
     def of(self, text: str | None) -> tuple[str, float]:
         """The language and 1 less the distance as a share of the largest possible; ties go to the first name."""
-        words = words_of(text)
-        if not words or not self.names:
+        own = top_grams(*gram_counts(text), self._size)
+        if not len(own) or not self.names:
             return UNKNOWN, 0.0
-        if len(self._order) > _TABLE_ROWS or len(self._words) > _TABLE_ROWS // 4:
-            self._start()
-        lists = [self._grams(w) for w in words]
-        numbers = np.concatenate(lists)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in lists])
-        if len(numbers) * 20 < len(self._order):
-            own, place = np.unique(numbers, return_inverse=True)
-            counts = np.bincount(place, times)
-        else:
-            counts = np.bincount(numbers, times)
-            own = np.flatnonzero(counts)
-            counts = counts[own]
-        if len(own) > self._size:
-            least = np.partition(counts, len(counts) - self._size)[len(counts) - self._size]
-            own, counts = own[counts >= least], counts[counts >= least]
-        order = self._order
-        top = sorted(zip((-counts).tolist(), [order[n] for n in own.tolist()], own.tolist(), strict=True))[: self._size]
-        columns = np.minimum([n for _, _, n in top], self._known)
-        ranks = self._rank[:, columns]
-        away = np.where(ranks < 0, self._size, np.abs(ranks - np.arange(len(top))))
-        distance = away.sum(axis=1)
+        place = np.minimum(np.searchsorted(self._grams, own), len(self._grams) - 1)
+        ranks = np.where(self._grams[place] == own, self._rank[:, place], -1)
+        distance = np.where(ranks < 0, self._size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
         best = int(np.argmin(distance))
-        return self.names[best], float(1 - distance[best] / (self._size * len(top)))
+        return self.names[best], float(1 - distance[best] / (self._size * len(own)))
 
 
-def _count(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, Counter] = {}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each batch by language and n-gram."""
     for batch in batches:
+        own: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = totals.setdefault(lang, Counter())
-            for word, n in words_of(text).items():
-                for gram in grams_of(word, longest):
-                    own[gram] += n
-    rows = [(lang, gram, n) for lang, own in totals.items() for gram, n in own.items()]
-    yield pa.record_batch({"lang": pa.array([r[0] for r in rows], pa.string()), "gram": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
+            own.setdefault(lang, []).append(gram_counts(text))
+        for lang, parts in own.items():
+            grams, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
+            yield pa.record_batch({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams), "n": pa.array(counts)})
 
 
-def learn_profiles(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, longest: int = LONGEST, size: int = PROFILE) -> dict[str, list[str]]:
+def learn_profiles(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles from rows (doc_id, text, lang). About docs_a_language rows of a language, chosen by a hash of doc_id, are read whole.
 
     Rows with a null lang are left out. The driver gets size n-grams a language.
@@ -136,16 +111,16 @@ def learn_profiles(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE,
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(docs_a_language / r["count"])) for r in sizes])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1_000_000)) / 1_000_000
     chosen = rows.filter(draw < share).select("lang", F.col("text").cast("string"))
-    counts = chosen.mapInArrow(lambda b: _count(b, longest), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).collect()
-    found: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
+    found: dict[str, list[int]] = {r["lang"]: [] for r in sizes}
     for row in sorted(top, key=lambda r: r["rank"]):
         found[row["lang"]].append(row["gram"])
     return {lang: grams for lang, grams in found.items() if grams}
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, list[str]], longest: int = LONGEST, size: int = PROFILE) -> DataFrame:
+def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
     """docs with two more columns, lang_pred and score, from the whole text alone; docs must not have them yet.
 
     A null text, one without letters, or no profile at all gives 'und' with score 0.
@@ -156,7 +131,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[str]], longest:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
-            state.append(Profiles(sent.value, longest, size))
+            state.append(Profiles(sent.value, size))
         found = [state[0].of(t) for t in batch.column("text").to_pylist()]
         more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
@@ -178,8 +153,3 @@ def language_id(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return predict_languages(own, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
-
-def keep_known_language(docs: DataFrame) -> DataFrame:
-    """docs without those whose text has no language ('und': null, or without letters), all columns kept."""
-    known = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    return docs.filter(known)

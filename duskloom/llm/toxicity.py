@@ -29,7 +29,7 @@ SUPPORT = {"word": 3, "beginning": 6}
 LIFT = {"word": 5.0, "beginning": 12.0}
 #: Letters of a beginning, which stands in the lexicon with a '*'.
 BEGINNINGS = range(4, 9)
-_REMEMBERED = 400_000  # words whose weight a worker keeps
+_REMEMBERED = 150_000  # words whose weight a worker keeps
 
 FOLDS = 3
 
