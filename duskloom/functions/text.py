@@ -76,7 +76,7 @@ def strip_ansi(text: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check and isn't one digit repeated."""
-    return F.coalesce(F.luhn_check(digits), F.lit(False)) & ~digits.rlike("^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$")
+    return F.coalesce(F.call_function("luhn_check", digits), F.lit(False)) & ~digits.rlike("^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$")
 
 
 def digits_of(text: Column) -> Column:
