@@ -45,6 +45,8 @@ FEATURES = ("density", "hits", "distinct", "weight", "fixed", "second", "near",
 _WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"\w*[^\W\d_][0-9@$*!.\-]{1,2}[^\W\d_]\w*")
 _CAPITAL = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_LETTER = np.isin(np.arange(256), [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(128, 256)])
+_STAND_IN = np.isin(np.arange(256), list(b"0123456789@$*!.-"))
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 
@@ -65,6 +67,14 @@ class Lexicon(dict):
         return found
 
 
+def _may_hide(raw: np.ndarray) -> bool:
+    """Whether one or two stand-ins lie between letters anywhere in the bytes of a text; no regular expression runs if not."""
+    letter, odd = _LETTER[raw], _STAND_IN[raw]
+    one = letter[:-2] & odd[1:-1] & letter[2:]
+    two = letter[:-3] & odd[1:-2] & odd[2:-1] & letter[3:]
+    return bool(one.any() or two.any())
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of a whole text, in the order of FEATURES; all 0 for null and for no words."""
     words = _WORD.findall(text.lower()) if text else []
@@ -85,9 +95,10 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
                     near += 1
                 else:
                     waiting = [x for x in waiting if at - x < NEAR] + [at]
-    hidden = _HIDDEN.findall(text)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    hidden = _HIDDEN.findall(text) if _may_hide(raw) else []
     masked = sum(lexicon[re.sub(r"[^\w]", "", h.lower().translate(_LEET))] > 0 for h in hidden)
-    capitals = int(np.count_nonzero(_CAPITAL[np.frombuffer(text.encode(), np.uint8)]))
+    capitals = int(np.count_nonzero(_CAPITAL[raw]))
     return [
         hits / n, math.log1p(hits), float(len(found)), sum(counts[w] * x for w, x in found.items()) / n, sum(counts[w] for w in counts.keys() & INSULTS) / n,
         sum(counts[w] for w in counts.keys() & SECOND_PERSON) / n, near / hits if hits else 0.0, capitals / sum(map(len, words)),
