@@ -1,0 +1 @@
+"""Restoring values in streams of text chunks."""
