@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -25,10 +25,11 @@ from .common import map_batches
 #: How the byte-level pre-tokenizer cuts a text (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces, and words with what surrounds them, whose ids a worker remembers, and the longest of them in characters.
-CACHED_PIECES = 150_000
-CACHED_WORDS = 250_000
+#: Pieces whose ids a worker remembers, and the longest of them in characters.
+CACHED_PIECES = 250_000
 CACHED_LENGTH = 64
+#: Pairs of tokens whose compatibility a worker remembers.
+CACHED_PAIRS = 250_000
 
 
 @lru_cache(1)
@@ -39,24 +40,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Unsplit(Exception):
-    """White space touches the border of a word, so the word can't be cut into pieces by itself."""
+class _Pieces(dict):
+    """Piece -> its ids; what isn't remembered is worked out."""
 
-
-class _Words(dict):
-    """The ids of a word after one space, or of a line feed and the word after it."""
-
-    def __init__(self, ordinary: Callable[[str], Iterable[bytes]]):
+    def __init__(self, work: Callable[[str], bytes]):
         super().__init__()
-        self._ordinary = ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        bare = word[1:] if word[:1] == "\n" else word
-        if not bare or bare[0].isspace() or bare[-1].isspace():
-            raise _Unsplit
-        found = b"".join(self._ordinary(word if word[0] == "\n" else " " + word))
-        if len(word) <= CACHED_LENGTH:
-            self[word] = found
+        self._work = work
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self._work(piece)
+        if len(piece) <= CACHED_LENGTH:
+            self[piece] = found
         return found
 
 
@@ -69,11 +63,14 @@ class BytePairs:
         vocab: dict[str, int] = data["model"]["vocab"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in data["model"]["merges"]]
         self._rank = {(vocab[x], vocab[y]): r for r, (x, y) in enumerate(pairs)}
-        self._letters = {i: c for i, c in byte_letters().items()}
+        self._letters, self._space = byte_letters(), byte_letters()[32]
+        self._coded = {t: t.to_bytes(4, "little") for t in vocab.values()}
         parts = {vocab[x + y]: (vocab[x], vocab[y], r) for r, (x, y) in reversed([*enumerate(pairs)])}
         first = {t: self._spine(t, parts, 0) for t in vocab.values()}
         last = {t: self._spine(t, parts, 1) for t in vocab.values()}
-        self._first, self._last, self._agree = first, last, {}
+        self._first, self._last = first, last
+        self._agree: dict[int, dict[int, bool]] = {}
+        self._pairs = 0
         self._words = ahocorasick.Automaton()
         single = set(byte_letters().values())
         for word, t in vocab.items():
@@ -86,8 +83,7 @@ class BytePairs:
         self._pieces = regex.compile(PIECES)
         back = {c: b for b, c in byte_letters().items()}
         self._bytes = {t: bytes(back[c] for c in w) for w, t in vocab.items() if all(c in back for c in w)} | {v: k.encode() for k, v in added.items()}
-        self._known: dict[str, bytes] = {}
-        self._around = _Words(self._ordinary)
+        self._known = _Pieces(self._piece)
 
     @staticmethod
     def _spine(token: int, parts: dict, side: int) -> list[tuple[int, float]]:
@@ -119,61 +115,48 @@ class BytePairs:
                     return False
         return True
 
-    def _fits(self, x: int, y: int) -> bool:
-        key = x << 32 | y
-        found = self._agree.get(key)
-        if found is None:
-            if len(self._agree) > 500_000:
-                self._agree.clear()
-            found = self._agree[key] = self._apart(x, y)
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether two tokens are compatible; remembered by the second."""
+        self._pairs += 1
+        if self._pairs > CACHED_PAIRS:
+            self._agree, self._pairs = {}, 0
+        found = self._agree.setdefault(token, {})[before] = self._apart(before, token)
         return found
 
     def _piece(self, piece: str) -> bytes:
-        word = "".join(map(self._letters.__getitem__, piece.encode()))
-        last = [-1] * len(word)  # of the prefix that ends at each letter
-        size = [0] * len(word)
-        fits = self._fits
+        word = piece.replace(" ", self._space) if piece.isascii() and piece.isprintable() else "".join(map(self._letters.__getitem__, piece.encode()))
+        last = [-1] * (len(word) + 1)  # the last token of each prefix
+        size = last.copy()
+        agree, none = self._agree.get, {}
         for end, (token, n) in self._words.iter(word):
-            if last[end] < 0:
-                at = end - n
-                if at < 0 or (last[at] >= 0 and fits(last[at], token)):
-                    last[end], size[end] = token, n
-        ids, at = [], len(word) - 1
-        while at >= 0:
+            if last[end + 1] < 0:
+                if at := end + 1 - n:
+                    if last[at] < 0:
+                        continue
+                    ok = agree(token, none).get(last[at])
+                    if ok is None:
+                        ok = self._fits(last[at], token)
+                    if not ok:
+                        continue
+                last[end + 1], size[end + 1] = token, n
+        ids, at = [], len(word)
+        while at:
             if last[at] < 0:
                 raise ValueError(f"no token ends at byte {at} of {piece!r}")
             ids.append(last[at])
             at -= size[at]
-        return np.array(ids[::-1], "<u4").tobytes()
-
-    def _ordinary(self, text: str) -> Iterable[bytes]:
-        known = self._known
-        for piece in self._pieces.findall(text):
-            found = known.get(piece)
-            if found is None:
-                found = self._piece(piece)
-                if len(piece) <= CACHED_LENGTH:
-                    known[piece] = found
-            yield found
-
-    def _plain(self, text: str) -> bytes:
-        """Texts with single spaces and line feeds between words are cut there; any other goes through the pieces at once."""
-        first, *words = text.replace("\n", " \n").split(" ")
-        if words and first and not first[-1].isspace():
-            try:
-                return b"".join([*self._ordinary(first), *map(self._around.__getitem__, words)])
-            except _Unsplit:
-                pass
-        return b"".join(self._ordinary(text))
+        ids.reverse()
+        return b"".join(map(self._coded.__getitem__, ids))
+
+    def _ordinary(self, text: str) -> bytes:
+        return b"".join(map(self._known.__getitem__, self._pieces.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if len(self._known) > CACHED_PIECES:
             self._known.clear()
-        if len(self._around) > CACHED_WORDS:
-            self._around.clear()
         if not any(k in text for k in self._added):
-            return self._plain(text)
-        return b"".join(self._added[p] if i % 2 else self._plain(p) for i, p in enumerate(self._cut.split(text)))
+            return self._ordinary(text)
+        return b"".join(self._added[p] if i % 2 else self._ordinary(p) for i, p in enumerate(self._cut.split(text)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""

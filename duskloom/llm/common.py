@@ -48,13 +48,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """work on each Arrow batch of df; one that returns None adds no rows."""
+#: Rows that work() gets at once: texts become Python objects only for these.
+SLICE_ROWS = 1000
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """work on slices of each Arrow batch of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield work(batch.slice(at, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 
