@@ -33,7 +33,7 @@ def json_leaves(spark, sf_dir):
     return rows.select("id", "l.path", "l.text")
 
 
-@query(f"SELECT id, coalesce(json_extract_string(body, '$.metadata.note') LIKE '%c@d%', false) OR contains(body, '"s"') AS hit FROM {BODIES.sql} WHERE body IS NOT NULL")
+@query(f"""SELECT id, coalesce(json_extract_string(body, '$.metadata.note') LIKE '%c@d%', false) OR contains(body, '"s"') AS hit FROM {BODIES.sql} WHERE body IS NOT NULL""")
 def tripwire_json(spark, sf_dir):
     """A secret as an object key or inside a string leaf."""
     own = J.keys_and_texts(F.col("body"))
@@ -47,9 +47,8 @@ _MASKED = ", ".join(f"'{a}', '[EMAIL_ADDRESS_' || sha256('saltEMAIL_ADDRESS:{a}'
 @query(f"SELECT id, replace(replace(replace(body, 'mail a@b.io', 'mail ' || {token_sql('salt', chr(39) + 'EMAIL_ADDRESS' + chr(39), chr(39) + 'a@b.io' + chr(39))}), 'c@d.io', {token_sql('salt', chr(39) + 'EMAIL_ADDRESS' + chr(39), chr(39) + 'c@d.io' + chr(39))}), ' a@b.io\"', ' ' || {token_sql('salt', chr(39) + 'EMAIL_ADDRESS' + chr(39), chr(39) + 'a@b.io' + chr(39))} || '\"') AS body FROM {BODIES.sql}")
 def mask_json_roundtrip(spark, sf_dir):
     """Leaves outside the contract are masked and put back; all else stays as it was, in its order."""
-    rows = BODIES.frame(spark).withColumn("leaves", J.leaves(F.col("body")))
-    masked = F.map_from_entries(F.transform("leaves", lambda l: F.struct(l["path"], S.splice(l["text"], S.find(l["text"], P.EMAIL.pattern, "EMAIL_ADDRESS", 1.0), A.rendered(POLICY)))))
-    return rows.withColumn("masked", masked).select("id", J.rewritten(F.col("body"), F.col("masked")).alias("body"))
+    mask = lambda t: S.splice(t, S.find(t, P.EMAIL.pattern, "EMAIL_ADDRESS", 1.0), A.rendered(POLICY))
+    return J.with_leaves_changed(BODIES.frame(spark), "id", "body", mask)
 
 
 RESPONSE = Fixture("id int, body string", (1, '{"content":[{"type":"text","text":"see [URL_000000000001]"},{"type":"thinking","thinking":"[URL_000000000001]"}]}'), (2, '{"content":[{"type":"tool_use","input":{"q":"[DOMAIN_000000000006]","w":"[EMAIL_ADDRESS_000000000002]"}}]}'))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,3 +116,13 @@ def canonical(body: Column) -> Column:
         return bodies.map(one)
 
     return run(body)
+
+
+def with_leaves_changed(rows: DataFrame, key: str, body: str, change, skipped: tuple[str, ...] = CONTRACT_KEYS["messages"]) -> DataFrame:
+    """rows with every string leaf of body outside the skipped keys replaced by change(text), an expression on it.
+
+    Leaves are rows of their own while they change, so that nothing but the walk and the writing back is Python.
+    """
+    found = rows.select(key, F.explode(leaves(F.col(body), skipped)).alias("l")).select(key, "l.path", change(F.col("l.text")).alias("text"))
+    texts = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("_texts"))
+    return rows.join(texts, key, "left").withColumn(body, rewritten(F.col(body), F.col("_texts"))).drop("_texts")
