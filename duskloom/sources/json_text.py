@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,18 +22,6 @@ PROTOCOL_KEYS = ("type", "keep", "trigger", "clear_at_least", "clear_tool_inputs
 DEEPEST = 256
 
 
-class _Number(float):
-    """A number that is written as it was read."""
-
-    def __new__(cls, raw: str):
-        self = super().__new__(cls, raw)
-        self.raw = raw
-        return self
-
-    def __repr__(self) -> str:
-        return self.raw
-
-
 def _walk(value: object, path: str, skipped: frozenset[str], depth: int = 0) -> Iterator[tuple[str, str, str]]:
     if depth > DEEPEST:
         raise ValueError(f"JSON is nested deeper than {DEEPEST}")
@@ -84,20 +73,42 @@ def keys_and_texts(body: Column) -> Column:
     return run(body)
 
 
-def _put(value: object, path: str, texts: dict[str, str]) -> object:
-    if isinstance(value, dict):
-        return {k: _put(v, f"{path}.{k}", texts) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_put(v, f"{path}[{i}]", texts) for i, v in enumerate(value)]
-    return texts.get(path, value) if isinstance(value, str) else value
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+|\s+', re.S)
+
+
+def spliced(body: str, texts: dict[str, str]) -> str:
+    """The JSON text with the string values at these paths replaced. All else, blanks and numbers too, stays as it was written."""
+    out: list[str] = []
+    stack: list[list] = []  # kind, key or place, whether a key comes next
+
+    def path() -> str:
+        return "$" + "".join(f".{at}" if kind == "{" else f"[{at}]" for kind, at, _ in stack)
+
+    for token in _TOKENS.findall(body):
+        if token in "{[" and token:
+            stack.append([token, None if token == "{" else 0, token == "{"])
+        elif token in "}]":
+            stack.pop()
+        elif token == ",":
+            if stack[-1][0] == "{":
+                stack[-1][2] = True
+            else:
+                stack[-1][1] += 1
+        elif token[0] == '"':
+            if stack and stack[-1][2]:
+                stack[-1][1:] = [json.loads(token), False]
+            elif (new := texts.get(path())) is not None:
+                token = json.dumps(new, ensure_ascii=False)
+        out.append(token)
+    return "".join(out)
 
 
 def rewritten(body: Column, texts: Column) -> Column:
-    """The JSON text with the leaves at the paths of texts (map<path,text>) replaced; key order and unknown fields stay."""
+    """The JSON text with the leaves at the paths of texts (map<path,text>) replaced; all else stays as it was written."""
 
     @F.pandas_udf(T.StringType())
     def run(bodies: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else json.dumps(_put(json.loads(b, parse_float=_Number), "$", dict(m or {})), ensure_ascii=False, separators=(",", ":")) for b, m in zip(bodies, maps, strict=True)], dtype=object)
+        return pd.Series([None if b is None else spliced(b, dict(m or {})) for b, m in zip(bodies, maps, strict=True)], dtype=object)
 
     return run(body, texts)
 
@@ -107,9 +118,10 @@ def canonical(body: Column) -> Column:
 
     def one(text: str | None) -> str | None:
         try:
-            return None if text is None else json.dumps(json.loads(text, parse_float=_Number), ensure_ascii=False, separators=(",", ":"))
+            json.loads(text or "null")
         except ValueError:
             return text
+        return None if text is None else "".join(t for t in _TOKENS.findall(text) if not t.isspace())
 
     @F.pandas_udf(T.StringType())
     def run(bodies: pd.Series) -> pd.Series:
