@@ -104,7 +104,7 @@ WITH t AS (
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY norm) AS keep_id,
        count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY norm) AS kept,
        sha256(norm) AS text_sha256
 FROM t
 """

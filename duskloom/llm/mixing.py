@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 def source_mixing(docs: DataFrame) -> DataFrame:
     """doc_id, source, copy, order_key of the mixture at the production parameters."""
-    return mix_sources(docs).select("doc_id", "source", "copy", "order_key")
+    return mix_sources(docs.select("doc_id", "text", "source")).select("doc_id", "source", "copy", "order_key")
 
 
 ORACLE = f"""

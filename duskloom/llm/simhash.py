@@ -141,12 +141,13 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     """(doc_id, text) -> doc_id, fp, component_id (the smallest doc_id that links reach), one row per row.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and link like any other; shorter texts than a
-    shingle are one shingle. Equal fingerprints are one class, represented by its smallest doc_id. A doc_id that repeats
-    must not be null; rows that repeat it belong to the classes of all its texts. Empty tables give no rows.
+    shingle are one shingle. Equal fingerprints are one class, represented by its smallest doc_id. A row with a null doc_id
+    gets the component of rows with its fingerprint, or null without any; it links no others. Rows that repeat a doc_id
+    with several texts join the classes of all of them. Empty tables give no rows.
     """
     fps = saved(fingerprints(docs, shingle, seed))
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = connected_components(near_links(classes, radius, tile_rows))
+    roots = connected_components(near_links(classes.filter("node IS NOT NULL"), radius, tile_rows))
     named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
