@@ -82,8 +82,9 @@ def _grouped(parents: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(parents[order], np.arange(1, n)))
 
 
-def _descend(children_a: list[np.ndarray], children_b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of children of pairs of nodes, in steps."""
+def _descend(children_a: list[np.ndarray], children_b: list[np.ndarray], i: np.ndarray, j: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of children of pairs of nodes, in steps. In one tree, children of one node give each pair once; those of two
+    nodes never meet again."""
     size_a, size_b = (np.array([len(c) for c in children], np.int64) for children in (children_a, children_b))
     flat_a, flat_b = (np.concatenate([*children, np.zeros(0, np.int64)]).astype(np.int64) for children in (children_a, children_b))
     start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
@@ -96,7 +97,11 @@ def _descend(children_a: list[np.ndarray], children_b: list[np.ndarray], i: np.n
         n = size_a[x] * size_b[y]
         pair = np.repeat(np.arange(len(x)), n)
         inner = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-        yield flat_a[start_a[x[pair]] + inner // size_b[y[pair]]], flat_b[start_b[y[pair]] + inner % size_b[y[pair]]]
+        below_a, below_b = flat_a[start_a[x[pair]] + inner // size_b[y[pair]]], flat_b[start_b[y[pair]] + inner % size_b[y[pair]]]
+        if same:
+            once = (x[pair] != y[pair]) | (below_a <= below_b)
+            below_a, below_b = below_a[once], below_b[once]
+        yield below_a, below_b
         at = end
 
 
@@ -109,7 +114,7 @@ def _distance(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
 
 
 def near_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the points with cosine >= the threshold, less about 1e-6 of distance; each pair once, i < j, if both trees are the same."""
+    """Places of the points with cosine >= the threshold, less about 1e-6 of distance; each pair once if both trees are the same."""
     limit = np.sqrt(2 - 2 * cosine) + _SLACK
     last = len(a.nodes) - 1
     if not len(a.points) or not len(b.points):
@@ -122,13 +127,11 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterato
         i, j = i[~far], j[~far]
         if level == last:
             if same:
-                i, j = i[i < j], j[i < j]
+                i, j = i[i != j], j[i != j]
             if len(i):
                 yield i, j
         elif len(i):
-            for x, y in _descend(a.children[level], b.children[level], i, j):
-                if same:  # a pair of nodes and its mirror hold the same pairs of points
-                    x, y = x[x <= y], y[x <= y]
+            for x, y in _descend(a.children[level], b.children[level], i, j, same):
                 if len(x):
                     todo.append((level + 1, x, y))
 

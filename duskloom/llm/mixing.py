@@ -109,21 +109,21 @@ rates AS (
   FROM weighted
 ),
 docs AS (
-  SELECT d.doc_id, d.source, r.rate, ceil(r.rate / {MEAN_A_DRAW})::INT AS draws
+  SELECT row_number() OVER () AS r, d.doc_id, d.source, r.rate, ceil(r.rate / {MEAN_A_DRAW})::INT AS draws
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source WHERE r.rate > 0
 ),
-draws AS (SELECT doc_id, source, rate / draws AS mean, unnest(range(1, draws + 1)) AS draw FROM docs),
+draws AS (SELECT r, doc_id, source, rate / draws AS mean, unnest(range(1, draws + 1)) AS draw FROM docs),
 uniforms AS (
-  SELECT doc_id, source, draw, mean,
+  SELECT r, doc_id, source, draw, mean,
          (('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || draw), 1, 12))::BIGINT + 0.5) / {float(1 << 48)} AS u
   FROM draws
 ),
 steps AS (
-  SELECT doc_id, source, draw, mean, u, 0 AS k, exp(-mean) AS p, exp(-mean) AS below FROM uniforms
+  SELECT r, doc_id, source, draw, mean, u, 0 AS k, exp(-mean) AS p, exp(-mean) AS below FROM uniforms
   UNION ALL
-  SELECT doc_id, source, draw, mean, u, k + 1, p * mean / (k + 1), below + p * mean / (k + 1) FROM steps WHERE u >= below AND k < {MOST_A_DRAW}
+  SELECT r, doc_id, source, draw, mean, u, k + 1, p * mean / (k + 1), below + p * mean / (k + 1) FROM steps WHERE u >= below AND k < {MOST_A_DRAW}
 ),
-counts AS (SELECT doc_id, source, sum(k) AS n FROM (SELECT doc_id, source, draw, max(k) AS k FROM steps GROUP BY ALL) GROUP BY ALL)
+counts AS (SELECT r, doc_id, source, sum(k) AS n FROM (SELECT r, doc_id, source, draw, max(k) AS k FROM steps GROUP BY ALL) GROUP BY ALL)
 SELECT doc_id, source, copy::INT AS copy, sha256('{SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS order_key
 FROM (SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM counts WHERE n > 0)
 """

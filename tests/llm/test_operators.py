@@ -14,6 +14,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from tools.compare import rows_of
+
 from duskloom.llm import bpe, components, embed_dedup, exact_dedup, langid, license_rules, license_scan, mixing, quality, queries, simhash, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fp long, __extra string"
@@ -48,12 +50,10 @@ def held_by_sql(frame, sql, **tables):
     with duckdb.connect() as db:
         for name, rows in tables.items():
             db.register(name, rows)
-        want = db.execute(sql).fetch_arrow_table() if hasattr(db, "fetch_arrow_table") else pa.table(db.execute(sql).arrow())
-    want = want.to_pandas()
+        want = db.execute(sql).df()
     got = frame.toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    show = lambda f: sorted(tuple("-" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, int | float | np.number) else str(v) for v in row) for row in f[sorted(f.columns)].astype(object).values.tolist())
-    assert show(got) == show(want)
+    assert rows_of(got) == rows_of(want)
 
 
 def arrow(df):
@@ -367,7 +367,9 @@ def test_cover_tree_pairs_are_exact():
     points /= np.linalg.norm(points, axis=1)[:, None]
     tree = embed_dedup.build(points)
     assert all(set(a.tolist()) <= set(b.tolist()) for a, b in itertools.pairwise(tree.nodes))
-    got = {(int(a), int(b)) for i, j in embed_dedup.near_pairs(tree, tree, 0.8, True) for a, b in zip(i, j, strict=True)}
+    listed = [tuple(sorted((int(a), int(b)))) for i, j in embed_dedup.near_pairs(tree, tree, 0.8, True) for a, b in zip(i, j, strict=True)]
+    got = set(listed)
+    assert len(got) == len(listed)
     cosine = points @ points.T
     want = {(i, j) for i, j in itertools.combinations(range(300), 2) if cosine[i, j] >= 0.8}
     assert want <= got and all(cosine[p] > 0.8 - 1e-4 for p in got)
