@@ -213,8 +213,8 @@ def _pivots(classes: DataFrame, cell_rows: int, most: int) -> dict[int, np.ndarr
         return {}
     want = {g: min(most, -(-n // cell_rows)) for g, n in sizes.items()}
     draw = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1_000_000_000)) / 1e9
-    share = F.coalesce(*[F.when(F.col("grp") == g, F.lit(min(1.0, (4 * want[g] + 40) / sizes[g]))) for g in sizes], F.lit(0.0))
-    rows = classes.filter(draw < share).select("grp", "unit", draw.alias("draw")).collect()
+    shares = classes.sparkSession.createDataFrame([(g, min(1.0, (4 * want[g] + 40) / sizes[g])) for g in sizes], "grp long, share double")
+    rows = classes.join(F.broadcast(shares), "grp").filter(draw < F.col("share")).select("grp", "unit", draw.alias("draw")).collect()
     found: dict[int, np.ndarray] = {}
     for g, n in want.items():
         own = sorted((r["draw"], r["unit"]) for r in rows if r["grp"] == g)[:n]
@@ -228,11 +228,12 @@ def embedding_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int =
     schema = classes.select("grp", "node", "size", "unit").schema
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", low long, high long, is_low boolean"
     rows = classes.select("grp", "node", "size", "unit")
-    alone = rows.filter(~F.col("grp").isin(list(spread))) if spread else rows
+    large = F.broadcast(classes.sparkSession.createDataFrame([(g,) for g in spread], "grp long")) if spread else None
+    alone = rows.join(large, "grp", "left_anti") if spread else rows
     dealt = alone.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long"), "is_low": F.lit(True)})
     if spread:
         sent = classes.sparkSession.sparkContext.broadcast(spread)
-        many = rows.filter(F.col("grp").isin(list(spread)))
+        many = rows.join(large, "grp", "left_semi")
         homes = many.select("grp", "unit").mapInArrow(lambda it: (_home(sent.value, b) for b in it if b.num_rows), "grp long, cell long")
         cuts = {(r["grp"], r["cell"]): -(-r["count"] // cell_rows) for r in homes.groupBy("grp", "cell").count().collect()}
         limit = float(np.sqrt(2 - 2 * cosine))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_KEYS, saved
+
 SEED = 42
 
 #: Power of a source's natural share that its target weight is in proportion to: 1 keeps the mixture, 0 makes all sources equal.
@@ -51,9 +53,9 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     target: the share of the characters that the source is to have: weights, scaled to sum 1 over the sources there are
     (a source that isn't in weights gets none), else its natural share to the power temperature. budget: characters of
     the mixture over those of the input. A source without a character has rate 0. The table has a row for each source
-    and is made by one aggregation with partial sums.
+    and is made by one aggregation with partial sums, kept in the checkpoint folder, so that texts are read once for it.
     """
-    sizes = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit(""))).cast("long")).alias("chars"))
+    sizes = saved(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit(""))).cast("long")).alias("chars")))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(float(temperature))) * (F.col("chars") > 0).cast("double"))
     else:
@@ -69,9 +71,12 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def replicated(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
     """docs (doc_id, source, any others) exploded by Poisson counts: all columns of docs, with copy (from 1) and order_key.
 
-    Rows whose count is 0 don't appear. A doc_id that repeats draws the same count each time. rates are matched null-safe.
+    Rows whose count is 0 don't appear. A doc_id that repeats draws the same count each time. rates are matched null-safe, and
+    broadcast when they are few.
     """
-    rate = F.broadcast(rates.select(F.col("source").alias("__rate_source"), F.col("rate").alias("__rate")))
+    rate = rates.select(F.col("source").alias("__rate_source"), F.col("rate").alias("__rate"))
+    if rates.count() <= BROADCAST_KEYS:
+        rate = F.broadcast(rate)
     drawn = docs.join(rate, docs["source"].eqNullSafe(F.col("__rate_source")), "left")
     count = poisson(F.col("__rate"), F.col("doc_id"), seed=seed)
     counted = drawn.withColumn("__copies", count).filter("__copies > 0")
