@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,6 +53,24 @@ def saved(df: DataFrame) -> DataFrame:
 SLICE_ROWS = 1000
 
 
+def tabled(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table written to the shared checkpoint folder, and its path.
+
+    For loops: a checkpoint passes its plan's estimated size on, which a join in every round would square; a table's size is that of its files.
+    """
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that tabled() wrote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """work on slices of each Arrow batch of df."""
 

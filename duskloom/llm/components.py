@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, tabled
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,17 +31,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, root): the least node that each linked node reaches.
 
     Direction and repeats don't matter; self-links and links with a null are left out. No edges give no rows. Nodes
-    without links don't appear. Every round is checkpointed; rounds grow with the logarithm of a component's width.
+    without links don't appear. Every round is written as a table, and the one before it deleted; rounds grow with the logarithm of a
+    component's width.
     """
     clean = edges.filter("a <> b")
-    now = saved(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = tabled(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or mark["n"] == 0:
             break
         before = mark
-        now = saved(_small_star(_large_star(now)))
+        last = path
+        now, path = tabled(_small_star(_large_star(now)))
+        dropped(now.sparkSession, last)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
