@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder: the session's spark.checkpoint.dir, or in local mode a temporary one."""
-    context = df.sparkSession.sparkContext
+def tabled(df: DataFrame) -> DataFrame:
+    """df, written once as a table to the checkpoint folder: the session's spark.checkpoint.dir, or in local mode a temporary one.
+
+    A table's estimated size is that of its files; a checkpoint would pass its plan's on, which a join in every round of a loop squares.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
