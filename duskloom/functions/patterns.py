@@ -24,7 +24,7 @@ class Recognizer(NamedTuple):
 _START = "(^|[^0-9A-Za-z_])"
 
 EMAIL = Recognizer("EMAIL_ADDRESS", r"(^|[^0-9A-Za-z._%+-])([0-9A-Za-z._%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,24})", 1.0)
-PHONE = Recognizer("PHONE_NUMBER", r"(^|[^0-9A-Za-z+])(\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4})", 0.4, ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "tel", "fax"))
+PHONE = Recognizer("PHONE_NUMBER", r"(^|[^0-9A-Za-z+])(\+?(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4,})", 0.4, ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "tel", "fax"))
 CARD = Recognizer("CREDIT_CARD", r"(^|[^0-9A-Za-z])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7})", 0.85)
 IPV4 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", 0.85)
 IPV6 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z:])((?:[0-9A-Fa-f]{1,4}:){2,7}(?::|[0-9A-Fa-f]{1,4}(?:::[0-9A-Fa-f]{1,4})?)|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})", 0.6)

@@ -11,11 +11,10 @@ from duskloom.sources import files
 from duskloom.streaming import events
 
 
-def names(texts):
-    return [[(t.index("Ada"), t.index("Ada") + 3, "PERSON", 0.9)] if "Ada" in t else [] for t in texts]
-
-
 def test_model_slot(spark):
+    def names(texts):
+        return [[(t.index("Ada"), t.index("Ada") + 3, "PERSON", 0.9)] if "Ada" in t else [] for t in texts]
+
     rows = spark.createDataFrame([(1, "by Ada"), (2, "none"), (3, None)], "id int, text string")
     slot = Slot()
     assert rows.select(F.size(model_spans(F.col("text"), slot)).alias("n")).first().n == 0
