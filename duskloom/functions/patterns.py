@@ -19,17 +19,18 @@ class Recognizer(NamedTuple):
     pattern: str
     score: float
     context: tuple[str, ...] = ()
+    guard: str = ""  # a cheap pattern that every text with a match has
 
 
 _START = "(^|[^0-9A-Za-z_])"
 
-EMAIL = Recognizer("EMAIL_ADDRESS", r"(^|[^0-9A-Za-z._%+-])([0-9A-Za-z._%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,24})", 1.0)
-PHONE = Recognizer("PHONE_NUMBER", r"(^|[^0-9A-Za-z+])(\+?(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4,})", 0.4, ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "tel", "fax"))
-CARD = Recognizer("CREDIT_CARD", r"(^|[^0-9A-Za-z])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7})", 0.85)
-IPV4 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", 0.85)
+EMAIL = Recognizer("EMAIL_ADDRESS", r"(^|[^0-9A-Za-z._%+-])([0-9A-Za-z._%+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,24})", 1.0, guard="@")
+PHONE = Recognizer("PHONE_NUMBER", r"(^|[^0-9A-Za-z+])(\+?(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4,})", 0.4, ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "tel", "fax"), guard="[0-9]{3}")
+CARD = Recognizer("CREDIT_CARD", r"(^|[^0-9A-Za-z])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7})", 0.85, guard="[0-9]{4}")
+IPV4 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", 0.85, guard="[0-9][.][0-9]")
 IPV6 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z:])((?:[0-9A-Fa-f]{1,4}:){2,7}(?::|[0-9A-Fa-f]{1,4}(?:::[0-9A-Fa-f]{1,4})?)|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})", 0.6)
 MAC = Recognizer("MAC_ADDRESS", r"(^|[^0-9A-Za-z:-])([0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5})", 0.85)
-URL = Recognizer("URL", r"(^|[^0-9A-Za-z])((?:https?|ftp)://[^ \t\r\n<>]+)", 0.6)
+URL = Recognizer("URL", r"(^|[^0-9A-Za-z])((?:https?|ftp)://[^ \t\r\n<>]+)", 0.6, guard="://")
 DOMAIN = Recognizer("DOMAIN", r"(^|[^0-9A-Za-z@._/-])((?:[0-9A-Za-z-]+\.)+(?:com|org|net|io|dev|edu|gov|info|co|de|fr|es|uk|eu|rs|md|py|sh|ai|app))", 0.5)
 IBAN = Recognizer("IBAN_CODE", _START + r"([A-Z]{2}[0-9]{2}[0-9A-Z]{11,30})", 0.85, ("iban", "bank", "account"))
 SSN = Recognizer("US_SSN", r"(^|[^0-9A-Za-z-])([0-9]{3}-[0-9]{2}-[0-9]{4})", 0.5, ("social", "security", "ssn", "ssns", "ssid"))
@@ -45,7 +46,7 @@ US_PASSPORT = Recognizer("US_PASSPORT", _START + r"([A-Z][0-9]{8})", 0.1, ("pass
 UK_PASSPORT = Recognizer("UK_PASSPORT", _START + r"([A-Z]{2}[0-9]{7})", 0.1, ("passport", "travel", "document"))
 US_DRIVER_LICENSE = Recognizer("US_DRIVER_LICENSE", _START + r"([A-Z][0-9]{6,12})", 0.3, ("driver", "license", "permit", "lic", "identification", "dl"))
 UK_DRIVING_LICENCE = Recognizer("UK_DRIVING_LICENCE", _START + r"([A-Z]{5}[0-9]{6}[A-Z]{2}[0-9][A-Z]{2})", 0.5, ("driving", "licence"))
-API_KEY = Recognizer("API_KEY", _START + r"([0-9A-Za-z_-]{32,128})", 0.55)
+API_KEY = Recognizer("API_KEY", _START + r"([0-9A-Za-z_-]{32,128})", 0.55, guard="[0-9A-Za-z_-]{32}")
 PREFIXED_KEY = Recognizer("API_KEY", _START + r"((?:ghp|gho|ghs|ghu)_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{16,64}|xox[abprs]-[0-9A-Za-z-]{10,80}|glpat-[0-9A-Za-z_-]{20})", 0.95)
 AWS_ACCESS_KEY = Recognizer("AWS_ACCESS_KEY", _START + r"((?:AKIA|ASIA)[0-9A-Z]{16})", 0.95)
 GCP_API_KEY = Recognizer("GCP_API_KEY", _START + r"(AIza[0-9A-Za-z_-]{35})", 0.95)

@@ -18,6 +18,11 @@ SPANS = f"array<{SPAN}>"
 TIERS = {"secret": 0, "custom": 1, "regex": 2, "ml": 2}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once. What a lambda takes from outside it is worked out anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -35,19 +40,22 @@ def find(text: Column, pattern: str, entity: str, score: float, source: str = "r
     """Every match of pattern as a span. With groups, group 1 is what stands before the value and group 2 the value; what
     follows group 2 is consumed but not part of it. The pattern must not match an empty string."""
     p = F.lit(pattern)
-    whole, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    before = F.regexp_extract_all(text, p, F.lit(1)) if groups else None
-    value = F.regexp_extract_all(text, p, F.lit(2)) if groups else whole
+    parts = {"whole": F.regexp_extract_all(text, p, F.lit(0)), "gaps": F.split(text, pattern, -1)}
+    if groups:
+        parts |= {"before": F.regexp_extract_all(text, p, F.lit(1)), "value": F.regexp_extract_all(text, p, F.lit(2))}
+    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.length(gaps[i])
-        own = start + F.length(before[i]) if groups else start
-        found = span(own, own + F.length(value[i]), entity, score, source, value[i], literal, order)
-        return F.struct((start + F.length(whole[i])).alias("at"), F.array_append(s["out"], found).alias("out"))
+    def folded(b: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            whole, value = b["whole"][i], b["value" if groups else "whole"][i]
+            first = s["at"] + F.length(b["gaps"][i])
+            own = first + F.length(b["before"][i]) if groups else first
+            found = span(own, own + F.length(value), entity, score, source, value, literal, order)
+            return F.struct((first + F.length(whole)).alias("at"), F.array_append(s["out"], found).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(no_spans())
+        return F.aggregate(F.sequence(F.lit(0), F.size(b["whole"]) - 1), start, step, lambda s: s["out"])
+
+    return F.when(text.rlike(pattern), let(F.struct(*[v.alias(k) for k, v in parts.items()]), folded)).otherwise(no_spans())
 
 
 def find_literal(text: Column, value: str, entity: str, source: str, case_sensitive: bool = True, literal: bool = False, order: int = 0) -> Column:

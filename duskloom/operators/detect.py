@@ -45,7 +45,8 @@ def recognized(text: Column, recognizer: P.Recognizer, order: int = 0) -> Column
     found = S.where(S.find(text, recognizer.pattern, recognizer.entity, recognizer.score, order=order), lambda s: P.valid(recognizer.entity, s["value"]) if recognizer is not P.PREFIXED_KEY else F.lit(True))
     if recognizer is P.IPV4:
         found = S.where(found, lambda s: P.valid_ipv4(s["value"]))
-    return boosted(text, found, recognizer.context)
+    found = boosted(text, found, recognizer.context)
+    return F.when(text.rlike(recognizer.guard), found).otherwise(S.no_spans()) if recognizer.guard else found
 
 
 def reserved_ipv4(value: Column) -> Column:
@@ -120,7 +121,9 @@ def detected(text: Column, policy: Policy, recognizers: tuple[P.Recognizer, ...]
     lowest = policy.floor - CONTEXT_BOOST
     used = [r for r in recognizers if r.entity in enabled and (r.score >= lowest)]
     found = F.concat(*[recognized(text, r, order) for order, r in enumerate(used)]) if used else S.no_spans()
+    first = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(text, policy.custom, surface))
     gate = gated(text, found, policy)
-    allowed = S.where(gate, lambda s: allowed_value(s["value"], policy, today))
-    spans = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(text, policy.custom, surface), gate)
-    return S.resolve(S.not_allowed(spans, allowed, CATEGORIES["secrets"]))
+    if not policy.allow and today is None:
+        return S.resolve(F.concat(first, gate))
+    both = F.struct(first.alias("first"), gate.alias("gate"), S.where(gate, lambda s: allowed_value(s["value"], policy, today)).alias("allowed"))
+    return S.resolve(S.let(both, lambda b: S.not_allowed(F.concat(b["first"], b["gate"]), b["allowed"], CATEGORIES["secrets"])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from ..plans.policy import CATEGORIES
 
 #: The grammar of tokens (fixed): no more than 63 characters.
@@ -41,7 +42,7 @@ def whole_value(before: Column, after: Column, raw_json: bool) -> Column:
 def pieces(text: Column) -> Column:
     """The text as array<struct<text,token>>: what stands before each token, and the token; the last piece has none."""
     gaps, found = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.size(gaps) - 1), lambda i: F.struct(gaps[i].alias("text"), F.get(found, i).alias("token")))
+    return let(F.struct(gaps.alias("g"), found.alias("f")), lambda b: F.transform(F.sequence(F.lit(0), F.size(b["g"]) - 1), lambda i: F.struct(b["g"][i].alias("text"), F.get(b["f"], i).alias("token"))))
 
 
 def unmasked(texts: DataFrame, key: str, column: str, values: DataFrame, marker: tuple[str, str] | None = None, allowed: Column | None = None) -> DataFrame:
