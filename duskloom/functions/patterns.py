@@ -86,6 +86,8 @@ def valid(entity: str, value: Column) -> Column:
         return check == F.substring(digits, 10, 1).cast("int")
     if entity == "UK_NINO":
         return ~F.substring(value, 1, 2).isin("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+    if entity == "CRYPTO":
+        return T.base58_check(value)
     if entity == "API_KEY":
         return T.plausible_secret(value)
     return F.lit(True)

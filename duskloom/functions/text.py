@@ -93,3 +93,27 @@ def mod97(text: Column) -> Column:
     moved = F.concat(F.substring(text, 5, 100), F.substring(text, 1, 4))
     number = F.transform(chars(moved), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string")))
     return F.aggregate(chars(F.array_join(number, "")), F.lit(0), lambda r, c: (r * 10 + c.cast("int")) % 97)
+
+
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def base58_check(text: Column) -> Column:
+    """Whether a string of base-58 digits is 25 bytes of which the last four begin the doubled SHA-256 of the others."""
+
+    def times(state: Column, digit: Column) -> Column:
+        """Bytes, the lowest first, times 58 and the digit added; what the last leaves over is kept apart."""
+        start = F.struct(digit.alias("carry"), F.array().cast("array<int>").alias("out"))
+
+        def step(s: Column, b: Column) -> Column:
+            n = b * 58 + s["carry"]
+            return F.struct(F.shiftright(n, 8).alias("carry"), F.array_append(s["out"], n.bitwiseAND(F.lit(255))).alias("out"))
+
+        return F.aggregate(state["bytes"], start, step, lambda s: F.struct(s["out"].alias("bytes"), (state["over"] | (s["carry"] > 0)).alias("over")))
+
+    start = F.struct(F.array_repeat(F.lit(0), 25).alias("bytes"), F.lit(False).alias("over"))
+    digits = F.transform(chars(text), lambda c: F.instr(F.lit(BASE58), c) - 1)
+    spelt = lambda s: F.array_join(F.transform(F.reverse(s["bytes"]), lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    whole = F.aggregate(digits, start, times, lambda s: F.when(~s["over"], spelt(s)).otherwise(F.lit("")))
+    twice = F.sha2(F.unhex(F.sha2(F.unhex(F.substring(whole, 1, 42)), 256)), 256)
+    return F.coalesce((F.length(whole) == 50) & F.forall(digits, lambda d: d >= 0) & (F.lower(F.substring(whole, 43, 8)) == F.substring(twice, 1, 8)), F.lit(False))

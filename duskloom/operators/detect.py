@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import context as X
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..plans.policy import CATEGORIES, CONTEXT_BOOST, CustomRule, Policy
@@ -17,8 +20,29 @@ CONTEXT_WORDS = 5
 #: Last labels of names that are files, not hosts.
 FILE_LABELS = ("cc", "go", "la", "md", "ml", "pl", "py", "rb", "rs", "sh", "so")
 
+
+class Labelled(NamedTuple):
+    """A recognizer of values by the label beside them."""
+
+    entities: tuple[str, ...]
+    find: Callable[[Column], Column]
+    guard: str  # a cheap pattern that every text with a match has
+    score: float = X.SCORE
+
+
+BIRTH = Labelled(("DATE_OF_BIRTH",), X.birth_dates, "(?i)birth|d[.]?o[.]?b|born")
+EXPIRY = Labelled(("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"), X.expiries, "(?i)exp|thru|through")
+CODE = Labelled(("CVV",), X.security_codes, "(?i)cvv|cvc|cav2|security|card")
+CREDENTIAL = Labelled(("URL_CREDENTIAL",), X.credentials, "[=:]")
+
 #: Recognizers that run on every text, in order of insertion.
-STANDARD = (P.PREFIXED_KEY, P.AWS_ACCESS_KEY, P.GCP_API_KEY, P.JWT, P.PRIVATE_KEY, P.API_KEY, P.EMAIL, P.PHONE, P.CARD, P.IPV4, P.MAC, P.URL, P.DOMAIN, P.IBAN, P.SSN, P.ITIN, P.NINO)
+STANDARD = (
+    P.PREFIXED_KEY, P.AWS_ACCESS_KEY, P.GCP_API_KEY, P.JWT, P.PRIVATE_KEY, P.API_KEY, P.EMAIL, P.PHONE, P.CARD, P.IPV4, P.MAC, P.URL, P.DOMAIN, P.IBAN, P.SSN, P.ITIN, P.NINO,
+    P.IPV6, P.ABA, P.BANK, P.DEA, P.NPI, P.MBI, P.US_PASSPORT, P.UK_PASSPORT, P.US_DRIVER_LICENSE, P.UK_DRIVING_LICENCE, P.CRYPTO, BIRTH, EXPIRY, CODE, CREDENTIAL,
+)
+
+#: With NHS numbers, whose check digit one telephone number in eleven passes.
+ALL = (*STANDARD, P.NHS)
 
 
 def words(text: Column) -> Column:
@@ -40,8 +64,11 @@ def boosted(text: Column, spans: Column, context: tuple[str, ...]) -> Column:
     return S.rescored(spans, score)
 
 
-def recognized(text: Column, recognizer: P.Recognizer, order: int = 0) -> Column:
+def recognized(text: Column, recognizer: P.Recognizer | Labelled, order: int = 0) -> Column:
     """The recognizer's valid values with their scores in context."""
+    if isinstance(recognizer, Labelled):
+        found = F.transform(recognizer.find(text), lambda s: s.withField("ord", F.lit(order)))
+        return F.when(text.rlike(recognizer.guard), found).otherwise(S.no_spans())
     found = S.where(S.find(text, recognizer.pattern, recognizer.entity, recognizer.score, order=order), lambda s: P.valid(recognizer.entity, s["value"]) if recognizer is not P.PREFIXED_KEY else F.lit(True))
     if recognizer is P.IPV4:
         found = S.where(found, lambda s: P.valid_ipv4(s["value"]))
@@ -115,11 +142,11 @@ def gated(text: Column, spans: Column, policy: Policy) -> Column:
     return S.trimmed_quotes(kept)
 
 
-def detected(text: Column, policy: Policy, recognizers: tuple[P.Recognizer, ...] = STANDARD, secrets: Column | None = None, surface: Column | None = None, today: date | None = None) -> Column:
+def detected(text: Column, policy: Policy, recognizers: tuple[P.Recognizer | Labelled, ...] = STANDARD, secrets: Column | None = None, surface: Column | None = None, today: date | None = None) -> Column:
     """All spans of a text under a policy: registered secrets, custom rules, gated recognizers; allow spans suppress, overlaps are resolved."""
     enabled = set(policy.entities())
     lowest = policy.floor - CONTEXT_BOOST
-    used = [r for r in recognizers if r.entity in enabled and (r.score >= lowest)]
+    used = [r for r in recognizers if enabled & set(r.entities if isinstance(r, Labelled) else (r.entity,)) and (r.score >= lowest)]
     found = F.concat(*[recognized(text, r, order) for order, r in enumerate(used)]) if used else S.no_spans()
     first = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(text, policy.custom, surface))
     gate = gated(text, found, policy)

@@ -22,15 +22,15 @@ from .sqltext import luhn_sql, spans_sql, token_sql
 POLICY = Policy(profile="strict")
 KEY = "0123456789abcdef0123456789abcdef"
 
-#: E-mails, addresses and cards, which never overlap in a text: what the flagship query masks.
-ENTITIES = (P.EMAIL, P.IPV4, P.CARD)
+#: Labels whose values masking cuts for good.
+CUT = ("CREDIT_CARD", "CVV")
 _CARD_OK = f"length({DIGITS}) BETWEEN 13 AND 19 AND {luhn_sql(DIGITS)}"
 _IP_OK = "len(list_filter(string_split(value, '.'), lambda o: o::INT > 255)) = 0"
 _KEPT = "repeat('*', greatest(length(value) - 4, 0)::INT) || right(value, 4)"
 
 
 def found_sql() -> str:
-    """doc_id, entity, start, stop, value of the spans that the flagship query masks."""
+    """doc_id, entity, start, stop, value of e-mails, IPv4 addresses and cards: a part of what the flagship query masks."""
     return f"""SELECT doc_id, 'EMAIL_ADDRESS' AS entity, start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.pattern)})
   UNION ALL SELECT doc_id, 'IP_ADDRESS', start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.IPV4.pattern)}) WHERE {_IP_OK}
     AND NOT regexp_matches(value, '^(127|10)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]|^0[.]0[.]0[.]0$')
@@ -42,8 +42,8 @@ def rendered_sql() -> str:
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, spans: the resolved spans of ENTITIES in every document under the strict policy."""
-    return documents(spark, sf_dir).select("doc_id", "text", D.detected(F.col("text"), POLICY, ENTITIES).alias("spans"))
+    """doc_id, text, spans: the resolved spans of all recognizers in every document under the strict policy."""
+    return documents(spark, sf_dir).select("doc_id", "text", D.detected(F.col("text"), POLICY, D.ALL).alias("spans"))
 
 
 MASKED_SQL = f"""
@@ -59,7 +59,7 @@ masked AS (SELECT d.doc_id, CASE WHEN j.last IS NULL THEN d.text ELSE j.head ||
 
 @query(f"WITH {MASKED_SQL} SELECT doc_id, text FROM masked")
 def mask_documents(spark, sf_dir):
-    """Flagship: every document with its e-mails and addresses as tokens and its cards cut to four digits."""
+    """Flagship: every document with all that the recognizers find as tokens, cards cut to four digits and their codes redacted."""
     return document_spans(spark, sf_dir).select("doc_id", A.masked(F.col("text"), F.col("spans"), POLICY).alias("text"))
 
 
@@ -88,7 +88,7 @@ def op_hash_salted(spark, sf_dir):
 
 
 def mask_all(spark: SparkSession, sf_dir: str, operator: Operator) -> DataFrame:
-    policy = Policy(profile="strict", overrides={r.entity: operator for r in ENTITIES})
+    policy = Policy(profile="strict", overrides={e: operator for e in POLICY.entities()})
     return document_spans(spark, sf_dir).filter(F.size("spans") > 0).select("doc_id", A.masked(F.col("text"), F.col("spans"), policy).alias("text"))
 
 
@@ -220,7 +220,7 @@ _TOKENS = f"SELECT DISTINCT {token_sql('salt', 'entity', 'value')} AS token, val
 
 def vault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token, value, kind, entity of all tokens that masking the documents makes."""
-    rows = all_spans(spark, sf_dir).filter("entity <> 'CREDIT_CARD'")
+    rows = all_spans(spark, sf_dir).filter(~F.col("entity").isin(*CUT))
     return rows.select(T.token("salt", F.col("entity"), F.col("value")).alias("token"), "value", F.lit("pii").alias("kind"), "entity")
 
 
@@ -285,8 +285,8 @@ def token_label(spark, sf_dir):
 @query(f"""SELECT d.doc_id, d.text, (CASE WHEN c.n IS NULL THEN 0 ELSE c.n END) AS n_cards FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({found_sql()}) WHERE entity = 'CREDIT_CARD' GROUP BY doc_id) c USING (doc_id) WHERE c.n IS NULL""")
 def unmask_roundtrip(spark, sf_dir):
-    """Masked documents restored from the vault: without a card, which masking cuts for good, the text is the original."""
-    spans = document_spans(spark, sf_dir).withColumn("n_cards", F.size(F.filter("spans", lambda s: s["entity"] == "CREDIT_CARD")).cast("long"))
+    """Masked documents restored from the vault: without a card or its code, which masking cuts for good, the text is the original."""
+    spans = document_spans(spark, sf_dir).withColumn("n_cards", F.size(F.filter("spans", lambda s: s["entity"].isin(*CUT))).cast("long"))
     masked = spans.filter("n_cards = 0").select("doc_id", A.masked(F.col("text"), F.col("spans"), POLICY).alias("text"), "n_cards")
     vault = V.interned(vault_rows(spark, sf_dir)).select("token", "value")
     return U.unmasked(masked, "doc_id", "text", vault).select("doc_id", "text", "n_cards")
@@ -294,7 +294,7 @@ def unmask_roundtrip(spark, sf_dir):
 
 @query(f"WITH {MASKED_SQL.replace(rendered_sql(), "'⟪' || value || '⟫'")} SELECT doc_id, text FROM masked WHERE doc_id IN (SELECT doc_id FROM found) AND doc_id NOT IN (SELECT doc_id FROM found WHERE entity = 'CREDIT_CARD')")
 def unmask_display(spark, sf_dir):
-    spans = document_spans(spark, sf_dir).filter((F.size("spans") > 0) & ~F.exists("spans", lambda s: s["entity"] == "CREDIT_CARD"))
+    spans = document_spans(spark, sf_dir).filter((F.size("spans") > 0) & ~F.exists("spans", lambda s: s["entity"].isin(*CUT)))
     masked = spans.select("doc_id", A.masked(F.col("text"), F.col("spans"), POLICY).alias("text"))
     return U.unmasked(masked, "doc_id", "text", V.interned(vault_rows(spark, sf_dir)), U.MARKER)
 
@@ -364,6 +364,6 @@ def literal_token_unmask(spark, sf_dir):
 @query(f"""WITH f AS ({found_sql()}), s AS (SELECT doc_id, count(*) FILTER (entity <> 'CREDIT_CARD') AS tokens, count(*) FILTER (entity = 'CREDIT_CARD') AS masked, count(*) AS spans FROM f GROUP BY doc_id)
 SELECT d.source, count(*) AS leaves, count(*) FILTER (s.doc_id IS NULL) AS clean, coalesce(sum(tokens), 0)::BIGINT AS tokens, coalesce(sum(masked), 0)::BIGINT AS masked, coalesce(sum(spans), 0)::BIGINT AS spans FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.source""")
 def mask_stats(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("source", D.detected(F.col("text"), POLICY, ENTITIES).alias("spans"))
-    cards = F.size(F.filter("spans", lambda s: s["entity"] == "CREDIT_CARD"))
+    rows = documents(spark, sf_dir).select("source", D.detected(F.col("text"), POLICY, D.ALL).alias("spans"))
+    cards = F.size(F.filter("spans", lambda s: s["entity"].isin(*CUT)))
     return rows.groupBy("source").agg(F.count("*").alias("leaves"), F.count_if(F.size("spans") == 0).alias("clean"), F.sum(F.size("spans") - cards).alias("tokens"), F.sum(cards).alias("masked"), F.sum(F.size("spans")).alias("spans"))
