@@ -20,9 +20,12 @@ class Rule(NamedTuple):
 #: Confidence of a detection by its priority: tag, grant, name with version, bare name.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.75, 4: 0.6}
 
-#: A text needs one of these before any rule is tried; each pattern below can't match without one.
+#: A text needs one of these or of UNGATED before any rule is tried; each pattern below can't match without one.
 GATES = ("licen", "spdx", " under ", "public  domain", "copyright")
 
+#: Keywords of the rules that match without one of GATES. The SQL gates by GATES alone, so it has less where only these stand.
+UNGATED = (" cc0 ", " nasa ")
+
 #: label, keyword, name as a pattern, words that may end the name, versions.
 #: The name alone, or with its ending, is a mention; a version makes a label of its own.
 LICENCES: list[tuple[str, str, str, str, tuple[str, ...]]] = [

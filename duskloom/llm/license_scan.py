@@ -65,7 +65,7 @@ def detections(spaced: Column) -> Column:
     groups = F.filter(_by_keyword(), lambda g: F.contains(spaced, g["k"]))
     tried = F.filter(F.flatten(F.transform(groups, lambda g: g["r"])), lambda r: F.rlike(spaced, r["p"]))
     found = F.array_sort(F.array_distinct(F.flatten(F.transform(tried, lambda r: _detections(spaced, r)))))
-    gate = reduce(lambda a, b: a | b, [F.contains(spaced, F.lit(g)) for g in license_rules.GATES])
+    gate = reduce(lambda a, b: a | b, [F.contains(spaced, F.lit(g)) for g in license_rules.GATES + license_rules.UNGATED])
     return F.when(gate, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 

@@ -1,0 +1,45 @@
+"""The literal gate of license scans lets through whatever a rule can match."""
+
+import re
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
+
+from duskloom.llm import license_rules, license_scan
+
+
+def shortest(parsed):
+    """Texts of a parsed pattern with every alternative, what is optional left out."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "IN":
+            own = [chr(v) for kind, v in arg if str(kind) == "LITERAL"]
+        elif name == "BRANCH":
+            own = [t for branch in arg[1] for t in shortest(branch)]
+        elif name == "SUBPATTERN":
+            own = shortest(arg[3])
+        elif name == "MAX_REPEAT" and arg[0] == 0:
+            own = [""]
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_no_rule_matches_without_a_gate():
+    gates = license_rules.GATES + license_rules.UNGATED
+    for rule in license_rules.rules():
+        pattern = license_rules.spaced(rule.pattern)
+        for text in shortest(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text) and any(g in text for g in gates), (rule, text)
+
+
+def test_licences_without_a_gate_word_are_found(spark):
+    texts = ["This work is CC0 1.0 Universal.", "NASA Open Source Agreement 1.3", "nasa open source agreement", "cc0 universal", "nasa", "cc0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs).collect()}
+    assert got == {0: ("cc0-1.0", 0.75), 1: ("nasa-1.3", 0.75), 2: ("nasa", 0.6), 3: ("cc0", 0.6), 4: ("", 0.0), 5: ("", 0.0)}
