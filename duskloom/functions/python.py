@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import shlex
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
-
-
-def _base58(value: str) -> bool:
-    number = 0
-    for c in value:
-        if (digit := _BASE58.find(c)) < 0:
-            return False
-        number = number * 58 + digit
-    raw = number.to_bytes(25, "big") if number < 1 << 200 else b""
-    return len(raw) == 25 and hashlib.sha256(hashlib.sha256(raw[:21]).digest()).digest()[:4] == raw[21:]
-
-
-@F.pandas_udf(T.BooleanType())
-def base58_check(values: pd.Series) -> pd.Series:
-    """Whether each value is an address whose last four bytes are its checksum."""
-    return values.map(lambda v: v is not None and _base58(v))
-
 
 def shell_words(value: str) -> list[str]:
     """Words as a shell splits them; none if a quote stays open."""

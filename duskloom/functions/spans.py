@@ -5,7 +5,9 @@ Offsets are half-open and count code points.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ SPANS = f"array<{SPAN}>"
 TIERS = {"secret": 0, "custom": 1, "regex": 2, "ml": 2}
 
 
+class Search(NamedTuple):
+    """A pattern to look for. With groups, group 1 is what stands before the value and group 2 the value; what follows is group 3.
+    The pattern must not match an empty string."""
+
+    pattern: str
+    entity: str
+    score: float = 1.0
+    source: str = "regex"
+    groups: bool = True
+    literal: bool = False
+    order: int = 0
+    guard: str | tuple[str, ...] = ""  # a cheap pattern, or literals of which one stands in every text with a match
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once. What a lambda takes from outside it is worked out anew for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -27,35 +43,70 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def span(start: Column, end: Column, entity: Column | str, score: Column | float, source: str, value: Column, literal: bool = False, order: int = 0) -> Column:
-    entity = F.lit(entity) if isinstance(entity, str) else entity
-    score = F.lit(float(score)) if isinstance(score, int | float) else score
-    return F.struct(
-        start.cast("int").alias("start"), end.cast("int").alias("end"), entity.alias("entity"), score.alias("score"), F.lit(source).alias("source"),
-        value.alias("value"), F.lit(literal).alias("literal"), F.lit(order).alias("ord"),
-    )
+def span(start: Column, end: Column, entity: Column | str, score: Column | float, source: Column | str, value: Column, literal: Column | bool = False, order: Column | int = 0) -> Column:
+    parts = {"entity": entity, "score": score, "source": source, "value": value, "literal": literal, "ord": order}
+    rest = [(p if isinstance(p, Column) else F.lit(float(p) if name == "score" else p)).alias(name) for name, p in parts.items()]
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *rest)
 
 
-def find(text: Column, pattern: str, entity: str, score: float, source: str = "regex", groups: bool = True, literal: bool = False, order: int = 0) -> Column:
-    """Every match of pattern as a span. With groups, group 1 is what stands before the value and group 2 the value; what
-    follows group 2 is consumed but not part of it. The pattern must not match an empty string."""
-    p = F.lit(pattern)
-    parts = {"whole": F.regexp_extract_all(text, p, F.lit(0)), "gaps": F.split(text, pattern, -1)}
-    if groups:
-        parts |= {"before": F.regexp_extract_all(text, p, F.lit(1)), "value": F.regexp_extract_all(text, p, F.lit(2))}
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+#: Words of running prose: lower-case letters, at most the first a capital, between white space.
+PROSE = "(?:[ \n][A-Z]?[a-z\u00DF-\u00F6\u00F8-\u00FF]{1,14}[,.;!?]?(?=[ \n]))++"
+
+
+def literal(value: str) -> str:
+    """A string as a literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def applied(expression: str, **values: Column) -> Column:
+    """An SQL expression over b.name for each named value, each worked out once. Long expressions are parsed much faster than built."""
+    return F.get(F.call_function("transform", F.array(F.struct(*[v.alias(k) for k, v in values.items()])), F.expr(f"b -> {expression}")), F.lit(0))
+
+
+def _guarded(s: Search) -> str:
+    if not s.guard:
+        return "true"
+    return f"b.hot RLIKE {literal(s.guard)}" if isinstance(s.guard, str) else "(" + " OR ".join(f"contains(b.hot, {literal(g)})" for g in s.guard) + ")"
+
+
+#: Marks that stand before a match, before its value and behind it while a text is cut: characters that no text may hold. Where one does,
+#: it is looked at as the replacement character.
+_FIRST, _VALUE, _REST = "\uFDD0", "\uFDD1", "\uFDD2"
+_MARKS = _FIRST + _VALUE + _REST
+
+
+def _matches(s: Search) -> str:
+    """The text cut before each match of a search, as a struct with what the search says of it; null if the guard fails. One scan."""
+    marked = f"{_FIRST}$1{_VALUE}$2{_REST}{'$3' * (re.compile(s.pattern).groups > 2)}" if s.groups else f"{_FIRST}{_VALUE}$0{_REST}"
+    parts = {"cut": f"split(regexp_replace(b.text, {literal(s.pattern)}, '{marked}'), '{_FIRST}', -1)", "entity": literal(s.entity), "score": f"{float(s.score)}D", "source": literal(s.source), "literal": str(s.literal).lower(), "ord": str(s.order)}
+    return f"CASE WHEN {_guarded(s)} THEN named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())}) END"
+
+
+#: The spans of one search's cut text, placed by a running sum of the parts' lengths without their two marks.
+_SPANS = f"""m -> aggregate(slice(m.cut, 2, size(m.cut)), named_struct('at', length(m.cut[0]), 'out', cast(array() AS {SPANS})),
+(s, part) -> named_struct('at', s.at + length(part) - 2, 'out', array_append(s.out, named_struct(
+  'start', s.at + instr(part, '{_VALUE}') - 1, 'end', s.at + instr(part, '{_REST}') - 2, 'entity', m.entity, 'score', m.score, 'source', m.source,
+  'value', substring(part, instr(part, '{_VALUE}') + 1, instr(part, '{_REST}') - instr(part, '{_VALUE}') - 1), 'literal', m.literal, 'ord', m.ord))), s -> s.out)"""
 
-    def folded(b: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            whole, value = b["whole"][i], b["value" if groups else "whole"][i]
-            first = s["at"] + F.length(b["gaps"][i])
-            own = first + F.length(b["before"][i]) if groups else first
-            found = span(own, own + F.length(value), entity, score, source, value, literal, order)
-            return F.struct((first + F.length(whole)).alias("at"), F.array_append(s["out"], found).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b["whole"]) - 1), start, step, lambda s: s["out"])
+def find_all(text: Column, searches: list[Search], only_if: list[tuple[str, list[Search]]] = []) -> Column:  # noqa: B006
+    """The spans of every search, in order; those of only_if's lists only where the text has the list's pattern.
 
-    return F.when(text.rlike(pattern), let(F.struct(*[v.alias(k) for k, v in parts.items()]), folded)).otherwise(no_spans())
+    Guards, and the patterns of only_if, are tried on the text without its running prose, so they must not depend on it.
+    """
+    own = lambda some: f"array({', '.join(map(_matches, some))})"
+    lists = [own(searches)] * bool(searches) + [f"CASE WHEN b.hot RLIKE {literal(pattern)} THEN {own(some)} ELSE array() END" for pattern, some in only_if]
+    needs = any(s.guard for s in searches) or only_if
+    hot = F.regexp_replace(text, PROSE, "") if needs else F.lit("")
+    found = f"flatten(transform(array_compact(concat({', '.join(lists)})), {_SPANS}))"
+    odd = text.rlike(f"[{_MARKS}]")
+    spans = F.coalesce(applied(found, text=F.when(odd, F.translate(text, _MARKS, "\uFFFD" * 3)).otherwise(text), hot=hot), no_spans())
+    return F.transform(spans, lambda s: s.withField("value", F.when(s["value"].contains("\uFFFD"), F.substring(text, s["start"] + 1, s["end"] - s["start"])).otherwise(s["value"])))
+
+
+def find(text: Column, pattern: str, entity: str, score: float, source: str = "regex", groups: bool = True, literal: bool = False, order: int = 0) -> Column:
+    """Every match of one pattern as a span; see Search."""
+    return find_all(text, [Search(pattern, entity, score, source, groups, literal, order)])
 
 
 def find_literal(text: Column, value: str, entity: str, source: str, case_sensitive: bool = True, literal: bool = False, order: int = 0) -> Column:
@@ -64,6 +115,16 @@ def find_literal(text: Column, value: str, entity: str, source: str, case_sensit
     return find(text, quoted if case_sensitive else f"(?i){quoted}", entity, 1.0, source, groups=False, literal=literal, order=order)
 
 
+def before(text: Column, start: Column, n: int) -> Column:
+    """The last n characters before a place."""
+    return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
+
+
+def after(text: Column, end: Column, n: int) -> Column:
+    """The first n characters from a place."""
+    return F.substring(text, end + 1, F.lit(n))
+
+
 def where(spans: Column, keep) -> Column:
     return F.filter(spans, keep)
 
@@ -90,22 +151,36 @@ def not_allowed(spans: Column, allowed: Column, exempt: tuple[str, ...]) -> Colu
     return F.filter(spans, lambda s: (s["source"] == "secret") | s["entity"].isin(*exempt) | ~inside(s))
 
 
-def resolve(spans: Column) -> Column:
-    """Non-overlapping spans in text order: taken greedily by tier, then higher score, then length, then order of insertion."""
+def _greedy(spans: Column) -> Column:
+    """Of spans that touch each other, those taken greedily by tier, then higher score, then length, then order of insertion."""
     tier = lambda s: reduce(lambda w, k: w.when(s["source"] == k, TIERS[k]), list(TIERS)[1:], F.when(s["source"] == list(TIERS)[0], TIERS[list(TIERS)[0]])).otherwise(9)
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(tier(s).alias("t"), (-s["score"]).alias("n"), (s["start"] - s["end"]).alias("l"), s["ord"].alias("o"), s["start"].alias("b"), s.alias("s"))))
-    ordered = F.transform(keyed, lambda k: k["s"])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(tier(s).alias("t"), (-s["score"]).alias("n"), (s["start"] - s["end"]).alias("l"), s["ord"].alias("o"), s["start"].alias("b"), s.alias("s"))))
     free = lambda kept, s: ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-    kept = F.aggregate(ordered, no_spans(), lambda out, s: F.when(free(out, s), F.array_append(out, s)).otherwise(out))
-    return F.array_sort(kept)
+    return F.aggregate(ordered, no_spans(), lambda out, k: F.when(free(out, k["s"]), F.array_append(out, k["s"])).otherwise(out))
+
+
+def resolve(spans: Column) -> Column:
+    """Non-overlapping spans in text order. Only spans of one cluster, a run of overlapping ones, are held against each other."""
+    settled = lambda state: F.concat(state["done"], F.when(F.size(state["open"]) > 1, _greedy(state["open"])).otherwise(state["open"]))
+
+    def step(state: Column, s: Column) -> Column:
+        joins = s["start"] < state["until"]
+        return F.struct(
+            F.when(joins, state["done"]).otherwise(settled(state)).alias("done"), F.when(joins, F.array_append(state["open"], s)).otherwise(F.array(s)).alias("open"),
+            F.when(joins, F.greatest(state["until"], s["end"])).otherwise(s["end"]).alias("until"),
+        )
+
+    start = F.struct(no_spans().alias("done"), no_spans().alias("open"), F.lit(-1).alias("until"))
+    return let(spans, lambda b: F.when(F.size(b) < 2, b).otherwise(F.array_sort(F.aggregate(F.array_sort(b), start, step, settled))))
 
 
 def splice(text: Column, spans: Column, rendered) -> Column:
     """The text with each of its sorted, non-overlapping spans replaced by rendered(span)."""
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(s["end"].alias("at"), F.concat(state["out"], kept, rendered(s)).alias("out"))
+    def joined(b: Column) -> Column:
+        parts = F.transform(b["spans"], lambda s, i: F.concat(F.substring(text, b["ends"][i] + 1, s["start"] - b["ends"][i]), rendered(s)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(b["ends"], -1) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    spliced = let(F.struct(spans.alias("spans"), ends.alias("ends")), joined)
+    return F.when(F.size(spans) == 0, text).otherwise(spliced)

@@ -12,10 +12,9 @@ def chars(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits a character; 0 for an empty text."""
-    own = chars(text)
-    n = F.size(own)
-    each = F.transform(F.array_distinct(own), lambda c: F.size(F.filter(own, lambda x: x == c)) / n)
+    """Shannon entropy in bits a character, of the whole text; 0 for an empty one. Each distinct character is counted by one pass."""
+    n = F.length(text)
+    each = F.transform(F.array_distinct(chars(text)), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -22,58 +23,71 @@ FILE_LABELS = ("cc", "go", "la", "md", "ml", "pl", "py", "rb", "rs", "sh", "so")
 
 
 class Labelled(NamedTuple):
-    """A recognizer of values by the label beside them."""
+    """Recognizers of values by the label beside them."""
 
     entities: tuple[str, ...]
     find: Callable[[Column], Column]
-    guard: str  # a cheap pattern that every text with a match has
+    guards: tuple[str, ...]  # cheap patterns that every text with a match has
     score: float = X.SCORE
 
 
-BIRTH = Labelled(("DATE_OF_BIRTH",), X.birth_dates, "(?i)birth|d[.]?o[.]?b|born")
-EXPIRY = Labelled(("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"), X.expiries, "(?i)exp|thru|through")
-CODE = Labelled(("CVV",), X.security_codes, "(?i)cvv|cvc|cav2|security|card")
-CREDENTIAL = Labelled(("URL_CREDENTIAL",), X.credentials, "[=:]")
+BIRTH = Labelled(("DATE_OF_BIRTH",), X.birth_dates, ("[0-9]{2}", "(?i)birth|d[.]?o[.]?b|born"))
+EXPIRY = Labelled(("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"), X.expiries, ("[0-9]{2}", "(?i)exp|thru|through"))
+CODE = Labelled(("CVV",), X.security_codes, ("[0-9]{3}", "(?i)cvv|cvc|cav2|security|card"))
+CREDENTIAL = Labelled(("URL_CREDENTIAL",), X.credentials, ("[=:%]",))
 
 #: Recognizers that run on every text, in order of insertion.
 STANDARD = (
-    P.PREFIXED_KEY, P.AWS_ACCESS_KEY, P.GCP_API_KEY, P.JWT, P.PRIVATE_KEY, P.API_KEY, P.EMAIL, P.PHONE, P.CARD, P.IPV4, P.MAC, P.URL, P.DOMAIN, P.IBAN, P.SSN, P.ITIN, P.NINO,
-    P.IPV6, P.ABA, P.BANK, P.DEA, P.NPI, P.MBI, P.US_PASSPORT, P.UK_PASSPORT, P.US_DRIVER_LICENSE, P.UK_DRIVING_LICENCE, P.CRYPTO, BIRTH, EXPIRY, CODE, CREDENTIAL,
+    P.PREFIXED_KEY, P.AWS_ACCESS_KEY, P.AWS_SECRET_KEY, P.AZURE_KEY, P.GCP_API_KEY, P.JWT, P.PRIVATE_KEY, P.API_KEY, P.EMAIL, P.URL, P.DOMAIN,
+    P.PHONE, P.CARD, P.IPV4, P.MAC, P.IPV6, P.IBAN, P.SSN, P.ITIN, P.NINO, P.ABA, P.BANK, P.DEA, P.NPI, P.MBI, P.US_PASSPORT, P.UK_PASSPORT, P.US_DRIVER_LICENSE, P.UK_DRIVING_LICENCE,
+    P.PASSPORT, P.DRIVER_LICENSE, P.NATIONAL_ID, P.CRYPTO, BIRTH, EXPIRY, CODE, CREDENTIAL,
 )
 
 #: With NHS numbers, whose check digit one telephone number in eleven passes.
 ALL = (*STANDARD, P.NHS)
 
+#: Those that need no six digits in a row of groups: the rest run only on texts that have them.
+_WORDY = (P.PREFIXED_KEY, P.AWS_ACCESS_KEY, P.AWS_SECRET_KEY, P.AZURE_KEY, P.GCP_API_KEY, P.JWT, P.PRIVATE_KEY, P.API_KEY, P.EMAIL, P.URL, P.DOMAIN, P.MAC, P.IPV4, P.IPV6, P.MBI, P.IBAN, P.CRYPTO)
+SIX_DIGITS = "[0-9](?:[ ().-]{0,2}[0-9]){5}"
+
+#: Characters before a match in which its context is looked for first.
+NEAR = 200
+
 
 def words(text: Column) -> Column:
     """The lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def boosted(text: Column, spans: Column, context: tuple[str, ...]) -> Column:
-    """Scores raised by CONTEXT_BOOST where one of the last CONTEXT_WORDS words before a span is a context word."""
-    if not context:
-        return spans
-    listed = F.array(*map(F.lit, context))
+def words_before(text: Column, start: Column) -> Column:
+    """The last CONTEXT_WORDS words before a place. NEAR characters are enough when more words than that stand in them; else the
+    whole text before the place is read."""
+    near = words(S.before(text, start, NEAR))
+    enough = (start <= NEAR) | (F.size(near) > CONTEXT_WORDS)
+    found = F.when(enough, near).otherwise(words(F.substring(text, F.lit(1), start)))
+    return S.let(found, lambda w: F.slice(w, F.greatest(F.size(w) - (CONTEXT_WORDS - 1), F.lit(1)), CONTEXT_WORDS))
 
-    def score(s: Column) -> Column:
-        before = words(F.substring(text, F.lit(1), s["start"]))
-        near = F.slice(before, F.greatest(F.size(before) - (CONTEXT_WORDS - 1), F.lit(1)), CONTEXT_WORDS)
-        return F.when(F.arrays_overlap(near, listed), F.least(s["score"] + CONTEXT_BOOST, F.lit(1.0))).otherwise(s["score"])
 
-    return S.rescored(spans, score)
+def boosted(text: Column, spans: Column, recognizers: tuple[P.Recognizer, ...]) -> Column:
+    """Scores raised by CONTEXT_BOOST where one of the words before a span is a context word of its entity."""
+    contexts = {r.entity: r.context for r in recognizers if r.context}
+    if not contexts:
+        return spans
+    listed = lambda s: F.coalesce(*[F.when(s["entity"] == e, F.lit(list(c))) for e, c in contexts.items()], F.array().cast("array<string>"))
+    raised = lambda s: F.when(s["entity"].isin(*contexts) & F.arrays_overlap(words_before(text, s["start"]), listed(s)), F.least(s["score"] + CONTEXT_BOOST, F.lit(1.0))).otherwise(s["score"])
+    return S.rescored(spans, raised)
 
 
-def recognized(text: Column, recognizer: P.Recognizer | Labelled, order: int = 0) -> Column:
-    """The recognizer's valid values with their scores in context."""
-    if isinstance(recognizer, Labelled):
-        found = F.transform(recognizer.find(text), lambda s: s.withField("ord", F.lit(order)))
-        return F.when(text.rlike(recognizer.guard), found).otherwise(S.no_spans())
-    found = S.where(S.find(text, recognizer.pattern, recognizer.entity, recognizer.score, order=order), lambda s: P.valid(recognizer.entity, s["value"]) if recognizer is not P.PREFIXED_KEY else F.lit(True))
-    if recognizer is P.IPV4:
-        found = S.where(found, lambda s: P.valid_ipv4(s["value"]))
-    found = boosted(text, found, recognizer.context)
-    return F.when(text.rlike(recognizer.guard), found).otherwise(S.no_spans()) if recognizer.guard else found
+def recognized(text: Column, *recognizers: P.Recognizer | Labelled) -> Column:
+    """The recognizers' valid values with their scores in context, each with its recognizer's place as the order of insertion."""
+    shaped = [(i, r) for i, r in enumerate(recognizers) if isinstance(r, P.Recognizer)]
+    numeric = [r.search(i) for i, r in shaped if r not in _WORDY]
+    found = S.find_all(text, [r.search(i) for i, r in shaped if r in _WORDY], [(SIX_DIGITS, numeric)] if numeric else [])
+    parts = [boosted(text, P.checked(found, {r.entity for _, r in shaped}), tuple(r for _, r in shaped))] if shaped else []
+    for i, r in enumerate(recognizers):
+        if isinstance(r, Labelled):
+            parts.append(F.when(reduce(lambda a, b: a & b, map(text.rlike, r.guards)), F.transform(r.find(text), lambda s, i=i: s.withField("ord", F.lit(i)))).otherwise(S.no_spans()))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def reserved_ipv4(value: Column) -> Column:
@@ -90,12 +104,18 @@ def reserved_ipv6(value: Column) -> Column:
     return bare.rlike("^(0{1,4}:){7}0{0,3}1$|^::1$|^::$|^(0{1,4}:){7}0{1,4}$|^fe[89ab][0-9a-f]:|^2001:0?db8:")
 
 
-#: Attribute or key directly before a URL that names a namespace, with its '=' or ':' and an opening quote.
-_NAMESPACE_KEY = r"(xmlns(:[0-9A-Za-z_.-]+)?|\$schema|\$id|\$ref|targetNamespace|([0-9A-Za-z_-]+:)?schemaLocation)[\"']?[ \t]*[=:][ \t]*[\"']?$"
+#: Attribute or key directly before a URL that names a namespace, with its '=' or ':' and an opening quote. The key is a whole one:
+#: no character of a key stands before it.
+_KEY_CHARS = "0-9A-Za-z_$.:-"
+_NAMESPACE_KEY = rf"(^|[^{_KEY_CHARS}])(xmlns(:[0-9A-Za-z_.-]+)?|\$schema|\$id|\$ref|targetNamespace|([0-9A-Za-z_.-]+:)?schemaLocation)[\"']?[ \t]*[=:][ \t]*[\"']?$"
+_CUT_KEY = rf"^[{_KEY_CHARS}]*[\"']?[ \t]*[=:]?[ \t]*[\"']?$"
 
 
 def namespace_url(text: Column, start: Column) -> Column:
-    return F.substring(text, F.lit(1), start).rlike(_NAMESPACE_KEY)
+    """Whether a namespace's key stands before a place. Where NEAR characters hold no more than a part of the key, all before is read."""
+    near = S.before(text, start, NEAR)
+    cut = (start > NEAR) & near.rlike(_CUT_KEY)
+    return F.when(cut, F.substring(text, F.lit(1), start)).otherwise(near).rlike(_NAMESPACE_KEY)
 
 
 def filename_domain(value: Column) -> Column:
@@ -122,7 +142,7 @@ def custom_spans(text: Column, rules: tuple[CustomRule, ...], surface: Column |
     for order, rule in enumerate(sorted(rules, key=lambda r: r.priority)):
         flag = "" if rule.case_sensitive else "(?i)"
         if rule.is_regex:
-            found = S.find(text, f"{flag}{rule.pattern}", rule.entity, 1.0, "custom", groups=False, literal=rule.token is not None, order=order)
+            found = S.where(S.find(text, f"{flag}{rule.pattern}", rule.entity, 1.0, "custom", groups=False, literal=rule.token is not None, order=order), lambda s: s["end"] > s["start"])
         else:
             found = S.find_literal(text, rule.pattern, rule.entity, "custom", rule.case_sensitive, rule.token is not None, order)
         if rule.surfaces and surface is not None:
@@ -147,7 +167,7 @@ def detected(text: Column, policy: Policy, recognizers: tuple[P.Recognizer | Lab
     enabled = set(policy.entities())
     lowest = policy.floor - CONTEXT_BOOST
     used = [r for r in recognizers if enabled & set(r.entities if isinstance(r, Labelled) else (r.entity,)) and (r.score >= lowest)]
-    found = F.concat(*[recognized(text, r, order) for order, r in enumerate(used)]) if used else S.no_spans()
+    found = recognized(text, *used) if used else S.no_spans()
     first = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(text, policy.custom, surface))
     gate = gated(text, found, policy)
     if not policy.allow and today is None:

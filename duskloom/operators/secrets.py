@@ -9,6 +9,8 @@ import base64
 import os
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions import text as T
 
 # Fixed values.
 BOOLEANS = ("true", "false", "yes", "no", "on", "off", "1", "0", "enabled", "disabled")
-SECRET_NAME = "(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|private[_-]?key|credential|auth)"
+SECRET_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "credential", "dsn", "private", "auth", "bearer")
 AUTH_WORDS = ("auth", "token", "secret", "credential", "cookie", "bearer", "password", "passwd", "signature", "hmac", "api-key", "apikey", "api_key", "access-key", "x-amz-security")
 SHORTEST, RANDOM, VERY_RANDOM = 8, 3.5, 4.0
 
@@ -34,9 +36,32 @@ def slug_collisions(names: DataFrame) -> DataFrame:
 
 
 def first_hit(text: Column, secrets: list[tuple[str, str, bool]]) -> Column:
-    """The name of the secret that stands first in the text, else null."""
-    places = [F.when(at > 0, F.struct(at.alias("at"), F.lit(name).alias("name"))) for name, value, case in secrets for at in [F.locate(value if case else value.lower(), text if case else F.lower(text))]]
-    return F.array_min(F.array_compact(F.array(*places)))["name"]
+    """The name of the secret (name, value, case_sensitive) that stands first in the text, of those at one place the least; else null.
+
+    One automaton for each kind of letter case reads a text once. Values travel inside the function: no plan shows them.
+    """
+    known = [(name, value, case) for name, value, case in secrets if value]
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        machines = []
+        for kind in (True, False):
+            machine = ahocorasick.Automaton()
+            for name, value, case in known:
+                if case == kind:
+                    word = value if kind else value.lower()
+                    machine.add_word(word, (len(word), min(name, machine.get(word, (0, name))[1])))
+            if len(machine):
+                machine.make_automaton()
+                machines.append((kind, machine))
+
+        def one(text: str | None) -> str | None:
+            found = [(end - length + 1, name) for kind, machine in machines for end, (length, name) in machine.iter(text if kind else text.lower())] if text else []
+            return min(found)[1] if found else None
+
+        return texts.map(one)
+
+    return run(text)
 
 
 def base64_needles(value: str) -> list[str]:
@@ -58,7 +83,7 @@ def classified(name: Column, value: Column) -> tuple[Column, Column]:
     """Why a value is or isn't fit to be registered as a secret, and with which operator."""
     bits, n = T.entropy(value), F.length(value)
     skip = F.when(value == "", "empty").when(F.lower(F.trim(value)).isin(*BOOLEANS), "boolean_like").when(F.trim(value).rlike("^[0-9]+$"), "integer_like").when((n < SHORTEST) & value.rlike("^[A-Za-z]+$"), "enum_like")
-    named, random = name.rlike(SECRET_NAME), (n >= SHORTEST) & (bits >= RANDOM)
+    named, random = reduce(lambda a, b: a | b, [F.lower(name).contains(w) for w in SECRET_WORDS]), (n >= SHORTEST) & (bits >= RANDOM)
     reason = F.coalesce(skip, F.when(named & random, "both").when(named, "name_match").when(random, "entropy").when(n < SHORTEST, "too_short").otherwise("low_entropy"))
     return reason, F.when(skip.isNull() & (named | random), F.when(bits >= VERY_RANDOM, "hash").otherwise("redact"))
 

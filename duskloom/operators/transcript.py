@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checkpoint import tabled
+from ..functions.checkpoint import dropped, tabled
 
 
 def relinked(nodes: DataFrame) -> DataFrame:
     """nodes (uuid, parent, removed) -> the kept ones with parent moved up to the nearest kept ancestor, else null.
 
-    Paths through removed nodes are halved in each round, so that n of them take log2(n) rounds, each written as a table. A cycle
+    Paths through removed nodes are halved in each round, so that n of them take log2(n) rounds, each written as a table and deleted after the next. A cycle
     of removed nodes leads nowhere and gives null.
     """
-    up = tabled(nodes.filter("removed").select(F.col("uuid").alias("g"), F.col("parent").alias("to")))
+    up, path = tabled(nodes.filter("removed").select(F.col("uuid").alias("g"), F.col("parent").alias("to")))
     for _ in range(up.count().bit_length() + 1):
         above = up.select(F.col("g").alias("h"), F.col("to").alias("further"))
-        moved = tabled(up.join(above, F.col("to") == F.col("h"), "left").select("g", F.when(F.col("h").isNotNull(), F.col("further")).otherwise(F.col("to")).alias("to"), F.col("h").isNotNull().alias("moved")))
+        last = path
+        moved, path = tabled(up.join(above, F.col("to") == F.col("h"), "left").select("g", F.when(F.col("h").isNotNull(), F.col("further")).otherwise(F.col("to")).alias("to"), F.col("h").isNotNull().alias("moved")))
+        dropped(nodes.sparkSession, last)
         up = moved.select("g", "to")
         if moved.filter("moved").isEmpty():
             break

@@ -45,20 +45,35 @@ def pieces(text: Column) -> Column:
     return let(F.struct(gaps.alias("g"), found.alias("f")), lambda b: F.transform(F.sequence(F.lit(0), F.size(b["g"]) - 1), lambda i: F.struct(b["g"][i].alias("text"), F.get(b["f"], i).alias("token"))))
 
 
-def unmasked(texts: DataFrame, key: str, column: str, values: DataFrame, marker: tuple[str, str] | None = None, allowed: Column | None = None) -> DataFrame:
-    """texts with column's tokens replaced by the value of values (token, value); unknown tokens stay as they are.
+def json_escaped(value: Column) -> Column:
+    """The value as it is written inside a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(value)), r'(?s)^\["(.*)"\]$', 1)
 
-    Only texts with a token are exploded and shuffled, one row a token; the table of values is joined on the token. allowed: a
-    condition on the columns token, before and after of a token's row under which it may be replaced.
+
+def restored(text: Column, values: Column) -> Column:
+    """The text with each token that values (map<token,value>) knows replaced by its value; other tokens stay."""
+    shown = F.transform(pieces(text), lambda p: F.concat(p["text"], F.coalesce(F.element_at(values, p["token"]), p["token"], F.lit(""))))
+    return F.when(values.isNull(), text).otherwise(F.array_join(shown, ""))
+
+
+def unmasked(texts: DataFrame, column: str, values: DataFrame, marker: tuple[str, str] | None = None, allowed: Column | None = None, escape: bool = False) -> DataFrame:
+    """texts with column's tokens replaced by the value of values (token, value), one row a token; unknown tokens stay as they are.
+
+    What a text becomes depends on the text alone, so values are gathered for each distinct text, under its digest: rows that repeat
+    a text, or a key, or have no key, are restored alike, and nothing of one text can reach another. Only texts with a token move.
+    allowed: a condition on the columns token and _whole (the text) under which a token may be replaced. marker: what is put around
+    a value. escape: values are written into a JSON body. Null and empty texts stay; other columns are kept, whatever their names.
     """
-    has = F.col(column).rlike(TOKEN)
-    rows = texts.filter(has).select(F.col(key), F.posexplode(pieces(F.col(column))).alias("pos", "p"), F.col(column).alias("_whole"))
-    rows = rows.select(key, "pos", F.col("p.text").alias("piece"), F.col("p.token").alias("token"), "_whole")
-    known = values.select("token", "value")
-    joined = rows.join(known, "token", "left")
-    value = F.col("value") if marker is None else F.concat(F.lit(marker[0]), F.col("value"), F.lit(marker[1]))
-    if allowed is not None:
-        value = F.when(allowed, value)
-    text = F.concat("piece", F.coalesce(value, F.col("token"), F.lit("")))
-    back = joined.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "").alias("_restored"))
-    return texts.join(back, key, "left").withColumn(column, F.coalesce("_restored", F.col(column))).drop("_restored")
+    own = texts[column]
+    digest = F.sha2(F.col("_whole"), 256).alias("_digest")
+    has = F.coalesce(own.rlike(TOKEN), F.lit(False))
+    asked = texts.filter(has).select(own.alias("_whole")).select("_whole", digest, F.explode(F.array_distinct(tokens_in(F.col("_whole")))).alias("token"))
+    asked = (asked.filter(allowed) if allowed is not None else asked).select("_digest", "token").distinct()
+    value = F.col("value") if not escape else json_escaped(F.col("value"))
+    value = value if marker is None else F.concat(F.lit(marker[0]), value, F.lit(marker[1]))
+    known = asked.join(values.groupBy("token").agg(F.min("value").alias("value")).select("token", value.alias("value")), "token")
+    gathered = known.groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
+    rows = texts.filter(has).select(F.struct("*").alias("_row"), own.alias("_whole"))
+    rows = rows.withColumn("_key", F.sha2("_whole", 256)).join(gathered, F.col("_key") == F.col("_digest"), "left")
+    back = rows.select(F.col("_row").withField(f"`{column}`", restored(F.col("_whole"), F.col("_values"))).alias("_row")).select("_row.*")
+    return texts.filter(~has).union(back)

@@ -55,9 +55,9 @@ def block_hash(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", "hash")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '…' ELSE text END AS preview FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 131072 THEN substr(text, 1, 131072) || '…' ELSE text END AS preview FROM documents")
 def preview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.preview(F.col("text"), 2000).alias("preview"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.preview(F.col("text")).alias("preview"))
 
 
 @query("""SELECT conv_id, coalesce(CASE WHEN length(t) > 48 THEN substr(t, 1, 48) || '…' ELSE t END, 'conversation ' || conv_id) AS label
@@ -149,11 +149,11 @@ def token_ledger(spark, sf_dir):
     return L.token_ledger(uses(spark, sf_dir))
 
 
-@query(f"WITH {_LEDGER} SELECT token, last_seen FROM ledger ORDER BY (lane = 'user_input') DESC, last_seen DESC, token LIMIT 50")
+@query(f"WITH {_LEDGER} SELECT token, last_seen FROM ledger ORDER BY (lane = 'user_input') DESC, last_seen DESC, token LIMIT 5000")
 def ledger_top_k(spark, sf_dir):
-    """The 50 entries that stay when the ledger is cut: those of the current manifest first, then by recency."""
+    """The 5000 entries that stay when the ledger is cut: those of the current manifest first, then by recency."""
     rows = L.token_ledger(uses(spark, sf_dir))
-    return L.newest(rows, 50, (F.col("lane") == "user_input").desc(), F.col("last_seen").desc(), F.col("token")).select("token", "last_seen")
+    return L.newest(rows, L.TOP_TOKENS, (F.col("lane") == "user_input").desc(), F.col("last_seen").desc(), F.col("token")).select("token", "last_seen")
 
 
 CLASSES = Fixture("id int, kind string, entity string", (1, "pii", "CVV"), (2, "broker", "DB"), (3, "local", "HOME"), (4, "pii", "EMAIL_ADDRESS"), (5, None, "URL"))
@@ -176,11 +176,11 @@ def recent_records(spark, sf_dir):
     return L.newest(table(spark, sf_dir, "events"), L.RECENT, F.col("ts").desc(), F.col("event_id").desc()).select("event_id", "event_type")
 
 
-@query("SELECT user_id, last_seen FROM (SELECT user_id, epoch_us(max(ts)) AS last_seen FROM events GROUP BY user_id) ORDER BY last_seen DESC, user_id LIMIT 100")
+@query("SELECT user_id, last_seen FROM (SELECT user_id, epoch_us(max(ts)) AS last_seen FROM events GROUP BY user_id) ORDER BY last_seen DESC, user_id LIMIT 1024")
 def hot_conversations(spark, sf_dir):
-    """The 100 keys of per-conversation state that stay, by when they were last seen; users stand for conversations."""
+    """The 1024 keys of per-conversation state that stay, by when they were last seen; users stand for conversations."""
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("last_seen"))
-    return L.newest(seen, 100, F.col("last_seen").desc(), F.col("user_id"))
+    return L.newest(seen, L.CONVERSATIONS, F.col("last_seen").desc(), F.col("user_id"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, min(event_id) AS first FROM events GROUP BY user_id")
@@ -327,14 +327,14 @@ def revalidate_selections(spark, sf_dir):
     return rows.select("conversation", F.when(F.col("user_verified"), F.col("target")).alias("target"), outcome.alias("outcome"))
 
 
-@query("SELECT conv_id, substr(string_agg(text, '' ORDER BY turn), 1, 5000) AS captured FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+@query("SELECT conv_id, substr(string_agg(text, '' ORDER BY turn), 1, 131072) AS captured FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def response_capture(spark, sf_dir):
     """Assistant turns appended in order, cut at a cap. Only what lies below the cap is gathered."""
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    used = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter("before < 5000")
-    kept = used.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 5000).alias("t")))).alias("p"))
-    return kept.select("conv_id", F.substring(F.array_join(F.transform("p", lambda x: x["t"]), ""), 1, 5000).alias("captured"))
+    used = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter(F.col("before") < C.PREVIEW)
+    kept = used.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, C.PREVIEW).alias("t")))).alias("p"))
+    return kept.select("conv_id", F.substring(F.array_join(F.transform("p", lambda x: x["t"]), ""), 1, C.PREVIEW).alias("captured"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, strlen(text) AS b, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS done FROM conversations WHERE role = 'assistant')

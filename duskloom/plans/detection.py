@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import detect as D
 from .policy import CATEGORIES, PROFILES, CustomRule, Operator, Policy
 from .registry import Fixture, query, table
-from .sqltext import entropy_sql, luhn_sql, plausible_sql, spans_sql
+from .sqltext import entropy_sql, luhn_sql, plausible_sql, recognized_sql, spans_sql
 
 TODAY = date(2026, 5, 29)
 
@@ -37,7 +37,7 @@ def spans_of(recognizer: P.Recognizer) -> Column:
 
 
 def _sql(source: str, key: str, recognizer: P.Recognizer, where: str = "true") -> str:
-    return f"SELECT {key}, start, stop, value FROM ({spans_sql(source, key, 'text', recognizer.pattern)}) WHERE {where}"
+    return f"SELECT {key}, start, stop, value FROM ({spans_sql(source, key, 'text', recognizer.plain)}) WHERE {where}"
 
 
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
@@ -53,7 +53,7 @@ def phone_spans(spark, sf_dir):
     return exploded(documents(spark, sf_dir), spans_of(P.PHONE), "doc_id")
 
 
-@query(f"SELECT doc_id, start, stop, value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql('documents', 'doc_id', 'text', P.CARD.pattern)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql('d')}")
+@query(f"SELECT doc_id, start, stop, value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql('documents', 'doc_id', 'text', P.CARD.plain)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql('d')}")
 def card_spans(spark, sf_dir):
     return exploded(documents(spark, sf_dir), spans_of(P.CARD), "doc_id")
 
@@ -63,19 +63,19 @@ def ip_spans(spark, sf_dir):
     return exploded(documents(spark, sf_dir), spans_of(P.IPV4), "doc_id")
 
 
-@query(f"""SELECT page_id, start, stop, value FROM ({spans_sql("pages", "page_id", "url", P.URL.pattern)})""")
+@query(f"""SELECT page_id, start, stop, value FROM ({spans_sql("pages", "page_id", "url", P.URL.plain)})""")
 def url_spans(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
     return exploded(pages, spans_of(P.URL), "page_id")
 
 
-@query(f"""SELECT doc_id, start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.API_KEY.pattern)}) WHERE {plausible_sql("value")}""")
+@query(f"""SELECT doc_id, start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.API_KEY.plain)}) WHERE {plausible_sql("value")}""")
 def secret_spans(spark, sf_dir):
     return exploded(documents(spark, sf_dir), spans_of(P.API_KEY), "doc_id")
 
 
 @query(f"""SELECT doc_id, count(*) AS n_candidates, count(*) FILTER ({plausible_sql("value")}) AS n_plausible
-FROM ({spans_sql("documents", "doc_id", "text", P.API_KEY.pattern)}) GROUP BY doc_id""")
+FROM ({spans_sql("documents", "doc_id", "text", P.API_KEY.plain)}) GROUP BY doc_id""")
 def plausible_secret(spark, sf_dir):
     rows = exploded(documents(spark, sf_dir), raw(P.API_KEY), "doc_id")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.count_if(T.plausible_secret(F.col("value"))).alias("n_plausible"))
@@ -93,13 +93,13 @@ NUMBERS = Fixture(
 
 
 def numbers(spark: SparkSession, *recognizers: P.Recognizer) -> DataFrame:
-    found = F.concat(*[spans_of(r) for r in recognizers])
+    found = D.recognized(F.col("text"), *recognizers)
     rows = NUMBERS.frame(spark).select("id", F.explode(found).alias("s"))
     return rows.select("id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
 
 
 def numbers_sql(*parts: tuple[P.Recognizer, str]) -> str:
-    return " UNION ALL ".join(f"SELECT id, '{r.entity}' AS entity, start, stop, value FROM ({spans_sql(NUMBERS.sql, 'id', 'text', r.pattern)}) WHERE {where}" for r, where in parts)
+    return " UNION ALL ".join(f"SELECT id, '{r.entity}' AS entity, start, stop, value FROM ({spans_sql(NUMBERS.sql, 'id', 'text', r.plain)}) WHERE {where}" for r, where in parts)
 
 
 def _weights(digits: str, weights: list[int]) -> str:
@@ -167,12 +167,19 @@ def credential_spans(spark, sf_dir):
     return numbers(spark, P.AWS_ACCESS_KEY, P.GCP_API_KEY, P.JWT, P.PRIVATE_KEY, P.PREFIXED_KEY)
 
 
-@query()
+@query("SELECT 17 AS id, 'CRYPTO' AS entity, 4 AS start, 38 AS stop, '1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa' AS value")
 def crypto_spans(spark, sf_dir):
-    """Base58Check needs big numbers: an Arrow function over the few candidates."""
-    from ..functions.python import base58_check
+    return numbers(spark, P.CRYPTO)
 
-    return numbers(spark, P.CRYPTO).filter(base58_check("value"))
+
+_SHAPED = [r for r in D.ALL if isinstance(r, P.Recognizer)]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, entity, start, stop, value, score FROM ({recognized_sql('documents', 'doc_id', r.entity, r.plain, r.score, r.context, plausible_sql('value') if r is P.API_KEY else 'true' if r is P.PREFIXED_KEY else None)})" for r in _SHAPED))
+def document_recognized(spark, sf_dir):
+    """What every recognizer of shapes finds in the documents, valid and scored in context, before any gate."""
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(D.recognized(F.col("text"), *_SHAPED)).alias("s"))
+    return rows.select("doc_id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"), F.col("s.score").alias("score"))
 
 
 @query("SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')).len() AS n_words, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS n_all FROM documents")
@@ -191,19 +198,19 @@ TALK = Fixture(
 def _context_sql(r: P.Recognizer, extra: str) -> str:
     listed = ", ".join(f"'{w}'" for w in r.context)
     near = "list_filter(string_split_regex(lower(substr(t, 1, start)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[-5:]"
-    return f"SELECT id, '{r.entity}' AS entity, value, CASE WHEN list_has_any({near}, [{listed}]) THEN least({r.score} + 0.35, 1.0) ELSE {r.score} END::DOUBLE AS score FROM ({spans_sql(TALK.sql, 'id', 'text', r.pattern)}) WHERE {extra}"
+    return f"SELECT id, '{r.entity}' AS entity, value, CASE WHEN list_has_any({near}, [{listed}]) THEN least({r.score} + 0.35, 1.0) ELSE {r.score} END::DOUBLE AS score FROM ({spans_sql(TALK.sql, 'id', 'text', r.plain)}) WHERE {extra}"
 
 
 @query(_context_sql(P.PHONE, f"length({DIGITS}) BETWEEN 10 AND 13") + " UNION ALL " + _context_sql(P.SSN, "true"))
 def context_boost(spark, sf_dir):
-    rows = TALK.frame(spark).select("id", F.explode(F.concat(spans_of(P.PHONE), spans_of(P.SSN))).alias("s"))
+    rows = TALK.frame(spark).select("id", F.explode(D.recognized(F.col("text"), P.PHONE, P.SSN)).alias("s"))
     return rows.select("id", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"), F.col("s.score").alias("score"))
 
 
 _PHONE_SCORE = "CASE WHEN list_has_any(list_filter(string_split_regex(lower(substr(t, 1, start)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[-5:], [" + ", ".join(f"'{w}'" for w in P.PHONE.context) + "]) THEN 0.75 ELSE 0.4 END"
 
 
-@query(f"SELECT count(*) AS n_candidates, count(*) FILTER ({_PHONE_SCORE} > 0.4) AS n_kept FROM ({spans_sql('documents', 'doc_id', 'text', P.PHONE.pattern)}) WHERE length({DIGITS}) BETWEEN 10 AND 13")
+@query(f"SELECT count(*) AS n_candidates, count(*) FILTER ({_PHONE_SCORE} > 0.4) AS n_kept FROM ({spans_sql('documents', 'doc_id', 'text', P.PHONE.plain)}) WHERE length({DIGITS}) BETWEEN 10 AND 13")
 def phone_gate(spark, sf_dir):
     rows = documents(spark, sf_dir).select(F.explode(spans_of(P.PHONE)).alias("s"))
     return rows.agg(F.count("*").alias("n_candidates"), F.count_if(F.col("s.score") > 0.4).alias("n_kept"))
@@ -221,10 +228,9 @@ def category_gate(spark, sf_dir):
     return bridge.join(F.broadcast(enabled), "category").groupBy("profile", "entity").agg(F.count("*").alias("n_ways"))
 
 
-@query(f"SELECT doc_id, round({entropy_sql('substr(text, 1, 200)')}, 6) AS bits FROM documents")
+@query(f"SELECT doc_id, round({entropy_sql('text')}, 6) AS bits FROM documents")
 def text_entropy(spark, sf_dir):
-    """Of each document's first 200 characters, the size of a secret candidate's neighbourhood."""
-    return documents(spark, sf_dir).select("doc_id", F.round(T.entropy(F.substring("text", 1, 200)), 6).alias("bits"))
+    return documents(spark, sf_dir).select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("""SELECT doc_id, round(CASE WHEN l = 0 THEN 0.0 ELSE v / l END, 9) AS ratio FROM (
@@ -251,12 +257,11 @@ def reserved_ip_filter(spark, sf_dir):
 MARKUP = Fixture(
     "id int, text string",
     (1, '<svg xmlns="http://www.w3.org/2000/svg">'), (2, '<a href="http://example.com/x">'), (3, '{"$schema": "https://json-schema.org/draft"}'),
-    (4, '<x xsi:schemaLocation="http://a.example/b">'), (5, "xmlns:xlink='http://www.w3.org/1999/xlink'"), (6, "see http://example.com/xmlns"), (7, '{"$id":"https://e.example/1","u":"https://f.example/2"}'),
+    (4, '<x xsi:schemaLocation="http://a.example/b">'), (5, "xmlns:xlink='http://www.w3.org/1999/xlink'"), (6, "see http://example.com/xmlns"), (8, 'dataschemaLocation="https://example.com/x"'), (9, 'notxmlns="https://example.com/y"'), (10, "é$schema=\"https://example.com/s.json\""), (11, '{"schema_version":"https://example.com/z"}'), (12, 'schemaLocation="https://example.com/x"'), (7, '{"$id":"https://e.example/1","u":"https://f.example/2"}'),
 )
-_NS = D._NAMESPACE_KEY.replace("'", "''")
 
 
-@query(f"SELECT id, value, regexp_matches(substr(t, 1, start), '{_NS}') AS namespace FROM ({spans_sql(MARKUP.sql, 'id', 'text', P.URL.pattern)})")
+@query(f"SELECT id, value, id IN (1, 3, 4, 5, 10, 12) OR (id = 7 AND starts_with(value, 'https://e.example')) AS namespace FROM ({spans_sql(MARKUP.sql, 'id', 'text', P.URL.plain)})")
 def namespace_url_filter(spark, sf_dir):
     rows = MARKUP.frame(spark).select("id", "text", F.explode(raw(P.URL)).alias("s"))
     return rows.select("id", F.col("s.value").alias("value"), D.namespace_url(F.col("text"), F.col("s.start")).alias("namespace"))
@@ -303,20 +308,20 @@ _REGEX_SET = (P.EMAIL, P.IPV4, P.CARD)
 _CHECKS = {P.EMAIL: "true", P.IPV4: "len(list_filter(string_split(value, '.'), lambda o: o::INT > 255)) = 0", P.CARD: f"length({DIGITS}) BETWEEN 13 AND 19 AND {luhn_sql(DIGITS)}"}
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{r.entity}' AS entity, start, stop, value, {r.score}::DOUBLE AS score FROM ({spans_sql('documents', 'doc_id', 'text', r.pattern)}) WHERE {c}" for r, c in _CHECKS.items()))
+@query(" UNION ALL ".join(f"SELECT doc_id, '{r.entity}' AS entity, start, stop, value, {r.score}::DOUBLE AS score FROM ({spans_sql('documents', 'doc_id', 'text', r.plain)}) WHERE {c}" for r, c in _CHECKS.items()))
 def regex_spans(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.concat(*map(spans_of, _REGEX_SET))).alias("s"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(D.recognized(F.col("text"), *_REGEX_SET)).alias("s"))
     return rows.select("doc_id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"), F.col("s.score").alias("score"))
 
 
 @query(f"""SELECT doc_id, entity, value FROM (
-  SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.pattern)})
-  UNION ALL SELECT doc_id, 'CREDIT_CARD', value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql("documents", "doc_id", "text", P.CARD.pattern)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql("d")}
-  UNION ALL SELECT doc_id, 'PHONE_NUMBER', value FROM ({spans_sql("documents", "doc_id", "text", P.PHONE.pattern)}) WHERE length({DIGITS}) BETWEEN 10 AND 13 AND {_PHONE_SCORE} > 0.4)""")
+  SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.plain)})
+  UNION ALL SELECT doc_id, 'CREDIT_CARD', value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql("documents", "doc_id", "text", P.CARD.plain)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql("d")}
+  UNION ALL SELECT doc_id, 'PHONE_NUMBER', value FROM ({spans_sql("documents", "doc_id", "text", P.PHONE.plain)}) WHERE length({DIGITS}) BETWEEN 10 AND 13 AND {_PHONE_SCORE} > 0.4)""")
 def ingest_gate(spark, sf_dir):
     """The balanced profile over e-mails, cards, phones and addresses: addresses are in no enabled category."""
     text, policy = F.col("text"), Policy()
-    found = F.concat(*[D.recognized(text, r, i) for i, r in enumerate((P.EMAIL, P.CARD, P.PHONE, P.IPV4))])
+    found = D.recognized(text, P.EMAIL, P.CARD, P.PHONE, P.IPV4)
     rows = documents(spark, sf_dir).select("doc_id", F.explode(D.gated(text, found, policy)).alias("s"))
     return rows.select("doc_id", F.col("s.entity").alias("entity"), F.col("s.value").alias("value"))
 

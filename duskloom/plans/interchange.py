@@ -33,6 +33,19 @@ def json_leaves(spark, sf_dir):
     return rows.select("id", "l.path", "l.text")
 
 
+def conversation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, body: every turn as a JSON body."""
+    rows = table(spark, sf_dir, "conversations")
+    content = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+    return rows.select("conv_id", "turn", F.to_json(F.struct(F.lit("m@x.io").alias("model"), "role", content.alias("content"))).alias("body"))
+
+
+@query("SELECT conv_id, turn, '$.role' AS path, role AS text FROM conversations WHERE role IS NOT NULL UNION ALL SELECT conv_id, turn, '$.content[0].text', text FROM conversations WHERE text IS NOT NULL")
+def json_leaves_conversations(spark, sf_dir):
+    rows = conversation_bodies(spark, sf_dir).select("conv_id", "turn", F.explode(J.leaves(F.col("body"))).alias("l"))
+    return rows.select("conv_id", "turn", "l.path", "l.text")
+
+
 @query(f"""SELECT id, coalesce(json_extract_string(body, '$.metadata.note') LIKE '%c@d%', false) OR contains(body, '"s"') AS hit FROM {BODIES.sql} WHERE body IS NOT NULL""")
 def tripwire_json(spark, sf_dir):
     """A secret as an object key or inside a string leaf."""
@@ -61,8 +74,8 @@ def unmask_json(spark, sf_dir):
     rows = RESPONSE.frame(spark).select("id", leaf).select("id", F.concat("id", F.lit(":"), "l.path").alias("leaf"), "l.path", "l.text")
     policy = U.restore_policy(U.label_of(F.col("token")))
     tool = F.col("leaf").contains(".input")
-    allowed = ~tool | (policy == "embedded") | ((policy == "whole_value") & (F.trim("_whole") == F.col("token")))
-    restored = U.unmasked(rows, "leaf", "text", TOOL_VALUES.frame(spark), allowed=allowed)
+    allowed = (policy == "embedded") | ((policy == "whole_value") & (F.trim("_whole") == F.col("token")))
+    restored = U.unmasked(rows.filter(~tool), "text", TOOL_VALUES.frame(spark)).union(U.unmasked(rows.filter(tool), "text", TOOL_VALUES.frame(spark), allowed=allowed))
     texts = restored.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("texts"))
     return RESPONSE.frame(spark).join(texts, "id", "left").select("id", J.rewritten(F.col("body"), F.col("texts")).alias("body"))
 
@@ -232,8 +245,7 @@ _STREAMED = "SELECT conv_id, turn, 'http://a.io ' || text AS text FROM conversat
 def unmasked_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """The batch law: whatever the chunks, the output's texts in order are the restored whole text."""
     whole = chunked_conversations(spark, sf_dir, size).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
-    keyed = whole.withColumn("key", F.concat_ws(":", "conv_id", "turn"))
-    return U.unmasked(keyed, "key", "text", TOOL_VALUES.frame(spark)).select("conv_id", "turn", "text")
+    return U.unmasked(whole, "text", TOOL_VALUES.frame(spark))
 
 
 @query(_STREAMED)

@@ -8,20 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import context as X
 from ..functions import spans as S
 from ..functions import text as T
+from ..operators import detect as D
 from ..operators import secrets as G
 from .detection import documents
 from .registry import Fixture, query, table
-from .sqltext import entropy_sql, luhn_sql, spans_sql
-
-CARE = Fixture(
-    "id int, text string", *enumerate([
-        "DOB: 1990-01-02", "DOB:\n2023-11-15", "born January 2, 1990", "1990-01-02 (DOB)", "12/25/1990 is my DOB", "dob 03 / 27 / 1985", "date of birth is 19901225", "DOB: 1990-01-02T00:00", "DOB:\n\n\n\n123", "born to run, ETA 12/25",
-        "card 4111111111111111 exp 03/27", "expiration date 11/2028 on the visa", "my travel visa expires 03/26", "my gift card expires 03/26", "subscription valid thru 12/25", "4111 1111 1111 1111 exp 03/27", "credit card on file, exp 03/27",
-        "export 03/27", "the cache expires 12/24", "certificate expires Jan 2026", "discard exp 03/27", "the discovery expires 03/27", "scorecard 1234 03/27", "0000000000000 exp 03/27",
-        "CVV: 123", "cvv2=4567", "123 (CVV)", "security code 4821", "cvv is 123", "123 is my CVV", "the security code is 200 lines long", "cid=4096", '{"csc": 200}', "CVV:\n321",
-        "https://a.io/?token=hunter2&x=1", 'password: "letmein"', "redis://:pw@host/0", "https://user:pass@h.io", "git@github.com", "session : 8", "Authorization: Bearer abc.def", "db_password=s3cr3t", "?key=abc", "", None,
-    ])
-)
+from .sqltext import entropy_sql, labelled_sql, luhn_sql, spans_sql
+
+#: Texts, and what each label-driven recognizer finds in them, written by hand.
+CARE_ROWS: list[tuple[str | None, list[tuple[str, str]]]] = [
+    ("DOB: 1990-01-02", [("DATE_OF_BIRTH", "1990-01-02")]), ("DOB:\n2023-11-15", [("DATE_OF_BIRTH", "2023-11-15")]), ("born January 2, 1990", [("DATE_OF_BIRTH", "January 2, 1990")]),
+    ("1990-01-02 (DOB)", [("DATE_OF_BIRTH", "1990-01-02")]), ("12/25/1990 is my DOB", [("DATE_OF_BIRTH", "12/25/1990")]), ("dob 03 / 27 / 1985", [("DATE_OF_BIRTH", "03 / 27 / 1985")]),
+    ("date of birth is 19901225", [("DATE_OF_BIRTH", "19901225")]), ("DOB: 1990-01-02T00:00", [("DATE_OF_BIRTH", "1990-01-02")]), ("D.O.B. 27/03/1985", [("DATE_OF_BIRTH", "27/03/1985")]),
+    ("DOB 1990-01-02 DOB 1991-02-03", [("DATE_OF_BIRTH", "1990-01-02"), ("DATE_OF_BIRTH", "1991-02-03")]), ("DOB: 1985-03-27-99", []), ("DOB:\n\n\n\n123", []), ("born to run, ETA 12/25", []), ("1990-01-02 dob-related", []),
+    ("card 4111111111111111 exp 03/27", [("CREDIT_CARD_EXPIRATION", "03/27")]), ("expiration date 11/2028 on the visa", [("EXPIRATION_DATE", "11/2028")]), ("my travel visa expires 03/26", [("EXPIRATION_DATE", "03/26")]),
+    ("my gift card expires 03/26", [("EXPIRATION_DATE", "03/26")]), ("subscription valid thru 12/25", [("EXPIRATION_DATE", "12/25")]), ("4111 1111 1111 1111 exp 03/27", [("CREDIT_CARD_EXPIRATION", "03/27")]),
+    ("credit card on file, exp 03/27", [("CREDIT_CARD_EXPIRATION", "03/27")]), ("card exp 03/27/2025", []), ("card exp 03/271", []), ("export 03/27", []), ("the cache expires 12/24", []), ("certificate expires Jan 2026", []),
+    ("discard exp 03/27", []), ("the discovery expires 03/27", []), ("scorecard 1234 03/27", []), ("0000000000000 exp 03/27", []),
+    ("CVV: 123", [("CVV", "123")]), ("cvv2=4567", [("CVV", "4567")]), ("123 (CVV)", [("CVV", "123")]), ("security code 4821", [("CVV", "4821")]), ("cvv is 123", [("CVV", "123")]), ("123 is my CVV", [("CVV", "123")]), ("CVV:\n321", [("CVV", "321")]),
+    ("the security code is 200 lines long", []), ("cid=4096", []), ('{"csc": 200}', []), ("cvc2-500", []), ("CVV:\n\n\n\n123", []),
+    ("https://a.io/?token=hunter2&x=1", [("URL_CREDENTIAL", "hunter2")]), ('password: "letmein"', [("URL_CREDENTIAL", "letmein")]), ("redis://:pw@host/0", [("URL_CREDENTIAL", ":pw")]), ("https://user:pass@h.io", [("URL_CREDENTIAL", "user:pass")]),
+    ("Authorization: Basic dXNlcjpwYXNz", [("URL_CREDENTIAL", "dXNlcjpwYXNz")]), ('{"token":"Bearer letmein-jwt"}', [("URL_CREDENTIAL", "letmein-jwt")]), ("db_password=s3cr3t", [("URL_CREDENTIAL", "s3cr3t")]),
+    ("shared_access_signature=abcd", [("URL_CREDENTIAL", "abcd")]), ("sharedaccesssignature=abce", [("URL_CREDENTIAL", "abce")]), ("x-amz-signature=ffff", [("URL_CREDENTIAL", "ffff")]), ("?token=ab,cd,ef&id=1", [("URL_CREDENTIAL", "ab,cd,ef")]),
+    ("a%3Ftoken%3Dletmein-x", [("URL_CREDENTIAL", "letmein-x")]), ("?state=%7B%22token%22%3A%22letmein%22%7D", [("URL_CREDENTIAL", "letmein")]), ("x%253Ftoken%253Dletmein2x", [("URL_CREDENTIAL", "letmein2x")]),
+    ("é%3Ftoken%3Dlétmein", [("URL_CREDENTIAL", "létmein")]), ("git@github.com", []), ("tokens this session : 8", []), ("?key=abc", []), ("sort-key=colname", []), ("redis://:p@h", []), ("", []), (None, []),
+]
+CARE = Fixture("id int, text string", *enumerate(t for t, _ in CARE_ROWS))
 
 
 def care(spark: SparkSession, spans) -> DataFrame:
@@ -29,20 +40,18 @@ def care(spark: SparkSession, spans) -> DataFrame:
     return rows.select("id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
 
 
-def _found(entity: str, *patterns: str) -> str:
-    return " UNION ALL ".join(f"SELECT id, {entity} AS entity, start, stop, value, t FROM ({spans_sql(CARE.sql, 'id', 'text', p)})" for p in patterns)
-
-
-def _plain(entity: str, *patterns: str) -> str:
-    return f"SELECT id, entity, start, stop, value FROM ({_found(f"'{entity}'", *patterns)})"
+def _by_hand(*entities: str) -> str:
+    """The rows written by hand; every value stands once in its text."""
+    wanted = Fixture("id int, entity string, value string", *[(i, e, v) for i, (_, found) in enumerate(CARE_ROWS) for e, v in found if e in entities])
+    return f"SELECT id, entity, (strpos(text, value) - 1)::INT AS start, (strpos(text, value) - 1 + length(value))::INT AS stop, value FROM {CARE.sql} JOIN {wanted.sql} USING (id)"
 
 
-@query(_plain("DATE_OF_BIRTH", X.BIRTH_AFTER, X.BIRTH_BEFORE))
+@query(_by_hand("DATE_OF_BIRTH"))
 def dob_spans(spark, sf_dir):
     return care(spark, X.birth_dates)
 
 
-@query(_plain("CVV", X.CODE_AFTER, X.CODE_BEFORE))
+@query(_by_hand("CVV"))
 def cvv_spans(spark, sf_dir):
     return care(spark, X.security_codes)
 
@@ -62,21 +71,27 @@ _NEAR = "(" + " OR ".join(f"contains(w, ' {t} ')" for t in X.CARD_TERMS) + " OR
 _SURE = "(" + " OR ".join(f"contains(w, ' {t} ')" for t in X.PAYMENT_TERMS) + " OR len(cards) > 0)"
 
 
-@query(f"""SELECT id, CASE WHEN {_SURE} THEN 'CREDIT_CARD_EXPIRATION' ELSE 'EXPIRATION_DATE' END AS entity, start, stop, value
-FROM (SELECT *, {_WORDS} AS w, {cards_sql(_AROUND)} AS cards FROM ({_found("'gated'", X.EXPIRES)} UNION ALL {_found("'free'", X.VALID_THRU)})) WHERE entity = 'free' OR {_NEAR}""")
+def expiry_sql(source: str, key: str, order: int = 0) -> str:
+    """The expiry dates in a table's texts: key, entity, start, stop, value, score, ord, t."""
+    found = " UNION ALL ".join(labelled_sql(source, key, name, *kind, order) for name, kind in (("gated", X.EXPIRES), ("free", X.VALID)))
+    return f"""SELECT {key}, CASE WHEN {_SURE} THEN 'CREDIT_CARD_EXPIRATION' ELSE 'EXPIRATION_DATE' END AS entity, start, stop, value, score, ord, t
+  FROM (SELECT *, {_WORDS} AS w, {cards_sql(_AROUND)} AS cards FROM ({found})) WHERE entity = 'free' OR {_NEAR}"""
+
+
+@query(_by_hand("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"))
 def expiry_spans(spark, sf_dir):
     return care(spark, X.expiries)
 
 
-@query(_plain("URL_CREDENTIAL", X.CREDENTIAL, X.USERINFO))
+@query(_by_hand("URL_CREDENTIAL"))
 def url_credential_spans(spark, sf_dir):
     return care(spark, X.credentials)
 
 
-@query(f"SELECT doc_id, 'URL_CREDENTIAL' AS entity, start, stop, value FROM ({spans_sql('documents', 'doc_id', 'text', X.CREDENTIAL)})")
+@query(" UNION ALL ".join(f"SELECT doc_id, 'URL_CREDENTIAL' AS entity, start, stop, value FROM ({spans_sql('documents', 'doc_id', 'text', p)})" for p in (X.CREDENTIAL, X.USERINFO)))
 def document_credentials(spark, sf_dir):
-    """Values behind 'token = "...": what their shape alone would not give away."""
-    found = F.explode(S.find(F.col("text"), X.CREDENTIAL, "URL_CREDENTIAL", X.SCORE)).alias("s")
+    """Values behind 'token = "...", and user:password before a host. The SQL reads texts as they stand: no document has a percent escape."""
+    found = F.explode(D.recognized(F.col("text"), D.CREDENTIAL)).alias("s")
     return documents(spark, sf_dir).select("doc_id", found).select("doc_id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
 
 
@@ -114,7 +129,7 @@ def slug_collisions(spark, sf_dir):
 @query(f"""SELECT doc_id, arg_min(name, (start, name)) AS name FROM (SELECT doc_id, name, strpos(CASE WHEN case_sensitive THEN text ELSE lower(text) END, CASE WHEN case_sensitive THEN value ELSE lower(value) END) AS start
 FROM documents JOIN {SECRETS.sql} ON true) WHERE start > 0 GROUP BY doc_id""")
 def tripwire_hits(spark, sf_dir):
-    """The name of the first registered secret in each text, by one pass over its words' hashes, never a value."""
+    """The name of the first registered secret in each text; the plan holds no value."""
     secrets = [(r[0], r[1], r[3]) for r in SECRETS.rows]
     return documents(spark, sf_dir).select("doc_id", G.first_hit(F.col("text"), secrets).alias("name")).filter("name IS NOT NULL")
 
@@ -132,19 +147,17 @@ def tripwire_base64(spark, sf_dir):
     return BLOBS.frame(spark).select("id", body.contains("s3cr3t-value").alias("exact"), G.contains_any(body, G.base64_needles("s3cr3t-value")).alias("encoded"))
 
 
-CANDIDATES = Fixture(
-    "name string, value string", *[
-        ("DB_PASSWORD", "hunter2"), ("AUTH_MODE", "oauth"), ("API_KEY", ""), ("DEBUG", "true"), ("PORT", "5432"), ("APP_SECRET", "aB3$kL9!mN2@pQ5^"), ("HOME", "/usr/local/bin"), ("X", "abc1"),
-        ("NAME", "aaaaaaaaaaaa"), ("TOKEN", "0123456789abcdefghijklmnopqrstuv"), ("RANDOM", "k3J9x2Lq8Zv1"), ("password", "abcdefgh"), ("FLAG", " Enabled "),
-    ]
-)
-_E = entropy_sql("value")
+#: Names and values, and the reason and operator written by hand.
+CANDIDATE_ROWS = [
+    ("DB_PASSWORD", "hunter2", "name_match", "redact"), ("AUTH_MODE", "oauth", "enum_like", None), ("API_KEY", "", "empty", None), ("DEBUG", "true", "boolean_like", None), ("PORT", "5432", "integer_like", None),
+    ("APP_SECRET", "aB3$kL9!mN2@pQ5^", "both", "hash"), ("HOME", "/usr/local/bin", "low_entropy", None), ("X", "abc1", "too_short", None), ("NAME", "aaaaaaaaaaaa", "low_entropy", None),
+    ("TOKEN", "0123456789abcdefghijklmnopqrstuv", "both", "hash"), ("RANDOM", "k3J9x2Lq8Zv1", "entropy", "redact"), ("password", "abcdefgh", "name_match", "redact"), ("FLAG", " Enabled ", "boolean_like", None),
+    ("SIGNING_KEY", "aaaaaaaa1", "name_match", "redact"), ("DB_DSN", "aaaaaaaa1", "name_match", "redact"), ("BEARER", "aaaaaaaa1", "name_match", "redact"), ("PRIVATE", "aaaaaaaa1", "name_match", "redact"),
+]
+CANDIDATES = Fixture("name string, value string, reason string, operator string", *CANDIDATE_ROWS)
 
 
-@query(f"""SELECT name, value, CASE WHEN skip IS NOT NULL THEN skip WHEN named AND random THEN 'both' WHEN named THEN 'name_match' WHEN random THEN 'entropy' WHEN length(value) < 8 THEN 'too_short' ELSE 'low_entropy' END AS reason,
-CASE WHEN skip IS NULL AND (named OR random) THEN CASE WHEN e >= 4.0 THEN 'hash' ELSE 'redact' END END AS operator
-FROM (SELECT *, CASE WHEN value = '' THEN 'empty' WHEN lower(trim(value)) IN {G.BOOLEANS} THEN 'boolean_like' WHEN regexp_matches(trim(value), '^[0-9]+$') THEN 'integer_like' WHEN length(value) < 8 AND regexp_matches(value, '^[A-Za-z]+$') THEN 'enum_like' END AS skip,
-  regexp_matches(name, '{G.SECRET_NAME}') AS named, length(value) >= 8 AND e >= 3.5 AS random FROM (SELECT *, {_E} AS e FROM {CANDIDATES.sql}))""")
+@query(f"SELECT * FROM {CANDIDATES.sql}")
 def classify_secret(spark, sf_dir):
     reason, operator = G.classified(F.col("name"), F.col("value"))
     return CANDIDATES.frame(spark).select("name", "value", reason.alias("reason"), operator.alias("operator"))

@@ -7,38 +7,59 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import context as X
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions import text as T
+from ..functions.checkpoint import saved
 from ..operators import apply as A
 from ..operators import detect as D
 from ..operators import unmask as U
 from ..operators import vault as V
-from .detection import DIGITS, documents, exploded, operator_kind, spans_of
+from .detection import documents, spans_of
+from .labelled import expiry_sql
 from .policy import CATEGORIES, Operator, Policy
 from .registry import Fixture, query, table
-from .sqltext import luhn_sql, spans_sql, token_sql
+from .sqltext import labelled_sql, plausible_sql, recognized_sql, resolved_sql, spans_sql, token_sql
 
 POLICY = Policy(profile="strict")
 KEY = "0123456789abcdef0123456789abcdef"
 
 #: Labels whose values masking cuts for good.
 CUT = ("CREDIT_CARD", "CVV")
-_CARD_OK = f"length({DIGITS}) BETWEEN 13 AND 19 AND {luhn_sql(DIGITS)}"
-_IP_OK = "len(list_filter(string_split(value, '.'), lambda o: o::INT > 255)) = 0"
 _KEPT = "repeat('*', greatest(length(value) - 4, 0)::INT) || right(value, 4)"
 
-
-def found_sql() -> str:
-    """doc_id, entity, start, stop, value of e-mails, IPv4 addresses and cards: a part of what the flagship query masks."""
-    return f"""SELECT doc_id, 'EMAIL_ADDRESS' AS entity, start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.pattern)})
-  UNION ALL SELECT doc_id, 'IP_ADDRESS', start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.IPV4.pattern)}) WHERE {_IP_OK}
-    AND NOT regexp_matches(value, '^(127|10)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]|^0[.]0[.]0[.]0$')
-  UNION ALL SELECT doc_id, 'CREDIT_CARD', start, stop, value FROM ({spans_sql("documents", "doc_id", "text", P.CARD.pattern)}) WHERE {_CARD_OK}"""
+#: What a value's own text, or the text before it, says against it.
+_RESERVED = r"""(regexp_matches(value, '^(127|10)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]|^0+[.]0+[.]0+[.]0+$') OR regexp_matches(lower(value), '^(0{1,4}:){7}0{0,3}1$|^::1$|^::$|^(0{1,4}:){7}0{1,4}$|^fe[89ab][0-9a-f]:|^2001:0?db8:'))"""
+_NAMESPACE = r"""regexp_matches(substr(t, 1, start), '(^|[^0-9A-Za-z_$.:-])(xmlns|xmlns:[0-9A-Za-z_.-]+|[$]schema|[$]id|[$]ref|targetNamespace|schemaLocation|[0-9A-Za-z_.-]+:schemaLocation)["'']?[ \t]*[=:][ \t]*["'']?$')"""
+_FILE = "NOT contains(value, '/') AND NOT contains(value, ':') AND NOT starts_with(lower(value), 'www.') AND lower(string_split(value, '.')[-1]) IN ('cc', 'go', 'la', 'md', 'ml', 'pl', 'py', 'rb', 'rs', 'sh', 'so')"
+_QUOTED = """(entity IN ('URL', 'DOMAIN') AND length(value) >= 3 AND value[1] = value[-1] AND value[1] IN ('"', '''', '`'))"""
+
+
+def found_sql(source: str = "documents", key: str = "doc_id") -> str:
+    """key, entity, start, stop, value of all that masking finds: every recognizer's spans through every gate, overlaps resolved."""
+    used = [r for r in D.ALL if r.score >= POLICY.floor - 0.35]
+    parts = []
+    for order, r in enumerate(used):
+        if isinstance(r, P.Recognizer):
+            check = plausible_sql("value") if r is P.API_KEY else "true" if r is P.PREFIXED_KEY else None
+            parts.append(recognized_sql(source, key, r.entity, r.plain, r.score, r.context, check, order))
+        elif r is D.BIRTH:
+            parts.append(labelled_sql(source, key, "DATE_OF_BIRTH", *X.BIRTH, order))
+        elif r is D.CODE:
+            parts.append(labelled_sql(source, key, "CVV", *X.CODE, order))
+        elif r is D.EXPIRY:
+            parts += [expiry_sql(source, key, order)]
+        else:
+            parts += [recognized_sql(source, key, "URL_CREDENTIAL", p, 0.85, (), "true", order) for p in (X.CREDENTIAL, X.USERINFO)]
+    rows = " UNION ALL ".join(parts)
+    gates = f"score >= {POLICY.floor} AND NOT (entity = 'PHONE_NUMBER' AND score <= 0.4) AND NOT (entity = 'IP_ADDRESS' AND {_RESERVED}) AND NOT (entity = 'URL' AND {_NAMESPACE}) AND NOT (entity = 'DOMAIN' AND {_FILE})"
+    gated = f"SELECT {key}, entity, CASE WHEN {_QUOTED} THEN start + 1 ELSE start END AS start, CASE WHEN {_QUOTED} THEN stop - 1 ELSE stop END AS stop, CASE WHEN {_QUOTED} THEN value[2:-2] ELSE value END AS value, score, ord FROM ({rows}) WHERE {gates}"
+    return resolved_sql(gated, key)
 
 
 def rendered_sql() -> str:
-    return f"CASE entity WHEN 'CREDIT_CARD' THEN {_KEPT} ELSE {token_sql('salt', 'entity', 'value')} END"
+    return f"CASE entity WHEN 'CREDIT_CARD' THEN {_KEPT} WHEN 'CVV' THEN '[REDACTED]' ELSE {token_sql('salt', 'entity', 'value')} END"
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +78,13 @@ masked AS (SELECT d.doc_id, CASE WHEN j.last IS NULL THEN d.text ELSE j.head ||
 """
 
 
+@query(found_sql())
+def document_found(spark, sf_dir):
+    """All that masking finds in the documents, overlaps resolved."""
+    rows = document_spans(spark, sf_dir).select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
+
+
 @query(f"WITH {MASKED_SQL} SELECT doc_id, text FROM masked")
 def mask_documents(spark, sf_dir):
     """Flagship: every document with all that the recognizers find as tokens, cards cut to four digits and their codes redacted."""
@@ -139,11 +167,11 @@ BYPASS = Fixture(
 @query(f"""WITH parts AS (
   SELECT id, unnest(range(1, len(string_split_regex(text, '(?s)>>(.*?)<<')) + 1)) AS n, string_split_regex(text, '(?s)>>(.*?)<<') AS o, regexp_extract_all(text, '(?s)>>(.*?)<<', 1) AS r FROM {BYPASS.sql}
 ), rows AS (SELECT id, n, o[n] AS part, coalesce(r[n], '') AS raw FROM parts),
-spans AS (SELECT id, n, start, stop, value, lag(stop, 1, 0) OVER (PARTITION BY id, n ORDER BY start) AS prev, t FROM ({spans_sql("rows", "id, n", "part", P.EMAIL.pattern)})),
+spans AS (SELECT id, n, start, stop, value, lag(stop, 1, 0) OVER (PARTITION BY id, n ORDER BY start) AS prev, t FROM ({spans_sql("rows", "id, n", "part", P.EMAIL.plain)})),
 heads AS (SELECT id, n, string_agg(substr(t, prev + 1, start - prev) || {token_sql("salt", "'EMAIL_ADDRESS'", "value")}, '' ORDER BY start) AS head, max(stop) AS last FROM spans GROUP BY id, n)
 SELECT id, string_agg(CASE WHEN head IS NULL THEN part ELSE head || substr(part, last + 1) END || raw, '' ORDER BY n) AS text FROM rows LEFT JOIN heads USING (id, n) GROUP BY id""")
 def user_bypass(spark, sf_dir):
-    mask = lambda t: S.splice(t, S.find(t, P.EMAIL.pattern, "EMAIL_ADDRESS", 1.0), A.rendered(POLICY))
+    mask = lambda t: S.splice(t, S.find(t, P.EMAIL.plain, "EMAIL_ADDRESS", 1.0), A.rendered(POLICY))
     return BYPASS.frame(spark).select("id", A.with_bypass(F.col("text"), mask).alias("text"))
 
 
@@ -158,7 +186,7 @@ def surface_gate(spark, sf_dir):
 
 @query(f"""WITH found AS ({found_sql()}), shown AS (SELECT *, {rendered_sql()} AS token FROM found),
 shifted AS (SELECT *, coalesce(sum(length(token) - (stop - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM shown)
-SELECT doc_id, token, value, entity, start, stop, (start + shift)::INT AS masked_start, (start + shift + length(token))::INT AS masked_stop FROM shifted WHERE entity <> 'CREDIT_CARD'""")
+SELECT doc_id, token, value, entity, start, stop, (start + shift)::INT AS masked_start, (start + shift + length(token))::INT AS masked_stop FROM shifted WHERE entity NOT IN ('CREDIT_CARD', 'CVV')""")
 def manifest(spark, sf_dir):
     rows = document_spans(spark, sf_dir).select("doc_id", F.explode(A.manifest(F.col("spans"), POLICY)).alias("m"))
     return rows.select("doc_id", "m.token", "m.value", "m.entity", "m.start", F.col("m.end").alias("stop"), "m.masked_start", F.col("m.masked_end").alias("masked_stop"))
@@ -200,14 +228,16 @@ def entity_counts(spark, sf_dir):
     return all_spans(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n_spans"), F.countDistinct("value").alias("n_values"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query(f"""WITH keyed AS (SELECT doc_id, text, sha256('leaf:' || text) AS k FROM documents), one AS (SELECT min(doc_id) AS doc_id, k, any_value(text) AS text FROM keyed GROUP BY k),
-n AS (SELECT doc_id, count(*) AS n FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.pattern)}) GROUP BY doc_id)
-SELECT keyed.doc_id, coalesce(n.n, 0) AS n_spans FROM keyed JOIN one USING (k) LEFT JOIN n ON n.doc_id = one.doc_id""")
+@query(f"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS n_spans FROM documents
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.plain)}) GROUP BY doc_id) USING (doc_id)""")
 def dedup_detect(spark, sf_dir):
-    """Detection runs once for each distinct text; its result is joined back by the text's key."""
-    keyed = documents(spark, sf_dir).select("doc_id", "text", F.sha2(F.concat(F.lit("leaf:"), "text"), 256).alias("k"))
-    once = keyed.groupBy("k").agg(F.min("text").alias("text")).select("k", F.size(spans_of(P.EMAIL)).cast("long").alias("n_spans"))
-    return keyed.select("doc_id", "k").join(once, "k").select("doc_id", "n_spans")
+    """Detection runs once for each distinct text, on the row with the least id; only ids, digests and counts move. A null text has none."""
+    rows = documents(spark, sf_dir).select("doc_id", "text", F.sha2(F.concat(F.lit("leaf:"), "text"), 256).alias("k"))
+    keys = rows.select("doc_id", "k")
+    first = keys.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    once = rows.join(first.select(F.col("doc_id").alias("f"), F.col("k").alias("fk")), (F.col("doc_id") == F.col("f")) & (F.col("k") == F.col("fk")), "left_semi")
+    counted = once.select("k", F.size(spans_of(P.EMAIL)).cast("long").alias("n_spans")).groupBy("k").agg(F.max("n_spans").alias("n_spans"))
+    return keys.join(counted, "k", "left").select("doc_id", "n_spans")
 
 
 @query("SELECT doc_id, sha256('leaf:' || text) AS text_key FROM documents")
@@ -215,38 +245,51 @@ def text_key(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2(F.concat(F.lit("leaf:"), "text"), 256).alias("text_key"))
 
 
-_TOKENS = f"SELECT DISTINCT {token_sql('salt', 'entity', 'value')} AS token, value, entity FROM ({found_sql()}) WHERE entity <> 'CREDIT_CARD'"
+_TOKENS = f"SELECT DISTINCT {token_sql('salt', 'entity', 'value')} AS token, value, entity FROM ({found_sql()}) WHERE entity NOT IN ('CREDIT_CARD', 'CVV')"
+
+
+def tokens_of(spans: Column) -> Column:
+    """array<struct<token,value,entity>> of the spans that become tokens."""
+    reversible = F.filter(spans, lambda s: ~s["entity"].isin(*CUT))
+    return F.transform(reversible, lambda s: F.struct(T.token("salt", s["entity"], s["value"]).alias("token"), s["value"].alias("value"), s["entity"].alias("entity")))
+
+
+def vault_rows(rows: DataFrame) -> DataFrame:
+    """token, value, kind, entity of all tokens that masking rows (spans) makes."""
+    made = rows.select(F.explode(tokens_of(F.col("spans"))).alias("t"))
+    return made.select("t.token", "t.value", F.lit("pii").alias("kind"), "t.entity")
 
 
-def vault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token, value, kind, entity of all tokens that masking the documents makes."""
-    rows = all_spans(spark, sf_dir).filter(~F.col("entity").isin(*CUT))
-    return rows.select(T.token("salt", F.col("entity"), F.col("value")).alias("token"), "value", F.lit("pii").alias("kind"), "entity")
+def masked_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, n_cards: the masked documents; token, value: the vault): every text is searched once, and what is found is written."""
+    n_cut = F.size(F.filter("spans", lambda s: s["entity"].isin(*CUT))).cast("long")
+    rows = saved(document_spans(spark, sf_dir).select("doc_id", A.masked(F.col("text"), F.col("spans"), POLICY).alias("text"), n_cut.alias("n_cards"), F.col("spans")))
+    return rows.drop("spans"), V.interned(vault_rows(rows)).select("token", "value")
 
 
 @query(f"SELECT token, value, 'pii' AS kind FROM ({_TOKENS}) WHERE token NOT LIKE '[IP%0]'")
 def vault_build(spark, sf_dir):
     """New tokens of this batch; those that end in 0 and stand for addresses have a tombstone."""
-    rows = vault_rows(spark, sf_dir)
+    rows = vault_rows(document_spans(spark, sf_dir))
     tombstones = rows.filter("token LIKE '[IP%0]'").select("token").distinct()
     return V.interned(rows, tombstones=tombstones)
 
 
 @query(f"SELECT token, value FROM ({_TOKENS})")
 def vault_roundtrip(spark, sf_dir):
-    stored = V.interned(vault_rows(spark, sf_dir)).withColumn("ciphertext", V.encrypted(F.col("value"), KEY))
+    stored = V.interned(vault_rows(document_spans(spark, sf_dir))).withColumn("ciphertext", V.encrypted(F.col("value"), KEY))
     return stored.select("token", V.decrypted(F.col("ciphertext"), KEY).alias("value"))
 
 
 @query(f"SELECT token, value FROM ({_TOKENS}) WHERE entity <> 'EMAIL_ADDRESS'")
 def vault_tombstone(spark, sf_dir):
-    vault = V.interned(vault_rows(spark, sf_dir))
+    vault = V.interned(vault_rows(document_spans(spark, sf_dir)))
     return V.without_tombstones(vault, vault.filter("token LIKE '[EMAIL%'")).select("token", "value")
 
 
 @query(f"SELECT count(DISTINCT token) AS n_tokens FROM ({_TOKENS})")
 def token_count(spark, sf_dir):
-    return vault_rows(spark, sf_dir).agg(F.countDistinct("token").alias("n_tokens"))
+    return vault_rows(document_spans(spark, sf_dir)).agg(F.countDistinct("token").alias("n_tokens"))
 
 
 STORE = Fixture(
@@ -279,24 +322,21 @@ def token_scan(spark, sf_dir):
 
 @query(f"SELECT DISTINCT token, regexp_extract(token, '^.([A-Z0-9_]+)_[0-9a-f]{{12}}.$', 1) AS label FROM ({_TOKENS})")
 def token_label(spark, sf_dir):
-    return vault_rows(spark, sf_dir).select("token").distinct().select("token", U.label_of(F.col("token")).alias("label"))
+    return vault_rows(document_spans(spark, sf_dir)).select("token").distinct().select("token", U.label_of(F.col("token")).alias("label"))
 
 
 @query(f"""SELECT d.doc_id, d.text, (CASE WHEN c.n IS NULL THEN 0 ELSE c.n END) AS n_cards FROM documents d
-LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({found_sql()}) WHERE entity = 'CREDIT_CARD' GROUP BY doc_id) c USING (doc_id) WHERE c.n IS NULL""")
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({found_sql()}) WHERE entity IN ('CREDIT_CARD', 'CVV') GROUP BY doc_id) c USING (doc_id) WHERE c.n IS NULL""")
 def unmask_roundtrip(spark, sf_dir):
     """Masked documents restored from the vault: without a card or its code, which masking cuts for good, the text is the original."""
-    spans = document_spans(spark, sf_dir).withColumn("n_cards", F.size(F.filter("spans", lambda s: s["entity"].isin(*CUT))).cast("long"))
-    masked = spans.filter("n_cards = 0").select("doc_id", A.masked(F.col("text"), F.col("spans"), POLICY).alias("text"), "n_cards")
-    vault = V.interned(vault_rows(spark, sf_dir)).select("token", "value")
-    return U.unmasked(masked, "doc_id", "text", vault).select("doc_id", "text", "n_cards")
+    masked, vault = masked_once(spark, sf_dir)
+    return U.unmasked(masked.filter("n_cards = 0"), "text", vault)
 
 
-@query(f"WITH {MASKED_SQL.replace(rendered_sql(), "'⟪' || value || '⟫'")} SELECT doc_id, text FROM masked WHERE doc_id IN (SELECT doc_id FROM found) AND doc_id NOT IN (SELECT doc_id FROM found WHERE entity = 'CREDIT_CARD')")
+@query(f"WITH {MASKED_SQL.replace(rendered_sql(), "'⟪' || value || '⟫'")} SELECT doc_id, text FROM masked WHERE doc_id IN (SELECT doc_id FROM found) AND doc_id NOT IN (SELECT doc_id FROM found WHERE entity IN ('CREDIT_CARD', 'CVV'))")
 def unmask_display(spark, sf_dir):
-    spans = document_spans(spark, sf_dir).filter((F.size("spans") > 0) & ~F.exists("spans", lambda s: s["entity"].isin(*CUT)))
-    masked = spans.select("doc_id", A.masked(F.col("text"), F.col("spans"), POLICY).alias("text"))
-    return U.unmasked(masked, "doc_id", "text", V.interned(vault_rows(spark, sf_dir)), U.MARKER)
+    masked, vault = masked_once(spark, sf_dir)
+    return U.unmasked(masked.filter((F.col("n_cards") == 0) & F.col("text").rlike(U.TOKEN)).select("doc_id", "text"), "text", vault, U.MARKER)
 
 
 REPLIES = Fixture("id int, text string", (1, "see [A_000000000001] and [F_000000000006]"), (2, "[F_000000000006][Z_00000000000a]"), (3, "[a_000000000001] [A_00000000001]"), (4, "none"), (5, None))
@@ -347,7 +387,7 @@ def unmask_tool_input(spark, sf_dir):
     """A decoded leaf of a tool's input: request targets come back anywhere, names only as the whole value, all else stays."""
     policy = U.restore_policy(U.label_of(F.col("token")))
     allowed = (policy == "embedded") | ((policy == "whole_value") & (F.trim("_whole") == F.col("token")))
-    return U.unmasked(TOOL.frame(spark), "id", "text", TOOL_VALUES.frame(spark), allowed=allowed)
+    return U.unmasked(TOOL.frame(spark), "text", TOOL_VALUES.frame(spark), allowed=allowed)
 
 
 CUSTOM = Fixture("id int, text string", (1, "deploy <<PROJECT>> now"), (2, "<<PROJECT>><<CODE>>"), (3, "nothing"))
@@ -361,7 +401,7 @@ def literal_token_unmask(spark, sf_dir):
     return CUSTOM.frame(spark).select("id", text.alias("text"))
 
 
-@query(f"""WITH f AS ({found_sql()}), s AS (SELECT doc_id, count(*) FILTER (entity <> 'CREDIT_CARD') AS tokens, count(*) FILTER (entity = 'CREDIT_CARD') AS masked, count(*) AS spans FROM f GROUP BY doc_id)
+@query(f"""WITH f AS ({found_sql()}), s AS (SELECT doc_id, count(*) FILTER (entity NOT IN ('CREDIT_CARD', 'CVV')) AS tokens, count(*) FILTER (entity IN ('CREDIT_CARD', 'CVV')) AS masked, count(*) AS spans FROM f GROUP BY doc_id)
 SELECT d.source, count(*) AS leaves, count(*) FILTER (s.doc_id IS NULL) AS clean, coalesce(sum(tokens), 0)::BIGINT AS tokens, coalesce(sum(masked), 0)::BIGINT AS masked, coalesce(sum(spans), 0)::BIGINT AS spans FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.source""")
 def mask_stats(spark, sf_dir):
     rows = documents(spark, sf_dir).select("source", D.detected(F.col("text"), POLICY, D.ALL).alias("spans"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,19 +39,47 @@ def _walk(value: object, path: str, skipped: frozenset[str], depth: int = 0) ->
 LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("key", T.StringType()), T.StructField("text", T.StringType())]))
 
 
+def _of(body: str | None, work: Callable[[object], list]) -> list | None:
+    try:
+        return None if body is None else work(json.loads(body))
+    except (ValueError, RecursionError):
+        return None
+
+
+def problem(body: Column) -> Column:
+    """Why a body has no leaves: 'not_json', 'too_deep', or null."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            if text is not None:
+                list(_walk(json.loads(text), "$", frozenset()))
+        except json.JSONDecodeError:
+            return "not_json"
+        except (ValueError, RecursionError):
+            return "too_deep"
+        return None
+
+    @F.pandas_udf(T.StringType())
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(one)
+
+    return run(body)
+
+
 def leaves(body: Column, skipped: tuple[str, ...] = CONTRACT_KEYS["messages"]) -> Column:
-    """array<struct<path,key,text>> of every string leaf of a JSON text outside the skipped keys; null for null. Wrong JSON is an error."""
+    """array<struct<path,key,text>> of every string leaf of a JSON text outside the skipped keys; null for null, for what isn't JSON, and
+    for what is nested deeper than DEEPEST (problem says which)."""
     keys = frozenset(skipped)
 
     @F.pandas_udf(LEAVES)
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else [{"path": p, "key": k, "text": t} for p, k, t in _walk(json.loads(b), "$", keys)])
+        return bodies.map(lambda b: _of(b, lambda value: [{"path": p, "key": k, "text": t} for p, k, t in _walk(value, "$", keys)]))
 
     return run(body)
 
 
 def keys_and_texts(body: Column) -> Column:
-    """Every object key and string leaf, for scans that must not be dodged by a key."""
+    """Every object key and string leaf, for scans that must not be dodged by a key; null as in leaves."""
 
     def strings(value: object, depth: int = 0) -> Iterator[str]:
         if depth > DEEPEST:
@@ -68,7 +96,7 @@ def keys_and_texts(body: Column) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else list(strings(json.loads(b))))
+        return bodies.map(lambda b: _of(b, lambda value: list(strings(value))))
 
     return run(body)
 
@@ -108,7 +136,7 @@ def rewritten(body: Column, texts: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(bodies: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else spliced(b, dict(m or {})) for b, m in zip(bodies, maps, strict=True)], dtype=object)
+        return pd.Series([b if not m else spliced(b, dict(m)) for b, m in zip(bodies, maps, strict=True)], dtype=object)
 
     return run(body, texts)
 

@@ -33,13 +33,45 @@ def test_restoring_undoes_masking(texts):
     rows = texts.withColumn("spans", D.detected(F.col("text"), policy, (P.EMAIL, P.IPV4, P.CARD)))
     masked = rows.withColumn("text", A.masked(F.col("text"), F.col("spans"), policy))
     found = rows.select(F.explode(A.manifest(F.col("spans"), policy)).alias("m")).select("m.token", "m.value", F.lit("pii").alias("kind"))
-    back = U.unmasked(masked, "id", "text", V.interned(found))
+    back = U.unmasked(masked, "text", V.interned(found))
     assert {r.id: r.text for r in back.collect()} == dict(enumerate(TEXTS))
     seen = {r.id: r.text for r in masked.collect()}
     assert "ada@x.io" not in seen[0] and seen[0].count("[EMAIL_ADDRESS_") == 3 and "10.0.0.1" in seen[3] and "8.8.8.8" not in seen[3]
     assert seen[8].split("\n")[0] == seen[8].split("\n")[1]
 
 
+def test_restoring_keeps_rows_apart(spark):
+    """Repeated, null and empty keys, clashing names, repeated texts, and a vault that repeats a token."""
+    rows = [(1, "a [T_000000000001]", "v"), (1, "b [T_000000000001]", "w"), (None, "c [T_000000000001]", None), (2, "", "x"), (3, None, "y"), (1, "a [T_000000000001]", "z"), (4, "[U_000000000009] [T_000000000001][T_000000000002]", "")]
+    texts = spark.createDataFrame(rows, "id int, text string, token string")
+    vault = spark.createDataFrame([("[T_000000000001]", "x@y.z"), ("[T_000000000001]", "x@y.z"), ("[T_000000000002]", 'q"\n')], "token string, value string")
+    want = [(i, t and t.replace("[T_000000000001]", "x@y.z").replace("[T_000000000002]", 'q"\n'), k) for i, t, k in rows]
+    assert sorted(map(str, map(tuple, U.unmasked(texts, "text", vault).collect()))) == sorted(map(str, want))
+    escaped = {r.id: r.text for r in U.unmasked(texts, "text", vault, escape=True).collect()}
+    assert escaped[4] == '[U_000000000009] x@y.zq\\"\\n'
+    assert U.unmasked(texts.limit(0), "text", vault).count() == 0
+    assert sorted(r.text or "" for r in U.unmasked(texts, "text", vault.limit(0)).collect()) == sorted(t or "" for _, t, _ in rows)
+
+
+def test_context_far_before_a_value(spark):
+    """Long words and long gaps before a value: the whole text before it is read where a window isn't enough."""
+    rows = ["phone " + "x" * 300 + " 415-555-2671", "phone" + " " * 400 + "415-555-2671", "phone a b c d e 415-555-2671", "no " * 100 + "415-555-2671"]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select(D.recognized(F.col("t"), P.PHONE).alias("s")).collect()
+    assert [round(r.s[0].score, 2) for r in got] == [0.75, 0.75, 0.4, 0.4]
+
+
+def test_malformed_json_has_no_leaves(spark):
+    rows = ['{"a": "x"}', "{", None, "", "[" * 400 + "]" * 400]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select(json_text.leaves(F.col("t")).alias("l"), json_text.problem(F.col("t")).alias("p")).collect()
+    assert [r.l is not None for r in got] == [True, False, False, False, False] and [r.p for r in got] == [None, "not_json", None, "not_json", "too_deep"]
+
+
+def test_characters_that_mark_cuts(spark):
+    text = "\uFDD0a@b.io\uFDD1 c@d.io \uFDD2"
+    got = spark.createDataFrame([(text,)], "t string").select(D.recognized(F.col("t"), P.EMAIL).alias("s")).first().s
+    assert [(s.value, text[s.start : s.end]) for s in got] == [("a@b.io", "a@b.io"), ("c@d.io", "c@d.io")]
+
+
 def test_manifest_places(texts):
     policy = Policy(profile="strict")
     rows = texts.filter("text <> ''").withColumn("spans", D.detected(F.col("text"), policy, (P.EMAIL, P.IPV4, P.CARD)))

@@ -50,7 +50,7 @@ def test_documents_are_masked_by_all_recognizers(spark, folder):
         assert (entity, value) in [(s.entity, s.value) for s in found[i].spans] and value not in shown[i], text
         assert value not in redacted[i] and "[REDACTED]" in redacted[i]
     assert shown[900] is None and shown[901] == ""
-    every = F.concat(*[D.recognized(F.col("text"), r, order) for order, r in enumerate(r for r in D.ALL if r.score >= masking.POLICY.floor - D.CONTEXT_BOOST)])
+    every = D.recognized(F.col("text"), *[r for r in D.ALL if r.score >= masking.POLICY.floor - D.CONTEXT_BOOST])
     for r in spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NOT NULL").select("doc_id", D.gated(F.col("text"), every, masking.POLICY).alias("s")).collect():
         assert brute_resolved(r.s) == found[r.doc_id].spans
     assert {r.entity for r in QUERIES["mint_tokens"](spark, folder).collect()} >= {v[2] for v in VALUES}
@@ -61,7 +61,7 @@ def test_restoring_leaves_out_what_is_cut_for_good(spark, folder):
     got = {r.doc_id: r.text for r in QUERIES["unmask_roundtrip"](spark, folder).collect()}
     cut = {i for i, t in texts.items() if t and "cvv" in t}
     assert got.keys() & cut == set() and all(got[i] == texts[i] for i in got) and got.keys() >= set(range(len(VALUES))) - cut
-    assert not [r for r in masking.vault_rows(spark, folder).collect() if r.entity in masking.CUT]
+    assert not [r for r in masking.vault_rows(masking.document_spans(spark, folder)).collect() if r.entity in masking.CUT]
 
 
 def test_base58_check(spark):
