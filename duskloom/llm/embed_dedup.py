@@ -1,14 +1,17 @@
 """Embedding near-deduplication by dual traversal of cover trees.
 
 On unit vectors cosine >= t is distance <= sqrt(2 - 2 t). Equal vectors are one class. Each label's classes are dealt to
-cells around pivots; a class also visits the cells that may hold a partner, by the balls and the bisecting planes of the
-pivots. Within a pair of cells two cover trees, nested nets with halving radii, are traversed together: a pair of nodes
-whose distance exceeds the threshold by more than both covering radii is pruned with all below it. The pairs of
-leaves that remain are decided by their cosine in double precision, so no pair is missed and none below it is given.
+cells around pivots, and a cell to parts of bounded size. The cover tree of each part is built once, by insertion, and
+written. A class also visits the parts of other cells in which it may have a partner, by the bisecting planes of the
+pivots; visitors meet a part in bounded groups with a tree of their own. Two trees, nested levels with halving radii, are
+traversed together: a pair of nodes whose distance exceeds the threshold by more than both covering radii is pruned with
+all below it. The pairs of leaves that remain are decided by their cosine in double precision, so no pair is missed and
+none below it is given.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,17 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import BROADCAST_KEYS, saved
 from .components import connected_components, contract
 
 COSINE = 0.93
 
-#: Classes in a cell, about; larger cells are cut by a hash. A pair of cells is one task's unit of work.
+#: Classes in a part of a cell, and visitors that meet it at once, about.
 CELL_ROWS = 2048
-#: Pivots of a label at most. Beyond CELL_ROWS times as many classes, cells are cut instead.
+#: Pivots of a label, and of all labels together, at most. Labels beyond them are cut by hash alone.
 PIVOTS = 512
-#: Radii of the nets below the root, whose ball has all unit vectors.
+ALL_PIVOTS = 8192
+#: Radii of the levels below the root, whose ball has all unit vectors.
 LEVELS = (1.0, 0.5, 0.25, 0.125)
+#: Centres in a row that cover nothing but themselves before a node is taken to have no structure at its radius.
+LONELY = 32
 #: Pairs that numpy holds at once.
 STEP_PAIRS = 1_000_000
 
@@ -35,8 +41,8 @@ _SLACK = 1e-6  # of distances, for rounding
 
 
 class CoverTree(NamedTuple):
-    """points: unit vectors. nodes[k]: places of level k's net, the next levels' nets hold it. children[k][i]: places in
-    nodes[k + 1] that level k's node i covers. radius[k][i]: the farthest of the points below it."""
+    """points: unit vectors. nodes[k]: places of level k's nodes, all of which are nodes of the next level too; the last level is all
+    points. children[k][i]: places in nodes[k + 1] that level k's node i covers. radius[k][i]: the farthest of the points below it."""
 
     points: np.ndarray
     nodes: list[np.ndarray]
@@ -44,42 +50,53 @@ class CoverTree(NamedTuple):
     radius: list[np.ndarray]
 
 
+def _from(points: np.ndarray, centre: int, members: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * points[members] @ points[centre]))
+
+
+def _split(points: np.ndarray, centre: int, members: np.ndarray, away: np.ndarray, limit: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Balls (centre, members, their distances) that cover a node's members: the node's own, then one for each point that none
+    has taken, inserted in turn. A centre's distances are taken to the points still open alone.
+
+    When LONELY centres in a row have taken nothing but themselves, each point left becomes a ball of its own: the covering radii, which
+    are all that pruning needs, stay true, and no more than LONELY distances a point are spent on what has no structure.
+    """
+    near = away <= limit
+    found, left, lonely = [(centre, members[near], away[near])], members[~near], 0
+    while len(left) and lonely < LONELY:
+        far = _from(points, left[0], left)
+        far[0] = 0.0
+        near = far <= limit
+        found.append((int(left[0]), left[near], far[near]))
+        lonely = lonely + 1 if near.sum() == 1 else 0
+        left = left[~near]
+    return found + [(int(p), np.array([p]), np.zeros(1)) for p in left.tolist()]
+
+
 def build(points: np.ndarray) -> CoverTree:
-    """A cover tree whose last level is all points; every node is among its own children."""
+    """A cover tree by insertion, from the root down; no distances but those of centres to their node's open points are taken."""
     n = len(points)
-    distance = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
-    np.fill_diagonal(distance, 0)
-    nodes = [np.zeros(min(n, 1), np.int64)]
-    parents: list[np.ndarray] = []  # of each level's nodes, as places in the level above
+    if not n:
+        return CoverTree(points, [np.zeros(0, np.int64)] * (len(LEVELS) + 2), [[] for _ in range(len(LEVELS) + 1)], [np.zeros(0)] * (len(LEVELS) + 2))
+    everything = np.arange(n)
+    away = _from(points, 0, everything)
+    away[0] = 0.0
+    level = [(0, everything, away)]
+    nodes, children, radius = [np.zeros(1, np.int64)], [], [np.array([away.max()])]
     for limit in LEVELS:
-        net = nodes[-1].tolist()
-        covered = (distance[net] <= limit).any(axis=0) if net else np.zeros(n, bool)
-        for at in np.flatnonzero(~covered).tolist():
-            if not covered[at]:
-                net.append(at)
-                covered |= distance[at] <= limit
-        parents.append(np.argmin(distance[np.ix_(net, nodes[-1])], axis=1) if net else np.zeros(0, np.int64))
-        nodes.append(np.array(net, np.int64))
-    parents.append(np.argmin(distance[:, nodes[-1]], axis=1) if n else np.zeros(0, np.int64))
-    nodes.append(np.arange(n))
-    for level, above in enumerate(parents):  # a node is its own child
-        place = {p: i for i, p in enumerate(nodes[level].tolist())}
-        own = [place.get(p, -1) for p in nodes[level + 1].tolist()]
-        parents[level] = np.where(np.array(own, np.int64) >= 0, own, above) if len(above) else above
-    children = [[np.flatnonzero(up == i) for i in range(len(nodes[level]))] for level, up in enumerate(parents)] if n < 64 else [_grouped(up, len(nodes[level])) for level, up in enumerate(parents)]
-    radius = [np.zeros(len(nodes[-1]))]
-    below = np.arange(n)  # the node of the current level above each point, as a place
-    for level in range(len(parents) - 1, -1, -1):
-        below = parents[level][below] if n else below
-        far = np.zeros(len(nodes[level]))
-        np.maximum.at(far, below, distance[nodes[level][below], np.arange(n)])
-        radius.append(far)
-    return CoverTree(points, nodes, children, radius[::-1])
-
-
-def _grouped(parents: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(parents, kind="stable")
-    return np.split(order, np.searchsorted(parents[order], np.arange(1, n)))
+        below, own = [], []
+        for centre, members, far in level:
+            balls = _split(points, centre, members, far, limit) if len(members) > 1 else [(centre, members, far)]
+            own.append(np.arange(len(below), len(below) + len(balls)))
+            below += balls
+        children.append(own)
+        nodes.append(np.array([c for c, _, _ in below], np.int64))
+        radius.append(np.array([d.max() for _, _, d in below]))
+        level = below
+    order = np.concatenate([m for _, m, _ in level])
+    ends = np.cumsum([len(m) for _, m, _ in level])
+    children.append(np.split(np.arange(n), ends[:-1]))
+    return CoverTree(points, [*nodes, order], children, [*radius, np.zeros(n)])
 
 
 def _descend(children_a: list[np.ndarray], children_b: list[np.ndarray], i: np.ndarray, j: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,8 +130,9 @@ def _distance(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
     return np.sqrt(np.maximum(0, 2 - 2 * cos))
 
 
-def near_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the points with cosine >= the threshold, less about 1e-6 of distance; each pair once if both trees are the same."""
+def near_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool, met: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the points with cosine >= the threshold, less about 1e-6 of distance; each pair once if both trees are the same.
+    met: gets the number of pairs of nodes looked at on each level."""
     limit = np.sqrt(2 - 2 * cosine) + _SLACK
     last = len(a.nodes) - 1
     if not len(a.points) or not len(b.points):
@@ -123,80 +141,70 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterato
     while todo:
         level, i, j = todo.pop()
         nodes_a, nodes_b = a.nodes[level], b.nodes[level]
+        if met is not None:
+            met[level] += len(i)
         far = _distance(a.points[nodes_a], b.points[nodes_b], i, j) > limit + a.radius[level][i] + b.radius[level][j]
         i, j = i[~far], j[~far]
         if level == last:
             if same:
                 i, j = i[i != j], j[i != j]
             if len(i):
-                yield i, j
+                yield nodes_a[i], nodes_b[j]
         elif len(i):
             for x, y in _descend(a.children[level], b.children[level], i, j, same):
                 if len(x):
                     todo.append((level + 1, x, y))
 
 
-def _cells(pivots: dict[int, np.ndarray], cuts: dict[tuple[int, int], int], limit: float, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each class to every pair of cells in which it may have a partner."""
+def _deal(pivots: dict[int, np.ndarray], limit: float, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each class with its cell, that of the nearest pivot, and the cells before it in which it may have a partner: those whose
+    bisecting plane with its own is no farther than the threshold. Without pivots: cell 0."""
     group = batch.column("grp").to_numpy()
-    node = batch.column("node").to_numpy()
-    vector = np.array(batch.column("unit").to_pylist(), dtype=object)
-    take, low, high, mine = [], [], [], []
+    unit = batch.column("unit")
+    cell, targets = np.zeros(len(group), np.int32), [[] for _ in range(len(group))]
     for g in np.unique(group):
+        p = pivots.get(int(g))
+        if p is None:
+            continue
         rows = np.flatnonzero(group == g)
-        x, p = np.array([vector[r] for r in rows], float), pivots[int(g)]
+        x = unit.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
         square = np.maximum(0, 2 - 2 * x @ p.T)
         home = np.argmin(square, axis=1)
         between = np.sqrt(np.maximum(1e-30, 2 - 2 * p @ p.T))
         plane = (square - square[np.arange(len(x)), home][:, None]) / (2 * between[home])
-        parts = np.array([cuts.get((int(g), c), 1) for c in range(len(p))])
-        first = np.cumsum(parts) - parts
-        cell = first[home] + node[rows] % parts[home]
-        i, c = np.nonzero((plane <= limit + _SLACK) | (np.arange(len(p)) == home[:, None]))
-        n = parts[c]
-        i, other = np.repeat(i, n), np.repeat(first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        take.append(rows[i])
-        mine.append(cell[i])
-        low.append(np.minimum(cell[i], other))
-        high.append(np.maximum(cell[i], other))
-    take, mine, low, high = (np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64) for parts in (take, mine, low, high))
-    taken = pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take)) for c in ("grp", "node", "size", "unit")], ["grp", "node", "size", "unit"])
-    return pa.RecordBatch.from_arrays([*taken.columns, pa.array(low), pa.array(high), pa.array(mine == low)], [*taken.schema.names, "low", "high", "is_low"])
-
-
-def _home(pivots: dict[int, np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
-    group, unit = batch.column("grp").to_numpy(), batch.column("unit").to_pylist()
-    home = np.zeros(len(group), np.int64)
-    for g in np.unique(group):
-        rows = np.flatnonzero(group == g)
-        home[rows] = np.argmax(np.array([unit[r] for r in rows], float) @ pivots[int(g)].T, axis=1)
-    return pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(home)], ["grp", "cell"])
-
-
-def _join_cells(table: pa.Table, cosine: float) -> pa.Table:
-    """The links of one pair of cells -> rows (node, links, a, b): other vectors that a node is linked to directly, or a contracted link."""
-    sides = []
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    is_low = table.column("is_low").to_numpy(zero_copy_only=False)
-    for side in (is_low,) if low == high else (is_low, ~is_low):
-        own = table.filter(pa.array(side))
-        unit = own.column("unit").combine_chunks()
-        flat = unit.flatten().to_numpy().reshape(len(unit), -1) if len(unit) else np.zeros((0, 1))
-        sides.append((own.column("node").to_numpy(), own.column("size").to_numpy(), build(flat)))
-    node_a, size_a, a = sides[0]
-    node_b, size_b, b = sides[-1]
+        cell[rows] = home
+        visited = (plane <= limit + _SLACK) & (np.arange(len(p)) < home[:, None])
+        for row, hit in zip(rows.tolist(), visited, strict=True):
+            targets[row] = np.flatnonzero(hit).tolist()
+    names = ["grp", "node", "size", "unit"]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(cell), pa.array(targets, pa.list_(pa.int32()))], [*names, "cell", "targets"])
+
+
+def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, CoverTree]:
+    unit = table.column("unit").combine_chunks()
+    return table.column("node").to_numpy(), table.column("size").to_numpy(), build(unit.flatten().to_numpy().reshape(len(unit), -1))
+
+
+def _planted(table: pa.Table) -> pa.Table:
+    """The tree of one part, as one row."""
+    return pa.table({"grp": table.column("grp").slice(0, 1), "cell": table.column("cell").slice(0, 1), "part": table.column("part").slice(0, 1), "tree": pa.array([pickle.dumps(_side(table), protocol=5)], pa.binary())})
+
+
+def _links(side_a: tuple, side_b: tuple, cosine: float, same: bool) -> pa.Table:
+    """The links between two trees, or within one -> rows (node, links, a, b): other vectors that a node is linked to directly, or a contracted link."""
+    (node_a, size_a, a), (node_b, size_b, b) = side_a, side_b
     count_a, count_b = np.zeros(len(node_a), np.int64), np.zeros(len(node_b), np.int64)
     links: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, j in near_pairs(a, b, cosine, low == high):
+    for i, j in near_pairs(a, b, cosine, same):
         for k in range(0, len(i), 65_536):
             x, y = i[k : k + 65_536], j[k : k + 65_536]
             enough = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= cosine
             x, y = x[enough], y[enough]
             if len(x):
                 np.add.at(count_a, x, size_b[y])
-                np.add.at(count_a if low == high else count_b, y, size_a[x])
+                np.add.at(count_a if same else count_b, y, size_a[x])
                 links.append(contract(node_a[x], node_b[y]))
-    found = [(node_a, count_a)] if low == high else [(node_a, count_a), (node_b, count_b)]
+    found = [(node_a, count_a)] if same else [(node_a, count_a), (node_b, count_b)]
     node, count = np.concatenate([n[c > 0] for n, c in found]), np.concatenate([c[c > 0] for _, c in found])
     x, y = contract(*[np.concatenate([link[s] for link in links]) for s in (0, 1)]) if links else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     gap_count, gap_link = pa.nulls(len(count), pa.int64()), pa.nulls(len(x), pa.int64())
@@ -206,42 +214,85 @@ def _join_cells(table: pa.Table, cosine: float) -> pa.Table:
     })
 
 
-def _pivots(classes: DataFrame, cell_rows: int, most: int) -> dict[int, np.ndarray]:
-    """Pivots for each group with more than cell_rows classes, chosen by hash from them: one for cell_rows classes, at most most."""
-    sizes = {r["grp"]: r["count"] for r in classes.groupBy("grp").count().filter(F.col("count") > cell_rows).collect()}
-    if not sizes:
+def _met(trees: pa.Table, visitors: pa.Table, cosine: float) -> pa.Table:
+    """A part's tree against a group of visitors."""
+    return _links(pickle.loads(trees.column("tree")[0].as_py()), _side(visitors), cosine, False)
+
+
+_FOUND = "node long, links long, a long, b long"
+
+
+def _alone(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Parts' trees against themselves."""
+    for batch in batches:
+        for tree in batch.column("tree"):
+            side = pickle.loads(tree.as_py())
+            yield from _links(side, side, cosine, True).to_batches()
+
+
+def _pivots(classes: DataFrame, cell_rows: int, most: int, everywhere: int) -> dict[int, np.ndarray]:
+    """Pivots of the largest labels, chosen by hash: one for cell_rows classes, at most most a label and everywhere in all."""
+    large = classes.groupBy("grp").count().filter(F.col("count") > cell_rows).orderBy(F.col("count").desc(), "grp").limit(everywhere).collect()
+    want, sizes, left = {}, {r["grp"]: r["count"] for r in large}, everywhere
+    for g, n in sizes.items():
+        if (k := min(most, -(-n // cell_rows), left)) > 1:
+            want[g], left = k, left - k
+    if not want:
         return {}
-    want = {g: min(most, -(-n // cell_rows)) for g, n in sizes.items()}
     draw = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1_000_000_000)) / 1e9
-    shares = classes.sparkSession.createDataFrame([(g, min(1.0, (4 * want[g] + 40) / sizes[g])) for g in sizes], "grp long, share double")
+    shares = classes.sparkSession.createDataFrame([(g, min(1.0, (4 * k + 40) / sizes[g])) for g, k in want.items()], "grp long, share double")
     rows = classes.join(F.broadcast(shares), "grp").filter(draw < F.col("share")).select("grp", "unit", draw.alias("draw")).collect()
     found: dict[int, np.ndarray] = {}
-    for g, n in want.items():
-        own = sorted((r["draw"], r["unit"]) for r in rows if r["grp"] == g)[:n]
-        found[g] = np.unique(np.array([u for _, u in own], float), axis=0) if own else np.array([classes.filter(F.col("grp") == g).select("unit").first()["unit"]], float)
+    for g, k in want.items():
+        own = sorted((r["draw"], r["unit"]) for r in rows if r["grp"] == g)[:k]
+        if own:
+            found[g] = np.unique(np.array([u for _, u in own], float), axis=0)
     return found
 
 
-def embedding_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> DataFrame:
-    """classes (grp long, node long, size long, unit array<double>) -> (node, links, a, b) rows, see _join_cells."""
-    spread = _pivots(classes, cell_rows, pivots)
-    schema = classes.select("grp", "node", "size", "unit").schema
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", low long, high long, is_low boolean"
+def _joined(rows: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the counts of their keys: broadcast when there are few enough, else both are shuffled by key."""
+    return rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, on)
+
+
+def embedding_links(classes: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS, all_pivots: int = ALL_PIVOTS) -> DataFrame:
+    """classes (grp long, node long, size long, unit array<double>) -> (node, links, a, b) rows, see _links.
+
+    A class visits only parts before its own: those of its cell with a lower number, and all parts of its target cells, so that each
+    pair meets once. A part has about cell_rows classes, and so many visitors meet it in one task.
+    """
+    spread = _pivots(classes, cell_rows, pivots, all_pivots)
+    limit = float(np.sqrt(2 - 2 * cosine))
     rows = classes.select("grp", "node", "size", "unit")
-    large = F.broadcast(classes.sparkSession.createDataFrame([(g,) for g in spread], "grp long")) if spread else None
-    alone = rows.join(large, "grp", "left_anti") if spread else rows
-    dealt = alone.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long"), "is_low": F.lit(True)})
+    names = "grp long, node long, size long, unit array<double>, cell int, targets array<int>"
     if spread:
         sent = classes.sparkSession.sparkContext.broadcast(spread)
-        many = rows.join(large, "grp", "left_semi")
-        homes = many.select("grp", "unit").mapInArrow(lambda it: (_home(sent.value, b) for b in it if b.num_rows), "grp long, cell long")
-        cuts = {(r["grp"], r["cell"]): -(-r["count"] // cell_rows) for r in homes.groupBy("grp", "cell").count().collect()}
-        limit = float(np.sqrt(2 - 2 * cosine))
-        dealt = dealt.union(many.mapInArrow(lambda it: (_cells(sent.value, cuts, limit, b) for b in it if b.num_rows), names))
-    return dealt.groupBy("grp", "low", "high").applyInArrow(lambda table: _join_cells(table, cosine), "node long, links long, a long, b long")
-
-
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> DataFrame:
+        dealt = saved(rows.mapInArrow(lambda it: (_deal(sent.value, limit, b) for b in it if b.num_rows), names))
+    else:
+        dealt = rows.withColumns({"cell": F.lit(0), "targets": F.array().cast("array<int>")})
+    cells = saved(dealt.groupBy("grp", "cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"), F.count("*").alias("n")))
+    homes = _joined(dealt, cells, ["grp", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    visits = homes.filter((F.size("targets") > 0) | (F.col("part") > 0)).select("grp", "node", "size", "unit", F.col("cell").alias("own"), F.col("part").alias("own_part"), F.explode(F.array_append("targets", F.col("cell"))).alias("cell"))
+    visits = _joined(visits, cells.select("grp", "cell", "parts"), ["grp", "cell"])
+    last = F.when(F.col("cell") == F.col("own"), F.col("own_part")).otherwise(F.col("parts")) - 1
+    visits = visits.withColumn("last", last).filter("last >= 0").select("grp", "cell", F.explode(F.sequence(F.lit(0), "last")).alias("part"), "node", "size", "unit")
+    met = homes.filter((F.col("n") > 1) | F.col("grp").isin(list(spread)))  # a class alone in its cell may still be visited
+    trees = saved(met.select("grp", "cell", "part", "node", "size", "unit").groupBy("grp", "cell", "part").applyInArrow(_planted, "grp long, cell int, part int, tree binary"))
+    alone = trees.select("tree").mapInArrow(lambda it: _alone(it, cosine), _FOUND)
+    if not spread and cells.filter("parts > 1").isEmpty():
+        return alone
+    groups = saved(visits.groupBy("grp", "cell", "part").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("groups")))
+    keys = ["grp", "cell", "part", "group"]
+    asked = _joined(visits, groups, keys[:3]).withColumn("group", F.pmod(F.xxhash64("node", F.lit("visit")), "groups").cast("int")).select(*keys, "node", "size", "unit")
+    offered = _joined(trees, groups, keys[:3]).select(*keys[:3], F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "tree")
+    between = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda t, v: _met(t, v, cosine) if t.num_rows and v.num_rows else _NOTHING, _FOUND)
+    return alone.union(between)
+
+
+_NOTHING = pa.table({name: pa.nulls(0, pa.int64()) for name in ("node", "links", "a", "b")})
+
+
+def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS, all_pivots: int = ALL_PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per row of vectors (vec_id, embedding, label).
 
     Only rows of equal, non-null labels and equal lengths link, when their cosine in double precision is at least the
@@ -261,7 +312,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
     classes = unit.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"), F.min("label").alias("label"), F.min("unit").alias("unit"))
     grouped = classes.withColumn("grp", F.xxhash64("label", F.size("unit")))
     classes = saved(grouped)
-    found = saved(embedding_links(classes, cosine, cell_rows, pivots))
+    found = saved(embedding_links(classes, cosine, cell_rows, pivots, all_pivots))
     roots = connected_components(found.filter("a IS NOT NULL").select("a", "b"))
     counts = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("key", "node", "size").join(counts, "node", "left").join(roots, "node", "left")

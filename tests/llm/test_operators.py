@@ -361,6 +361,33 @@ def test_embedding_dedup(spark, cell_rows):
     assert embed_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("all_pivots", [8192, 8, 0])
+def test_embedding_dedup_of_large_labels(spark, all_pivots):
+    """Several labels beyond a cell, ids with a common factor, and more labels than there are pivots for."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    rows = [(64 * i, (centres[i % 6] + rng.normal(size=8) * [0.05, 0.2, 1.0][i % 3]).astype(np.float32).tolist(), i % 4) for i in range(400)]
+    got = embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), cell_rows=20, all_pivots=all_pivots)
+    assert sorted(tuple(r) for r in got.collect()) == brute_vectors(rows)
+
+
+def test_cover_tree_prunes_clusters_and_covers():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    points = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.05
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    tree, met = embed_dedup.build(points), [0] * (len(embed_dedup.LEVELS) + 2)
+    found = sum(len(i) for i, _ in embed_dedup.near_pairs(tree, tree, 0.93, True, met))
+    assert found >= 40 * 50 * 49 // 2 and sum(met) < 2000 * 1999 // 2 / 8
+    for k, radius in enumerate(tree.radius):  # every point lies within its node's radius, on each level
+        below = [np.array([i]) for i in range(len(tree.nodes[-1]))]
+        for level in range(len(tree.children) - 1, k - 1, -1):
+            below = [np.concatenate([below[c] for c in own]) for own in tree.children[level]]
+        for node, far, leaves in zip(tree.nodes[k], radius, below, strict=True):
+            assert np.linalg.norm(points[tree.nodes[-1][leaves]] - points[node], axis=1).max() <= far + 1e-6
+    assert len(embed_dedup.build(points[:0]).points) == 0 and len(embed_dedup.build(points[:1]).nodes[-1]) == 1
+
+
 def test_cover_tree_pairs_are_exact():
     rng = np.random.default_rng(3)
     points = rng.normal(size=(300, 6))
