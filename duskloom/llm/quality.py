@@ -1,13 +1,17 @@
 """Quality classifier by positive-unlabelled learning (Kiryo et al., 2017).
 
-Trusted positives and unlabelled web text train a linear model over dense text features: gradient steps minimise the
-non-negative unbiased risk of the logistic loss, given an estimated class prior. Each whole text is read once, for its
-features; the score is a DataFrame expression over them.
+Trusted positives and unlabelled web text train a linear model over dense text features. With the logistic loss the
+unbiased risk is prior * (-E_p[g]) + E_u[log(1 + e^g)], a convex function, so a few Newton steps minimise it; where the
+part that stands for the negatives' risk falls below zero, steps go against its gradient instead (the non-negative
+risk). The class prior is estimated from positives and unlabelled rows alone. All expectations are sums over all rows,
+gathered by tasks as small arrays: nothing is sampled. Each whole text is read once, for its features; the score is a
+DataFrame expression over them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 from operator import eq
 from typing import NamedTuple
 
@@ -16,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, saved
+from .common import BROADCAST_KEYS, crc_mod, map_batches, saved
 
-#: Trusted positives, and unlabelled rows, that the driver gets the features of, about: those with the least hashes.
-POSITIVES = 20_000
-UNLABELLED = 20_000
-#: Labelled rows that the class prior is estimated from, about.
-PRIOR_ROWS = 20_000
+#: Newton steps at most, and the step of all weights below which they end.
+STEPS, SETTLED = 12, 1e-4
+#: Weight decay of the risk.
+DECAY = 1e-3
+#: Bins of a projection in which the class prior is looked for, and the least share of positives a tail must hold.
+BINS, TAIL = 512, 0.1
 
 THRESHOLD = 0.3
 
@@ -70,44 +75,105 @@ class Model(NamedTuple):
     prior: float
 
 
-def _soft(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, x)
+#: What a task's sums are made from: rows of FEATURES and whether each is a trusted positive -> a flat array.
+Sums = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _rise(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(x / 2))
+def gathered(rows: DataFrame, sums: Sums) -> np.ndarray:
+    """The sums over all rows of measured (FEATURES, trusted). A task gives one array; arrays are added place by place in a shuffle, and
+    the driver gets one number a place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([batch.column(f).to_numpy() for f in FEATURES])
+                own = sums(x, batch.column("trusted").to_numpy(zero_copy_only=False))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.record_batch({"place": pa.array(np.arange(len(total)), pa.int32()), "part": pa.array(total, pa.float64())})
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Adam steps on the non-negative risk prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), l the logistic loss.
+    parts = rows.select(*FEATURES, "trusted").mapInArrow(run, "place int, part double").groupBy("place").agg(F.sum("part").alias("part")).collect()
+    return np.array([r["part"] for r in sorted(parts, key=lambda r: r["place"])])
 
-    While the second part is negative, steps go against its gradient alone, as the method has it. Without rows of either
-    kind all scores are the prior.
+
+def gathered_here(x: np.ndarray, trusted: np.ndarray) -> Callable[[Sums], np.ndarray]:
+    return lambda sums: sums(x, trusted)
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from two histograms over one projection.
+
+    A share of unlabelled rows in any region is at least the prior times the positives' share there, so the least quotient over the
+    projection's upper tails bounds the prior from above, and where negatives are rare it is near it (Scott, 2015). Tails with less
+    than TAIL of the positives are left out, and the counts' own uncertainty is allowed for.
+    """
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    share_p, share_u = np.cumsum(positive[::-1]) / n_p, np.cumsum(unlabelled[::-1]) / n_u
+    wide = share_p >= TAIL
+    return float(np.clip(np.min((share_u[wide] + 1 / np.sqrt(n_u)) / share_p[wide]), 0.01, 0.99))
+
+
+def fit(over: Callable[[Sums], np.ndarray], prior: float | None = None) -> Model:
+    """A model from sums over all rows: over(sums) adds up sums(features, trusted).
+
+    Passes: one for mean and covariance, one for the prior's histograms unless it is given, then one a Newton step. Without trusted or without
+    any rows all scores are the prior, 0.5 unless given.
     """
-    width = positive.shape[1] if len(positive) else unlabelled.shape[1] if len(unlabelled) else len(FEATURES)
-    odds = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    if not len(positive) or not len(unlabelled):
-        return Model([0.0] * width, [1.0] * width, [0.0] * width, odds, prior)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
-    scale[scale < 1e-12] = 1.0
-
-    def made(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
-
-    p, u = made(positive), made(unlabelled)
-    w = np.zeros(width + 1)
-    w[-1] = odds
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        away_p, away_u = p.T @ _rise(gp) / len(p), u.T @ _rise(gu) / len(u)
-        negative = _soft(gu).mean() - prior * _soft(gp).mean()
-        slope = away_u - prior * away_p
-        grad = -prior * (p.T @ _rise(-gp)) / len(p) + slope if negative >= 0 else -slope
-        grad = grad + decay * np.append(w[:-1], 0)
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return Model(mean.tolist(), scale.tolist(), w[:-1].tolist(), float(w[-1]), prior)
+    width = len(FEATURES)
+
+    def moments(x: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        p = x[trusted]
+        return np.concatenate([[len(x), len(p)], x.sum(axis=0), p.sum(axis=0), (x.T @ x).ravel()])
+
+    found = over(moments)
+    n_u, n_p = found[:2] if len(found) else (0.0, 0.0)
+    if not n_p:
+        share = 0.5 if prior is None else prior
+        return Model([0.0] * width, [1.0] * width, [0.0] * width, float(np.log(share / (1 - share))), share)
+    mean, mean_p = found[2 : 2 + width] / n_u, found[2 + width : 2 + 2 * width] / n_p
+    covariance = found[2 + 2 * width :].reshape(width, width) / n_u - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(covariance), 0))
+    scale[scale < 1e-9] = 1.0
+    if prior is None:
+        inner = covariance / np.outer(scale, scale) + 0.01 * np.eye(width)
+        axis = np.linalg.solve(inner, (mean_p - mean) / scale)
+
+        def histograms(x: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+            at = _standard(x, mean, scale)[:, :-1] @ axis / max(float(np.sqrt(axis @ inner @ axis)), 1e-12)
+            bins = np.clip(((at + 8) * BINS / 16).astype(np.int64), 0, BINS - 1)
+            return np.concatenate([np.bincount(bins[trusted], minlength=BINS), np.bincount(bins, minlength=BINS)]).astype(float)
+
+        both = over(histograms)
+        prior = estimated_prior(both[:BINS], both[BINS:])
+    w = np.append(np.zeros(width), np.log(prior / (1 - prior)))
+    ridge = DECAY * np.append(np.ones(width), 0)
+
+    def sums(x: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        z = _standard(x, mean, scale)
+        g = z @ w
+        rise = 0.5 * (1 + np.tanh(g / 2))
+        p = z[trusted]
+        return np.concatenate([z.T @ rise, p.sum(axis=0), p.T @ rise[trusted], [np.logaddexp(0, g).sum(), np.logaddexp(0, g[trusted]).sum()], ((z * (rise * (1 - rise))[:, None]).T @ z).ravel()])
+
+    for _ in range(STEPS):
+        found, k = over(sums), width + 1
+        rise_u, mean_z, rise_p, (loss_u, loss_p), bend = found[:k] / n_u, found[k : 2 * k] / n_p, found[2 * k : 3 * k] / n_p, found[3 * k : 3 * k + 2], found[3 * k + 2 :].reshape(k, k) / n_u
+        hessian = bend + np.diag(ridge) + 1e-9 * np.eye(k)
+        negative = loss_u / n_u - prior * loss_p / n_p
+        # the negatives' part below zero: against its gradient, else down the whole risk
+        step = np.linalg.solve(hessian, prior * rise_p - rise_u if negative < 0 else rise_u - prior * mean_z + ridge * w)
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        w = w - step
+        if np.abs(step).max() < SETTLED:
+            break
+    return Model(mean.tolist(), scale.tolist(), w[:-1].tolist(), float(w[-1]), float(prior))
 
 
 def score_of(model: Model) -> Column:
@@ -118,32 +184,17 @@ def score_of(model: Model) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def about(rows: DataFrame, key: str, bound: int, salt: str) -> DataFrame:
-    """About bound rows at most, chosen by a hash of key."""
-    n = rows.count()
-    if n <= bound:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1_000_000)) < round(1e6 * bound / n))
-
-
-def _matrix(rows: DataFrame) -> np.ndarray:
-    return np.array([list(r) for r in rows.select(*FEATURES).collect()], float).reshape(-1, len(FEATURES))
-
-
 def learn(measured: DataFrame, labels: DataFrame, label: str = "quality", prior: float | None = None) -> Model:
     """A model from features by doc_id and labels (doc_id, label 0/1) that may be learned from.
 
-    Trusted positives are rows labelled 1; all rows count as unlabelled. The prior is the share of 1 among the labelled
-    rows, unless given. Labels that are null or have a null doc_id are left out. Samples are bounded by POSITIVES,
-    UNLABELLED and PRIOR_ROWS.
+    Trusted positives are rows labelled 1; all rows count as unlabelled, and no other label is read. The prior is estimated from
+    both unless given. Labels that are null or have a null doc_id are left out; rows that repeat a doc_id are trusted alike.
     """
-    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    if prior is None:
-        share = about(usable, "doc_id", PRIOR_ROWS, "prior").agg(F.avg("label")).first()[0]
-        prior = 0.5 if share is None else float(share)
-    trusted = about(usable.filter("label = 1").select("doc_id").distinct(), "doc_id", POSITIVES, "positive")
-    positive = _matrix(measured.join(F.broadcast(trusted), "doc_id", "left_semi"))
-    return fit(positive, _matrix(about(measured, "doc_id", UNLABELLED, "unlabelled")), prior)
+    trusted = saved(labels.filter((F.col(label).cast("int") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted_id")).distinct())
+    few = trusted.count() <= BROADCAST_KEYS
+    marked = measured.join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull())
+    rows = marked.select(*FEATURES, "trusted") if few else saved(marked.select(*FEATURES, "trusted"))
+    return fit(lambda sums: gathered(rows, sums), prior)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tools.compare import rows_of
 
-from duskloom.llm import bpe, components, embed_dedup, exact_dedup, langid, license_rules, license_scan, mixing, quality, queries, simhash, toxicity, url_filter
+from duskloom.llm import bpe, common, components, embed_dedup, exact_dedup, langid, license_rules, license_scan, mixing, quality, queries, simhash, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fp long, __extra string"
 A_LOT = "word " * 30_000
@@ -281,17 +282,52 @@ def test_quality_on_held_out_labels(spark, odd, none):
     got = quality.quality_scores(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert area(got.score.values, got.quality.values) > 0.97
     empty = labels.limit(0)
-    assert {r.predicted for r in quality.quality_scores(odd, empty).collect()} == {1} and quality.quality_scores(none, empty).count() == 0
+    assert {(r.score, r.predicted) for r in quality.quality_scores(odd, empty).collect()} == {(0.5, 1)} and quality.quality_scores(none, empty).count() == 0
     assert all(0 <= r.score <= 1 for r in quality.quality_scores(odd, labels).collect())
     assert len(quality.features(A_LOT)) == len(quality.FEATURES) and not any(quality.features(None) + quality.features(" "))
 
 
+def rows_like(rng, n, at):
+    return rng.normal(at, 1, (n, len(quality.FEATURES)))
+
+
 def test_nnpu_separates_without_negatives():
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(1, 1, (3000, 2)), rng.normal(-1.5, 1, (1000, 2))
-    model = quality.fit(good[:1500], np.vstack([good[1500:], bad[:500]]), 0.75)
-    score = lambda x: ((x - model.mean) / model.scale) @ np.array(model.weights) + model.bias
-    assert (score(good[1500:]) > 0).mean() > 0.9 and (score(bad[500:]) < 0).mean() > 0.85
+    good, bad = rows_like(rng, 3000, 0.4), rows_like(rng, 1000, -0.6)
+    x, trusted = np.vstack([good, bad]), np.arange(4000) < 1500
+    model = quality.fit(quality.gathered_here(x, trusted))
+    assert abs(model.prior - 0.75) < 0.08
+    score = lambda x: np.clip((x - model.mean) / model.scale, -8, 8) @ np.array(model.weights) + model.bias
+    assert (score(good[1500:]) > 0).mean() > 0.9 and (score(bad) < 0).mean() > 0.85
+
+
+def test_nnpu_is_the_least_risk():
+    """Newton steps against plain descent on the risk by finite differences, at a given prior."""
+    rng = np.random.default_rng(8)
+    x, trusted, prior = np.vstack([rows_like(rng, 300, 0.2), rows_like(rng, 200, -0.2)]), np.arange(500) < 200, 0.6
+    model = quality.fit(quality.gathered_here(x, trusted), prior)
+    z = np.column_stack([np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8), np.ones(500)])
+
+    def risk(w):
+        g = z @ w
+        away = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[trusted]).mean()
+        return prior * np.logaddexp(0, -g[trusted]).mean() + away + quality.DECAY / 2 * (w[:-1] ** 2).sum(), away
+
+    w = np.append(model.weights, model.bias)
+    least, away = risk(w)
+    assert away >= 0 and all(risk(w + d)[0] >= least - 1e-6 for d in np.vstack([np.eye(16), -np.eye(16)]) * 0.01)
+
+
+def test_quality_sums_are_those_of_all_rows(spark):
+    """Every row counts, whatever its doc_id: a flood of rows with a null id, repeated ids, many partitions."""
+    rng = np.random.default_rng(9)
+    docs = [(None if i % 3 else i, " ".join(rng.choice(["good", "Text", "1", "!!", "word."], size=1 + i % 40)), "en", "a") for i in range(600)]
+    measured = quality.with_features(table(spark, docs)).repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(0, 600, 3)], "doc_id long, quality int")
+    model = quality.learn(measured, labels)
+    x = np.array([quality.features(t) for _, t, _, _ in docs])
+    want = quality.fit(quality.gathered_here(x, np.array([i is not None and i % 2 == 0 for i, _, _, _ in docs])))
+    assert np.allclose(model.weights, want.weights, atol=1e-6) and abs(model.bias - want.bias) < 1e-6 and abs(model.prior - want.prior) < 1e-9
 
 
 def test_toxicity_on_held_out_labels(spark, odd, none):
@@ -315,6 +351,35 @@ def test_boosting_and_calibration():
     assert len(toxicity.boost(np.zeros((0, 3)), np.zeros(0)).sums(x[:2])) == 2
 
 
+def test_toxicity_lexicon_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["fool", "foolish", "tree", "house", "you", "rain"][(0 if i % 3 == 0 else 2):]) for _ in range(6)), int(i % 3 == 0), i % 12) for i in range(120)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int, part long").repartition(3)
+    counts = toxicity.word_counts(sample)
+    sizes = Counter((p % 2, y) for _, _, y, p in rows)
+    for halves in ((0, 1), (0,), (1,)):
+        own = [(set(t.split()) | {w[:n] + "*" for w in t.split() for n in toxicity.BEGINNINGS if len(w) > n}, y) for _, t, y, p in rows if p % 2 in halves]
+        n = [sum(y == k for _, y in own) for k in (0, 1)]
+        want = dict.fromkeys(toxicity.INSULTS, 1.0)
+        for word in set().union(*[w for w, _ in own]):
+            kind, hits = ("beginning" if word.endswith("*") else "word"), [sum(word in w and y == k for w, y in own) for k in (0, 1)]
+            weight = np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1))
+            if hits[1] >= toxicity.SUPPORT[kind] and weight >= np.log(toxicity.LIFT[kind]):
+                want[word] = weight
+        assert toxicity.learn_lexicon(counts, sizes, halves) == toxicity.Lexicon(want) or toxicity.features("fool foolish tree you", toxicity.learn_lexicon(counts, sizes, halves)) == pytest.approx(toxicity.features("fool foolish tree you", toxicity.Lexicon(want)))
+
+
+def test_samples_never_vanish_and_labels_beyond_two(spark):
+    rows = spark.range(20_000)
+    assert 800 < common.sampled(rows, 1000, "id", salt="x").count() < 1200 and common.sampled(rows, 20_000, "id", salt="x").count() == 20_000
+    share = F.lit(20_000 / 5e10)  # of fifty billion rows
+    assert (share * common.GRAINS).cast("long") is not None and spark.range(1).select((F.lit(20_000 / 5e10) * common.GRAINS).cast("long")).first()[0] > 10**12
+    docs = table(spark, [(i, "you fool" if i % 2 else "rain", "en", "a") for i in range(60)] + [(7, "you fool", "en", "a")] * 500 + [(None, "you fool", "en", "a")] * 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 2), (4, None), (None, 1)] + [(7, 1)] * 300, "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == 610 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_toxicity_features():
     lexicon = toxicity.Lexicon({"idiot": 2.0, "blor*": 3.0})
     got = dict(zip(toxicity.FEATURES, toxicity.features("You are an IDIOT, blorfen! 1d1ot id1ot", lexicon), strict=True))
