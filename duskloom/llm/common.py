@@ -43,6 +43,21 @@ def with_checkpoints(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: Grains of a draw by hash: so many that a share is never rounded to nothing.
+GRAINS = 1 << 62
+
+
+def drawn(share: Column, *keys: Column | str, salt: str) -> Column:
+    """Whether a row is in a sample of so large a share, by a hash of its keys."""
+    return F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(GRAINS)) < F.least(share, F.lit(1.0)) * GRAINS
+
+
+def sampled(rows: DataFrame, bound: int, *keys: Column | str, salt: str) -> DataFrame:
+    """All rows, or about bound of them, chosen by a hash of keys. Rows with equal keys are drawn together: make them distinct first."""
+    n = rows.count()
+    return rows if n <= bound else rows.filter(drawn(F.lit(bound / n), *keys, salt=salt))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written once to the shared checkpoint folder: computed once, and kept when executors are lost."""
     with_checkpoints(df.sparkSession)

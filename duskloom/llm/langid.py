@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, map_batches
+from .common import crc_mod, drawn, map_batches
 
 #: N-grams have 1 to 3 letters, a blank before and after each word counting as one; a blank alone isn't an n-gram.
 #: N-grams in a profile and in a document's list.
@@ -100,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_profiles(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles from rows (doc_id, text, lang). About docs_a_language rows of a language, chosen by a hash of doc_id, are read whole.
+    """Profiles from rows (doc_id, text, lang). About docs_a_language rows of a language, chosen by a hash of doc_id and text, are read whole.
 
     Rows with a null lang are left out. The driver gets size n-grams a language.
     """
@@ -109,8 +109,7 @@ def learn_profiles(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE,
     if not sizes:
         return {}
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(docs_a_language / r["count"])) for r in sizes])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.filter(draw < share).select("lang", F.col("text").cast("string"))
+    chosen = rows.filter(drawn(share, F.col("doc_id").cast("string"), "text", salt="profile")).select("lang", F.col("text").cast("string"))
     counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).collect()

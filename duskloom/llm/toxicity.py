@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, saved
-from .quality import about
+from .common import crc_mod, map_batches, sampled, saved
 
 #: Labelled rows that the model is fitted on, about: those with the least hashes. Their texts are read whole.
 LABELLED = 20_000
@@ -194,22 +193,31 @@ class Model(NamedTuple):
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """Documents of each kind (half, label) that hold a word or begin one."""
+    kinds = [(half, label) for half in (0, 1) for label in (0, 1)]
+    seen = {kind: Counter() for kind in kinds}
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+        for text, label, part in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), batch.column("part").to_pylist(), strict=True):
             words = set(_WORD.findall(text.lower())) if text else set()
-            seen[label].update(words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n})
-    words = list(seen[0].keys() | seen[1].keys())
-    yield pa.record_batch({"word": pa.array(words, pa.string()), "clean": pa.array([seen[0][w] for w in words], pa.int64()), "toxic": pa.array([seen[1][w] for w in words], pa.int64())})
-
-
-def learn_lexicon(sample: DataFrame, words: int = WORDS) -> Lexicon:
-    """Words and beginnings with their smoothed log ratio of shares among toxic and other documents of sample (text, label 0/1)."""
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    counts = sample.select("text", "label").mapInArrow(_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    weighed = counts.withColumn("weight", weight)
+            seen[part % 2, label].update(words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n})
+    words = list(set().union(*seen.values()))
+    yield pa.record_batch([pa.array(words, pa.string()), *[pa.array([seen[k][w] for w in words], pa.int64()) for k in kinds]], ["word", *[f"n{h}{y}" for h, y in kinds]])
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """sample (text, label 0/1, part) -> word, n00, n01, n10, n11: documents with it by half (part mod 2) and label. Written once."""
+    names = [f"n{h}{y}" for h in (0, 1) for y in (0, 1)]
+    counts = sample.select("text", "label", "part").mapInArrow(_words, "word string, " + ", ".join(f"{n} long" for n in names))
+    return saved(counts.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]))
+
+
+def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...] = (0, 1), words: int = WORDS) -> Lexicon:
+    """Words and beginnings with their smoothed log ratio of shares among toxic and other documents of these halves. sizes: documents
+    by half and label."""
+    clean, toxic = (sum(sizes.get((h, y), 0) for h in halves) for y in (0, 1))
+    own_clean, own_toxic = (sum((F.col(f"n{h}{y}") for h in halves), F.lit(0)) for y in (0, 1))
+    weight = F.log((own_toxic + 0.5) / (toxic + 1)) - F.log((own_clean + 0.5) / (clean + 1))
+    weighed = counts.select("word", own_toxic.alias("toxic"), weight.alias("weight"))
     kinds = {"word": ~F.col("word").endswith("*"), "beginning": F.col("word").endswith("*")}
     weights = dict.fromkeys(sorted(INSULTS), 1.0)
     for kind, own in kinds.items():
@@ -223,13 +231,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
     About bound labelled rows are read, whole. A hash cuts them in two: each half is measured with the lexicon of the other, as
     no density may come from a lexicon that has seen it. Trees fitted on all folds but one give the sums of that one, on which
-    the calibration is fitted. The model's own lexicon and trees are those of all rows. Labels that are null or have a null doc_id are left out.
+    the calibration is fitted. The model's own lexicon and trees are those of all rows. Labels other than 0 and 1, and those of a null doc_id, are left out;
+    rows that repeat count once.
     """
-    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = F.broadcast(about(usable, "doc_id", bound, "toxic"))
+    usable = labels.filter(F.col(label).cast("int").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    chosen = F.broadcast(sampled(usable, bound, "doc_id", "label", salt="toxic"))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(12))
-    sample = saved(docs.select("doc_id", F.col("text").cast("string")).join(chosen, "doc_id").withColumn("part", part))
-    other = [learn_lexicon(sample.filter(F.col("part") % 2 != half)) for half in (0, 1)]
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(chosen, "doc_id").withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "label", "digest"])
+    sample = saved(sampled(saved(rows), 2 * bound, "doc_id", "digest", salt="texts").drop("digest").withColumn("part", part))
+    counts = word_counts(sample)
+    sizes = {(r["half"], r["label"]): r["count"] for r in sample.groupBy((F.col("part") % 2).cast("int").alias("half"), "label").count().collect()}
+    other = [learn_lexicon(counts, sizes, (1 - half,)) for half in (0, 1)]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = batch.column("part").to_pylist()
@@ -243,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     sums = np.zeros(len(rows))
     for k in range(FOLDS):
         sums[fold == k] = boost(x[fold != k], y[fold != k]).sums(x[fold == k])
-    return Model(learn_lexicon(sample), boost(x, y), *isotonic(sums, y))
+    return Model(learn_lexicon(counts, sizes), boost(x, y), *isotonic(sums, y))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
