@@ -302,12 +302,13 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a lambda works out anew for every element what it takes from outside
     largest = F.array_max(F.transform("v", F.abs))  # scaling by it keeps squares from over- and underflow
-    scaled = F.transform("v", lambda x: x / F.col("largest"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("usable", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))).withColumn("largest", F.when(F.col("usable"), largest))
-    usable = rows.filter("usable AND largest > 0").withColumn("v", scaled)
-    unit = usable.withColumn("norm", norm).select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+    scaled = once(F.struct("v", largest.alias("top")), lambda b: F.transform(b["v"], lambda x: x / b["top"]))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    normed = once(scaled, lambda v: once(F.struct(v.alias("v"), length(v).alias("norm")), lambda b: F.transform(b["v"], lambda x: x / b["norm"])))
+    known = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    unit = rows.filter(known).select("vec_id", "label", normed.alias("unit"))
     unit = saved(unit.withColumn("key", F.sha2(F.concat_ws(",", F.col("label"), F.to_json("unit")), 256)))
     classes = unit.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"), F.min("label").alias("label"), F.min("unit").alias("unit"))
     grouped = classes.withColumn("grp", F.xxhash64("label", F.size("unit")))
@@ -318,7 +319,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
     named = classes.select("key", "node", "size").join(counts, "node", "left").join(roots, "node", "left")
     named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     linked = unit.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
-    loose = rows.filter(~F.coalesce(F.col("usable") & (F.col("largest") > 0), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    loose = rows.filter(~known).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(loose).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
