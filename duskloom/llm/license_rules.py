@@ -1,4 +1,5 @@
-"""Signature rules for licence wording, in order of priority, made from a table of licences and a few ways of wording.
+"""Signature rules for licence wording, in order of priority: hand-written signatures of bodies and notices, and mentions made from
+a table of licences and a few ways of wording.
 
 Patterns are written over lower-case words with one blank between them; punctuation is no word, so "CC BY-NC 4.0" reads
 "cc by nc 4 0". They use no look-around, so that any regular-expression engine runs them alike.
@@ -9,6 +10,8 @@ from __future__ import annotations
 from functools import lru_cache
 from typing import NamedTuple
 
+from .license_signatures import BODIES
+
 
 class Rule(NamedTuple):
     priority: int  # 1 first
@@ -17,15 +20,9 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: Confidence of a detection by its priority: tag, grant, name with version, bare name.
+#: Confidence of a detection by its priority: tag; grant, body or notice; name with version; bare name.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.75, 4: 0.6}
 
-#: A text needs one of these or of UNGATED before any rule is tried; each pattern below can't match without one.
-GATES = ("licen", "spdx", " under ", "public  domain", "copyright")
-
-#: Keywords of the rules that match without one of GATES. The SQL gates by GATES alone, so it has less where only these stand.
-UNGATED = (" cc0 ", " nasa ")
-
 #: label, keyword, name as a pattern, words that may end the name, versions.
 #: The name alone, or with its ending, is a mention; a version makes a label of its own.
 LICENCES: list[tuple[str, str, str, str, tuple[str, ...]]] = [
@@ -155,7 +152,7 @@ def _rules(licence: tuple[str, str, str, str, tuple[str, ...]]) -> list[Rule]:
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """Every rule, the first priority first."""
-    found = [rule for licence in LICENCES for rule in _rules(licence)]
+    found = [rule for licence in LICENCES for rule in _rules(licence)] + [Rule(2, *body) for body in BODIES]
     return tuple(sorted(dict.fromkeys(found), key=lambda r: r.priority))
 
 

@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules, in DataFrame functions alone.
 
-The text becomes its words with a blank on either side of each. A few literals decide whether a text can hold a licence
-at all; the keywords in it select the rules whose regular expressions run. A detection is suppressed when one of the
+A text is cut into its words once. The keywords among them select the rules whose regular expressions run, over the words with
+a blank on either side of each; a text without any keyword runs none. A detection is suppressed when one of the
 same or a higher priority that starts no later contains its interval.
 """
 
@@ -28,9 +28,14 @@ _SPAN = "struct<s:int,ne:int,t:int,l:string>"
 _RULES = "array<struct<k:string,r:array<struct<p:string,t:int,l:string>>>>"
 
 
-def spaced_words(text: Column) -> Column:
-    """' w1  w2 ' for the words of the text, A-Z lower-cased; '' without words."""
-    bare = F.trim(F.regexp_replace(ascii_lower(text), SEPARATORS, "  "))
+def words_of(text: Column) -> Column:
+    """The words of the text, A-Z lower-cased; an empty string may stand first or last."""
+    return F.split(ascii_lower(text), SEPARATORS)
+
+
+def spaced(words: Column) -> Column:
+    """' w1  w2 ' for words; '' without any."""
+    bare = F.trim(F.array_join(words, "  "))
     return F.when(bare == "", F.lit("")).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
 
 
@@ -43,7 +48,7 @@ def _by_keyword() -> Column:
     groups: dict[str, list[dict]] = {}
     for rule in license_rules.rules():
         groups.setdefault(rule.keyword, []).append({"p": license_rules.spaced(rule.pattern), "t": rule.priority, "l": rule.label})
-    return F.from_json(F.lit(json.dumps([{"k": f" {k} ", "r": v} for k, v in groups.items()])), _RULES)
+    return F.from_json(F.lit(json.dumps([{"k": k, "r": v} for k, v in groups.items()])), _RULES)
 
 
 def _detections(spaced: Column, rule: Column) -> Column:
@@ -60,13 +65,11 @@ def _detections(spaced: Column, rule: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
 
 
-def detections(spaced: Column) -> Column:
-    """All detections of all rules in text order, longer before shorter, then by priority, as array<struct<s,ne,t,l>>."""
-    groups = F.filter(_by_keyword(), lambda g: F.contains(spaced, g["k"]))
+def detections(spaced: Column, keys: Column) -> Column:
+    """All detections of the rules with one of these keywords in text order, longer before shorter, then by priority, as array<struct<s,ne,t,l>>."""
+    groups = F.filter(_by_keyword(), lambda g: F.array_contains(keys, g["k"]))
     tried = F.filter(F.flatten(F.transform(groups, lambda g: g["r"])), lambda r: F.rlike(spaced, r["p"]))
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform(tried, lambda r: _detections(spaced, r)))))
-    gate = reduce(lambda a, b: a | b, [F.contains(spaced, F.lit(g)) for g in license_rules.GATES + license_rules.UNGATED])
-    return F.when(gate, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(tried, lambda r: _detections(spaced, r)))))
 
 
 def kept_detections(found: Column) -> Column:
@@ -89,10 +92,21 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     One row per row of docs (doc_id, text). Null and empty texts have no words and no detections; rows that repeat are
     scanned alike; a detection that several rules of one label and priority give counts once. Other columns aren't read.
     """
-    words = docs.select("doc_id", spaced_words(F.col("text")).alias("w"))
-    base = F.when(F.contains("w", F.lit("license")), F.regexp_extract_all("w", F.lit(_BASE_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    keywords = F.lit(sorted({r.keyword for r in license_rules.rules()} | {"license"}))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a lambda works out anew for every element what it takes from outside
+    edges = lambda w: (F.get(w, F.lit(0)) == "").cast("int") + ((F.element_at(w, -1) == "") & (F.size(w) > 1)).cast("int")
+
+    def looked_at(words: Column) -> Column:
+        keys = F.array_intersect(words, keywords)
+        return once(F.struct(words.alias("w"), keys.alias("keys")), lambda b: F.struct((F.size(b["w"]) - edges(b["w"])).cast("long").alias("n"), b["keys"].alias("keys"), F.when(F.size(b["keys"]) > 0, spaced(b["w"])).otherwise(F.lit("")).alias("s")))
+
+    def scanned(b: Column) -> Column:
+        base = F.when(F.array_contains(b["keys"], "license"), F.regexp_extract_all(b["s"], F.lit(_BASE_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        kept = F.when(F.size(b["keys"]) > 0, kept_detections(detections(b["s"], b["keys"]))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        return F.struct(b["n"].alias("n_words"), b["s"].alias("w"), base.alias("base"), kept.alias("kept"))
+
     gaps = F.split("w", _BASE_PATTERN, -1)
-    out = words.select("doc_id", "w", n_words_in(F.col("w")).cast("long").alias("n_words"), base.alias("base"), kept_detections(detections(F.col("w"))).alias("kept"))
+    out = docs.select("doc_id", once(once(words_of(F.col("text")), looked_at), scanned).alias("x")).select("doc_id", "x.*")
     some = F.size("base") > 0
     last = F.col("n_words") - n_words_in(F.element_at(gaps, -1)) - n_words_in(F.element_at("base", -1))
     labels = F.array_sort(F.array_compact(F.array(*[F.when(F.array_contains("base", f" {phrase.replace(' ', '  ')} "), label) for phrase, label in BASE])))
@@ -120,7 +134,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     values = ",\n    ".join(f"(' {r.keyword} ', '{license_rules.spaced(r.pattern)}', {r.priority}, '{r.label}')" for r in license_rules.rules())
-    gate = " OR ".join(f"contains(w, '{g}')" for g in license_rules.GATES)
     n = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
     base = ", ".join(f"CASE WHEN list_contains(base, ' {phrase.replace(' ', '  ')} ') THEN '{label}' END" for phrase, label in BASE)
     sure = " ".join(f"WHEN {t} THEN {c}" for t, c in license_rules.CONFIDENCE.items())
@@ -138,7 +151,7 @@ based AS (
 ),
 hits AS (
   SELECT row_no, t, l, regexp_extract_all(w, p) AS m, string_split_regex(w, p) AS g
-  FROM (SELECT row_no, w FROM words WHERE {gate}) JOIN rules ON contains(w, k) AND regexp_matches(w, p)
+  FROM words JOIN rules ON contains(w, k) AND regexp_matches(w, p)
 ),
 placed AS (
   SELECT DISTINCT t, l, row_no,
