@@ -1,18 +1,25 @@
 """URL filters by token-indexed pattern rules, in DataFrame functions alone.
 
-Every pattern rule names the literal tokens that a matching URL holds. It is filed under the one that the fewest URLs
-of the input have. A URL's own tokens fetch its candidate rules, and only these run their regular expressions. Host and
-path rules come before them: the longest that fits decides.
+Pattern rules come from a table. Each names the literal tokens that a matching URL holds and is filed under the one that
+the fewest URLs of the input have. A URL's own tokens fetch its candidate rules, and only these run their regular
+expressions. The index is a table of buckets by the token's hash that travels in the plan, so a URL is judged without a
+shuffle; tables with more rules than that are joined on the token instead. Host and path rules come before them: the
+longest that fits decides.
 """
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import BROADCAST_KEYS, LOWER, UPPER, saved
+
+#: Rules that travel in the plan at most, and buckets of their index.
+IN_PLAN = 50_000
+BUCKETS = 4096
 
 
 class SiteRule(NamedTuple):
@@ -88,49 +95,72 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"))
 
 
-def rarest_tokens(pages: DataFrame, rules: tuple[PatternRule, ...] = PATTERN_RULES) -> dict[int, str]:
-    """For each rule's number the token of it that the fewest URLs of all pages have; ties go to the first in order.
+def rules_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The pattern rules (n int, action, tokens array<string>, pattern): of a Parquet table, or PATTERN_RULES. The lower n counts first."""
+    if path is not None:
+        return spark.read.parquet(path).select(F.col("n").cast("int"), "action", "tokens", "pattern")
+    return spark.createDataFrame([(n, r.action, list(r.tokens), r.pattern) for n, r in enumerate(PATTERN_RULES)], "n int, action string, tokens array<string>, pattern string")
+
 
-    One aggregation over the url column; the driver gets at most a row for each token of the rules.
+def filed(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules (n, action, pattern) with token: of each rule's tokens the one that the fewest URLs of all pages have; ties go to the
+    first in order. The url column is read once; a URL's tokens are held against those of the rules before anything moves.
     """
-    words = sorted({t for r in rules for t in r.tokens})
-    own = F.array_intersect(url_tokens(F.col("url")), F.array(*map(F.lit, words)))
-    counts = {r["t"]: r["count"] for r in pages.select(F.explode(own).alias("t")).groupBy("t").count().collect()}
-    return {n: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for n, r in enumerate(rules)}
+    wanted = saved(rules.select(F.explode("tokens").alias("token")).distinct())
+    few = wanted.count() <= BROADCAST_KEYS
+    seen = pages.select(F.explode(url_tokens(F.col("url"))).alias("token")).join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
+    counts = seen.groupBy("token").agg(F.count("*").alias("urls"))
+    offered = rules.select("n", "action", "pattern", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    least = offered.groupBy("n").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token", "action", "pattern")).alias("r"))
+    return saved(least.select("n", "r.action", "r.pattern", "r.token"))
+
+
+def _first(hits: Column) -> Column:
+    """The rule that decides among hits (late, n, a): the first allow rule, else the first block rule; null for none."""
+    return F.array_min(hits)
+
+
+_ENTRY = "array<struct<t:string,late:boolean,n:int,a:string,p:string>>"
 
 
-def first_match(url: Column, filed: dict[int, str], rules: tuple[PatternRule, ...] = PATTERN_RULES) -> Column:
-    """The number of the rule that decides: the first allow rule that matches, else the first block rule, else null."""
-    index: dict[str, list[int]] = {}
-    for n, token in filed.items():
-        index.setdefault(token, []).append(n)
-    if not index:
-        return F.lit(None).cast("int")
+def _in_plan(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """pages with hit (late, n, a), looked up in an array of buckets."""
+    own = index.select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("b"), F.struct(F.col("token").alias("t"), (F.col("action") != "allow").alias("late"), "n", F.col("action").alias("a"), F.col("pattern").alias("p")).alias("e"))
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for r in own.collect():
+        buckets[r["b"]].append(r["e"].asDict())
+    held = F.from_json(F.lit(json.dumps(buckets)), f"array<{_ENTRY}>")
+    fetched = lambda t: F.filter(F.get(held, F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")), lambda e: e["t"] == t)
+    candidates = F.flatten(F.transform(url_tokens(F.col("url")), fetched))
+    lower = F.translate(F.coalesce(F.col("url"), F.lit("")), UPPER, LOWER)
+    hits = F.transform(F.filter(candidates, lambda e: F.rlike(lower, e["p"])), lambda e: F.struct(e["late"], e["n"], e["a"]))
+    return pages.withColumn("hit", _first(hits))
 
-    def entry(n: int) -> Column:
-        return F.struct(F.lit(rules[n].action != "allow").alias("late"), F.lit(n).alias("n"), F.lit(rules[n].pattern).alias("p"))
 
-    held = F.create_map(*[c for token, numbers in sorted(index.items()) for c in (F.lit(token), F.array(*map(entry, numbers)))])
-    lower = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
-    fetched = F.flatten(F.transform(F.array_intersect(url_tokens(url), F.array(*map(F.lit, sorted(index)))), lambda t: F.element_at(held, t)))
-    hits = F.filter(fetched, lambda r: F.rlike(lower, r["p"]))
-    return F.array_min(F.transform(hits, lambda r: F.struct(r["late"], r["n"])))["n"]
+def _by_join(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """The same by joins: distinct URLs meet their candidates on the token, and what they hit is joined back on the URL."""
+    urls = saved(pages.select("url").filter("url IS NOT NULL").distinct())
+    lower = F.translate(F.col("url"), UPPER, LOWER)
+    met = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(index, "token").filter(F.rlike(lower, F.col("pattern")))
+    hits = met.groupBy("url").agg(F.min(F.struct((F.col("action") != "allow").alias("late"), "n", F.col("action").alias("a"))).alias("hit"))
+    return pages.join(hits, "url", "left")
 
 
-def filter_urls(pages: DataFrame, sites: tuple[SiteRule, ...] = SITE_RULES, rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, sites: tuple[SiteRule, ...] = SITE_RULES, rules: DataFrame | None = None, in_plan: int = IN_PLAN) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern_rule: one row per row of pages (page_id, url); other columns aren't read.
 
     rule: the site rule that decides, else null. verdict: its action, else that of the deciding pattern rule, else allow.
-    pattern_rule: that rule's number from 0, else null. A null or empty URL, or one without '://', has an empty host and path and is
-    held against the pattern rules alone. Rows that repeat are judged alike; an empty table gives no rows.
+    pattern_rule: that rule's n, else null. rules: see rules_table. A null or empty URL, or one without '://', has an empty host and
+    path and is held against the pattern rules alone. Rows that repeat are judged alike; an empty table gives no rows, and without
+    rules all is allowed. URLs of any length are read whole.
     """
     host, path = url_parts(F.col("url"))
     name, action = site_rule(F.col("host"), F.col("path"), sites)
-    number = first_match(F.col("url"), rarest_tokens(pages, rules), rules)
-    blocks = F.coalesce(*[F.when(F.col("pattern_rule") == n, r.action) for n, r in enumerate(rules)], F.lit("allow")) if rules else F.lit("allow")
-    parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    judged = parts.select("page_id", "host", "path", name.alias("rule"), action.alias("_action"), number.cast("int").alias("pattern_rule"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("_action", blocks).alias("verdict"), "pattern_rule")
+    own = pages.select("page_id", "url")
+    index = filed(own, rules_table(pages.sparkSession) if rules is None else rules)
+    judged = _in_plan(own, index) if index.count() <= in_plan else _by_join(own, index)
+    parts = judged.select("page_id", host.alias("host"), path.alias("path"), "hit")
+    return parts.select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, F.col("hit.a"), F.lit("allow")).alias("verdict"), F.col("hit.n").alias("pattern_rule"))
 
 
 def _oracle() -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tools.compare import rows_of
 
-from duskloom.llm import bpe, common, components, embed_dedup, exact_dedup, langid, license_rules, license_scan, mixing, quality, queries, simhash, toxicity, url_filter
+from duskloom.llm import bpe, common, components, embed_dedup, exact_dedup, langid, license_rules, license_scan, license_signatures, mixing, quality, queries, simhash, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fp long, __extra string"
 A_LOT = "word " * 30_000
@@ -245,12 +245,38 @@ def test_license_scan(spark, odd, none):
     assert [(d.label, d.start, d.end) for d in found[110]] == [("mpl-2.0", 0, 8)]
 
 
-def test_license_rules_need_their_keyword_and_a_gate():
+def required(pattern):
+    """A pattern without its optional parts."""
+    while (less := re.sub(r"\[a-z0-9 \]\{\d+,\d+\}", " ", re.sub(r"\(\?:[^()]*\)\?", "", pattern))) != pattern:
+        pattern = less
+    return pattern
+
+
+def test_license_rules_need_their_keyword():
+    assert len(license_rules.rules()) > 1000 and len(license_signatures.BODIES) > 120
     for rule in license_rules.rules():
-        pattern = license_rules.spaced(rule.pattern)
-        assert rule.keyword in re.sub(r"\(\?:", "", pattern)
-        assert "licen" in pattern or "spdx" in pattern or "under" in pattern or rule.label in ("cc0", "cc0-1.0", "public-domain", "nasa", "nasa-1.3")
-    assert len(license_rules.rules()) > 500
+        assert rule.keyword in re.split("[^a-z0-9]+", required(rule.pattern)), rule
+
+
+def test_license_bodies(spark):
+    rows = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:": "bsd",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "gpl-3.0",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS": "apache-2.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "CC0 1.0 Universal": "cc0-1.0", "under NASA Open Source Agreement 1.3": "nasa-1.3", "plain prose about nothing": "",
+    }
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(rows)], "doc_id long, text string, labels string, n_words int")
+    for r, want in zip(sorted(license_scan.license_scan(docs).collect()), rows.values(), strict=True):
+        assert want in r.labels.split(",") and (r.score >= 0.6) == bool(want), (want, r)
+    held_by_sql(license_scan.license_scan(docs), license_scan.ORACLE, documents=docs.select("doc_id", "text").toPandas())
+
+
+def test_licences_without_a_licence_word_are_found(spark):
+    texts = ["This work is CC0 1.0 Universal.", "NASA Open Source Agreement 1.3", "nasa open source agreement", "cc0 universal", "nasa", "cc0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs).collect()}
+    assert got == {0: ("cc0-1.0", 0.75), 1: ("nasa-1.3", 0.75), 2: ("nasa", 0.6), 3: ("cc0", 0.6), 4: ("", 0.0), 5: ("", 0.0)}
 
 
 def test_mixing(spark, odd, none):
@@ -476,8 +502,24 @@ def test_url_filter(spark):
     assert got[0].rule == "example.org/es/" and got[1].verdict == "block" and got[2].rule is None and got[4].verdict == "block"
     assert got[14].verdict == "block" and got[15].verdict == "allow" and got[17].verdict == "block" and got[8].host == "free-bets.io"
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
-    for number, token in url_filter.rarest_tokens(pages).items():
-        assert token in url_filter.PATTERN_RULES[number].tokens
+    rules = url_filter.rules_table(spark)
+    for r in url_filter.filed(pages, rules).collect():
+        assert r.token in url_filter.PATTERN_RULES[r.n].tokens
+
+
+@pytest.mark.parametrize("in_plan", [50_000, 100])
+def test_url_rules_from_a_large_table(spark, tmp_path, in_plan):
+    """20,000 rules read from a table, in the plan or joined; long, null, empty and repeated URLs; one URL in a third of all rows."""
+    rng = random.Random(12)
+    rules = [("allow" if n % 9 == 0 else "block", [f"w{n}", f"common{n % 3}"], rf"w{n}[-_./]+common{n % 3}(?:[^a-z0-9]|$)") for n in range(20_000)]
+    spark.createDataFrame([(n, *r) for n, r in enumerate(rules)], "n int, action string, tokens array<string>, pattern string").write.parquet(str(tmp_path / "rules"))
+    urls = [f"http://h{i % 7}.net/w{(k := rng.randrange(20_000))}{'-' if i % 2 else '/x/'}common{k % 3}/?q=W{rng.randrange(20_000)}" for i in range(200)]
+    urls += ["http://hot.net/w5/common2"] * 100 + [None, "", "http://x.net/" + "common0/w3-common0/" * 5000, "http://a.net/w9-common0/w10-common1"]
+    pages = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, pattern string")
+    got = {r.page_id: (r.verdict, r.pattern_rule) for r in url_filter.filter_urls(pages, rules=url_filter.rules_table(spark, str(tmp_path / "rules")), in_plan=in_plan).collect()}
+    for i, u in enumerate(urls):
+        hits = sorted((rules[n][0] != "allow", n) for w in set(re.findall("w([0-9]+)", (u or "").lower())) if (n := int(w)) < 20_000 and re.search(rules[n][2], (u or "").lower()))
+        assert got[i] == ((rules[hits[0][1]][0], hits[0][1]) if hits else ("allow", None)), u and u[:80]
 
 
 def test_pipeline_by_brute_force(spark, tmp_path, tokenizer):
