@@ -97,10 +97,10 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows whose key isn't among keys. keys are broadcast when there are few enough; else both sides are shuffled by key."""
+def without(rows: DataFrame, keys: DataFrame, on: list[str], most: int | None = None) -> DataFrame:
+    """The rows whose key isn't among keys. Up to most (BROADCAST_KEYS) keys are broadcast; else both sides are shuffled by key."""
     keys = saved(keys.select(on).distinct())
-    few = keys.count() <= BROADCAST_KEYS
+    few = keys.count() <= (BROADCAST_KEYS if most is None else most)
     mine = [f"__key_{i}" for i in range(len(on))]
     keys = keys.toDF(*mine)
     same = [rows[name].eqNullSafe(keys[key]) for name, key in zip(on, mine, strict=True)]

@@ -2,7 +2,7 @@
 
 Misra-Gries counters find digests that may hold a large share of the rows; exact counts verify them. The few that are
 verified are broadcast and settled map-side, so that no group of copies meets in one task. All other digests are
-grouped by an ordinary shuffle of (doc_id, digest) rows; texts never move.
+grouped by an ordinary shuffle of (doc_id, digest) rows.
 """
 
 from __future__ import annotations
@@ -82,18 +82,31 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_distinct(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """docs without the rows that exact_dedup drops, all columns kept; of rows that repeat a doc_id and a text, one stays."""
+def keep_distinct(docs: DataFrame, counters: int = COUNTERS, most: int | None = None) -> DataFrame:
+    """docs without the rows that exact_dedup drops, all columns kept; of rows that repeat a doc_id and a text, one stays.
+
+    Rows of heavy digests are held against the broadcast winners where they are read: none but a winner moves. Of the other digests, the
+    keys of dropped rows are gathered by shuffle; up to most (BROADCAST_KEYS) of them are broadcast, more are joined by key.
+    Null texts count as empty, a null doc_id is the smallest; empty tables give no rows.
+    """
+    mine = ["__exact_id", "__exact_digest"]
     digests = saved(docs.select("doc_id", digest_of(F.col("text")).alias("digest")))
-    lost = exact_groups(digests, counters).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__exact_id"), F.col("digest").alias("__exact_digest"))
+    heavy = heavy_digests(digests, counters)
+    won = F.broadcast(heavy.select(F.col("digest").alias("__won_digest"), F.col("keep_id").alias("__won_id")))
     keyed = docs.withColumns({"__exact_id": F.col("doc_id"), "__exact_digest": digest_of(F.col("text"))})
-    repeated = saved(digests.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("__exact_id"), F.col("digest").alias("__exact_digest")))
-    left = without(keyed, lost, ["__exact_id", "__exact_digest"])
-    if repeated.isEmpty():
-        return left.drop("__exact_id", "__exact_digest")
-    once = without(left, repeated, ["__exact_id", "__exact_digest"])
-    again = left.join(repeated.withColumnsRenamed({"__exact_id": "__again_id", "__exact_digest": "__again_digest"}), F.col("__exact_id").eqNullSafe(F.col("__again_id")) & (F.col("__exact_digest") == F.col("__again_digest")), "left_semi").dropDuplicates(["__exact_id", "__exact_digest"])
-    return once.union(again).drop("__exact_id", "__exact_digest")
+    winners = keyed.join(won, F.col("__exact_digest") == F.col("__won_digest")).filter(F.col("__exact_id").eqNullSafe(F.col("__won_id"))).drop("__won_digest", "__won_id").dropDuplicates(["__exact_digest"])
+    light = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    several = light.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
+    several = saved(light.join(several, "digest"))
+    lost = several.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(mine[0]), F.col("digest").alias(mine[1]))
+    left = without(keyed.join(won, F.col("__exact_digest") == F.col("__won_digest"), "left_anti"), lost, mine, most)
+    again = several.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    again = saved(again.select(F.col("doc_id").alias("__again_id"), F.col("digest").alias("__again_digest")))
+    if not again.isEmpty():
+        once = without(left, again.toDF(*mine), mine, most)
+        twice = left.join(again, F.col("__exact_id").eqNullSafe(F.col("__again_id")) & (F.col("__exact_digest") == F.col("__again_digest")), "left_semi")
+        left = once.union(twice.dropDuplicates(mine))
+    return winners.union(left).drop(*mine)
 
 
 ORACLE = """

@@ -17,14 +17,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved, without
+from .common import BROADCAST_KEYS, map_batches, saved, without
 from .components import connected_components, contract
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 
-#: Fingerprints of a tile that a task holds at once; larger tiles are split, and each part is visited.
+#: What keep_one_of_each takes: words of a shingle, and fingerprints of a text, each of other hashes.
+KEEP_SHINGLE, KEEP_SKETCHES = 5, 4
+
+#: Fingerprints of a tile, and visitors, that a task holds at once, about; larger tiles and crowds of visitors are split, and each part meets each.
 TILE_ROWS = 65_536
 #: Pairs that numpy compares in one step.
 STEP_PAIRS = 4_000_000
@@ -32,32 +35,59 @@ STEP_PAIRS = 4_000_000
 _WEIGHT = 16  # of one byte's population count (0 to 8) in a tile's number
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit SimHash of the word shingles, repeats included. No words: 0."""
+def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The XXH64 of each word shingle, repeats included; none without words."""
     words = text.encode().lower().split() if text else []  # bytes: lower() changes A-Z alone, split() cuts at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], seed) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[i:j], seed) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _other(hashes: np.ndarray, sketch: int) -> np.ndarray:
+    """Hashes of the same shingles for another fingerprint, by the finishing steps of SplitMix64; those of sketch 0 stay."""
+    if not sketch:
+        return hashes
+    z = hashes + np.uint64(sketch * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _bits(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the hashes; 0 without any."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     on = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp): the fingerprint as a signed long."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, sketch: int = 0) -> int:
+    """The 64-bit SimHash of the word shingles, repeats included. No words: 0."""
+    return _bits(_other(_hashes(text, shingle, seed), sketch))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, sketches: int = 1) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_key, fp, more): fingerprints as signed longs, the first and the others; a hash of the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
+        hashes = [_hashes(t, shingle, seed) for t in batch.column("text").to_pylist()]
+        fps = np.array([[_bits(_other(h, k)) for k in range(sketches)] for h in hashes], np.uint64).reshape(-1, sketches).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps[:, 0]), pa.array(fps[:, 1:].tolist(), pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "more"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("text_key"))
+    return map_batches(rows, work, "doc_id long, text_key long, fp long, more array<long>")
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, fp long")
+
+def text_key(text: Column) -> Column:
+    """A hash that, beside a doc_id, tells rows that repeat the doc_id apart."""
+    return F.xxhash64(text.cast("string"))
 
 
 def _steps(radius: int) -> list[int]:
@@ -120,36 +150,54 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Distinct (fp, node) -> links (a, b) that join all nodes whose fingerprints differ in at most radius bits."""
+    """Distinct (fp, node) -> links (a, b) that join all nodes whose fingerprints differ in at most radius bits.
+
+    A tile of more than tile_rows fingerprints is cut into parts by hash, and what visits it into crowds of about tile_rows; every part
+    meets every crowd in a task of its own.
+    """
     tiled = classes.withColumn("tile", _tile(F.col("fp")))
-    large = saved(tiled.groupBy("tile").count().filter(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("parts")))
     steps = F.array(*[F.lit(n).cast("long") for n in _steps(radius)])
+    cut = lambda n: F.ceil(n / tile_rows).cast("int")
+    sizes = saved(tiled.groupBy("tile").count())
+    visits_of = sizes.select("count", F.explode(F.transform(steps, lambda n: F.col("tile") + n)).alias("tile")).groupBy("tile").agg(F.sum("count").alias("visits"))
+    large = sizes.join(visits_of, "tile").filter((F.col("count") > tile_rows) | (F.col("visits") > tile_rows)).select("tile", cut(F.col("count")).alias("parts"), cut(F.col("visits")).alias("crowds"))
+    large = saved(large)
     visits = tiled.select("fp", "node", F.explode(F.transform(steps, lambda n: F.col("tile") + n)).alias("tile"))
     if large.isEmpty():
-        at_home, visits = tiled.withColumn("part", F.lit(0)), visits.withColumn("part", F.lit(0))
-    else:  # at most one row for tile_rows fingerprints
-        at_home = tiled.join(F.broadcast(large), "tile", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-        visits = visits.join(F.broadcast(large), "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    columns = ["tile", "part", "visiting", "fp", "node"]
+        at_home, visits = tiled.withColumns({"part": F.lit(0), "crowd": F.lit(0)}), visits.withColumns({"part": F.lit(0), "crowd": F.lit(0)})
+    else:
+        large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+        parts, crowds = F.coalesce("parts", F.lit(1)), F.coalesce("crowds", F.lit(1))
+        own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n).cast("int")
+        at_home = tiled.join(large, "tile", "left").withColumns({"part": own(parts, "part"), "crowd": F.explode(F.sequence(F.lit(0), crowds - 1))})
+        visits = visits.join(large, "tile", "left").withColumns({"crowd": own(crowds, "crowd"), "part": F.explode(F.sequence(F.lit(0), parts - 1))})
+    columns = ["tile", "part", "crowd", "visiting", "fp", "node"]
     rows = at_home.withColumn("visiting", F.lit(False)).select(columns).union(visits.withColumn("visiting", F.lit(True)).select(columns))
-    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "visiting")
-    return dealt.mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.repartition(tasks, "tile", "part", "crowd").sortWithinPartitions("tile", "part", "crowd", "visiting")
+    return dealt.withColumn("part", F.col("part").cast("long") * 2**31 + F.col("crowd")).drop("crowd").mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, text) -> doc_id, fp, component_id (the smallest doc_id that links reach), one row per row.
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile_rows: int = TILE_ROWS, sketches: int = 1) -> DataFrame:
+    """(doc_id, text) -> doc_id, text_key, fp, component_id (the smallest doc_id that links reach), one row per row.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and link like any other; shorter texts than a
-    shingle are one shingle. Equal fingerprints are one class, represented by its smallest doc_id. A row with a null doc_id
-    gets the component of rows with its fingerprint, or null without any; it links no others. Rows that repeat a doc_id
-    with several texts join the classes of all of them. Empty tables give no rows.
+    shingle are one shingle. Rows with equal fingerprints are one class. A row with a null doc_id gets its component's smallest
+    doc_id, or null if it has none. Rows that repeat a doc_id with several texts are classes of their own. With more sketches than
+    one, rows link if any of their fingerprints do. Empty tables give no rows.
     """
-    fps = saved(fingerprints(docs, shingle, seed))
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = connected_components(near_links(classes.filter("node IS NOT NULL"), radius, tile_rows))
-    named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps = saved(fingerprints(docs, shingle, seed, sketches))
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = near_links(classes.select("fp", F.col("fp").alias("node")), radius, tile_rows)
+    for k in range(sketches - 1):
+        own = saved(fps.select(F.col("more")[k].alias("fp"), F.col("fp").alias("node")).distinct())
+        first = own.groupBy("fp").agg(F.min("node").alias("first"))
+        equal = own.join(first, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        links = links.union(equal).union(near_links(first.withColumnRenamed("first", "node"), radius, tile_rows))
+    roots = connected_components(links)
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
@@ -158,8 +206,12 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't its component's smallest, all columns kept. A null doc_id stays."""
-    found = simhash_components(docs)
-    lost = found.filter("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return without(docs, lost, ["doc_id"])
+def keep_one_of_each(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int = RADIUS, sketches: int = KEEP_SKETCHES) -> DataFrame:
+    """docs with one text of each component, all columns kept: that of its smallest doc_id, of several texts under that doc_id the one
+    with the least key. A null doc_id stays; rows that repeat a doc_id and a text stay or go together."""
+    found = saved(simhash_components(docs, shingle, radius, sketches=sketches).filter("doc_id IS NOT NULL"))
+    first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("first")).withColumnRenamed("component_id", "c")
+    lost = found.join(first, F.col("component_id") == F.col("c"), "left").filter("doc_id <> component_id OR text_key <> first")
+    lost = lost.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__near_id"), F.col("text_key").alias("__near_key"))
+    keyed = docs.withColumns({"__near_id": F.col("doc_id"), "__near_key": text_key(F.col("text"))})
+    return without(keyed, lost, ["__near_id", "__near_key"]).drop("__near_id", "__near_key")

@@ -92,6 +92,12 @@ def test_exact_dedup_with_heavy_groups(spark):
     heavy = exact_dedup.heavy_digests(docs.select("doc_id", exact_dedup.digest_of(docs.text).alias("digest")), counters=8).collect()
     assert {(r.keep_id, r.group_size) for r in heavy} == {(2998, 1000), (2999, 1000)}
     held_by_sql(exact_dedup.exact_dedup(docs, counters=8), exact_dedup.ORACLE, documents=arrow(docs))
+    best = {}
+    for i, t, _, _ in rows:
+        best[t] = max(best.get(t, -1), i)
+    twice = docs.union(docs.filter("doc_id % 10 = 9 OR doc_id >= 2990"))
+    for most in (None, 5):  # keys of dropped rows broadcast, or joined by shuffle
+        assert sorted(r.doc_id for r in exact_dedup.keep_distinct(twice, counters=8, most=most).collect()) == sorted(best.values())
 
 
 def test_misra_gries_bound():
@@ -104,10 +110,19 @@ def test_misra_gries_bound():
     assert len(counts) <= 9 and 300 - 1000 / 10 <= counts[b"h"] <= 300
 
 
-def brute_fingerprint(text):
+def brute_mixed(h, sketch):
+    if sketch:
+        h = (h + sketch * 0x9E3779B97F4A7C15) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        h ^= h >> 31
+    return h
+
+
+def brute_fingerprint(text, size=3, sketch=0):
     words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", lower(text))]
-    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    shingles = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    h = [brute_mixed(xxhash.xxh64_intdigest(s, 42), sketch) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -120,12 +135,12 @@ def brute_components(fps, radius=2):
         return x
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if (fps[i][1] ^ fps[j][1]).bit_count() <= radius:
+        if any((x ^ y).bit_count() <= radius for x, y in zip(fps[i][1:], fps[j][1:], strict=True)):
             root[max(find(i), find(j))] = min(find(i), find(j))
     least = {}
-    for i, (doc, _) in enumerate(fps):
+    for i, (doc, *_) in enumerate(fps):
         least[find(i)] = min(least.get(find(i), doc), doc)
-    return [(doc, f"{fp:016x}", least[find(i)]) for i, (doc, fp) in enumerate(fps)]
+    return [(doc, f"{fp:016x}", least[find(i)]) for i, (doc, fp, *_) in enumerate(fps)]
 
 
 def near_copies(n=150):
@@ -147,9 +162,18 @@ def test_simhash(spark, odd, tile_rows):
     got = simhash.simhash_components(table(spark, rows), tile_rows=tile_rows).collect()
     assert sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in got) == sorted(want)
     if tile_rows > 3:
+        want = brute_components([(i, *[brute_fingerprint(t, 5, k) for k in range(4)]) for i, t, _, _ in rows])
         assert sorted(r.doc_id for r in simhash.keep_one_of_each(table(spark, rows)).collect()) == sorted({c for _, _, c in want})
 
 
+def test_simhash_keeps_texts_that_share_an_id(spark):
+    one, two = "alpha beta gamma delta " * 30, "eins zwei drei vier " * 30
+    docs = table(spark, [(1, one, "en", "a"), (5, one, "en", "a"), (5, two, "en", "a"), (5, two, "en", "a"), (7, two, "de", "b"), (None, one, "en", "a")])
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one_of_each(docs).collect())
+    assert kept == [(0, one), (1, one), (5, two), (5, two)]
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_simhash_edges(odd, none):
     assert {len(r.fingerprint) for r in simhash.simhash_dedup(odd).collect()} == {16}
     assert simhash.simhash_dedup(odd).count() == odd.count()
@@ -533,7 +557,7 @@ def test_pipeline_by_brute_force(spark, tmp_path, tokenizer):
     best = {}
     for r in rows.values():
         best[lower(r.text)] = max(best.get(lower(r.text), -1), r.doc_id)
-    fps = [(i, brute_fingerprint(rows[i].text)) for i in best.values()]
+    fps = [(i, *[brute_fingerprint(rows[i].text, 5, k) for k in range(4)]) for i in best.values()]
     left = sorted({c for _, _, c in brute_components(fps)})
     rates = {}
     chars = Counter()
