@@ -1,15 +1,14 @@
 """SimHash near-deduplication by tiled exact comparison.
 
-Distinct fingerprints with the same eight byte-wise population counts form a tile. Two fingerprints that differ in at
-most RADIUS bits have counts that differ by at most RADIUS in all, so each fingerprint visits only the tiles within that
-distance; all other pairs of tiles are skipped. Inside a pair of tiles numpy compares by exclusive-or and bit counts.
+Each word of a fingerprint is cut into pieces. Fingerprints that share a piece meet: more pieces than the radius has bits leave one whole in any
+pair within the radius, so none is missed. Those that meet are sorted by population count and cut into tiles; pairs of tiles
+whose counts differ by more than the radius are skipped, in the others numpy compares by exclusive-or and bit counts.
 Each task contracts the links it finds to at most one a fingerprint, so that a large group never yields all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +23,16 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 
-#: What keep_one_of_each takes: words of a shingle, and fingerprints of a text, each of other hashes.
-KEEP_SHINGLE, KEEP_SKETCHES = 5, 4
+#: What keep_one_of_each takes: words of a shingle, 64-bit words of a fingerprint, pieces of each, and bits that may differ in all.
+#: At a five-word similarity of 0.8 some 58 of 384 bits are expected to differ, at 0.7 some 74.
+KEEP_SHINGLE, KEEP_SKETCHES, KEEP_PIECES, KEEP_RADIUS = 5, 6, 4, 62
 
-#: Fingerprints of a tile, and visitors, that a task holds at once, about; larger tiles and crowds of visitors are split, and each part meets each.
+#: Fingerprints with an equal piece that a task holds at once, about; of more, parts by hash meet two at a time, in a task each.
 TILE_ROWS = 65_536
-#: Pairs that numpy compares in one step.
-STEP_PAIRS = 4_000_000
-
-_WEIGHT = 16  # of one byte's population count (0 to 8) in a tile's number
+#: Rows and columns that numpy compares in one step, and links that a task gathers before it contracts them.
+STEP_ROWS, STEP_COLUMNS, STEP_LINKS = 256, 4096, 4_000_000
+#: Up to so many that meet are compared together with others like them; in crowds, so many centres are tried first.
+FEW, CROWD, CENTRES = 64, 2048, 8
 
 
 def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -74,15 +74,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, sket
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, sketches: int = 1) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_key, fp, more): fingerprints as signed longs, the first and the others; a hash of the text."""
+    """(doc_id, text) -> (doc_id, text_key, words): fingerprints of so many 64-bit words, as signed longs; a hash of the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [_hashes(t, shingle, seed) for t in batch.column("text").to_pylist()]
-        fps = np.array([[_bits(_other(h, k)) for k in range(sketches)] for h in hashes], np.uint64).reshape(-1, sketches).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps[:, 0]), pa.array(fps[:, 1:].tolist(), pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "more"])
+        words = np.array([_bits(_other(h, k)) for h in hashes for k in range(sketches)], np.uint64).view(np.int64)
+        offsets = np.arange(0, len(words) + 1, sketches, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(offsets, words)], ["doc_id", "text_key", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("text_key"))
-    return map_batches(rows, work, "doc_id long, text_key long, fp long, more array<long>")
+    return map_batches(rows, work, "doc_id long, text_key long, words array<long>")
 
 
 def text_key(text: Column) -> Column:
@@ -90,114 +91,159 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def _steps(radius: int) -> list[int]:
-    """Differences between the numbers of tiles whose counts differ by at most radius in all: zero, and one of each pair of opposites."""
-    found = {(0,) * 8}
-    for _ in range(radius):
-        found |= {tuple(v[:i]) + (v[i] + d,) + tuple(v[i + 1 :]) for v, i, d in product(found, range(8), (-1, 1))}
-    return sorted(n for v in found if (n := sum(d * _WEIGHT**i for i, d in enumerate(v))) >= 0)
+def _pieces(sketches: int, pieces: int) -> Column:
+    """The pieces of a fingerprint, each as a number that holds its place too."""
+    found = []
+    for word in range(sketches):
+        ends = [64 * (i + 1) // pieces for i in range(pieces)]
+        for low, high in zip([0, *ends], ends, strict=False):
+            value = F.shiftrightunsigned(F.col("words")[word], low).bitwiseAND(F.lit((1 << high - low) - 1).cast("long"))
+            found.append(value.bitwiseOR(F.lit(len(found) << 32).cast("long")))
+    return F.array(*found)
 
 
-def _tile(fp: Column) -> Column:
-    return sum((F.bit_count(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(255)).cast("long") * _WEIGHT**i for i in range(8)), F.lit(0).cast("long"))
+def _ones(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int32)
 
 
-def _near(home: np.ndarray, visit: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in home and in visit of the fingerprints that differ in at most radius bits, compared block by block."""
-    found = []
-    step = max(1, STEP_PAIRS // max(1, len(home)))
-    for at in range(0, len(visit), step):
-        i, j = np.nonzero(np.bitwise_count(home[:, None] ^ visit[None, at : at + step]) <= radius)
-        found.append((i, j + at))
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits differ, for each of x and each of y."""
+    total = np.zeros((len(x), len(y)), np.uint16)
+    for word in range(x.shape[1]):
+        total += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+    return total
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile and part, those at home before the visitors -> links between nodes."""
-    key, home_fp, home_node = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
+def _tile_links(words: np.ndarray, node: np.ndarray, ones: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the places x and y, both in the order of population counts: tile by tile, those beyond the radius skipped."""
+    for at in range(0, len(x), STEP_ROWS):
+        mine = x[at : at + STEP_ROWS]
+        low = at if x is y else int(np.searchsorted(ones[y], ones[mine[0]] - radius, "left"))
+        high = int(np.searchsorted(ones[y], ones[mine[-1]] + radius, "right"))
+        for start in range(low, high, STEP_COLUMNS):
+            theirs = y[start : min(start + STEP_COLUMNS, high)]
+            i, j = np.nonzero(_apart(words[mine], words[theirs]) <= radius)
+            yield node[mine[i]], node[theirs[j]]
 
-    def reduced() -> pa.RecordBatch:
-        nonlocal links, waiting
-        a, b = contract(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
-        links, waiting = [], 0
-        return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
+def _crowd_links(words: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join all within the radius, of those that meet.
+
+    In a crowd, what lies around a centre is joined by its links to the centre and needs no comparison inside; only the rest
+    is compared with it. That keeps thousands of near copies of one text from being compared each with each.
+    """
+    order = np.argsort(_ones(words), kind="stable")
+    words, node = words[order], node[order]
+    ones, left = _ones(words), np.arange(len(node))
+    while len(left) > CROWD:
+        centres = left[np.linspace(0, len(left) - 1, CENTRES).astype(np.int64)]
+        around = _apart(words[centres], words[left]) <= radius
+        best = int(around.sum(axis=1).argmax())
+        ball, rest = left[around[best]], left[~around[best]]
+        if len(ball) * CENTRES < len(left):
+            break
+        yield node[ball], np.full(len(ball), node[centres[best]])
+        yield from _tile_links(words, node, ones, rest, ball, radius)
+        left = rest
+    yield from _tile_links(words, node, ones, left, left, radius)
+
+
+def _few_links(run: np.ndarray, words: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links inside many short runs at once: each row beside the first after it, the second, and so on."""
+    ones = _ones(words)
+    for k in range(1, FEW):
+        i = np.flatnonzero(run[k:] == run[:-k])
+        if not len(i):
+            return
+        i = i[np.abs(ones[i + k] - ones[i]) <= radius]
+        i = i[np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1, dtype=np.int32) <= radius]
+        yield node[i], node[i + k]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], sketches: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows sorted by piece and meeting -> a number for each run of equal ones, words, nodes; never part of a run."""
+    held = None
     for batch in batches:
-        tile, part, visiting, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "part", "visiting", "fp", "node"))
-        fp = fp.view(np.uint64)
-        cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(part) != 0)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tile)], strict=True):
-            if i == j:
-                continue
-            if key != (tile[i], part[i]):
-                key, home_fp, home_node = (tile[i], part[i]), fp[:0], node[:0]
-            k = i + int(np.searchsorted(visiting[i:j], True))
-            if k > i:
-                home_fp, home_node = np.concatenate([home_fp, fp[i:k]]), np.concatenate([home_node, node[i:k]])
-            if k < j and len(home_fp):
-                x, y = _near(home_fp, fp[k:j], radius)
-                a, b = home_node[x], node[k:j][y]
-                if (other := a != b).any():
-                    links.append((a[other], b[other]))
-                    waiting += int(other.sum())
-                    if waiting > STEP_PAIRS:
-                        kept = reduced()
-                        links, waiting = [(kept.column("a").to_numpy(), kept.column("b").to_numpy())], kept.num_rows
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "meeting", "node")], axis=1)
+        words = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, sketches)
+        if held:
+            key, words = np.concatenate([held[0], key]), np.concatenate([held[1], words])
+        run = np.concatenate([[0], np.cumsum((np.diff(key[:, :2], axis=0) != 0).any(axis=1))])
+        end = int(np.searchsorted(run, run[-1]))
+        if end:
+            yield run[:end], words[:end], key[:end, 2]
+        held = key[end:], words[end:]
+    if held:
+        yield np.zeros(len(held[0]), np.int64), held[1], held[0][:, 2]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], sketches: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by piece and meeting -> links between nodes."""
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for run, words, node in _runs(batches, sketches):
+            starts = np.flatnonzero(np.diff(run, prepend=-1))
+            sizes = np.diff(starts, append=len(run))
+            few = np.repeat(sizes <= FEW, sizes)
+            yield from _few_links(run[few], words[few], node[few], radius)
+            for at, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                yield from _crowd_links(words[at : at + n], node[at : at + n], radius)
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        return contract(np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links]))
+
+    for a, b in found():
+        if (other := a != b).any():
+            links.append((a[other], b[other]))
+            waiting += int(other.sum())
+            if waiting > STEP_LINKS:
+                links, waiting = [reduced()], 0
     if links:
-        yield reduced()
+        a, b = reduced()
+        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Distinct (fp, node) -> links (a, b) that join all nodes whose fingerprints differ in at most radius bits.
+def near_links(classes: DataFrame, sketches: int, pieces: int, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Distinct (node, words) -> links (a, b) that join all nodes with an equal piece whose fingerprints differ in at most radius bits.
 
-    A tile of more than tile_rows fingerprints is cut into parts by hash, and what visits it into crowds of about tile_rows; every part
-    meets every crowd in a task of its own.
+    Of more than tile_rows fingerprints that share a piece, parts by hash meet two at a time, in a task each.
     """
-    tiled = classes.withColumn("tile", _tile(F.col("fp")))
-    steps = F.array(*[F.lit(n).cast("long") for n in _steps(radius)])
-    cut = lambda n: F.ceil(n / tile_rows).cast("int")
-    sizes = saved(tiled.groupBy("tile").count())
-    visits_of = sizes.select("count", F.explode(F.transform(steps, lambda n: F.col("tile") + n)).alias("tile")).groupBy("tile").agg(F.sum("count").alias("visits"))
-    large = sizes.join(visits_of, "tile").filter((F.col("count") > tile_rows) | (F.col("visits") > tile_rows)).select("tile", cut(F.col("count")).alias("parts"), cut(F.col("visits")).alias("crowds"))
-    large = saved(large)
-    visits = tiled.select("fp", "node", F.explode(F.transform(steps, lambda n: F.col("tile") + n)).alias("tile"))
+    pieced = classes.select("node", "words", F.explode(_pieces(sketches, pieces)).alias("piece"))
+    large = saved(pieced.groupBy("piece").count().filter(F.col("count") > tile_rows).select("piece", F.ceil(F.col("count") / tile_rows).cast("int").alias("parts")))
     if large.isEmpty():
-        at_home, visits = tiled.withColumns({"part": F.lit(0), "crowd": F.lit(0)}), visits.withColumns({"part": F.lit(0), "crowd": F.lit(0)})
+        rows = pieced.withColumn("meeting", F.lit(0).cast("long"))
     else:
         large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
-        parts, crowds = F.coalesce("parts", F.lit(1)), F.coalesce("crowds", F.lit(1))
-        own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n).cast("int")
-        at_home = tiled.join(large, "tile", "left").withColumns({"part": own(parts, "part"), "crowd": F.explode(F.sequence(F.lit(0), crowds - 1))})
-        visits = visits.join(large, "tile", "left").withColumns({"crowd": own(crowds, "crowd"), "part": F.explode(F.sequence(F.lit(0), parts - 1))})
-    columns = ["tile", "part", "crowd", "visiting", "fp", "node"]
-    rows = at_home.withColumn("visiting", F.lit(False)).select(columns).union(visits.withColumn("visiting", F.lit(True)).select(columns))
+        parts = F.coalesce("parts", F.lit(1))
+        parted = pieced.join(large, "piece", "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts))
+        met = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+        rows = met.withColumn("meeting", F.least("part", "other") * 2**31 + F.greatest("part", "other"))
     tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartition(tasks, "tile", "part", "crowd").sortWithinPartitions("tile", "part", "crowd", "visiting")
-    return dealt.withColumn("part", F.col("part").cast("long") * 2**31 + F.col("crowd")).drop("crowd").mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
+    dealt = rows.select("piece", "meeting", "node", "words").repartition(tasks, "piece", "meeting").sortWithinPartitions("piece", "meeting")
+    return dealt.mapInArrow(lambda batches: _compare(batches, sketches, radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile_rows: int = TILE_ROWS, sketches: int = 1) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, tile_rows: int = TILE_ROWS, sketches: int = 1, pieces: int = RADIUS + 1) -> DataFrame:
     """(doc_id, text) -> doc_id, text_key, fp, component_id (the smallest doc_id that links reach), one row per row.
 
+    Rows link if their fingerprints differ in at most radius of 64 * sketches bits and agree in one of the pieces of a word, which
+    always holds when there are more pieces in all than radius. fp is the first word.
     Null and empty texts, and texts of white space, have fingerprint 0 and link like any other; shorter texts than a
     shingle are one shingle. Rows with equal fingerprints are one class. A row with a null doc_id gets its component's smallest
-    doc_id, or null if it has none. Rows that repeat a doc_id with several texts are classes of their own. With more sketches than
-    one, rows link if any of their fingerprints do. Empty tables give no rows.
+    doc_id, or null if it has none. Rows that repeat a doc_id with several texts are classes of their own. Empty tables give no rows.
     """
-    fps = saved(fingerprints(docs, shingle, seed, sketches))
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = near_links(classes.select("fp", F.col("fp").alias("node")), radius, tile_rows)
-    for k in range(sketches - 1):
-        own = saved(fps.select(F.col("more")[k].alias("fp"), F.col("fp").alias("node")).distinct())
-        first = own.groupBy("fp").agg(F.min("node").alias("first"))
-        equal = own.join(first, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        links = links.union(equal).union(near_links(first.withColumnRenamed("first", "node"), radius, tile_rows))
-    roots = connected_components(links)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    node = F.col("words")[0] if sketches == 1 else F.xxhash64("words")
+    fps = saved(fingerprints(docs, shingle, seed, sketches).withColumn("node", node))
+    classes = saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")))
+    roots = connected_components(near_links(classes.select("node", "words"), sketches, pieces, radius, tile_rows))
+    roots = roots.withColumnRenamed("node", "linked")
+    rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "text_key", "fp", "component_id")
+    return fps.join(rooted.join(named, "root").select("node", "component_id"), "node").select("doc_id", "text_key", F.col("words")[0].alias("fp"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
@@ -206,10 +252,10 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int = RADIUS, sketches: int = KEEP_SKETCHES) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int = KEEP_RADIUS, sketches: int = KEEP_SKETCHES, pieces: int = KEEP_PIECES) -> DataFrame:
     """docs with one text of each component, all columns kept: that of its smallest doc_id, of several texts under that doc_id the one
     with the least key. A null doc_id stays; rows that repeat a doc_id and a text stay or go together."""
-    found = saved(simhash_components(docs, shingle, radius, sketches=sketches).filter("doc_id IS NOT NULL"))
+    found = saved(simhash_components(docs, shingle, radius, sketches=sketches, pieces=pieces).filter("doc_id IS NOT NULL"))
     first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("first")).withColumnRenamed("component_id", "c")
     lost = found.join(first, F.col("component_id") == F.col("c"), "left").filter("doc_id <> component_id OR text_key <> first")
     lost = lost.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__near_id"), F.col("text_key").alias("__near_key"))

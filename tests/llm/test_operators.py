@@ -126,7 +126,13 @@ def brute_fingerprint(text, size=3, sketch=0):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps, radius=2):
+def brute_linked(x, y):
+    """Sketches of several words: at most 62 bits differ in all, and 16 bits of some word, at 0, 16, 32 or 48, are equal."""
+    far = [a ^ b for a, b in zip(x, y, strict=True)]
+    return sum(f.bit_count() for f in far) <= 62 and any(f >> at & 0xFFFF == 0 for f in far for at in (0, 16, 32, 48))
+
+
+def brute_components(fps, linked=lambda x, y: (x[0] ^ y[0]).bit_count() <= 2):
     root = {i: i for i in range(len(fps))}
 
     def find(x):
@@ -135,7 +141,7 @@ def brute_components(fps, radius=2):
         return x
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if any((x ^ y).bit_count() <= radius for x, y in zip(fps[i][1:], fps[j][1:], strict=True)):
+        if linked(fps[i][1:], fps[j][1:]):
             root[max(find(i), find(j))] = min(find(i), find(j))
     least = {}
     for i, (doc, *_) in enumerate(fps):
@@ -162,10 +168,47 @@ def test_simhash(spark, odd, tile_rows):
     got = simhash.simhash_components(table(spark, rows), tile_rows=tile_rows).collect()
     assert sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in got) == sorted(want)
     if tile_rows > 3:
-        want = brute_components([(i, *[brute_fingerprint(t, 5, k) for k in range(4)]) for i, t, _, _ in rows])
+        want = brute_components([(i, *[brute_fingerprint(t, 5, k) for k in range(6)]) for i, t, _, _ in rows], brute_linked)
         assert sorted(r.doc_id for r in simhash.keep_one_of_each(table(spark, rows)).collect()) == sorted({c for _, _, c in want})
 
 
+@pytest.mark.parametrize("crowd", [2048, 20])
+def test_simhash_crowds_are_joined_as_by_all_pairs(crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "STEP_ROWS", 7)
+    monkeypatch.setattr(simhash, "STEP_COLUMNS", 11)
+    rng = np.random.default_rng(5)
+    middle = rng.integers(0, 2**63, (3, 2), dtype=np.uint64)
+    rows = np.repeat(middle, [200, 60, 5], axis=0)
+    for _ in range(4):
+        rows[np.arange(len(rows)), rng.integers(0, 2, len(rows))] ^= np.uint64(1) << rng.integers(0, 64, len(rows)).astype(np.uint64)
+    node = rng.permutation(len(rows))
+    for radius in (1, 3, 5):
+        links = list(simhash._crowd_links(rows, node, radius))
+        got = components.contract(np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links]))
+        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2) <= radius)
+        want = components.contract(node[i], node[j])
+        assert dict(zip(*map(np.ndarray.tolist, got), strict=True)) == dict(zip(*map(np.ndarray.tolist, want), strict=True))
+
+
+def test_simhash_recall_by_similarity(spark):
+    """Copies with some of 200 words replaced: those of a five-word similarity well above 0.8 go, those well below it stay."""
+    rng = random.Random(8)
+    rows, word = [], lambda: f"w{rng.randrange(100_000)}"
+    for i in range(60):
+        words = [word() for _ in range(200)]
+        rows.append((10 * i, " ".join(words)))
+        for k, replaced in enumerate((1, 2, 12)):  # similarities of 0.95, 0.90 and, by and large, 0.55
+            copy = list(words)
+            for at in rng.sample(range(5, 195), replaced):
+                copy[at] = word()
+            rows.append((10 * i + 1 + k, " ".join(copy)))
+    kept = dict.fromkeys(range(4), 0)
+    for r in simhash.keep_one_of_each(table(spark, [(i, t, "en", "a") for i, t in rows])).collect():
+        kept[r.doc_id % 10] += 1
+    assert kept[0] == 60 and kept[1] <= 2 and kept[2] <= 9 and kept[3] >= 57, kept
+
+
 def test_simhash_keeps_texts_that_share_an_id(spark):
     one, two = "alpha beta gamma delta " * 30, "eins zwei drei vier " * 30
     docs = table(spark, [(1, one, "en", "a"), (5, one, "en", "a"), (5, two, "en", "a"), (5, two, "en", "a"), (7, two, "de", "b"), (None, one, "en", "a")])
@@ -557,8 +600,8 @@ def test_pipeline_by_brute_force(spark, tmp_path, tokenizer):
     best = {}
     for r in rows.values():
         best[lower(r.text)] = max(best.get(lower(r.text), -1), r.doc_id)
-    fps = [(i, *[brute_fingerprint(rows[i].text, 5, k) for k in range(4)]) for i in best.values()]
-    left = sorted({c for _, _, c in brute_components(fps)})
+    fps = [(i, *[brute_fingerprint(rows[i].text, 5, k) for k in range(6)]) for i in best.values()]
+    left = sorted({c for _, _, c in brute_components(fps, brute_linked)})
     rates = {}
     chars = Counter()
     for i in left:
