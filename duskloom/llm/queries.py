@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, exact_dedup, langid, license_scan, mixing, quality, simhash, toxicity, url_filter
+from . import bpe, embed_dedup, exact_dedup, html_extract, langid, license_scan, mixing, point_in_time, quality, resample, simhash, toxicity, url_filter
 from .common import table
 
 #: Folder of the vocabulary files of public tokenizers.
@@ -59,11 +59,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_in_time.feature_join(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_exact_dedup, op4_language_id, op5_simhash, op6_source_mixing, op7_quality, op8_embedding_dedup, op9_url_filter, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_embedding_dedup": embed_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_exact_dedup, op4_language_id, op5_simhash, op6_source_mixing, op7_quality, op8_embedding_dedup, op9_url_filter, op10_toxicity, op11_feature_join, op12_html_extract, op13_importance_resample, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_embedding_dedup": embed_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE, "op11_feature_join": point_in_time.ORACLE, "op12_html_extract": html_extract.ORACLE, "op13_importance_resample": resample.ORACLE}
