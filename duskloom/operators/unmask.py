@@ -56,13 +56,53 @@ def restored(text: Column, values: Column) -> Column:
     return F.when(values.isNull(), text).otherwise(F.array_join(shown, ""))
 
 
-def unmasked(texts: DataFrame, column: str, values: DataFrame, marker: tuple[str, str] | None = None, allowed: Column | None = None, escape: bool = False) -> DataFrame:
+#: Stand for an escaped backslash and an escaped quote while raw JSON is cut at its quotes: characters that no text may hold.
+_BACKSLASH, _QUOTE = "\uFDD0", "\uFDD1"
+
+
+def restored_raw_json(text: Column, values: Column) -> Column:
+    """Raw JSON text with the tokens of values (map<token,value>, values as they stand in a JSON string) replaced where the policy lets
+    them: request targets anywhere, others only as a whole string that is no key, or where the token is all there is. A text with one of
+    the two characters that mark escapes gets request targets alone."""
+    marked = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    anywhere = F.map_filter(values, lambda token, _: restore_policy(label_of(token)) == "embedded")
+
+    def shown(b: Column) -> Column:
+        def part(p: Column, i: Column) -> Column:
+            """Parts between quotes: every second one is in a string."""
+            after = F.get(b["parts"], i + 1)
+            lone = (i % 2 == 1) & after.isNotNull() & ~after.rlike(r"^\s*:") & F.map_contains_key(b["values"], p)
+            return F.when(lone, F.element_at(b["values"], p)).otherwise(restored(p, b["anywhere"]))
+
+        whole = F.array_join(F.transform(b["parts"], part), '"')
+        return F.replace(F.replace(whole, F.lit(_BACKSLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"'))
+
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    inner = let(F.struct(F.split(marked, '"', -1).alias("parts"), values.alias("values"), anywhere.alias("anywhere")), shown)
+    return (
+        F.when(values.isNull(), text).when(F.map_contains_key(values, bare), F.replace(text, bare, F.element_at(values, bare)))
+        .when(text.rlike(f"[{_BACKSLASH}{_QUOTE}]"), restored(text, anywhere)).otherwise(inner)
+    )
+
+
+def unmasked_raw_json(texts: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """A tool's input as raw JSON text, restored by policy; see restored_raw_json."""
+    return unmasked(texts, column, values, allowed=restore_policy(label_of(F.col("token"))) != "gated", escape=True, restore=restored_raw_json)
+
+
+def unmasked_leaves(texts: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """A decoded leaf of a tool's input: a quote in it is text, so only a token that is all of the leaf is a whole value."""
+    policy = restore_policy(label_of(F.col("token")))
+    return unmasked(texts, column, values, allowed=(policy == "embedded") | ((policy == "whole_value") & (F.trim(F.regexp_replace("_whole", r"^\s+|\s+$", "")) == F.col("token"))))
+
+
+def unmasked(texts: DataFrame, column: str, values: DataFrame, marker: tuple[str, str] | None = None, allowed: Column | None = None, escape: bool = False, restore=restored) -> DataFrame:
     """texts with column's tokens replaced by the value of values (token, value), one row a token; unknown tokens stay as they are.
 
     What a text becomes depends on the text alone, so values are gathered for each distinct text, under its digest: rows that repeat
     a text, or a key, or have no key, are restored alike, and nothing of one text can reach another. Only texts with a token move.
     allowed: a condition on the columns token and _whole (the text) under which a token may be replaced. marker: what is put around
-    a value. escape: values are written into a JSON body. Null and empty texts stay; other columns are kept, whatever their names.
+    a value. escape: values are written into a JSON body. restore(text, map<token,value>) -> text. Null and empty texts stay; other columns are kept, whatever their names.
     """
     own = texts[column]
     digest = F.sha2(F.col("_whole"), 256).alias("_digest")
@@ -75,5 +115,5 @@ def unmasked(texts: DataFrame, column: str, values: DataFrame, marker: tuple[str
     gathered = known.groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
     rows = texts.filter(has).select(F.struct("*").alias("_row"), own.alias("_whole"))
     rows = rows.withColumn("_key", F.sha2("_whole", 256)).join(gathered, F.col("_key") == F.col("_digest"), "left")
-    back = rows.select(F.col("_row").withField(f"`{column}`", restored(F.col("_whole"), F.col("_values"))).alias("_row")).select("_row.*")
+    back = rows.select(F.col("_row").withField(f"`{column}`", restore(F.col("_whole"), F.col("_values"))).alias("_row")).select("_row.*")
     return texts.filter(~has).union(back)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules whose import registers their queries.
-MODULES = ("detection", "masking", "conversations", "labelled", "interchange")
+MODULES = ("detection", "masking", "conversations", "labelled", "interchange", "streams")
 
 
 def load() -> tuple[dict, dict]:

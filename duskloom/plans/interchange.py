@@ -232,37 +232,6 @@ def split_safe(spark, sf_dir):
     return BUFFERS.frame(spark).select("id", F.substring("buffer", F.lit(1), F.length("buffer") - F.length(held)).alias("safe"), held.alias("held"))
 
 
-def chunked_conversations(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """conv_id, turn, seq, text: assistant turns with a token before each, cut every size characters."""
-    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("[URL_000000000001] "), "text").alias("text"))
-    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
-    return rows.select("conv_id", "turn", F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))).alias("seq", "text"))
-
-
-_STREAMED = "SELECT conv_id, turn, 'http://a.io ' || text AS text FROM conversations WHERE role = 'assistant'"
-
-
-def unmasked_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """The batch law: whatever the chunks, the output's texts in order are the restored whole text."""
-    whole = chunked_conversations(spark, sf_dir, size).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
-    return U.unmasked(whole, "text", TOOL_VALUES.frame(spark))
-
-
-@query(_STREAMED)
-def stream_unmask(spark, sf_dir):
-    return unmasked_chunks(spark, sf_dir, 7)
-
-
-@query(_STREAMED)
-def stream_unmask_chat(spark, sf_dir):
-    return unmasked_chunks(spark, sf_dir, 11)
-
-
-@query(_STREAMED)
-def stream_unmask_responses(spark, sf_dir):
-    return unmasked_chunks(spark, sf_dir, 64)
-
-
 PROFILE_TEXTS = Fixture("kind string, needle string, text string", ("EMAIL_ADDRESS", "a@b.io", "mail a@b.io"), ("IP_ADDRESS", "8.8.8.8", "host 8.8.8.8 up"), ("CREDIT_CARD", "4111111111111111", "card 4111111111111111"), ("NONE", "", "no data 12.5"), ("NONE", "", "v1.2.3"))
 
 

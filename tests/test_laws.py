@@ -123,29 +123,6 @@ def test_any_chunking_lets_out_the_same_text(text, size):
     assert out + held == text
 
 
-def test_no_token_is_cut(spark):
-    text = "see [URL_0123456789ab] and [A_0123456789ab]."
-    for size in range(1, len(text)):
-        held = ""
-        for i in range(0, len(text), size):
-            safe, held = carry.split_safe(held + text[i : i + size])
-            assert safe.count("[") == safe.count("]")
-    assert carry.held_value('{"a": "[URL_01') == ('{"a": ', '"[URL_01') and carry.held_value('{"a": "x [URL_01') == ('{"a": "x ', "[URL_01")
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    text = "go to [URL_0123456789ab] or [DOMAIN_0123456789ab] now"
-    chunks = [("s", "0", i, "text", text[i * 5 : i * 5 + 5]) for i in range(0, len(text) // 5 + 1)] + [("s", "0", 99, "stop", None)]
-    schema = "stream_id string, block string, seq long, kind string, text string"
-    for n, part in enumerate((chunks[:4], chunks[4:7], chunks[7:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = carry.rechunked(stream).writeStream.format("memory").queryName("chunks_out").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    rows = sorted((r.seq, r.text) for r in spark.sql("SELECT * FROM chunks_out").collect())
-    assert "".join(t for _, t in rows) == text and all(t.count("[") == t.count("]") for _, t in rows)
-
-
 def test_policy():
     assert merged({"a": {"x": 1, "y": 2}, "l": [1]}, {"a": {"y": 3}, "l": [2]}) == {"a": {"x": 1, "y": 3}, "l": [2]}
     assert problems({"threshold": 2, "overrides": {"NOPE": {"kind": "token"}}}) == ["threshold must lie between 0 and 1", "unknown entity NOPE"]
