@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
-from .spans import Search
+from .spans import Search, after, held, let
 
 
 class Recognizer(NamedTuple):
@@ -44,7 +44,7 @@ IPV4 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9
 IPV6 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z:])((?:[0-9A-Fa-f]{1,4}:){2,7}(?::|[0-9A-Fa-f]{1,4}(?:::[0-9A-Fa-f]{1,4})?)|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})", 0.6, guard="[0-9A-Fa-f]:[0-9A-Fa-f:]")
 MAC = Recognizer("MAC_ADDRESS", r"(^|[^0-9A-Za-z:-])([0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5})", 0.85, guard="[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")
 URL = Recognizer("URL", r"(^|[^0-9A-Za-z])((?:https?|ftp)://[^ \t\r\n<>]+)", 0.6, guard=("://",))
-DOMAIN = Recognizer("DOMAIN", r"(^|[^0-9A-Za-z@._/-])((?:[0-9A-Za-z-]++\.)+(?:com|org|net|io|dev|edu|gov|info|co|de|fr|es|uk|eu|rs|md|py|sh|ai|app))", 0.5, guard="[.][A-Za-z]{2}")
+DOMAIN = Recognizer("DOMAIN", r"(^|[^0-9A-Za-z@._/-])((?:[0-9A-Za-z-]++\.)+[0-9A-Za-z-]+)", 0.5, guard="[.][A-Za-z]{2}")
 IBAN = Recognizer("IBAN_CODE", _START + r"([A-Z]{2}[0-9]{2}[0-9A-Z]{11,30})", 0.85, ("iban", "bank", "account"), guard="[A-Z]{2}[0-9]{2}[0-9A-Z]{11}")
 SSN = Recognizer("US_SSN", r"(^|[^0-9A-Za-z-])([0-9]{3}-[0-9]{2}-[0-9]{4})", 0.5, ("social", "security", "ssn", "ssns", "ssid"), guard="[0-9]{3}-[0-9]{2}-[0-9]")
 ITIN = Recognizer("US_ITIN", r"(^|[^0-9A-Za-z-])(9[0-9]{2}-[5-9][0-9]-[0-9]{4})", 0.5, ("individual", "taxpayer", "itin", "tax", "payer", "taxid", "tin"), guard="9[0-9]{2}-[5-9]")
@@ -73,6 +73,17 @@ PASSPORT = Recognizer("PASSPORT", _START + r"([A-Z0-9]{1,2}[0-9]{6,8})", 0.06, (
 DRIVER_LICENSE = Recognizer("DRIVER_LICENSE", _START + r"([0-9]{7,12})", 0.06, ("driver", "drivers", "licence", "license"), guard="[0-9]{7}")
 NATIONAL_ID = Recognizer("NATIONAL_ID", _START + r"([0-9A-Z]{0,2}[0-9]{7,12}[A-Z]?)", 0.06, ("nationalid", "identity", "dni", "nif", "nric", "aadhaar"), guard="[0-9]{7}")
 
+#: Last labels of names that count as hosts.
+TOP_LABELS = ("com", "org", "net", "io", "dev", "edu", "gov", "info", "co", "de", "fr", "es", "uk", "eu", "rs", "md", "py", "sh", "ai", "app")
+
+#: entity -> a pattern that must not match the two characters behind a value: it would be a part of something longer.
+_WORD_ON = "^[0-9A-Za-z_]"
+GOES_ON: dict[str, str] = {
+    **dict.fromkeys(("US_SSN", "US_ITIN", "IBAN_CODE", "ABA_ROUTING_NUMBER", "US_BANK_NUMBER", "MEDICAL_LICENSE", "US_NPI", "US_MBI", "UK_NHS", "UK_NINO", "US_PASSPORT", "UK_PASSPORT", "US_DRIVER_LICENSE", "UK_DRIVING_LICENCE",
+      "PASSPORT", "DRIVER_LICENSE", "NATIONAL_ID", "CRYPTO", "CREDIT_CARD"), f"{_WORD_ON}|^-[0-9]"),
+    "DOMAIN": "^[_@(]", "IP_ADDRESS": "^[0-9A-Za-z_:]|^[.][0-9]", "MAC_ADDRESS": "^[0-9A-Za-z_]|^[:-][0-9A-Fa-f]",
+}
+
 #: Numbers known from documentation, never real.
 SAMPLE_SSNS = ("078-05-1120", "219-09-9999", "123-45-6789")
 
@@ -96,7 +107,8 @@ def _nhs(value: Column) -> Column:
 CHECKS: dict[str, Callable[[Column], Column]] = {
     "CREDIT_CARD": lambda v: F.length(T.digits_of(v)).between(13, 19) & T.luhn(T.digits_of(v)),
     "PHONE_NUMBER": lambda v: F.length(T.digits_of(v)).between(10, 13),
-    "IP_ADDRESS": lambda v: v.contains(":") | _octets(v),
+    "IP_ADDRESS": lambda v: F.when(v.contains("."), _octets(v)).otherwise(~v.contains("::") | v.rlike("[0-9]|:.*:.*:")),
+    "DOMAIN": lambda v: F.lower(F.element_at(F.split(v, r"\."), -1)).isin(*TOP_LABELS),
     "US_SSN": _ssn,
     "IBAN_CODE": lambda v: F.length(v).between(15, 34) & (T.mod97(v) == 1),
     "ABA_ROUTING_NUMBER": lambda v: (T.weighted_sum(v, [3, 7, 1] * 3) % 10 == 0) & v.rlike("^(0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)"),
@@ -108,7 +120,19 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def checked(spans: Column, entities: set[str]) -> Column:
-    """The spans whose values pass the check of their entity; generic keys must look generated, those with a known prefix need not."""
-    keep = lambda s: F.coalesce(*[F.when(s["entity"] == e, check(s["value"])) for e, check in CHECKS.items() if e in entities], F.when((s["entity"] == "API_KEY") & (s["score"] == API_KEY.score), T.plausible_secret(s["value"])), F.lit(True))
-    return F.filter(spans, keep)
+def checked(text: Column, spans: Column, entities: set[str]) -> Column:
+    """The spans of a text whose values pass the check of their entity and aren't a part of something longer; generic keys must look
+    generated, those with a known prefix need not."""
+    ends = {e: p for e, p in GOES_ON.items() if e in entities}
+
+    def keep(own: Column):
+        def one(s: Column) -> Column:
+            valid = F.coalesce(*[F.when(s["entity"] == e, check(s["value"])) for e, check in CHECKS.items() if e in entities], F.when((s["entity"] == "API_KEY") & (s["score"] == API_KEY.score), T.plausible_secret(s["value"])), F.lit(True))
+            if not ends:
+                return valid
+            behind = after(own, s["end"], 2)
+            return valid & ~F.coalesce(*[F.when(s["entity"].isin(*[e for e in ends if ends[e] == p]), behind.rlike(p)) for p in sorted(set(ends.values()))], F.lit(False))
+
+        return one
+
+    return let(F.struct(held(text, F.size(spans) > 0).alias("own"), spans.alias("found")), lambda b: F.filter(b["found"], keep(b["own"])))

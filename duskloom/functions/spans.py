@@ -82,11 +82,40 @@ def _matches(s: Search) -> str:
     return f"CASE WHEN {_guarded(s)} THEN named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())}) END"
 
 
-#: The spans of one search's cut text, placed by a running sum of the parts' lengths without their two marks.
-_SPANS = f"""m -> aggregate(slice(m.cut, 2, size(m.cut)), named_struct('at', length(m.cut[0]), 'out', cast(array() AS {SPANS})),
-(s, part) -> named_struct('at', s.at + length(part) - 2, 'out', array_append(s.out, named_struct(
-  'start', s.at + instr(part, '{_VALUE}') - 1, 'end', s.at + instr(part, '{_REST}') - 2, 'entity', m.entity, 'score', m.score, 'source', m.source,
-  'value', substring(part, instr(part, '{_VALUE}') + 1, instr(part, '{_REST}') - instr(part, '{_VALUE}') - 1), 'literal', m.literal, 'ord', m.ord))), s -> s.out)"""
+#: Elements that a running sum folds at once: appending copies an array, so longer ones are folded block by block.
+_BLOCK = 256
+
+
+def _fold(a: str, start: str, step: str) -> str:
+    return f"aggregate({a}, named_struct('at', {start}, 'out', cast(array() AS array<int>)), (s, x) -> named_struct('at', {step}, 'out', array_append(s.out, s.at)), s -> s.out)"
+
+
+def _running(a: str, whole: str, start: str, step: str, join: str) -> str:
+    """For each element of the array named a what the elements before it come to: whole(b) of a block, join(x, o) of a place in a block and the blocks before."""
+    blocks = f"transform(sequence(0, size({a}) - 1, {_BLOCK}), i -> slice({a}, i + 1, {_BLOCK}))"
+    inner = f"flatten(zip_with(v.k, transform(array(transform(v.k, b -> {whole})), t -> {_fold('t', start, step)})[0], (b, o) -> transform({_fold('b', start, step)}, x -> {join})))"
+    return f"CASE WHEN size({a}) <= {_BLOCK} THEN {_fold(a, start, step)} ELSE transform(array(named_struct('k', {blocks})), v -> {inner})[0] END"
+
+
+def running_sums_sql(a: str) -> str:
+    """The sum of all elements before each, for an array of integers that has a name in SQL; work grows with the length and a share of it."""
+    return _running(a, "aggregate(b, 0, (x, y) -> x + y)", "0", "s.at + x", "x + o")
+
+
+def running_most_sql(a: str) -> str:
+    """The largest of all elements before each, -1 for the first."""
+    return _running(a, "array_max(b)", "-1", "greatest(s.at, x)", "greatest(x, o)")
+
+
+def running_sums(values: Column) -> Column:
+    return applied(running_sums_sql("b.a"), a=values.cast("array<int>"))
+
+
+#: The spans of one search's cut text, placed by running sums of the parts' lengths without their two marks.
+_SPANS = f"""m -> transform(array(named_struct('p', slice(m.cut, 2, size(m.cut)), 'l', transform(slice(m.cut, 2, size(m.cut)), c -> length(c) - 2))), c ->
+zip_with(c.p, transform(array(c.l), l -> {running_sums_sql("l")})[0], (part, at) -> named_struct(
+  'start', length(m.cut[0]) + at + instr(part, '{_VALUE}') - 1, 'end', length(m.cut[0]) + at + instr(part, '{_REST}') - 2, 'entity', m.entity, 'score', m.score, 'source', m.source,
+  'value', substring(part, instr(part, '{_VALUE}') + 1, instr(part, '{_REST}') - instr(part, '{_VALUE}') - 1), 'literal', m.literal, 'ord', m.ord)))[0]"""
 
 
 def find_all(text: Column, searches: list[Search], only_if: list[tuple[str, list[Search]]] = []) -> Column:  # noqa: B006
@@ -98,7 +127,7 @@ def find_all(text: Column, searches: list[Search], only_if: list[tuple[str, list
     lists = [own(searches)] * bool(searches) + [f"CASE WHEN b.hot RLIKE {literal(pattern)} THEN {own(some)} ELSE array() END" for pattern, some in only_if]
     needs = any(s.guard for s in searches) or only_if
     hot = F.regexp_replace(text, PROSE, "") if needs else F.lit("")
-    found = f"flatten(transform(array_compact(concat({', '.join(lists)})), {_SPANS}))"
+    found = f"cast(flatten(transform(array_compact(concat({', '.join(lists)})), {_SPANS})) AS {SPANS})"
     odd = text.rlike(f"[{_MARKS}]")
     spans = F.coalesce(applied(found, text=F.when(odd, F.translate(text, _MARKS, "\uFFFD" * 3)).otherwise(text), hot=hot), no_spans())
     return F.transform(spans, lambda s: s.withField("value", F.when(s["value"].contains("\uFFFD"), F.substring(text, s["start"] + 1, s["end"] - s["start"])).otherwise(s["value"])))
@@ -115,14 +144,32 @@ def find_literal(text: Column, value: str, entity: str, source: str, case_sensit
     return find(text, quoted if case_sensitive else f"(?i){quoted}", entity, 1.0, source, groups=False, literal=literal, order=order)
 
 
-def before(text: Column, start: Column, n: int) -> Column:
-    """The last n characters before a place."""
-    return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
+#: Characters of a block of a long text. A place in a string is found by counting from its start, so long texts are cut once.
+_PIECE = 1024
+
+
+def held(text: Column, needed: Column) -> Column:
+    """A text beside its blocks, for before, after and between; the blocks are cut only where they are needed."""
+    blocks = F.when(needed & (F.length(text) > 4 * _PIECE), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    return F.struct(text.alias("text"), blocks.alias("blocks"))
+
 
+def between(b: Column, start: Column, n: Column) -> Column:
+    """n characters from a place of a held text."""
+    first = F.floor(start / _PIECE).cast("int")
+    some = F.array_join(F.slice(b["blocks"], first + 1, F.floor((start + n) / _PIECE).cast("int") - first + 1), "")
+    return F.when(b["blocks"].isNull(), F.substring(b["text"], start + 1, n)).otherwise(F.substring(some, start - first * _PIECE + 1, n))
 
-def after(text: Column, end: Column, n: int) -> Column:
-    """The first n characters from a place."""
-    return F.substring(text, end + 1, F.lit(n))
+
+def before(b: Column, start: Column, n: int) -> Column:
+    """The last n characters before a place of a held text."""
+    first = F.greatest(start - n, F.lit(0))
+    return between(b, first, start - first)
+
+
+def after(b: Column, end: Column, n: int) -> Column:
+    """The first n characters from a place of a held text."""
+    return between(b, end, F.lit(n))
 
 
 def where(spans: Column, keep) -> Column:
@@ -160,27 +207,32 @@ def _greedy(spans: Column) -> Column:
 
 
 def resolve(spans: Column) -> Column:
-    """Non-overlapping spans in text order. Only spans of one cluster, a run of overlapping ones, are held against each other."""
-    settled = lambda state: F.concat(state["done"], F.when(F.size(state["open"]) > 1, _greedy(state["open"])).otherwise(state["open"]))
+    """Non-overlapping spans in text order. A sweep over the sorted spans cuts them where none that began before reaches; only spans of one
+    such cluster are held against each other."""
+
+    def clustered(c: Column) -> Column:
+        n = F.size(c["s"])
+        until = lambda k: F.when(k + 1 < F.size(c["first"]), F.get(c["first"], k + 1)).otherwise(n)
+        clusters = F.transform(c["first"], lambda f, k: F.slice(c["s"], f + 1, until(k) - f))
+        settled = F.flatten(F.transform(clusters, lambda x: F.when(F.size(x) > 1, F.array_sort(_greedy(x))).otherwise(x)))
+        return F.when(F.size(c["first"]) == n, c["s"]).otherwise(settled)
 
-    def step(state: Column, s: Column) -> Column:
-        joins = s["start"] < state["until"]
-        return F.struct(
-            F.when(joins, state["done"]).otherwise(settled(state)).alias("done"), F.when(joins, F.array_append(state["open"], s)).otherwise(F.array(s)).alias("open"),
-            F.when(joins, F.greatest(state["until"], s["end"])).otherwise(s["end"]).alias("until"),
-        )
+    def swept(c: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(c["s"]) - 1), lambda i: F.get(c["s"], i)["start"] >= F.get(c["reach"], i))
+        return let(F.struct(c["s"].alias("s"), first.alias("first")), clustered)
 
-    start = F.struct(no_spans().alias("done"), no_spans().alias("open"), F.lit(-1).alias("until"))
-    return let(spans, lambda b: F.when(F.size(b) < 2, b).otherwise(F.array_sort(F.aggregate(F.array_sort(b), start, step, settled))))
+    reach = lambda s: applied(running_most_sql("b.a"), a=F.transform(s, lambda x: x["end"]))
+    several = lambda b: let(F.array_sort(b), lambda s: let(F.struct(s.alias("s"), reach(s).alias("reach")), swept))
+    return let(spans, lambda b: F.when(F.size(b) < 2, b).otherwise(several(b)))
 
 
 def splice(text: Column, spans: Column, rendered) -> Column:
     """The text with each of its sorted, non-overlapping spans replaced by rendered(span)."""
 
     def joined(b: Column) -> Column:
-        parts = F.transform(b["spans"], lambda s, i: F.concat(F.substring(text, b["ends"][i] + 1, s["start"] - b["ends"][i]), rendered(s)))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(b["ends"], -1) + 1, F.length(text)))
+        parts = F.transform(b["spans"], lambda s, i: F.concat(between(b["own"], F.get(b["ends"], i), s["start"] - F.get(b["ends"], i)), rendered(s)))
+        return F.concat(F.array_join(parts, ""), F.substring(b["own"]["text"], F.element_at(b["ends"], -1) + 1, F.length(b["own"]["text"])))
 
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-    spliced = let(F.struct(spans.alias("spans"), ends.alias("ends")), joined)
+    spliced = let(F.struct(held(text, F.size(spans) > 8).alias("own"), spans.alias("spans"), ends.alias("ends")), joined)
     return F.when(F.size(spans) == 0, text).otherwise(spliced)

@@ -41,15 +41,17 @@ def manifest(spans: Column, policy: Policy) -> Column:
     start and end are places in the original text, masked_start and masked_end those of the token in the masked text.
     """
     show = rendered(policy)
+    shown = F.transform(spans, lambda x: F.struct(x.alias("x"), show(x).alias("token")))
 
-    def step(s: Column, x: Column) -> Column:
-        token, start = show(x), x["start"] + s["shift"]
-        row = F.struct(token.alias("token"), x["value"].alias("value"), x["entity"].alias("entity"), x["start"].alias("start"), x["end"].alias("end"), start.alias("masked_start"), (start + F.length(token)).alias("masked_end"))
-        reversible = x["literal"] | kind_of(x["entity"], policy).isin("token", "broker", "local")
-        return F.struct((s["shift"] + F.length(token) - (x["end"] - x["start"])).alias("shift"), F.when(reversible, F.array_append(s["rows"], row)).otherwise(s["rows"]).alias("rows"))
+    def placed(b: Column) -> Column:
+        def row(y: Column, shift: Column) -> Column:
+            x, start = y["x"], y["x"]["start"] + shift
+            return F.struct(y["token"].alias("token"), x["value"].alias("value"), x["entity"].alias("entity"), x["start"].alias("start"), x["end"].alias("end"), start.alias("masked_start"), (start + F.length(y["token"])).alias("masked_end"))
 
-    rows = F.array().cast("array<struct<token:string,value:string,entity:string,start:int,end:int,masked_start:int,masked_end:int>>")
-    return F.aggregate(spans, F.struct(F.lit(0).alias("shift"), rows.alias("rows")), step, lambda s: s["rows"])
+        rows = F.zip_with(b, S.running_sums(F.transform(b, lambda y: F.length(y["token"]) - (y["x"]["end"] - y["x"]["start"]))), lambda y, shift: F.struct(row(y, shift).alias("r"), (y["x"]["literal"] | kind_of(y["x"]["entity"], policy).isin("token", "broker", "local")).alias("keep")))
+        return F.transform(F.filter(rows, lambda r: r["keep"]), lambda r: r["r"])
+
+    return S.let(shown, placed)
 
 
 def bypass_parts(text: Column) -> Column:

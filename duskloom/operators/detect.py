@@ -7,7 +7,7 @@ from datetime import date
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import context as X
@@ -31,7 +31,7 @@ class Labelled(NamedTuple):
     score: float = X.SCORE
 
 
-BIRTH = Labelled(("DATE_OF_BIRTH",), X.birth_dates, ("[0-9]{2}", "(?i)birth|d[.]?o[.]?b|born"))
+BIRTH = Labelled(("DATE_OF_BIRTH",), X.birth_dates, ("[0-9]{2}", "(?i)birth|d[^0-9a-z]?o[^0-9a-z]?b|born"))
 EXPIRY = Labelled(("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"), X.expiries, ("[0-9]{2}", "(?i)exp|thru|through"))
 CODE = Labelled(("CVV",), X.security_codes, ("[0-9]{3}", "(?i)cvv|cvc|cav2|security|card"))
 CREDENTIAL = Labelled(("URL_CREDENTIAL",), X.credentials, ("[=:%]",))
@@ -59,13 +59,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def words_before(text: Column, start: Column) -> Column:
-    """The last CONTEXT_WORDS words before a place. NEAR characters are enough when more words than that stand in them; else the
-    whole text before the place is read."""
-    near = words(S.before(text, start, NEAR))
+def words_before(own: Column, start: Column) -> Column:
+    """The last CONTEXT_WORDS words before a place of a held text, the last first. NEAR characters are enough when more words than that stand in them;
+    else the whole text before the place is read."""
+    near = words(S.before(own, start, NEAR))
     enough = (start <= NEAR) | (F.size(near) > CONTEXT_WORDS)
-    found = F.when(enough, near).otherwise(words(F.substring(text, F.lit(1), start)))
-    return S.let(found, lambda w: F.slice(w, F.greatest(F.size(w) - (CONTEXT_WORDS - 1), F.lit(1)), CONTEXT_WORDS))
+    found = F.when(enough, near).otherwise(words(F.substring(own["text"], F.lit(1), start)))
+    return F.slice(F.reverse(found), 1, CONTEXT_WORDS)
 
 
 def boosted(text: Column, spans: Column, recognizers: tuple[P.Recognizer, ...]) -> Column:
@@ -74,20 +74,50 @@ def boosted(text: Column, spans: Column, recognizers: tuple[P.Recognizer, ...])
     if not contexts:
         return spans
     listed = lambda s: F.coalesce(*[F.when(s["entity"] == e, F.lit(list(c))) for e, c in contexts.items()], F.array().cast("array<string>"))
-    raised = lambda s: F.when(s["entity"].isin(*contexts) & F.arrays_overlap(words_before(text, s["start"]), listed(s)), F.least(s["score"] + CONTEXT_BOOST, F.lit(1.0))).otherwise(s["score"])
-    return S.rescored(spans, raised)
+
+    def raised(b: Column) -> Column:
+        near = lambda s: F.arrays_overlap(words_before(b["own"], s["start"]), listed(s))
+        return S.rescored(b["found"], lambda s: F.when(s["entity"].isin(*contexts) & near(s), F.least(s["score"] + CONTEXT_BOOST, F.lit(1.0))).otherwise(s["score"]))
+
+    return S.let(F.struct(S.held(text, F.size(spans) > 0).alias("own"), spans.alias("found")), raised)
+
+
+def searched(text: Column, *recognizers: P.Recognizer) -> Column:
+    """What the recognizers of shapes find, unchecked, each with its place in the list as the order of insertion."""
+    numeric = [r.search(i) for i, r in enumerate(recognizers) if isinstance(r, P.Recognizer) and r not in _WORDY]
+    return S.find_all(text, [r.search(i) for i, r in enumerate(recognizers) if r in _WORDY], [(SIX_DIGITS, numeric)] if numeric else [])
+
+
+def confirmed(text: Column, found: Column, *recognizers: P.Recognizer) -> Column:
+    """The valid ones of spans that were searched, with their scores in context."""
+    shaped = tuple(r for r in recognizers if isinstance(r, P.Recognizer))
+    return boosted(text, P.checked(text, found, {r.entity for r in shaped}), shaped)
+
+
+def of_label(text: Column, r: Labelled, order: int) -> Column:
+    """What a recognizer by labels finds in the texts that have its guards."""
+    return F.when(reduce(lambda a, b: a & b, map(text.rlike, r.guards)), F.transform(r.find(text), lambda s: s.withField("ord", F.lit(order)))).otherwise(S.no_spans())
 
 
 def recognized(text: Column, *recognizers: P.Recognizer | Labelled) -> Column:
     """The recognizers' valid values with their scores in context, each with its recognizer's place as the order of insertion."""
-    shaped = [(i, r) for i, r in enumerate(recognizers) if isinstance(r, P.Recognizer)]
-    numeric = [r.search(i) for i, r in shaped if r not in _WORDY]
-    found = S.find_all(text, [r.search(i) for i, r in shaped if r in _WORDY], [(SIX_DIGITS, numeric)] if numeric else [])
-    parts = [boosted(text, P.checked(found, {r.entity for _, r in shaped}), tuple(r for _, r in shaped))] if shaped else []
+    parts = [confirmed(text, searched(text, *recognizers), *recognizers)] if any(isinstance(r, P.Recognizer) for r in recognizers) else []
+    parts += [of_label(text, r, i) for i, r in enumerate(recognizers) if isinstance(r, Labelled)]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def with_recognized(rows: DataFrame, recognizers: tuple[P.Recognizer | Labelled, ...], text: str = "text", name: str = "found") -> DataFrame:
+    """rows with what recognized finds, as the column name, in steps: a query's analysis takes a round for every function inside another, so
+    many recognizers are a column each before they are put together."""
+    own, parts = F.col(text), []
+    if any(isinstance(r, P.Recognizer) for r in recognizers):
+        rows = rows.withColumn("__searched", searched(own, *recognizers)).withColumn("__shaped", confirmed(own, F.col("__searched"), *recognizers)).drop("__searched")
+        parts.append("__shaped")
     for i, r in enumerate(recognizers):
         if isinstance(r, Labelled):
-            parts.append(F.when(reduce(lambda a, b: a & b, map(text.rlike, r.guards)), F.transform(r.find(text), lambda s, i=i: s.withField("ord", F.lit(i)))).otherwise(S.no_spans()))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+            parts.append(f"__label_{i}")
+            rows = rows.withColumn(parts[-1], of_label(own, r, i))
+    return rows.withColumn(name, F.concat(*[F.coalesce(p, S.no_spans()) for p in parts])).drop(*parts)
 
 
 def reserved_ipv4(value: Column) -> Column:
@@ -111,11 +141,12 @@ _NAMESPACE_KEY = rf"(^|[^{_KEY_CHARS}])(xmlns(:[0-9A-Za-z_.-]+)?|\$schema|\$id|\
 _CUT_KEY = rf"^[{_KEY_CHARS}]*[\"']?[ \t]*[=:]?[ \t]*[\"']?$"
 
 
-def namespace_url(text: Column, start: Column) -> Column:
-    """Whether a namespace's key stands before a place. Where NEAR characters hold no more than a part of the key, all before is read."""
-    near = S.before(text, start, NEAR)
+def namespace_url(own: Column, start: Column) -> Column:
+    """Whether a namespace's key stands before a place of a held text. Where NEAR characters hold no more than a part of the key, all
+    before is read."""
+    near = S.before(own, start, NEAR)
     cut = (start > NEAR) & near.rlike(_CUT_KEY)
-    return F.when(cut, F.substring(text, F.lit(1), start)).otherwise(near).rlike(_NAMESPACE_KEY)
+    return F.when(cut, F.substring(own["text"], F.lit(1), start)).otherwise(near).rlike(_NAMESPACE_KEY)
 
 
 def filename_domain(value: Column) -> Column:
@@ -152,25 +183,47 @@ def custom_spans(text: Column, rules: tuple[CustomRule, ...], surface: Column |
 
 
 def gated(text: Column, spans: Column, policy: Policy) -> Column:
-    """The gates in their order: score floor, phone without context, category, reserved address, namespace URL, file name, quotes."""
-    kept = S.where(spans, lambda s: s["score"] >= policy.floor)
-    kept = S.where(kept, lambda s: ~((s["entity"] == "PHONE_NUMBER") & (s["score"] <= 0.4)))
-    kept = S.where(kept, lambda s: s["entity"].isin(*policy.entities()))
-    kept = S.where(kept, lambda s: ~((s["entity"] == "IP_ADDRESS") & (reserved_ipv4(s["value"]) | reserved_ipv6(s["value"]))))
-    kept = S.where(kept, lambda s: ~((s["entity"] == "URL") & namespace_url(text, s["start"])))
-    kept = S.where(kept, lambda s: ~((s["entity"] == "DOMAIN") & filename_domain(s["value"])))
-    return S.trimmed_quotes(kept)
+    """The gates: score floor, phone without context, category, reserved address, namespace URL, file name; then quotes are trimmed."""
 
+    def kept(b: Column) -> Column:
+        def one(s: Column) -> Column:
+            reserved = (s["entity"] == "IP_ADDRESS") & (reserved_ipv4(s["value"]) | reserved_ipv6(s["value"]))
+            unlikely = ((s["entity"] == "PHONE_NUMBER") & (s["score"] <= 0.4)) | ((s["entity"] == "DOMAIN") & filename_domain(s["value"]))
+            return (s["score"] >= policy.floor) & s["entity"].isin(*policy.entities()) & ~unlikely & ~reserved & ~((s["entity"] == "URL") & namespace_url(b["own"], s["start"]))
 
-def detected(text: Column, policy: Policy, recognizers: tuple[P.Recognizer | Labelled, ...] = STANDARD, secrets: Column | None = None, surface: Column | None = None, today: date | None = None) -> Column:
-    """All spans of a text under a policy: registered secrets, custom rules, gated recognizers; allow spans suppress, overlaps are resolved."""
-    enabled = set(policy.entities())
-    lowest = policy.floor - CONTEXT_BOOST
-    used = [r for r in recognizers if enabled & set(r.entities if isinstance(r, Labelled) else (r.entity,)) and (r.score >= lowest)]
-    found = recognized(text, *used) if used else S.no_spans()
-    first = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(text, policy.custom, surface))
-    gate = gated(text, found, policy)
+        return F.filter(b["found"], one)
+
+    return S.trimmed_quotes(S.let(spans, lambda k: S.let(F.struct(S.held(text, F.exists(k, lambda s: s["entity"] == "URL")).alias("own"), k.alias("found")), kept)))
+
+
+def _used(policy: Policy, recognizers: tuple[P.Recognizer | Labelled, ...]) -> list[P.Recognizer | Labelled]:
+    """Recognizers of entities that a policy has, whose values can reach its floor."""
+    enabled, lowest = set(policy.entities()), policy.floor - CONTEXT_BOOST
+    return [r for r in recognizers if enabled & set(r.entities if isinstance(r, Labelled) else (r.entity,)) and r.score >= lowest]
+
+
+def settled(first: Column, gate: Column, policy: Policy, today: date | None = None) -> Column:
+    """Secrets and custom spans beside gated ones: allow spans suppress, overlaps are resolved."""
     if not policy.allow and today is None:
         return S.resolve(F.concat(first, gate))
     both = F.struct(first.alias("first"), gate.alias("gate"), S.where(gate, lambda s: allowed_value(s["value"], policy, today)).alias("allowed"))
     return S.resolve(S.let(both, lambda b: S.not_allowed(F.concat(b["first"], b["gate"]), b["allowed"], CATEGORIES["secrets"])))
+
+
+def detected(text: Column, policy: Policy, recognizers: tuple[P.Recognizer | Labelled, ...] = STANDARD, secrets: Column | None = None, surface: Column | None = None, today: date | None = None) -> Column:
+    """All spans of a text under a policy: registered secrets, custom rules, gated recognizers; allow spans suppress, overlaps are resolved.
+    For a few recognizers; with_detected takes any number."""
+    used = _used(policy, recognizers)
+    found = recognized(text, *used) if used else S.no_spans()
+    first = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(text, policy.custom, surface))
+    return settled(first, gated(text, found, policy), policy, today)
+
+
+def with_detected(rows: DataFrame, policy: Policy, recognizers: tuple[P.Recognizer | Labelled, ...] = STANDARD, text: str = "text", name: str = "spans", secrets: Column | None = None, surface: Column | None = None, today: date | None = None) -> DataFrame:
+    """rows with all spans of a text column under a policy; as detected, in steps."""
+    used = _used(policy, recognizers)
+    own = F.col(text)
+    rows = with_recognized(rows, tuple(used), text, "__found") if used else rows.withColumn("__found", S.no_spans())
+    first = F.concat(secrets if secrets is not None else S.no_spans(), custom_spans(own, policy.custom, surface))
+    rows = rows.withColumn("__gated", gated(own, F.col("__found"), policy)).drop("__found").withColumn("__first", first)
+    return rows.withColumn(name, settled(F.col("__first"), F.col("__gated"), policy, today)).drop("__gated", "__first")

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import detect as D
 from .policy import CATEGORIES, PROFILES, CustomRule, Operator, Policy
 from .registry import Fixture, query, table
-from .sqltext import entropy_sql, luhn_sql, plausible_sql, recognized_sql, spans_sql
+from .sqltext import CHECKS, entropy_sql, luhn_sql, plausible_sql, recognized_sql, spans_sql, whole_sql
 
 TODAY = date(2026, 5, 29)
 
@@ -37,7 +37,7 @@ def spans_of(recognizer: P.Recognizer) -> Column:
 
 
 def _sql(source: str, key: str, recognizer: P.Recognizer, where: str = "true") -> str:
-    return f"SELECT {key}, start, stop, value FROM ({spans_sql(source, key, 'text', recognizer.plain)}) WHERE {where}"
+    return f"SELECT {key}, start, stop, value FROM ({spans_sql(source, key, 'text', recognizer.plain)}) WHERE {where} AND {whole_sql(recognizer.entity)}"
 
 
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
@@ -53,7 +53,7 @@ def phone_spans(spark, sf_dir):
     return exploded(documents(spark, sf_dir), spans_of(P.PHONE), "doc_id")
 
 
-@query(f"SELECT doc_id, start, stop, value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql('documents', 'doc_id', 'text', P.CARD.plain)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql('d')}")
+@query(f"SELECT doc_id, start, stop, value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql('documents', 'doc_id', 'text', P.CARD.plain)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql('d')} AND {whole_sql('CREDIT_CARD')}")
 def card_spans(spark, sf_dir):
     return exploded(documents(spark, sf_dir), spans_of(P.CARD), "doc_id")
 
@@ -99,7 +99,7 @@ def numbers(spark: SparkSession, *recognizers: P.Recognizer) -> DataFrame:
 
 
 def numbers_sql(*parts: tuple[P.Recognizer, str]) -> str:
-    return " UNION ALL ".join(f"SELECT id, '{r.entity}' AS entity, start, stop, value FROM ({spans_sql(NUMBERS.sql, 'id', 'text', r.plain)}) WHERE {where}" for r, where in parts)
+    return " UNION ALL ".join(f"SELECT id, '{r.entity}' AS entity, start, stop, value FROM ({spans_sql(NUMBERS.sql, 'id', 'text', r.plain)}) WHERE {where} AND {CHECKS.get(r.entity, 'true')} AND {whole_sql(r.entity)}" for r, where in parts)
 
 
 def _weights(digits: str, weights: list[int]) -> str:
@@ -264,7 +264,7 @@ MARKUP = Fixture(
 @query(f"SELECT id, value, id IN (1, 3, 4, 5, 10, 12) OR (id = 7 AND starts_with(value, 'https://e.example')) AS namespace FROM ({spans_sql(MARKUP.sql, 'id', 'text', P.URL.plain)})")
 def namespace_url_filter(spark, sf_dir):
     rows = MARKUP.frame(spark).select("id", "text", F.explode(raw(P.URL)).alias("s"))
-    return rows.select("id", F.col("s.value").alias("value"), D.namespace_url(F.col("text"), F.col("s.start")).alias("namespace"))
+    return rows.select("id", F.col("s.value").alias("value"), D.namespace_url(S.held(F.col("text"), F.lit(False)), F.col("s.start")).alias("namespace"))
 
 
 NAMES = Fixture("id int, value string", *enumerate(["main.rs", "lib.py", "example.com", "www.foo.rs", "a/b.rs", "host:80.rs", "README.MD", "x.y.sh", "plain", "example.io"]))
@@ -308,7 +308,7 @@ _REGEX_SET = (P.EMAIL, P.IPV4, P.CARD)
 _CHECKS = {P.EMAIL: "true", P.IPV4: "len(list_filter(string_split(value, '.'), lambda o: o::INT > 255)) = 0", P.CARD: f"length({DIGITS}) BETWEEN 13 AND 19 AND {luhn_sql(DIGITS)}"}
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{r.entity}' AS entity, start, stop, value, {r.score}::DOUBLE AS score FROM ({spans_sql('documents', 'doc_id', 'text', r.plain)}) WHERE {c}" for r, c in _CHECKS.items()))
+@query(" UNION ALL ".join(f"SELECT doc_id, '{r.entity}' AS entity, start, stop, value, {r.score}::DOUBLE AS score FROM ({spans_sql('documents', 'doc_id', 'text', r.plain)}) WHERE {c} AND {whole_sql(r.entity)}" for r, c in _CHECKS.items()))
 def regex_spans(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.explode(D.recognized(F.col("text"), *_REGEX_SET)).alias("s"))
     return rows.select("doc_id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"), F.col("s.score").alias("score"))
@@ -316,7 +316,7 @@ def regex_spans(spark, sf_dir):
 
 @query(f"""SELECT doc_id, entity, value FROM (
   SELECT doc_id, 'EMAIL_ADDRESS' AS entity, value FROM ({spans_sql("documents", "doc_id", "text", P.EMAIL.plain)})
-  UNION ALL SELECT doc_id, 'CREDIT_CARD', value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql("documents", "doc_id", "text", P.CARD.plain)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql("d")}
+  UNION ALL SELECT doc_id, 'CREDIT_CARD', value FROM (SELECT *, {DIGITS} AS d FROM ({spans_sql("documents", "doc_id", "text", P.CARD.plain)})) WHERE length(d) BETWEEN 13 AND 19 AND {luhn_sql("d")} AND {whole_sql("CREDIT_CARD")}
   UNION ALL SELECT doc_id, 'PHONE_NUMBER', value FROM ({spans_sql("documents", "doc_id", "text", P.PHONE.plain)}) WHERE length({DIGITS}) BETWEEN 10 AND 13 AND {_PHONE_SCORE} > 0.4)""")
 def ingest_gate(spark, sf_dir):
     """The balanced profile over e-mails, cards, phones and addresses: addresses are in no enabled category."""

@@ -9,13 +9,15 @@ from ..functions import patterns as P
 from ..functions import spans as S
 from ..operators import apply as A
 from ..operators import broker as B
+from ..operators import detect as D
 from ..operators import transcript as R
 from ..operators import unmask as U
 from ..sources import json_text as J
 from ..sources import wires as W
 from ..sources.files import parsed_transcript
 from ..streaming import carry
-from .masking import POLICY, TOOL_VALUES
+from . import streams as V
+from .masking import POLICY, masked_sql
 from .registry import Fixture, query, table
 from .sqltext import token_sql
 
@@ -33,51 +35,77 @@ def json_leaves(spark, sf_dir):
     return rows.select("id", "l.path", "l.text")
 
 
+#: A note that no row of the table has: it is masked beside the text.
+_NOTE = "write to c@d.io"
+
+
 def conversation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, body: every turn as a JSON body."""
+    """conv_id, turn, body: every turn as a JSON body, with paths that read alike and a contract key. A turn without a text becomes a body that is no JSON."""
     rows = table(spark, sf_dir, "conversations")
     content = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
-    return rows.select("conv_id", "turn", F.to_json(F.struct(F.lit("m@x.io").alias("model"), "role", content.alias("content"))).alias("body"))
+    inner = F.struct(F.lit(_NOTE).alias("b"))
+    body = F.to_json(F.struct(F.lit("m@x.io").alias("model"), "role", F.col("text").alias("a.b"), inner.alias("a"), content.alias("content")))
+    return rows.select("conv_id", "turn", F.when(F.col("text").isNull(), '{"text": ').otherwise(body).alias("body"))
 
 
-@query("SELECT conv_id, turn, '$.role' AS path, role AS text FROM conversations WHERE role IS NOT NULL UNION ALL SELECT conv_id, turn, '$.content[0].text', text FROM conversations WHERE text IS NOT NULL")
+@query(f"""SELECT conv_id, turn, path, CASE path WHEN '$.role' THEN role WHEN '$.a.b ' THEN '{_NOTE}' ELSE text END AS text FROM (SELECT conv_id, turn, role, text, unnest(['$.role', '$.a.b', '$.a.b ', '$.content[0].text']) AS path FROM conversations WHERE text IS NOT NULL)""".replace("SELECT conv_id, turn, path,", "SELECT conv_id, turn, trim(path) AS path,", 1))
 def json_leaves_conversations(spark, sf_dir):
     rows = conversation_bodies(spark, sf_dir).select("conv_id", "turn", F.explode(J.leaves(F.col("body"))).alias("l"))
     return rows.select("conv_id", "turn", "l.path", "l.text")
 
 
-@query(f"""SELECT id, coalesce(json_extract_string(body, '$.metadata.note') LIKE '%c@d%', false) OR contains(body, '"s"') AS hit FROM {BODIES.sql} WHERE body IS NOT NULL""")
+@query("SELECT conv_id, turn, contains(text, 'the') AS in_text, role = 'user' AS in_key FROM conversations WHERE text IS NOT NULL")
 def tripwire_json(spark, sf_dir):
-    """A secret as an object key or inside a string leaf."""
-    own = J.keys_and_texts(F.col("body"))
-    rows = BODIES.frame(spark).filter("body IS NOT NULL").select("id", own.alias("own"))
-    return rows.select("id", F.exists("own", lambda x: x.contains("c@d") | (x == "s")).alias("hit"))
+    """A secret inside a string leaf, or as an object key: a user's turn has its role as a key."""
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    body = F.to_json(F.struct(F.create_map("role", F.lit(1)).alias("roles"), F.col("text").alias("t")))
+    own = rows.select("conv_id", "turn", J.keys_and_texts(body).alias("own"))
+    return own.select("conv_id", "turn", F.exists("own", lambda x: x.contains("the")).alias("in_text"), F.exists("own", lambda x: x == "user").alias("in_key"))
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN '$.schema.enum[0]' WHEN 'system' THEN '$.tools[0].input_schema.title' END AS path FROM conversations WHERE role IN ('user', 'system') AND text IS NOT NULL AND contains(text, 'the')")
+def tripwire_carve_out(spark, sf_dir):
+    """Places that are never rewritten where a registered secret ('the') stands: such a request is refused. Base64 data is no text."""
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    schema, tool = F.struct(F.array("text").alias("enum")), F.struct(F.struct(F.col("text").alias("title")).alias("input_schema"))
+    image = F.struct(F.lit("base64").alias("type"), F.col("text").alias("data"))
+    body = F.when(F.col("role") == "user", F.to_json(F.struct(schema.alias("schema")))).when(F.col("role") == "system", F.to_json(F.struct(F.array(tool).alias("tools")))).otherwise(F.to_json(F.struct(image.alias("source"))))
+    found = rows.select("conv_id", "turn", F.explode(J.carved_out(body)).alias("l")).filter(F.col("l.text").contains("the"))
+    return found.select("conv_id", "turn", "l.path")
 
 
-_MASKED = ", ".join(f"'{a}', '[EMAIL_ADDRESS_' || sha256('saltEMAIL_ADDRESS:{a}')[1:12] || ']'" for a in ("a@b.io",))
+def masked_texts(texts: DataFrame) -> DataFrame:
+    """(kind, text, changed): texts masked by every recognizer under the strict policy."""
+    return D.with_detected(texts, POLICY, D.ALL).select("kind", "text", A.masked(F.col("text"), F.col("spans"), POLICY).alias("changed"))
 
 
-@query(f"SELECT id, replace(replace(replace(body, 'mail a@b.io', 'mail ' || {token_sql('salt', chr(39) + 'EMAIL_ADDRESS' + chr(39), chr(39) + 'a@b.io' + chr(39))}), 'c@d.io', {token_sql('salt', chr(39) + 'EMAIL_ADDRESS' + chr(39), chr(39) + 'c@d.io' + chr(39))}), ' a@b.io\"', ' ' || {token_sql('salt', chr(39) + 'EMAIL_ADDRESS' + chr(39), chr(39) + 'a@b.io' + chr(39))} || '\"') AS body FROM {BODIES.sql}")
+_TURNS = "(SELECT conv_id || '/' || turn AS id, text FROM conversations)"
+_MAIL = token_sql("salt", "'EMAIL_ADDRESS'", "'c@d.io'")
+
+
+@query(f"""WITH {masked_sql(_TURNS, "id")} SELECT c.conv_id, c.turn, '{{"model":"m@x.io","role":' || to_json(c.role)::VARCHAR || ',"a.b":' || to_json(m.text)::VARCHAR || ',"a":{{"b":"write to ' || {_MAIL} || '"}},"content":[{{"type":"text","text":' || to_json(m.text)::VARCHAR || '}}]}}' AS body
+FROM conversations c JOIN masked m ON m.id = c.conv_id || '/' || c.turn""")
 def mask_json_roundtrip(spark, sf_dir):
-    """Leaves outside the contract are masked and put back; all else stays as it was, in its order."""
-    mask = lambda t: S.splice(t, S.find(t, P.EMAIL.pattern, "EMAIL_ADDRESS", 1.0), A.rendered(POLICY))
-    return J.with_leaves_changed(BODIES.frame(spark), "id", "body", mask)
+    """Leaves outside the contract are masked by every recognizer and put back; all else stays as it was, in its order. What is no JSON becomes null."""
+    return J.with_leaves_changed(conversation_bodies(spark, sf_dir), "body", masked_texts)
 
 
-RESPONSE = Fixture("id int, body string", (1, '{"content":[{"type":"text","text":"see [URL_000000000001]"},{"type":"thinking","thinking":"[URL_000000000001]"}]}'), (2, '{"content":[{"type":"tool_use","input":{"q":"[DOMAIN_000000000006]","w":"[EMAIL_ADDRESS_000000000002]"}}]}'))
+def response_kind(path: str) -> str | None:
+    """How a response's leaf is restored: prose with all values, a tool's input by policy, other leaves not at all."""
+    return "tool" if ".input" in path else "prose" if path.endswith(".text") else None
 
 
-@query(f"""SELECT id, replace(replace(body, '"see [URL_000000000001]"', '"see http://a.io"'), '[DOMAIN_000000000006]', 'b.io') AS body FROM {RESPONSE.sql}""")
+@query(f"""WITH {V.REPLIES_SQL} SELECT stream_id, '{{"content":[{{"type":"text","text":' || to_json({V.SAID_SQL})::VARCHAR || '}},{{"type":"thinking","thinking":"[URL_000000000001]"}},{{"type":"tool_use","input":' || {V.ARGS_SQL} || '}}]}}' AS body FROM replies""")
 def unmask_json(spark, sf_dir):
     """Text blocks get every value back, tool inputs by policy, thinking none."""
-    leaf = F.explode(J.leaves(F.col("body"), (*J.CONTRACT_KEYS["messages"],))).alias("l")
-    rows = RESPONSE.frame(spark).select("id", leaf).select("id", F.concat("id", F.lit(":"), "l.path").alias("leaf"), "l.path", "l.text")
-    policy = U.restore_policy(U.label_of(F.col("token")))
-    tool = F.col("leaf").contains(".input")
-    allowed = (policy == "embedded") | ((policy == "whole_value") & (F.trim("_whole") == F.col("token")))
-    restored = U.unmasked(rows.filter(~tool), "text", TOOL_VALUES.frame(spark)).union(U.unmasked(rows.filter(tool), "text", TOOL_VALUES.frame(spark), allowed=allowed))
-    texts = restored.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("texts"))
-    return RESPONSE.frame(spark).join(texts, "id", "left").select("id", J.rewritten(F.col("body"), F.col("texts")).alias("body"))
+    values = V.VALUES.frame(spark)
+    rows = V.replies(spark, sf_dir).select("stream_id", F.concat(F.lit('{"content":[{"type":"text","text":'), F.regexp_extract(F.to_json(F.array("said")), r"(?s)^\[(.*)\]$", 1), F.lit('},{"type":"thinking","thinking":"[URL_000000000001]"},{"type":"tool_use","input":'), "args", F.lit("}]}")).alias("body"))
+
+    def restored(texts: DataFrame) -> DataFrame:
+        own = texts.withColumn("changed", F.col("text"))
+        return U.unmasked(own.filter("kind = 'prose'"), "changed", values).union(U.unmasked_leaves(own.filter("kind = 'tool'"), "changed", values))
+
+    return J.with_leaves_changed(rows, "body", restored, kind_of=response_kind)
 
 
 CHATS = Fixture(
@@ -239,7 +267,6 @@ PROFILE_TEXTS = Fixture("kind string, needle string, text string", ("EMAIL_ADDRE
 ('minimal', 'EMAIL_ADDRESS', 1, 0, 0), ('minimal', 'IP_ADDRESS', 1, 0, 0), ('minimal', 'CREDIT_CARD', 1, 1, 0), ('minimal', 'NONE', 2, 0, 0), ('secrets_only', 'EMAIL_ADDRESS', 1, 0, 0), ('secrets_only', 'IP_ADDRESS', 1, 0, 0), ('secrets_only', 'CREDIT_CARD', 1, 0, 0), ('secrets_only', 'NONE', 2, 0, 0)) t(profile, kind, n, found, wrong)""")
 def profile_recall(spark, sf_dir):
     """Needles found and false finds by profile and entity."""
-    from ..operators import detect as D
     from .policy import PROFILES, Policy
 
     rows, parts = PROFILE_TEXTS.frame(spark), []

@@ -10,9 +10,10 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import detect as D
 from ..operators import secrets as G
+from .contextsql import cards_sql, credential_sql
 from .detection import documents
 from .registry import Fixture, query, table
-from .sqltext import entropy_sql, labelled_sql, luhn_sql, spans_sql
+from .sqltext import spans_sql
 
 #: Texts, and what each label-driven recognizer finds in them, written by hand.
 CARE_ROWS: list[tuple[str | None, list[tuple[str, str]]]] = [
@@ -56,28 +57,6 @@ def cvv_spans(spark, sf_dir):
     return care(spark, X.security_codes)
 
 
-def cards_sql(text: str) -> str:
-    """The list of card numbers in a text."""
-    runs = f"list_filter(regexp_extract_all({text}, '[0-9]+(?:[ -][0-9]+)*'), lambda r: length(r) >= 13)"
-    groups = "string_split_regex(r, '[ -]')"
-    joined = f"flatten(list_transform(range(1, len({groups}) + 1), lambda i: list_transform(range(i, least(i + 9, len({groups})) + 1), lambda j: array_to_string({groups}[i:j], ''))))"
-    good = luhn_sql("d")
-    return f"list_distinct(flatten(list_transform({runs}, lambda r: list_filter({joined}, lambda d: length(d) BETWEEN 13 AND 19 AND {good}))))"
-
-
-_AROUND = f"substr(t, greatest(start - {X.WINDOW + 24}, 0) + 1, stop + {X.WINDOW} - greatest(start - {X.WINDOW + 24}, 0))"
-_WORDS = f"(' ' || trim(regexp_replace(lower({_AROUND}), '[^0-9a-z]+', ' ', 'g')) || ' ')"
-_NEAR = "(" + " OR ".join(f"contains(w, ' {t} ')" for t in X.CARD_TERMS) + " OR len(cards) > 0)"
-_SURE = "(" + " OR ".join(f"contains(w, ' {t} ')" for t in X.PAYMENT_TERMS) + " OR len(cards) > 0)"
-
-
-def expiry_sql(source: str, key: str, order: int = 0) -> str:
-    """The expiry dates in a table's texts: key, entity, start, stop, value, score, ord, t."""
-    found = " UNION ALL ".join(labelled_sql(source, key, name, *kind, order) for name, kind in (("gated", X.EXPIRES), ("free", X.VALID)))
-    return f"""SELECT {key}, CASE WHEN {_SURE} THEN 'CREDIT_CARD_EXPIRATION' ELSE 'EXPIRATION_DATE' END AS entity, start, stop, value, score, ord, t
-  FROM (SELECT *, {_WORDS} AS w, {cards_sql(_AROUND)} AS cards FROM ({found})) WHERE entity = 'free' OR {_NEAR}"""
-
-
 @query(_by_hand("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"))
 def expiry_spans(spark, sf_dir):
     return care(spark, X.expiries)
@@ -88,7 +67,7 @@ def url_credential_spans(spark, sf_dir):
     return care(spark, X.credentials)
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, 'URL_CREDENTIAL' AS entity, start, stop, value FROM ({spans_sql('documents', 'doc_id', 'text', p)})" for p in (X.CREDENTIAL, X.USERINFO)))
+@query(f"SELECT doc_id, entity, start, stop, value FROM ({credential_sql('documents', 'doc_id')})")
 def document_credentials(spark, sf_dir):
     """Values behind 'token = "...", and user:password before a host. The SQL reads texts as they stand: no document has a percent escape."""
     found = F.explode(D.recognized(F.col("text"), D.CREDENTIAL)).alias("s")

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import context as X
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions import text as T
@@ -16,11 +15,11 @@ from ..operators import apply as A
 from ..operators import detect as D
 from ..operators import unmask as U
 from ..operators import vault as V
+from .contextsql import birth_sql, code_sql, credential_sql, expiry_sql
 from .detection import documents, spans_of
-from .labelled import expiry_sql
 from .policy import CATEGORIES, Operator, Policy
 from .registry import Fixture, query, table
-from .sqltext import labelled_sql, plausible_sql, recognized_sql, resolved_sql, spans_sql, token_sql
+from .sqltext import plausible_sql, recognized_sql, resolved_sql, spans_sql, token_sql
 
 POLICY = Policy(profile="strict")
 KEY = "0123456789abcdef0123456789abcdef"
@@ -45,13 +44,13 @@ def found_sql(source: str = "documents", key: str = "doc_id") -> str:
             check = plausible_sql("value") if r is P.API_KEY else "true" if r is P.PREFIXED_KEY else None
             parts.append(recognized_sql(source, key, r.entity, r.plain, r.score, r.context, check, order))
         elif r is D.BIRTH:
-            parts.append(labelled_sql(source, key, "DATE_OF_BIRTH", *X.BIRTH, order))
+            parts.append(birth_sql(source, key, order))
         elif r is D.CODE:
-            parts.append(labelled_sql(source, key, "CVV", *X.CODE, order))
+            parts.append(code_sql(source, key, order))
         elif r is D.EXPIRY:
-            parts += [expiry_sql(source, key, order)]
+            parts.append(expiry_sql(source, key, order))
         else:
-            parts += [recognized_sql(source, key, "URL_CREDENTIAL", p, 0.85, (), "true", order) for p in (X.CREDENTIAL, X.USERINFO)]
+            parts.append(credential_sql(source, key, order))
     rows = " UNION ALL ".join(parts)
     gates = f"score >= {POLICY.floor} AND NOT (entity = 'PHONE_NUMBER' AND score <= 0.4) AND NOT (entity = 'IP_ADDRESS' AND {_RESERVED}) AND NOT (entity = 'URL' AND {_NAMESPACE}) AND NOT (entity = 'DOMAIN' AND {_FILE})"
     gated = f"SELECT {key}, entity, CASE WHEN {_QUOTED} THEN start + 1 ELSE start END AS start, CASE WHEN {_QUOTED} THEN stop - 1 ELSE stop END AS stop, CASE WHEN {_QUOTED} THEN value[2:-2] ELSE value END AS value, score, ord FROM ({rows}) WHERE {gates}"
@@ -64,20 +63,25 @@ def rendered_sql() -> str:
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, spans: the resolved spans of all recognizers in every document under the strict policy."""
-    return documents(spark, sf_dir).select("doc_id", "text", D.detected(F.col("text"), POLICY, D.ALL).alias("spans"))
+    return D.with_detected(documents(spark, sf_dir).select("doc_id", "text"), POLICY, D.ALL)
 
 
-MASKED_SQL = f"""
-found AS ({found_sql()}),
-numbered AS (SELECT *, {rendered_sql()} AS shown, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM found),
+def masked_sql(source: str = "documents", key: str = "doc_id") -> str:
+    """CTEs: found; masked (key, text, original) of the texts of a table."""
+    return f"""
+found AS ({found_sql(source, key)}),
+numbered AS (SELECT *, {rendered_sql()} AS shown, row_number() OVER (PARTITION BY {key} ORDER BY start) AS k, lag(stop, 1, 0) OVER (PARTITION BY {key} ORDER BY start) AS prev FROM found),
 joined AS (
-  SELECT d.doc_id, string_agg(substr(d.text, n.prev + 1, n.start - n.prev) || n.shown, '' ORDER BY n.k) AS head, max(n.stop) AS last
-  FROM numbered n JOIN documents d USING (doc_id) GROUP BY d.doc_id
+  SELECT d.{key}, string_agg(substr(d.text, n.prev + 1, n.start - n.prev) || n.shown, '' ORDER BY n.k) AS head, max(n.stop) AS last
+  FROM numbered n JOIN {source} d USING ({key}) GROUP BY d.{key}
 ),
-masked AS (SELECT d.doc_id, CASE WHEN j.last IS NULL THEN d.text ELSE j.head || substr(d.text, j.last + 1) END AS text, d.text AS original FROM documents d LEFT JOIN joined j USING (doc_id))
+masked AS (SELECT d.{key}, CASE WHEN j.last IS NULL THEN d.text ELSE j.head || substr(d.text, j.last + 1) END AS text, d.text AS original FROM {source} d LEFT JOIN joined j USING ({key}))
 """
 
 
+MASKED_SQL = masked_sql()
+
+
 @query(found_sql())
 def document_found(spark, sf_dir):
     """All that masking finds in the documents, overlaps resolved."""
@@ -404,6 +408,6 @@ def literal_token_unmask(spark, sf_dir):
 @query(f"""WITH f AS ({found_sql()}), s AS (SELECT doc_id, count(*) FILTER (entity NOT IN ('CREDIT_CARD', 'CVV')) AS tokens, count(*) FILTER (entity IN ('CREDIT_CARD', 'CVV')) AS masked, count(*) AS spans FROM f GROUP BY doc_id)
 SELECT d.source, count(*) AS leaves, count(*) FILTER (s.doc_id IS NULL) AS clean, coalesce(sum(tokens), 0)::BIGINT AS tokens, coalesce(sum(masked), 0)::BIGINT AS masked, coalesce(sum(spans), 0)::BIGINT AS spans FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.source""")
 def mask_stats(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("source", D.detected(F.col("text"), POLICY, D.ALL).alias("spans"))
+    rows = D.with_detected(documents(spark, sf_dir).select("source", "text"), POLICY, D.ALL)
     cards = F.size(F.filter("spans", lambda s: s["entity"].isin(*CUT)))
     return rows.groupBy("source").agg(F.count("*").alias("leaves"), F.count_if(F.size("spans") == 0).alias("clean"), F.sum(F.size("spans") - cards).alias("tokens"), F.sum(cards).alias("masked"), F.sum(F.size("spans")).alias("spans"))

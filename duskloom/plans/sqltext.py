@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.patterns import GOES_ON
+
 
 def spans_sql(source: str, key: str, text: str, pattern: str, groups: bool = True) -> str:
     """SELECT key, start, stop, value, before: a row for each match of pattern in text."""
@@ -50,7 +52,8 @@ _MOVED = "array_to_string(list_transform(string_split(substr(value, 5) || substr
 CHECKS = {
     "CREDIT_CARD": f"length({digits_sql()}) BETWEEN 13 AND 19 AND {luhn_sql(digits_sql())}",
     "PHONE_NUMBER": f"length({digits_sql()}) BETWEEN 10 AND 13",
-    "IP_ADDRESS": "(contains(value, ':') OR len(list_filter(string_split(value, '.'), lambda o: try_cast(o AS INT) > 255)) = 0)",
+    "IP_ADDRESS": "CASE WHEN contains(value, '.') THEN len(list_filter(string_split(value, '.'), lambda o: try_cast(o AS INT) > 255)) = 0 ELSE NOT contains(value, '::') OR regexp_matches(value, '[0-9]|:.*:.*:') END",
+    "DOMAIN": "lower(string_split(value, '.')[-1]) IN ('com', 'org', 'net', 'io', 'dev', 'edu', 'gov', 'info', 'co', 'de', 'fr', 'es', 'uk', 'eu', 'rs', 'md', 'py', 'sh', 'ai', 'app')",
     "US_SSN": "substr(value, 1, 3) NOT IN ('000', '666') AND substr(value, 1, 1) <> '9' AND substr(value, 5, 2) <> '00' AND substr(value, 8) <> '0000' AND value NOT IN ('078-05-1120', '219-09-9999', '123-45-6789')",
     "IBAN_CODE": f"length(value) BETWEEN 15 AND 34 AND {_MOVED}::HUGEINT % 97 = 1",
     "ABA_ROUTING_NUMBER": f"{weights_sql('value', [3, 7, 1] * 3)} % 10 = 0 AND regexp_matches(value, '^(0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)')",
@@ -62,6 +65,12 @@ CHECKS = {
 }
 
 
+def whole_sql(entity: str) -> str:
+    """That a value isn't a part of something longer, by the two characters behind it."""
+    pattern = GOES_ON.get(entity)
+    return f"NOT regexp_matches(substr(t, stop + 1, 2), '{pattern}')" if pattern else "true"
+
+
 def near_sql(words: tuple[str, ...]) -> str:
     """Whether one of the last five words before start is among words."""
     listed = ", ".join(f"'{w}'" for w in words)
@@ -71,15 +80,7 @@ def near_sql(words: tuple[str, ...]) -> str:
 def recognized_sql(source: str, key: str, entity: str, pattern: str, score: float, context: tuple[str, ...] = (), check: str | None = None, order: int = 0) -> str:
     """key, entity, start, stop, value, score, ord, t of a pattern's valid values."""
     raised = f"CASE WHEN {near_sql(context)} THEN least({score}::DOUBLE + 0.35::DOUBLE, 1.0::DOUBLE) ELSE {score}::DOUBLE END" if context else f"{score}::DOUBLE"
-    return f"SELECT {key}, '{entity}' AS entity, start, stop, value, {raised} AS score, {order} AS ord, t FROM ({spans_sql(source, key, 'text', pattern)}) WHERE {check or CHECKS.get(entity, 'true')}"
-
-
-def labelled_sql(source: str, key: str, entity: str, shape: str, end: str, before: str, after: str | None, order: int = 0) -> str:
-    """The same of values of a shape with a label just before or behind them."""
-    q = lambda p: p.replace("'", "''")
-    left, right = "substr(t, greatest(start - 200, 0) + 1, least(start, 200))", "substr(t, stop + 1, 200)"
-    named = f"regexp_matches({left}, '{q(before)}')" + (f" OR regexp_matches({right}, '{q(after)}')" if after else "")
-    return f"SELECT {key}, '{entity}' AS entity, start, stop, value, 0.85::DOUBLE AS score, {order} AS ord, t FROM ({spans_sql(source, key, 'text', q(shape))}) WHERE regexp_matches({right}, '{q(end)}') AND ({named})"
+    return f"SELECT {key}, '{entity}' AS entity, start, stop, value, {raised} AS score, {order} AS ord, t FROM ({spans_sql(source, key, 'text', pattern)}) WHERE {check or CHECKS.get(entity, 'true')} AND {whole_sql(entity)}"
 
 
 def resolved_sql(spans: str, key: str) -> str:

@@ -29,10 +29,10 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), said.alias("said"), args.alias("args"))
 
 
-_REPLIES = "replies AS (SELECT conv_id || '/' || turn AS stream_id, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)"
+REPLIES_SQL = "replies AS (SELECT conv_id || '/' || turn AS stream_id, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)"
 #: What a reply and its arguments become.
-_SAID = f"'{_SHOWN} ' || text || ' Ada'"
-_ARGS = f"""'{{"url":"{_ESCAPED}","who":"Ada","mail":"[EMAIL_ADDRESS_000000000002]","note":' || replace(to_json('dear [PERSON_000000000003] at ' || chr(1) || ': ' || text)::VARCHAR, '\\u0001', '{_ESCAPED}') || '}}'"""
+SAID_SQL = f"'{_SHOWN} ' || text || ' Ada'"
+ARGS_SQL = f"""'{{"url":"{_ESCAPED}","who":"Ada","mail":"[EMAIL_ADDRESS_000000000002]","note":' || replace(to_json('dear [PERSON_000000000003] at ' || chr(1) || ': ' || text)::VARCHAR, '\\u0001', '{_ESCAPED}') || '}}'"""
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -78,7 +78,7 @@ def messages_events(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _blocks_sql(text: str, args: str) -> str:
-    return f"WITH {_REPLIES} SELECT stream_id, '{text}' AS block, {_SAID} AS text FROM replies UNION ALL SELECT stream_id, '{args}', {_ARGS} FROM replies"
+    return f"WITH {REPLIES_SQL} SELECT stream_id, '{text}' AS block, {SAID_SQL} AS text FROM replies UNION ALL SELECT stream_id, '{args}', {ARGS_SQL} FROM replies"
 
 
 @query(_blocks_sql("0", "1"))
@@ -109,7 +109,7 @@ def chat_events(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("stream_id", F.explode(both).alias("e")).select("stream_id", F.col("e.at").alias("i"), "e.data")
 
 
-@query(f"WITH {_REPLIES} SELECT stream_id, b AS block, CASE WHEN b IN ('c0', 'c1') THEN {_SAID} ELSE {_ARGS} END AS text FROM replies, (VALUES ('c0'), ('c1'), ('c0t0'), ('c0t1')) v(b)")
+@query(f"WITH {REPLIES_SQL} SELECT stream_id, b AS block, CASE WHEN b IN ('c0', 'c1') THEN {SAID_SQL} ELSE {ARGS_SQL} END AS text FROM replies, (VALUES ('c0'), ('c1'), ('c0t0'), ('c0t1')) v(b)")
 def stream_unmask_chat(spark, sf_dir):
     """Chat wire: state under choices and (choice, call), interleaved."""
     return relayed(spark, chat_events(replies(spark, sf_dir), 11), Y.chat_pieces).select("stream_id", "block", "text")
@@ -128,7 +128,7 @@ def responses_events(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("stream_id", F.explode(F.concat(*turns, F.array(*ends))).alias("e")).select("stream_id", F.col("e.at").alias("i"), "e.data")
 
 
-@query(f"""WITH {_REPLIES} SELECT stream_id, b AS block, CASE WHEN b LIKE 'text%' THEN {_SAID} ELSE {_ARGS} END AS text, b NOT LIKE 'text:m:0:1' OR length(text) % 2 = 1 AS agrees
+@query(f"""WITH {REPLIES_SQL} SELECT stream_id, b AS block, CASE WHEN b LIKE 'text%' THEN {SAID_SQL} ELSE {ARGS_SQL} END AS text, b NOT LIKE 'text:m:0:1' OR length(text) % 2 = 1 AS agrees
 FROM replies, (VALUES ('text:m:0:0'), ('text:m:0:1'), ('call:f:1')) v(b)""")
 def stream_unmask_responses(spark, sf_dir):
     """Responses wire: state under (item, output, content); where a done event says other than the parts did, what it says counts."""
@@ -147,8 +147,8 @@ def tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.union(echo).union(lone).union(key)
 
 
-@query(f"""WITH {_REPLIES}, own AS (SELECT conv_id || '/' || turn AS stream_id, role, regexp_replace(text, '[\\\\"]', '', 'g') AS text FROM conversations WHERE text IS NOT NULL)
-SELECT stream_id, 'json' AS kind, {_ARGS} AS on_raw, replace({_ARGS}, '"who":"Ada"', '"who":"[PERSON_000000000003]"') AS on_leaf FROM replies
+@query(f"""WITH {REPLIES_SQL}, own AS (SELECT conv_id || '/' || turn AS stream_id, role, regexp_replace(text, '[\\\\"]', '', 'g') AS text FROM conversations WHERE text IS NOT NULL)
+SELECT stream_id, 'json' AS kind, {ARGS_SQL} AS on_raw, replace({ARGS_SQL}, '"who":"Ada"', '"who":"[PERSON_000000000003]"') AS on_leaf FROM replies
 UNION ALL SELECT stream_id, 'echo', 'echo "Ada" ' || text, 'echo "[PERSON_000000000003]" ' || text FROM own WHERE role = 'user'
 UNION ALL SELECT stream_id, 'lone', ' Ada' || chr(10), ' Ada' || chr(10) FROM own WHERE role = 'system'
 UNION ALL SELECT stream_id, 'key', '{{"[PERSON_000000000003]" : "Ada", "u": "to {_ESCAPED}"}}', '{{"[PERSON_000000000003]" : "[PERSON_000000000003]", "u": "to {_ESCAPED}"}}' FROM own WHERE role = 'user'""")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,42 +24,83 @@ PROTOCOL_KEYS = ("type", "keep", "trigger", "clear_at_least", "clear_tool_inputs
 DEEPEST = 256
 
 
-def _walk(value: object, path: str, skipped: frozenset[str], depth: int = 0) -> Iterator[tuple[str, str, str]]:
-    if depth > DEEPEST:
-        raise ValueError(f"JSON is nested deeper than {DEEPEST}")
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            if key not in skipped:
-                yield from ((p, key if k is None else k, t) for p, k, t in _walk(inner, f"{path}.{key}", skipped, depth + 1))
-    elif isinstance(value, list):
-        for i, inner in enumerate(value):
-            yield from _walk(inner, f"{path}[{i}]", skipped, depth + 1)
-    elif isinstance(value, str):
-        yield path, None, value
-
-
-LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("key", T.StringType()), T.StructField("text", T.StringType())]))
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+|\s+', re.S)
 
 
-def _of(body: str | None, work: Callable[[object], list]) -> list | None:
+class Leaf(NamedTuple):
+    """A string value: its place among the tokens, path, nearest key, text, whether a contract key stands above it, and whether it is the data of
+    a base64 source."""
+
+    at: int
+    path: str
+    key: str | None
+    text: str
+    kept: bool
+    binary: bool
+
+
+def _leaves(tokens: list[str], skipped: frozenset[str]) -> Iterator[Leaf]:
+    """String values in order. Every occurrence of a key that an object repeats has its own."""
+    stack: list[list] = []  # kind, key or place, whether a key comes next, whether kept, whether in context management, whether base64
+    binary = {}
+    for at, token in enumerate(tokens):
+        if token in "{[":
+            if len(stack) >= DEEPEST:
+                raise ValueError(f"JSON is nested deeper than {DEEPEST}")
+            top = stack[-1] if stack else [None, None, False, False, False, at]
+            key = top[1] if top[0] == "{" else None
+            managed = top[4] or key == "context_management"
+            stack.append([token, None if token == "{" else 0, token == "{", top[3] or key in skipped or (managed and key in PROTOCOL_KEYS), managed, at])
+        elif token in "}]":
+            stack.pop()
+        elif token == ",":
+            if stack[-1][0] == "{":
+                stack[-1][2] = True
+            else:
+                stack[-1][1] += 1
+        elif token[0] == '"':
+            if stack and stack[-1][2]:
+                stack[-1][1:3] = [json.loads(token), False]
+                continue
+            path = "$" + "".join(f".{x[1]}" if x[0] == "{" else f"[{x[1]}]" for x in stack)
+            key = next((x[1] for x in reversed(stack) if x[0] == "{"), None)
+            own = stack[-1] if stack else [None, None, False, False, False, -1]
+            direct = own[1] if own[0] == "{" else None
+            kept = own[3] or direct in skipped or (own[4] and direct in PROTOCOL_KEYS)
+            text = json.loads(token)
+            if direct == "type" and text == "base64":
+                binary[own[5]] = True
+            yield Leaf(at, path, key, text, kept, direct == "data" and own[5] in binary)
+
+
+def _parsed(body: str | None, skipped: frozenset[str]) -> tuple[list[str], list[Leaf]] | None:
+    """Tokens and string values of a JSON text; null for null, for what isn't JSON, and for what is nested deeper than DEEPEST."""
     try:
-        return None if body is None else work(json.loads(body))
+        if body is None:
+            return None
+        json.loads(body)
+        tokens = _TOKENS.findall(body)
+        return tokens, list(_leaves(tokens, skipped))
     except (ValueError, RecursionError):
         return None
 
 
+LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("key", T.StringType()), T.StructField("text", T.StringType())]))
+
+
 def problem(body: Column) -> Column:
     """Why a body has no leaves: 'not_json', 'too_deep', or null."""
 
     def one(text: str | None) -> str | None:
+        if text is None or _parsed(text, frozenset()) is not None:
+            return None
         try:
-            if text is not None:
-                list(_walk(json.loads(text), "$", frozenset()))
-        except json.JSONDecodeError:
-            return "not_json"
-        except (ValueError, RecursionError):
+            json.loads(text)
+        except RecursionError:
             return "too_deep"
-        return None
+        except ValueError:
+            return "not_json"
+        return "too_deep"
 
     @F.pandas_udf(T.StringType())
     def run(bodies: pd.Series) -> pd.Series:
@@ -66,79 +109,60 @@ def problem(body: Column) -> Column:
     return run(body)
 
 
-def leaves(body: Column, skipped: tuple[str, ...] = CONTRACT_KEYS["messages"]) -> Column:
-    """array<struct<path,key,text>> of every string leaf of a JSON text outside the skipped keys; null for null, for what isn't JSON, and
-    for what is nested deeper than DEEPEST (problem says which)."""
+def _strings(body: Column, skipped: tuple[str, ...], wanted: Callable[[Leaf], bool]) -> Column:
     keys = frozenset(skipped)
 
+    def one(text: str | None) -> list[dict] | None:
+        parsed = _parsed(text, keys)
+        return None if parsed is None else [{"path": x.path, "key": x.key, "text": x.text} for x in parsed[1] if wanted(x)]
+
     @F.pandas_udf(LEAVES)
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: _of(b, lambda value: [{"path": p, "key": k, "text": t} for p, k, t in _walk(value, "$", keys)]))
+        return bodies.map(one)
 
     return run(body)
 
 
+def leaves(body: Column, skipped: tuple[str, ...] = CONTRACT_KEYS["messages"]) -> Column:
+    """array<struct<path,key,text>> of every string leaf of a JSON text outside the skipped keys, in order; null for null, for what isn't
+    JSON, and for what is nested deeper than DEEPEST (problem says which)."""
+    return _strings(body, skipped, lambda x: not x.kept)
+
+
+def carved_out(body: Column, skipped: tuple[str, ...] = CONTRACT_KEYS["messages"]) -> Column:
+    """The string leaves that are never rewritten, but for base64 data: a registered secret in one of them has the request refused."""
+    return _strings(body, skipped, lambda x: x.kept and not x.binary)
+
+
 def keys_and_texts(body: Column) -> Column:
     """Every object key and string leaf, for scans that must not be dodged by a key; null as in leaves."""
 
-    def strings(value: object, depth: int = 0) -> Iterator[str]:
-        if depth > DEEPEST:
-            raise ValueError(f"JSON is nested deeper than {DEEPEST}")
-        if isinstance(value, dict):
-            for key, inner in value.items():
-                yield key
-                yield from strings(inner, depth + 1)
-        elif isinstance(value, list):
-            for inner in value:
-                yield from strings(inner, depth + 1)
-        elif isinstance(value, str):
-            yield value
+    def one(text: str | None) -> list[str] | None:
+        parsed = _parsed(text, frozenset())
+        return None if parsed is None else [json.loads(t) for t in parsed[0] if t[0] == '"']
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: _of(b, lambda value: list(strings(value))))
+        return bodies.map(one)
 
     return run(body)
 
 
-_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+|\s+', re.S)
-
-
-def spliced(body: str, texts: dict[str, str]) -> str:
-    """The JSON text with the string values at these paths replaced. All else, blanks and numbers too, stays as it was written."""
-    out: list[str] = []
-    stack: list[list] = []  # kind, key or place, whether a key comes next
+def _digest(kind: str, text: str) -> str:
+    return hashlib.sha256(f"{kind}:{text}".encode("utf-8", "surrogatepass")).hexdigest()
 
-    def path() -> str:
-        return "$" + "".join(f".{at}" if kind == "{" else f"[{at}]" for kind, at, _ in stack)
 
-    for token in _TOKENS.findall(body):
-        if token in "{[" and token:
-            stack.append([token, None if token == "{" else 0, token == "{"])
-        elif token in "}]":
-            stack.pop()
-        elif token == ",":
-            if stack[-1][0] == "{":
-                stack[-1][2] = True
-            else:
-                stack[-1][1] += 1
-        elif token[0] == '"':
-            if stack and stack[-1][2]:
-                stack[-1][1:] = [json.loads(token), False]
-            elif (new := texts.get(path())) is not None:
-                token = json.dumps(new, ensure_ascii=False)
-        out.append(token)
-    return "".join(out)
-
-
-def rewritten(body: Column, texts: Column) -> Column:
-    """The JSON text with the leaves at the paths of texts (map<path,text>) replaced; all else stays as it was written."""
-
-    @F.pandas_udf(T.StringType())
-    def run(bodies: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([b if not m else spliced(b, dict(m)) for b, m in zip(bodies, maps, strict=True)], dtype=object)
-
-    return run(body, texts)
+def spliced(body: str, texts: dict[str, str], skipped: tuple[str, ...] = (), kind_of: Callable[[str], str] = lambda path: "") -> str | None:
+    """The JSON text with string values replaced: texts gives new ones by the digest of a value's kind and text. All else, blanks and numbers too,
+    stays as it was written. Null for what isn't JSON."""
+    parsed = _parsed(body, frozenset(skipped))
+    if parsed is None:
+        return None
+    tokens, found = parsed
+    for x in found:
+        if not x.kept and (new := texts.get(_digest(kind_of(x.path), x.text))) is not None:
+            tokens[x.at] = json.dumps(new, ensure_ascii=False)
+    return "".join(tokens)
 
 
 def canonical(body: Column) -> Column:
@@ -158,11 +182,30 @@ def canonical(body: Column) -> Column:
     return run(body)
 
 
-def with_leaves_changed(rows: DataFrame, key: str, body: str, change, skipped: tuple[str, ...] = CONTRACT_KEYS["messages"]) -> DataFrame:
-    """rows with every string leaf of body outside the skipped keys replaced by change(text), an expression on it.
+def with_leaves_changed(rows: DataFrame, body: str, change: Callable[[DataFrame], DataFrame], skipped: tuple[str, ...] = CONTRACT_KEYS["messages"], kind_of: Callable[[str], str] = lambda path: "") -> DataFrame:
+    """rows with the string leaves of body outside the skipped keys replaced by what change makes of them.
 
-    Leaves are rows of their own while they change, so that nothing but the walk and the writing back is Python.
+    change: distinct (kind, text) -> (kind, text, changed), any DataFrame work; kind_of gives a leaf's kind by its path, null leaves it alone. What a
+    leaf becomes depends on its kind and text alone, so new texts are gathered for each distinct body under its digest: rows without
+    a key or with the same one, paths that read alike, and keys that repeat in an object are all kept apart. A body that is no JSON,
+    or nested too deep, can't be changed and becomes null (problem says why), never passed on as it is. Null stays null; other columns are kept.
     """
-    found = rows.select(key, F.explode(leaves(F.col(body), skipped)).alias("l")).select(key, "l.path", change(F.col("l.text")).alias("text"))
-    texts = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("_texts"))
-    return rows.join(texts, key, "left").withColumn(body, rewritten(F.col(body), F.col("_texts"))).drop("_texts")
+    own, kinds, keys = rows[body], kind_of, tuple(skipped)
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
+    def found(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: [{"kind": kinds(x.path), "text": x.text} for x in (_parsed(b, frozenset(keys)) or ([], []))[1] if not x.kept and kinds(x.path) is not None])
+
+    @F.pandas_udf(T.StringType())
+    def put(bodies: pd.Series, maps: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else spliced(b, dict(m) if m else {}, keys, lambda path: "-" if kinds(path) is None else kinds(path)) for b, m in zip(bodies, maps, strict=True)], dtype=object)
+
+    digest = F.sha2(own, 256)
+    pairs = rows.filter(own.isNotNull()).select(digest.alias("_body"), F.explode(found(own)).alias("l")).select("_body", "l.kind", "l.text").distinct()
+    changed = change(pairs.select("kind", "text").distinct()).filter(~F.col("text").eqNullSafe(F.col("changed")))
+    name = F.sha2(F.concat(F.col("kind"), F.lit(":"), F.col("text")), 256)
+    known = pairs.select("_body", name.alias("_leaf")).join(changed.select(name.alias("_leaf"), "changed"), "_leaf")
+    maps = known.groupBy("_body").agg(F.map_from_entries(F.collect_list(F.struct("_leaf", "changed"))).alias("_texts"))
+    kept = rows.select(F.struct("*").alias("_row"), own.alias("_own"), digest.alias("_digest"))
+    joined = kept.join(maps, F.col("_digest") == F.col("_body"), "left")
+    return joined.select(F.col("_row").withField(f"`{body}`", put("_own", "_texts")).alias("_row")).select("_row.*")
