@@ -71,7 +71,7 @@ LICENCES: list[tuple[str, str, str, str, tuple[str, ...]]] = [
     ("wtfpl", "wtfpl", "wtfpl", "licen[cs]e", ("1", "2")),
     ("zlib", "zlib", "zlib", "licen[cs]e", ()),
     ("libpng", "libpng", "(?:zlib )?libpng", "licen[cs]e", ("2.0",)),
-    ("bsl-1.0", "boost", "boost software", "licen[cs]e", ("1.0",)),
+    ("bsl-1.0", "boost", "boost software", "licen[cs]e", ()),
     ("artistic", "artistic", "(?:perl )?artistic", "licen[cs]e", ("1.0", "2.0")),
     ("psf", "python", "python(?: software foundation)?", "licen[cs]e", ("2", "2.0")),
     ("ruby", "ruby", "ruby", "licen[cs]e", ()),
@@ -129,11 +129,22 @@ def _words(version: str) -> str:
     return version.replace(".", " ")
 
 
+#: A word that is no operator of an expression of ids.
+_NO_OPERATOR = "(?:[b-np-vx-z0-9][a-z0-9]*|a(?:[a-mo-z0-9][a-z0-9]*|n(?:[a-ce-z0-9][a-z0-9]*|d[a-z0-9]+)?)?|o(?:[a-qs-z0-9][a-z0-9]*|r[a-z0-9]+)?|w(?:[a-hj-z0-9][a-z0-9]*|i(?:[a-su-z0-9][a-z0-9]*|t(?:[a-gi-z0-9][a-z0-9]*|h[a-z0-9]+)?)?)?)"
+
+
+def _tags(label: str) -> list[Rule]:
+    """A tag with a licence's id, alone or first; second in an expression, in a lower priority, so that it doesn't suppress the first."""
+    own, tag = _words(label).replace("-", " "), "spdx licen[cs]e identifier"
+    return [Rule(1, label, own.split(" ")[0], f"{tag} {own}(?: (?:only|or later))?"), Rule(2, label, own.split(" ")[0], f"{tag}(?: {_NO_OPERATOR}){{1,6}} (?:or|and|with) {own}(?: (?:only|or later))?")]
+
+
 def _rules(licence: tuple[str, str, str, str, tuple[str, ...]]) -> list[Rule]:
     label, keyword, name, ending, versions = licence
     tag = f"spdx licen[cs]e identifier {name}"
     rules = [
         Rule(1, label, keyword, tag),
+        *_tags(label),
         Rule(2, label, keyword, f"{_GRANT}{name}(?: {ending})?"),
         Rule(4, label, keyword, f"{name} {ending}"),
     ]
@@ -142,6 +153,7 @@ def _rules(licence: tuple[str, str, str, str, tuple[str, ...]]) -> list[Rule]:
         number = f"(?: {ending})?(?: (?:version|v))? v?{_words(version)}(?: {ending})?"
         rules += [
             Rule(1, own, keyword, f"{tag} {_words(version)}(?: (?:only|or later))?"),
+            *_tags(own),
             Rule(2, own, keyword, f"{_GRANT}{name}{number}"),
             Rule(3, own, keyword, f"{name} {ending}(?: (?:version|v))? v?{_words(version)}"),
             Rule(3, own, keyword, f"{name}(?: (?:version|v))? v?{_words(version)} {ending}"),
@@ -152,7 +164,8 @@ def _rules(licence: tuple[str, str, str, str, tuple[str, ...]]) -> list[Rule]:
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """Every rule, the first priority first."""
-    found = [rule for licence in LICENCES for rule in _rules(licence)] + [Rule(2, *body) for body in BODIES]
+    families = {label for label, *_ in BODIES} - {label for label, *_ in LICENCES}
+    found = [rule for licence in LICENCES for rule in _rules(licence)] + [Rule(2, *body) for body in BODIES] + [rule for label in sorted(families) for rule in _tags(label)]
     return tuple(sorted(dict.fromkeys(found), key=lambda r: r.priority))
 
 

@@ -21,7 +21,7 @@ BODIES: list[tuple[str, str, str]] = [
     ("isc", "distribute", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "disclaims", "the software is provided as is and (?:the author|isc|[a-z]+) disclaims all warranties with regard to this software"),
     ("0bsd", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
-    ("curl", "copyright", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("curl", "third", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement of third party rights"),
     ("icu", "appear", "permission is hereby granted free of charge [a-z0-9 ]{0,200}provided that the above copyright notice s and this permission notice appear in all copies"),
     ("ntp", "advertising", "permission to use copy modify and distribute this software and its documentation [a-z0-9 ]{0,120}is hereby granted [a-z0-9 ]{0,200}not be used in advertising or publicity"),
     # BSD
