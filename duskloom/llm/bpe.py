@@ -60,6 +60,9 @@ class BytePairs:
     def __init__(self, spec: str):
         """spec: the JSON of a byte-level BPE file of the tokenizers library."""
         data = json.loads(spec)
+        cut = data.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or not cut.get("use_regex", True) or cut.get("add_prefix_space") or data.get("normalizer") or data["model"].get("type", "BPE") != "BPE" or data["model"].get("ignore_merges"):
+            raise ValueError("not a byte-level BPE file that cuts texts by the usual pattern")
         vocab: dict[str, int] = data["model"]["vocab"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in data["model"]["merges"]]
         self._rank = {(vocab[x], vocab[y]): r for r, (x, y) in enumerate(pairs)}

@@ -24,6 +24,8 @@ PROFILE = 300
 
 #: Labelled documents of a language that a profile is learned from, about: those with the least hashes.
 DOCS_A_LANGUAGE = 2000
+#: Languages with a profile: those with the most labelled documents. A dirty column may name any number.
+LANGUAGES = 1000
 
 UNKNOWN = "und"
 
@@ -102,13 +104,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_profiles(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles from rows (doc_id, text, lang). About docs_a_language rows of a language, chosen by a hash of doc_id and text, are read whole.
 
-    Rows with a null lang are left out. The driver gets size n-grams a language.
+    Rows with a null lang are left out, and those of languages beyond the LANGUAGES most frequent. The driver gets size n-grams a language.
     """
     rows = labelled.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return {}
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(docs_a_language / r["count"])) for r in sizes])
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], docs_a_language / r["count"])])
+    share = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0))
     chosen = rows.filter(drawn(share, F.col("doc_id").cast("string"), "text", salt="profile")).select("lang", F.col("text").cast("string"))
     counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embed_dedup, exact_dedup, html_extract, langid, license_scan, mixing, point_in_time, quality, resample, simhash, toxicity, url_filter
 from .common import table
 
-#: Folder of the vocabulary files of public tokenizers.
-TOKENIZERS = "/opt/tokenizers"
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def bpe_path(name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> str:
-    return f"{folder}/{name}"
+def bpe_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's vocabulary file."""
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
