@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.checkpoint import saved
 
 PREVIEW = 131_072
 LABEL = 48
@@ -71,13 +72,36 @@ def turn_deltas(surfaces: DataFrame, key: str, turn: str, value: str) -> DataFra
     return seen.select(key, turn, added.cast("long").alias("n_added"), flag.alias("flag"))
 
 
+#: How many hashes of a turn an earlier one may lack in the first round of predecessors, and by what that grows from round to round.
+SLACK, GROWTH = 1, 8
+
+
 def predecessors(surfaces: DataFrame, key: str, turn: str, value: str) -> DataFrame:
-    """key, turn, previous, overlap: the earlier turn of the conversation that shares the most hashes, the latest of equals."""
+    """key, turn, previous, overlap: the earlier turn of the conversation that shares the most hashes, the latest of equals.
+
+    A turn that lacks at most slack of another's n hashes has one of that one's slack + 1 rarest. So a round looks up these alone,
+    counts the overlap of the turns they lead to exactly, and settles every turn whose best one shares n - slack or more; what is left goes on with a larger slack.
+    A transcript that grows finds its last turn in the first round, by two hashes a turn, however many hashes all turns share.
+    """
     own = surfaces.select(key, turn, value).distinct()
-    earlier = own.select(key, F.col(turn).alias("previous"), value)
-    shared = own.join(earlier, [key, value]).filter(F.col("previous") < F.col(turn)).groupBy(key, turn, "previous").agg(F.count("*").alias("overlap"))
-    best = shared.groupBy(key, turn).agg(F.max(F.struct("overlap", "previous")).alias("b"))
-    return best.select(key, turn, "b.previous", "b.overlap")
+    often = own.groupBy(key, value).agg(F.count("*").alias("often"))
+    by = Window.partitionBy(key, turn)
+    ranked = saved(own.join(often, [key, value]).withColumns({"rank": F.row_number().over(by.orderBy("often", value)), "n": F.count("*").over(by)}))
+    sets = saved(own.groupBy(key, turn).agg(F.collect_set(value).alias("set")))
+    theirs = ranked.filter("often > 1").select(key, F.col(turn).alias("previous"), value)
+    their_sets = sets.select(key, F.col(turn).alias("previous"), F.col("set").alias("their"))
+    left, found, slack = ranked, None, SLACK
+    while True:
+        asked = left.filter((F.col("rank") <= slack + 1) & (F.col("often") > 1)).select(key, turn, value, "n")
+        met = asked.join(theirs, [key, value]).filter(F.col("previous") < F.col(turn)).select(key, turn, "n", "previous").distinct()
+        counted = met.join(sets, [key, turn]).join(their_sets, [key, "previous"]).select(key, turn, "n", "previous", F.size(F.array_intersect("set", "their")).cast("long").alias("overlap"))
+        best = counted.groupBy(key, turn).agg(F.max(F.struct("overlap", "previous")).alias("b"), F.first("n").alias("n"))
+        sure = saved(best.filter(F.col("b.overlap") >= F.col("n") - slack).select(key, turn, "b.previous", "b.overlap"))
+        found = sure if found is None else found.union(sure)
+        left = saved(left.filter(F.col("n") > slack + 1).join(sure.select(key, turn), [key, turn], "left_anti"))
+        if left.isEmpty():
+            return found
+        slack *= GROWTH
 
 
 def bounded_id(value: Column) -> Column:

@@ -161,9 +161,13 @@ def near_now(value: Column, today: date) -> Column:
     return F.coalesce(F.abs(F.datediff(day, F.lit(today))) <= 1, F.lit(False))
 
 
-def allowed_value(value: Column, policy: Policy, today: date | None) -> Column:
-    """Whether the value is on the allow list, letter case aside, or a date about now."""
-    listed = F.lower(value).isin(*[a.lower() for a in policy.allow]) if policy.allow else F.lit(False)
+def allowed_value(value: Column, policy: Policy, today: date | None = None) -> Column:
+    """Whether the value is on the allow list: as it is, letter case aside, or by a pattern; or a date about now."""
+    listed = value.isin(*policy.allow) if policy.allow else F.lit(False)
+    if policy.allow_any_case:
+        listed = listed | F.lower(value).isin(*[a.lower() for a in policy.allow_any_case])
+    for pattern in policy.allow_patterns:
+        listed = listed | value.rlike(pattern)
     return listed | near_now(value, today) if today else listed
 
 
@@ -204,7 +208,7 @@ def _used(policy: Policy, recognizers: tuple[P.Recognizer | Labelled, ...]) -> l
 
 def settled(first: Column, gate: Column, policy: Policy, today: date | None = None) -> Column:
     """Secrets and custom spans beside gated ones: allow spans suppress, overlaps are resolved."""
-    if not policy.allow and today is None:
+    if not (policy.allow or policy.allow_any_case or policy.allow_patterns) and today is None:
         return S.resolve(F.concat(first, gate))
     both = F.struct(first.alias("first"), gate.alias("gate"), S.where(gate, lambda s: allowed_value(s["value"], policy, today)).alias("allowed"))
     return S.resolve(S.let(both, lambda b: S.not_allowed(F.concat(b["first"], b["gate"]), b["allowed"], CATEGORIES["secrets"])))

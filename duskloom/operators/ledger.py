@@ -61,3 +61,26 @@ def lifecycles(events: DataFrame, key: str, order: str, state: str) -> DataFrame
     ended = F.min(F.when(F.col(state).isin(*TERMINAL), F.col(order))).over(Window.partitionBy(key))
     live = events.withColumn("_end", ended).filter(F.col("_end").isNull() | (F.col(order) <= F.col("_end")))
     return live.groupBy(key).agg(F.max(F.struct(order, state)).alias("l"), F.count("*").alias("n")).select(key, F.col(f"l.{state}").alias("final"), "n")
+
+
+#: Microseconds of a bucket of time, and buckets of a span of them: no task holds more places in time than one of either has.
+BUCKET_US, BUCKETS = 1_000_000, 3_600
+
+
+def within(instants: DataFrame, at: str, n: str, span: int) -> DataFrame:
+    """(at, n summed over the span of microseconds that ends with at, both ends included, as pending), for distinct instants.
+
+    Sums up to a place are made of three: over all spans of buckets before, over the buckets before in its own, and over the instants before in its
+    own bucket; a sliding sum is the difference of two. However dense the instants lie, no window holds more than a bucket's.
+    """
+    place, bucket = F.col("p"), F.col("bucket")
+    ends = instants.select(F.col(at).alias("p"), F.col(n).alias("n"), F.col(at).alias("of"), F.lit(True).alias("high"))
+    starts = instants.select((F.col(at) - span - 1).alias("p"), F.lit(0).cast("long").alias("n"), F.col(at).alias("of"), F.lit(False).alias("high"))
+    points = ends.union(starts).withColumn("bucket", F.floor(place / BUCKET_US)).withColumn("part", F.floor(bucket / BUCKETS))
+    inner = points.withColumn("here", F.sum("n").over(Window.partitionBy("bucket").orderBy("p").rangeBetween(Window.unboundedPreceding, 0)))
+    totals = points.groupBy("part", "bucket").agg(F.sum("n").alias("n"))
+    buckets = totals.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n")).withColumn("long_ago", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    summed = inner.join(buckets.select("bucket", "part", "earlier").join(parts.select("part", "long_ago"), "part").drop("part"), "bucket")
+    total = F.col("here") + F.col("earlier") + F.col("long_ago")
+    return summed.groupBy(F.col("of").alias(at)).agg((F.max(F.when(F.col("high"), total)) - F.max(F.when(~F.col("high"), total))).alias("pending"))

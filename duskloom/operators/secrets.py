@@ -24,44 +24,100 @@ AUTH_WORDS = ("auth", "token", "secret", "credential", "cookie", "bearer", "pass
 SHORTEST, RANDOM, VERY_RANDOM = 8, 3.5, 4.0
 
 
-def literal_spans(text: Column, secrets: list[tuple[str, str, bool]]) -> Column:
-    """Every occurrence of each (name, value, case_sensitive) as a span that no gate drops."""
-    return F.concat(*[S.find_literal(text, value, name, "secret", case, order=i) for i, (name, value, case) in enumerate(secrets)]) if secrets else S.no_spans()
-
-
 def slug_collisions(names: DataFrame) -> DataFrame:
     """Slugs that more than one registered name gives: the registration is refused."""
     rows = names.groupBy(T.slug(F.col("name")).alias("slug")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
     return rows.filter("n > 1")
 
 
-def first_hit(text: Column, secrets: list[tuple[str, str, bool]]) -> Column:
-    """The name of the secret (name, value, case_sensitive) that stands first in the text, of those at one place the least; else null.
+#: Bytes of literals, names included, up to which their table is broadcast; a larger one is cut in parts of that size, each read by all texts.
+LITERALS_BYTES = 64 << 20
 
-    One automaton for each kind of letter case reads a text once. Values travel inside the function: no plan shows them.
-    """
-    known = [(name, value, case) for name, value, case in secrets if value]
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        machines = []
-        for kind in (True, False):
+class _Machines:
+    """An automaton for each kind of letter case over (name, value, case_sensitive) rows. Letters that change their length in lower case
+    stay as they are, so that places are those of the text."""
+
+    def __init__(self, rows: list[tuple[str, str, bool]]):
+        self.machines = []
+        for sensitive in (True, False):
+            names: dict[str, list[str]] = {}
+            for name, value, case in rows:
+                if value and bool(case) == sensitive:
+                    names.setdefault(value if sensitive else self.lower(value), []).append(name)
             machine = ahocorasick.Automaton()
-            for name, value, case in known:
-                if case == kind:
-                    word = value if kind else value.lower()
-                    machine.add_word(word, (len(word), min(name, machine.get(word, (0, name))[1])))
-            if len(machine):
+            for word, own in names.items():
+                machine.add_word(word, (len(word), sorted(own)))
+            if names:
                 machine.make_automaton()
-                machines.append((kind, machine))
+                self.machines.append((sensitive, machine))
+
+    @staticmethod
+    def lower(text: str) -> str:
+        low = text.lower()
+        return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+    def find(self, text: str | None) -> list[dict]:
+        found = [{"name": name, "start": end + 1 - n, "end": end + 1} for sensitive, machine in self.machines for end, (n, names) in machine.iter(text if sensitive else self.lower(text)) for name in names] if text else []
+        return sorted(found, key=lambda x: (x["start"], -x["end"], x["name"]))
+
+
+def literal_hits(texts: DataFrame, text: str, literals: DataFrame, name: str = "hits") -> DataFrame:
+    """texts with every occurrence of every literal, overlapping ones too, as array<struct<name,start,end>> in order; null and empty texts have none.
+
+    literals (name, value, case_sensitive): a table of any number of rows; null and empty values match nothing. Each text is read once by one
+    automaton for each kind of letter case, whatever the number of literals. Their size is summed first: up to LITERALS_BYTES they are broadcast;
+    of more, the values are dealt by hash into parts of that size, and each text is read once for each part.
+    """
+    spark = texts.sparkSession
+    rows = literals.select("name", "value", F.coalesce("case_sensitive", F.lit(True)).alias("case_sensitive")).filter("value <> ''").distinct()
+    size = rows.agg(F.sum(F.octet_length("value") + F.octet_length("name") + 32)).first()[0] or 0
+    kind = "array<struct<name:string,start:int,end:int>>"
+    parts = []
+    for part in range(-(-size // LITERALS_BYTES) or 1):
+        own = rows if size <= LITERALS_BYTES else rows.filter(F.pmod(F.xxhash64("value"), F.lit(-(-size // LITERALS_BYTES))) == part)
+        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # of a size that was summed
+
+        def reader(sent=sent):
+            state: list[_Machines] = []
+
+            @F.pandas_udf(kind)
+            def run(values: pd.Series) -> pd.Series:
+                if not state:
+                    state.append(_Machines(sent.value))
+                return values.map(lambda v: state[0].find(v))
+
+            return run
+
+        parts.append(reader()(F.col(text)))
+    return texts.withColumn(name, F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0])
+
+
+def hit_spans(hits: Column) -> Column:
+    """Hits as spans that no gate drops; names that hit one place keep their order."""
+    return F.transform(hits, lambda h, i: S.span(h["start"], h["end"], h["name"], 1.0, "secret", F.lit(None).cast("string"), order=i))
+
+
+def json_forms(pairs: DataFrame) -> DataFrame:
+    """(value, handle) with a row more for each value that is written otherwise inside a JSON string."""
+    escaped = pairs.withColumn("value", F.regexp_extract(F.to_json(F.array("value")), r'(?s)^\["(.*)"\]$', 1))
+    return pairs.union(escaped.select(pairs.columns)).distinct()
+
 
-        def one(text: str | None) -> str | None:
-            found = [(end - length + 1, name) for kind, machine in machines for end, (length, name) in machine.iter(text if kind else text.lower())] if text else []
-            return min(found)[1] if found else None
+def redacted(texts: DataFrame, text: str, pairs: DataFrame, json_body: bool = False) -> DataFrame:
+    """texts with each value of pairs (value, handle) replaced by its handle; of values that overlap, the longest stays whole, of equal ones
+    the first. In a JSON body, values are also looked for as they are written inside its strings."""
+    rows = json_forms(pairs.select("value", "handle")) if json_body else pairs.select("value", "handle")
+    found = literal_hits(texts, text, rows.select(F.col("handle").alias("name"), "value", F.lit(True).alias("case_sensitive")), "__hits")
+    own = F.transform(F.col("__hits"), lambda h: F.struct((h["start"] - h["end"]).alias("l"), h["start"].alias("start"), h["end"].alias("end"), h["name"].alias("entity")))
+    spans = F.transform(own, lambda h: S.span(h["start"], h["end"], h["entity"], 1.0, "secret", F.lit("")))
+    return found.withColumn(text, S.splice(F.col(text), S.resolve(spans), lambda x: x["entity"])).drop("__hits")
 
-        return texts.map(one)
 
-    return run(text)
+def first_hit(texts: DataFrame, text: str, literals: DataFrame, name: str = "hit") -> DataFrame:
+    """texts with the name of the secret that stands first in the text, of those at one place the least; else null."""
+    first = F.array_min(F.transform("__hits", lambda h: F.struct(h["start"].alias("s"), h["name"].alias("n"))))
+    return literal_hits(texts, text, literals, "__hits").withColumn(name, first["n"]).drop("__hits")
 
 
 def base64_needles(value: str) -> list[str]:

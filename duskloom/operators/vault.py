@@ -44,3 +44,21 @@ def audited(tokens: DataFrame, vault: DataFrame) -> DataFrame:
 
 def without_tombstones(vault: DataFrame, tombstones: DataFrame) -> DataFrame:
     return vault.join(tombstones.select("token"), "token", "left_anti")
+
+
+def promoted(requests: DataFrame, vault: DataFrame, tombstones: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """New promotions (session, token): local secrets that a session lets into tool inputs. requests may repeat, in one batch or a replay of it;
+    tokens of another kind, unknown ones and those with a tombstone are left out, and so are promotions that are known."""
+    new = requests.select("session", "token").dropna().distinct().join(vault.filter("kind = 'local'").select("token"), "token", "left_semi")
+    if tombstones is not None:
+        new = new.join(tombstones.select("token"), "token", "left_anti")
+    if known is not None:
+        new = new.join(known.select("session", "token"), ["session", "token"], "left_anti")
+    return new.select("session", "token")
+
+
+def tool_values(uses: DataFrame, vault: DataFrame, promotions: DataFrame) -> DataFrame:
+    """uses (session, token) with the value that a tool's input may get: personal data by the policy of its entity elsewhere, a local secret only
+    where the session promoted it, a brokered one never."""
+    rows = uses.join(vault.select("token", "value", "kind"), "token", "left").join(promotions.withColumn("let", F.lit(True)), ["session", "token"], "left")
+    return rows.select(*uses.columns, F.when((F.col("kind") == "pii") | ((F.col("kind") == "local") & F.col("let")), F.col("value")).alias("value"))

@@ -244,18 +244,15 @@ def masking_off_windows(spark, sf_dir):
 open AS (SELECT *, count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS pending FROM asked)
 SELECT event_id, CASE WHEN pending > 32 THEN 'backpressure_rejected' WHEN answered IS NULL OR answered > ts + INTERVAL 300 SECONDS THEN 'timed_out' ELSE 'answered' END AS outcome FROM open""")
 def approval_outcomes(spark, sf_dir):
-    """A user's next event answers an approval that this one asks for; more than 32 within 300 seconds are refused. Time is cut into
-    blocks of that length, each counted with the one before it, so that no task holds the whole order."""
+    """A user's next event answers an approval that this one asks for; more than 32 within 300 seconds are refused. How many are pending depends on
+    the instant alone, so it is worked out once for each."""
     events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     span = L.APPROVAL_S * 1_000_000
-    block = F.floor(F.col("us") / span)
     own = Window.partitionBy("user_id").orderBy("us", "event_id")
     asked = events.select("event_id", "us", F.lead("us").over(own).alias("answered"))
-    twice = asked.select("event_id", "us", "answered", F.explode(F.array(block, block + 1)).alias("block"), block.alias("home"))
-    near = Window.partitionBy("block").orderBy("us").rangeBetween(-span, 0)
-    open_ = twice.withColumn("pending", F.count("*").over(near)).filter("block = home")
+    pending = L.within(events.groupBy("us").agg(F.count("*").alias("n")), "us", "n", span)
     outcome = F.when(F.col("pending") > L.PENDING, "backpressure_rejected").when(F.col("answered").isNull() | (F.col("answered") > F.col("us") + span), "timed_out").otherwise("answered")
-    return open_.select("event_id", outcome.alias("outcome"))
+    return asked.join(pending, "us").select("event_id", outcome.alias("outcome"))
 
 
 HOLDS = Fixture("id int, mode string, found boolean, enabled boolean", *[(i, m, f, e) for i, (m, f, e) in enumerate((m, f, e) for m in ("off", "detections", "all") for f in (True, False) for e in (True, False))])

@@ -275,14 +275,15 @@ def filename_domain_filter(spark, sf_dir):
     return NAMES.frame(spark).select("id", "value", D.filename_domain(F.col("value")).alias("is_file"))
 
 
-ALLOWED = ("x.19@MAIL5.example.com", "src0")
+#: An exact entry whose letters no document has, one in any letter case, and a pattern.
+ALLOWING = Policy(profile="strict", allow=("X.19@MAIL5.example.com", "src0"), allow_any_case=("X.29@MAIL5.example.com",), allow_patterns=(r"^[a-z]+[.][0-9]*7@",))
 
 
-@query(f"SELECT doc_id, value FROM ({_sql('documents', 'doc_id', P.EMAIL)}) WHERE lower(value) NOT IN (lower('{ALLOWED[0]}'), '{ALLOWED[1]}')")
+@query(f"""SELECT doc_id, value, value = '{ALLOWING.allow[0]}' OR lower(value) = lower('{ALLOWING.allow_any_case[0]}') OR regexp_matches(value, '^[a-z]+[.][0-9]*7@') AS allowed FROM ({_sql('documents', 'doc_id', P.EMAIL)})""")
 def allow_list_filter(spark, sf_dir):
+    """Entries of three kinds: exact, in any letter case, patterns."""
     rows = exploded(documents(spark, sf_dir), spans_of(P.EMAIL), "doc_id")
-    allowed = spark.createDataFrame([(a.lower(),) for a in ALLOWED], "allowed string")
-    return rows.join(F.broadcast(allowed), F.lower("value") == F.col("allowed"), "left_anti").select("doc_id", "value")
+    return rows.select("doc_id", "value", D.allowed_value(F.col("value"), ALLOWING).alias("allowed"))
 
 
 DATES = Fixture("id int, value string", *enumerate(["2026-05-29", "2026/05/28", "2026-05-30", "2026-05-31", "2026-02-30", "2026-5-29", "2025-05-29", "2026-05/29", "x026-05-29", None]))

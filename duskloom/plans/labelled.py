@@ -85,15 +85,28 @@ def term_match(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.has_term(text, ("the",)).alias("has_the"), X.has_term(text, ("apache license",)).alias("has_apache"))
 
 
-SECRETS = Fixture("name string, value string, operator string, case_sensitive boolean", ("first", "thwh", "redact", True), ("second", "Apache", "hash", False), ("third", "zzzzqq", "token", True))
+#: Words of documents as a table of secrets: those of eleven letters and more with 'th' before them; every third length in any letter case, under
+#: the name of their first four letters.
+_SECRETS = "secrets AS (SELECT DISTINCT upper(w[1:4]) AS name, w AS value, length(w) % 3 <> 0 AS case_sensitive FROM (SELECT unnest(regexp_extract_all(text, 'th[a-z]{9,}')) AS w FROM documents))"
 
 
-@query(f"""SELECT doc_id, 'first' AS name, start, stop FROM ({spans_sql("documents", "doc_id", "text", "thwh", False)}) UNION ALL
-SELECT doc_id, 'second', start, stop FROM ({spans_sql("documents", "doc_id", "text", "(?i)Apache", False)})""")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("th[a-z]{9,}"), F.lit(0))).alias("value"))
+    return rows.select(F.upper(F.substring("value", 1, 4)).alias("name"), "value", (F.length("value") % 3 != 0).alias("case_sensitive")).distinct()
+
+
+def _literal_sql(value: str, case: str) -> str:
+    """Every place of every secret of a kind of letter case in the documents' texts: substrings of its length from each place."""
+    return f"""SELECT doc_id, name, p - 1 AS start, p - 1 + n AS stop FROM (
+  SELECT doc_id, t, unnest(range(1, length(t) - n + 2)) AS p, n FROM (SELECT doc_id, {value.format("text")} AS t FROM documents) CROSS JOIN (SELECT DISTINCT length(value) AS n FROM secrets WHERE {case}) WHERE length(t) >= n
+) JOIN (SELECT name, {value.format("value")} AS v FROM secrets WHERE {case}) ON substr(t, p, n) = v"""
+
+
+@query(f"WITH {_SECRETS} SELECT doc_id, name, start::INT AS start, stop::INT AS stop FROM ({_literal_sql('{}', 'case_sensitive')} UNION ALL {_literal_sql('lower({})', 'NOT case_sensitive')})")
 def secret_literal_spans(spark, sf_dir):
-    secrets = [(r[0], r[1], r[3]) for r in SECRETS.rows]
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(G.literal_spans(F.col("text"), secrets)).alias("s"))
-    return rows.select("doc_id", F.col("s.entity").alias("name"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    """Every occurrence of thousands of secrets from a table, overlapping ones too."""
+    rows = G.literal_hits(documents(spark, sf_dir).select("doc_id", "text"), "text", secrets(spark, sf_dir))
+    return rows.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.name", "h.start", F.col("h.end").alias("stop"))
 
 
 NAMED = Fixture("name string", ("db-password",), ("db.password",), ("api key",), ("API_KEY",), ("other",))
@@ -105,12 +118,14 @@ def slug_collisions(spark, sf_dir):
     return G.slug_collisions(NAMED.frame(spark))
 
 
+_TRIPWIRES = Fixture("name string, value string, case_sensitive boolean", ("first", "thwh", True), ("second", "Apache", False), ("third", "zzzzqq", True))
+
+
 @query(f"""SELECT doc_id, arg_min(name, (start, name)) AS name FROM (SELECT doc_id, name, strpos(CASE WHEN case_sensitive THEN text ELSE lower(text) END, CASE WHEN case_sensitive THEN value ELSE lower(value) END) AS start
-FROM documents JOIN {SECRETS.sql} ON true) WHERE start > 0 GROUP BY doc_id""")
+FROM documents JOIN {_TRIPWIRES.sql} ON true) WHERE start > 0 GROUP BY doc_id""")
 def tripwire_hits(spark, sf_dir):
     """The name of the first registered secret in each text; the plan holds no value."""
-    secrets = [(r[0], r[1], r[3]) for r in SECRETS.rows]
-    return documents(spark, sf_dir).select("doc_id", G.first_hit(F.col("text"), secrets).alias("name")).filter("name IS NOT NULL")
+    return G.first_hit(documents(spark, sf_dir).select("doc_id", "text"), "text", _TRIPWIRES.frame(spark), "name").filter("name IS NOT NULL").select("doc_id", "name")
 
 
 BLOBS = Fixture("id int, body string", (1, "plain s3cr3t-value here"), (2, "blob czNjcjN0LXZhbHVl end"), (3, "xxx" + "eHhzM2NyM3QtdmFsdWU"), (4, "YXMzY3IzdC12YWx1ZQ"), (5, "nothing"), (6, None))
@@ -169,10 +184,17 @@ def scrub_counts(spark, sf_dir):
     return SCRUB.frame(spark).select("id", text.alias("text"), hits.alias("hits"))
 
 
-@query(f"SELECT id, replace(replace(text, 'alpha beta', '[A]'), 'alpha', '[B]') AS text FROM {SCRUB.sql}")
+#: Values of the ledger's pairs: one is a part of the other, one is written otherwise inside a JSON string.
+PAIRS = Fixture("value string, handle string", ("the", "[B]"), ("on the", "[A]"), ('x "y"', "[C]"))
+_BODY = """'{"t":' || to_json('x "y" ' || text)::VARCHAR || '}'"""
+
+
+@query(f"SELECT conv_id, turn, replace(replace(replace({_BODY}, 'x \\\"y\\\"', '[C]'), 'on the', '[A]'), 'the', '[B]') AS body FROM conversations WHERE text IS NOT NULL".replace('\\\\"', '\\"'))
 def redact_values(spark, sf_dir):
-    """Value and replacement pairs, the longest value first, so that no value is cut by a shorter one in it."""
-    return SCRUB.frame(spark).select("id", G.replaced(F.col("text"), {"alpha": "[B]", "alpha beta": "[A]"}).alias("text"))
+    """Value and handle pairs in a JSON body, the longest value first, also as it is written inside a string."""
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    body = F.to_json(F.struct(F.concat(F.lit('x "y" '), "text").alias("t")))
+    return G.redacted(rows.select("conv_id", "turn", body.alias("body")), "body", PAIRS.frame(spark), json_body=True)
 
 
 @query("SELECT page_id, regexp_replace(url, '(://)[^/@]*@', '\\1***@') AS url FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://user:pw@') ELSE url END AS url FROM pages)")

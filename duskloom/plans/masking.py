@@ -296,6 +296,23 @@ def token_count(spark, sf_dir):
     return vault_rows(document_spans(spark, sf_dir)).agg(F.countDistinct("token").alias("n_tokens"))
 
 
+_KINDS = "CASE entity WHEN 'EMAIL_ADDRESS' THEN 'local' WHEN 'IP_ADDRESS' THEN 'broker' ELSE 'pii' END"
+_USES = f"uses AS (SELECT DISTINCT coalesce(source, '') AS session, {token_sql('salt', 'entity', 'value')} AS token, value, {_KINDS} AS kind FROM ({found_sql()}) JOIN documents USING (doc_id) WHERE entity NOT IN ('CREDIT_CARD', 'CVV'))"
+
+
+@query(f"WITH {_USES} SELECT session, token, CASE WHEN kind = 'pii' OR (kind = 'local' AND session LIKE '%1%' AND token NOT LIKE '%0]') THEN value END AS value FROM uses")
+def vault_promotions(spark, sf_dir):
+    """A source is a session, e-mail addresses are local secrets, network addresses brokered. Sources with a 1 in their name ask for every token of theirs,
+    twice, in two batches; tokens that end in 0 have a tombstone. What each session's tools may read."""
+    rows = saved(D.with_detected(documents(spark, sf_dir).select("source", "text"), POLICY, D.ALL).select(F.coalesce("source", F.lit("")).alias("session"), F.explode(tokens_of(F.col("spans"))).alias("t")).select("session", "t.*").distinct())
+    kind = F.when(F.col("entity") == "EMAIL_ADDRESS", "local").when(F.col("entity") == "IP_ADDRESS", "broker").otherwise("pii")
+    vault = V.interned(rows.withColumn("kind", kind))
+    asked, gone = rows.filter("session LIKE '%1%'").select("session", "token"), vault.filter("token LIKE '%0]'")
+    first = V.promoted(asked.union(asked).filter("token LIKE '%a%'"), vault, gone)
+    both = first.union(V.promoted(asked.union(asked), vault, gone, known=first))
+    return V.tool_values(rows.select("session", "token").distinct(), vault, both)
+
+
 STORE = Fixture(
     "token string, value string, kind string, secret_name string, expires string",
     ("[A_000000000001]", "a@b.io", "pii", None, None), ("[B_000000000002]", "s3cr3t", "broker", "db", None), ("[C_000000000003]", "loc", "local", "home", None),

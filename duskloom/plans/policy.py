@@ -60,7 +60,9 @@ class Policy:
     categories: tuple[str, ...] | None = None
     default_operator: Operator = Operator()
     overrides: dict[str, Operator] = field(default_factory=dict)
-    allow: tuple[str, ...] = ()
+    allow: tuple[str, ...] = ()  # values as they are
+    allow_any_case: tuple[str, ...] = ()
+    allow_patterns: tuple[str, ...] = ()
     custom: tuple[CustomRule, ...] = ()
     surfaces_off: tuple[str, ...] = ()
     salt: str = "salt"
@@ -86,7 +88,7 @@ class Policy:
 
     def fingerprint(self, today: date | None = None) -> str:
         """A hash of what decides detections. What an override does is left out, that it is there isn't."""
-        parts = [DETECTOR_VERSION, self.floor, sorted(self.on), sorted(self.overrides), sorted(self.allow), sorted(map(str, self.custom)), str(today)]
+        parts = [DETECTOR_VERSION, self.floor, sorted(self.on), sorted(self.overrides), sorted(self.allow), sorted(self.allow_any_case), sorted(self.allow_patterns), sorted(map(str, self.custom)), str(today)]
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:16]
 
 
@@ -121,6 +123,7 @@ def from_settings(settings: dict) -> Policy:
     fields = {k: settings[k] for k in ("profile", "threshold", "salt", "enabled") if k in settings}
     if "categories" in settings:
         fields["categories"] = tuple(settings["categories"])
+    fields |= {k: tuple(settings[k]) for k in ("allow", "allow_any_case", "allow_patterns") if k in settings}
     if "overrides" in settings:
         fields["overrides"] = {e: Operator(**o) for e, o in settings["overrides"].items()}
     return Policy(**fields)

@@ -52,7 +52,7 @@ _MOVED = "array_to_string(list_transform(string_split(substr(value, 5) || substr
 CHECKS = {
     "CREDIT_CARD": f"length({digits_sql()}) BETWEEN 13 AND 19 AND {luhn_sql(digits_sql())}",
     "PHONE_NUMBER": f"length({digits_sql()}) BETWEEN 10 AND 13",
-    "IP_ADDRESS": "CASE WHEN contains(value, '.') THEN len(list_filter(string_split(value, '.'), lambda o: try_cast(o AS INT) > 255)) = 0 ELSE NOT contains(value, '::') OR regexp_matches(value, '[0-9]|:.*:.*:') END",
+    "IP_ADDRESS": "CASE WHEN contains(value, '.') THEN len(list_filter(string_split(value, '.'), lambda o: try_cast(o AS INT) > 255)) = 0 ELSE (NOT contains(value, '::') AND len(list_filter(string_split_regex(value, ':+'), lambda g: g <> '')) = 8) OR ((length(value) - length(replace(value, '::', ''))) // 2 = 1 AND len(list_filter(string_split_regex(value, ':+'), lambda g: g <> '')) <= 7 AND (regexp_matches(value, '[0-9]') OR len(list_filter(string_split_regex(value, ':+'), lambda g: g <> '')) >= 3)) END",
     "DOMAIN": "lower(string_split(value, '.')[-1]) IN ('com', 'org', 'net', 'io', 'dev', 'edu', 'gov', 'info', 'co', 'de', 'fr', 'es', 'uk', 'eu', 'rs', 'md', 'py', 'sh', 'ai', 'app')",
     "US_SSN": "substr(value, 1, 3) NOT IN ('000', '666') AND substr(value, 1, 1) <> '9' AND substr(value, 5, 2) <> '00' AND substr(value, 8) <> '0000' AND value NOT IN ('078-05-1120', '219-09-9999', '123-45-6789')",
     "IBAN_CODE": f"length(value) BETWEEN 15 AND 34 AND {_MOVED}::HUGEINT % 97 = 1",

@@ -65,5 +65,5 @@ def test_windowed_refusals(spark, tmp_path):
 
 def test_context_changes_what_is_kept(spark):
     rows = spark.createDataFrame([(1, "call my phone 415-555-2671"), (2, "order 415-555-2671")], "id int, text string")
-    got = {r.id: len(r.s) for r in rows.select("id", D.detected(F.col("text"), Policy()).alias("s")).collect()}
+    got = {r.id: len(r.s) for r in D.with_detected(rows, Policy(), name="s").collect()}
     assert got == {1: 1, 2: 0}

@@ -82,7 +82,7 @@ def test_manifest_places(texts):
 
 def test_spans_are_sorted_and_disjoint(texts):
     policy = Policy(profile="strict", custom=(CustomRule("x.io", "HOST"), CustomRule("[0-9]+", "NUMBER", is_regex=True)))
-    for r in texts.filter("text IS NOT NULL").select("text", D.detected(F.col("text"), policy).alias("s")).collect():
+    for r in D.with_detected(texts.filter("text IS NOT NULL"), policy, name="s").collect():
         assert all(a.end <= b.start for a, b in zip(r.s, r.s[1:], strict=False))
         assert all(r.text[s.start : s.end] == s.value for s in r.s)
 
@@ -164,5 +164,29 @@ def test_files(spark, tmp_path, monkeypatch):
 
 def test_json_splice_keeps_the_rest():
     body = '{ "a" : 1.50, "b": ["x", {"c": "y\\"z"}], "x": "x" }'
-    assert json_text.spliced(body, {}) == body
-    assert json_text.spliced(body, {"$.b[0]": "é", "$.b[1].c": 'q"'}) == '{ "a" : 1.50, "b": ["é", {"c": "q\\""}], "x": "x" }'
+    assert json_text.spliced(body, {}) == body and json_text.spliced("{", {}) is None
+    texts = {json_text._digest("", "x"): "é", json_text._digest("", 'y"z'): 'q"'}
+    assert json_text.spliced(body, texts) == '{ "a" : 1.50, "b": ["é", {"c": "q\\""}], "x": "é" }'
+    assert json_text.spliced(body, texts, ("b",)) == '{ "a" : 1.50, "b": ["x", {"c": "y\\"z"}], "x": "é" }'
+
+
+def test_json_bodies_that_were_hard(spark):
+    """Null and repeated ids, malformed bodies, paths that read alike, repeated keys, clashing columns, an empty table."""
+    rows = [
+        (None, '{"t": "mail a@b.io"}', "x"), (1, '{"t": "mail a@b.io', "x"), (2, '{"t": "mail c@d.io"}', "y"), (2, '{"t": "mail e@f.io"}', "y"), (3, '{"a.b": "to a@b.io", "a": {"b": "to c@d.io"}}', "y"),
+        (4, '{"k": "to a@b.io", "k": "to c@d.io"}', "y"), (5, None, "y"), (6, "", "y"), (7, "[" * 300 + "]" * 300, "y"), (8, '{"model": "m@x.io", "t": ["a@b.io", 1.50, null]}', None),
+        (9, '{"context_management": {"edits": [{"type": "a@b.io", "note": "a@b.io"}]}}', "y"), (10, '"bare a@b.io"', "y"), (11, '{"t": "\\u0061@b.io"}', "y"),
+    ]
+    frame = spark.createDataFrame(rows, "id long, body string, _texts string").withColumn("kind", F.lit("k"))
+
+    def upper(texts):
+        return texts.withColumn("changed", F.regexp_replace("text", "[a-z]@[a-z]+[.]io", "[M]"))
+
+    got = sorted(((r.id or 0, r.body) for r in json_text.with_leaves_changed(frame, "body", upper).collect()), key=str)
+    want = [
+        (0, '{"t": "mail [M]"}'), (1, None), (2, '{"t": "mail [M]"}'), (2, '{"t": "mail [M]"}'), (3, '{"a.b": "to [M]", "a": {"b": "to [M]"}}'), (4, '{"k": "to [M]", "k": "to [M]"}'), (5, None), (6, None), (7, None),
+        (8, '{"model": "m@x.io", "t": ["[M]", 1.50, null]}'), (9, '{"context_management": {"edits": [{"type": "a@b.io", "note": "[M]"}]}}'), (10, '"bare [M]"'), (11, '{"t": "[M]"}'),
+    ]
+    assert got == sorted(want, key=str)
+    assert json_text.with_leaves_changed(frame, "body", upper).columns == frame.columns
+    assert json_text.with_leaves_changed(frame.limit(0), "body", upper).count() == 0

@@ -50,8 +50,8 @@ def test_documents_are_masked_by_all_recognizers(spark, folder):
         assert (entity, value) in [(s.entity, s.value) for s in found[i].spans] and value not in shown[i], text
         assert value not in redacted[i] and "[REDACTED]" in redacted[i]
     assert shown[900] is None and shown[901] == ""
-    every = D.recognized(F.col("text"), *[r for r in D.ALL if r.score >= masking.POLICY.floor - D.CONTEXT_BOOST])
-    for r in spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NOT NULL").select("doc_id", D.gated(F.col("text"), every, masking.POLICY).alias("s")).collect():
+    every = D.with_recognized(spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NOT NULL"), tuple(r for r in D.ALL if r.score >= masking.POLICY.floor - D.CONTEXT_BOOST))
+    for r in every.select("doc_id", D.gated(F.col("text"), F.col("found"), masking.POLICY).alias("s")).collect():
         assert brute_resolved(r.s) == found[r.doc_id].spans
     assert {r.entity for r in QUERIES["mint_tokens"](spark, folder).collect()} >= {v[2] for v in VALUES}
 
