@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import detect as D
 from ..operators import secrets as G
-from .contextsql import cards_sql, credential_sql
+from .contextsql import birth_sql, cards_sql, code_sql, credential_sql, expiry_sql
 from .detection import documents
 from .registry import Fixture, query, table
 from .sqltext import spans_sql
@@ -33,38 +35,40 @@ CARE_ROWS: list[tuple[str | None, list[tuple[str, str]]]] = [
     ("a%3Ftoken%3Dletmein-x", [("URL_CREDENTIAL", "letmein-x")]), ("?state=%7B%22token%22%3A%22letmein%22%7D", [("URL_CREDENTIAL", "letmein")]), ("x%253Ftoken%253Dletmein2x", [("URL_CREDENTIAL", "letmein2x")]),
     ("é%3Ftoken%3Dlétmein", [("URL_CREDENTIAL", "létmein")]), ("git@github.com", []), ("tokens this session : 8", []), ("?key=abc", []), ("sort-key=colname", []), ("redis://:p@h", []), ("", []), (None, []),
 ]
-CARE = Fixture("id int, text string", *enumerate(t for t, _ in CARE_ROWS))
+CARE = Fixture("id int, text string", *enumerate(t for t, _ in CARE_ROWS)).over("documents", "doc_id", text="text", into="text", first=True)
 
 
-def care(spark: SparkSession, spans) -> DataFrame:
-    rows = CARE.frame(spark).select("id", F.explode(spans(F.col("text"))).alias("s"))
+def care(spark: SparkSession, sf_dir: str, spans) -> DataFrame:
+    """What is found in the whole documents, each with one of the texts above before its own."""
+    rows = CARE.frame(spark, sf_dir).select("id", F.explode(spans(F.col("text"))).alias("s"))
     return rows.select("id", F.col("s.entity").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.value").alias("value"))
 
 
-def _by_hand(*entities: str) -> str:
-    """The rows written by hand; every value stands once in its text."""
+def _by_hand(found: Callable[[str, str], str], *entities: str) -> str:
+    """The rows written by hand; every value stands first in its text. found: SQL of what the documents hold themselves, which lies behind."""
     wanted = Fixture("id int, entity string, value string", *[(i, e, v) for i, (_, found) in enumerate(CARE_ROWS) for e, v in found if e in entities])
-    return f"SELECT id, entity, (strpos(text, value) - 1)::INT AS start, (strpos(text, value) - 1 + length(value))::INT AS stop, value FROM {CARE.sql} JOIN {wanted.sql} USING (id)"
+    behind = f"SELECT id, entity, (start + length(text) - length(own))::INT AS start, (stop + length(text) - length(own))::INT AS stop, value FROM ({found('documents', 'doc_id')}) f JOIN {CARE.sql} c ON c.id = f.doc_id"
+    return f"SELECT c.id, entity, (strpos(text, value) - 1)::INT AS start, (strpos(text, value) - 1 + length(value))::INT AS stop, value FROM {CARE.sql} c JOIN {wanted.sql} w ON c.row = w.id UNION ALL {behind}"
 
 
-@query(_by_hand("DATE_OF_BIRTH"))
+@query(_by_hand(birth_sql, "DATE_OF_BIRTH"))
 def dob_spans(spark, sf_dir):
-    return care(spark, X.birth_dates)
+    return care(spark, sf_dir, X.birth_dates)
 
 
-@query(_by_hand("CVV"))
+@query(_by_hand(code_sql, "CVV"))
 def cvv_spans(spark, sf_dir):
-    return care(spark, X.security_codes)
+    return care(spark, sf_dir, X.security_codes)
 
 
-@query(_by_hand("CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"))
+@query(_by_hand(expiry_sql, "CREDIT_CARD_EXPIRATION", "EXPIRATION_DATE"))
 def expiry_spans(spark, sf_dir):
-    return care(spark, X.expiries)
+    return care(spark, sf_dir, X.expiries)
 
 
-@query(_by_hand("URL_CREDENTIAL"))
+@query(_by_hand(credential_sql, "URL_CREDENTIAL"))
 def url_credential_spans(spark, sf_dir):
-    return care(spark, X.credentials)
+    return care(spark, sf_dir, X.credentials)
 
 
 @query(f"SELECT doc_id, entity, start, stop, value FROM ({credential_sql('documents', 'doc_id')})")
@@ -109,13 +113,17 @@ def secret_literal_spans(spark, sf_dir):
     return rows.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.name", "h.start", F.col("h.end").alias("stop"))
 
 
-NAMED = Fixture("name string", ("db-password",), ("db.password",), ("api key",), ("API_KEY",), ("other",))
+#: Names as three teams might write them: a client's city and segment with another mark between.
+_NAMED = "(SELECT DISTINCT concat_ws(CASE client_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE ' ' END, city, segment) AS name FROM clients)"
 _SLUG = "upper(substr(regexp_replace(name, '[^0-9A-Za-z]', '_', 'g'), 1, 32))"
 
 
-@query(f"SELECT {_SLUG} AS slug, count(*) AS n, array_to_string(list(name ORDER BY name), ',') AS names FROM {NAMED.sql} GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT {_SLUG} AS slug, count(*) AS n, array_to_string(list(name ORDER BY name), ',') AS names FROM {_NAMED} GROUP BY 1 HAVING count(*) > 1")
 def slug_collisions(spark, sf_dir):
-    return G.slug_collisions(NAMED.frame(spark))
+    mark = F.when(F.col("client_id") % 3 == 0, "-").when(F.col("client_id") % 3 == 1, ".").otherwise(" ")
+    parts = F.array_compact(F.array("city", "segment"))
+    names = table(spark, sf_dir, "clients").select(F.when(F.size(parts) == 2, F.concat(parts[0], mark, parts[1])).otherwise(F.array_join(parts, "")).alias("name"))
+    return G.slug_collisions(names.distinct())
 
 
 _TRIPWIRES = Fixture("name string, value string, case_sensitive boolean", ("first", "thwh", True), ("second", "Apache", False), ("third", "zzzzqq", True))
@@ -128,7 +136,7 @@ def tripwire_hits(spark, sf_dir):
     return G.first_hit(documents(spark, sf_dir).select("doc_id", "text"), "text", _TRIPWIRES.frame(spark), "name").filter("name IS NOT NULL").select("doc_id", "name")
 
 
-BLOBS = Fixture("id int, body string", (1, "plain s3cr3t-value here"), (2, "blob czNjcjN0LXZhbHVl end"), (3, "xxx" + "eHhzM2NyM3QtdmFsdWU"), (4, "YXMzY3IzdC12YWx1ZQ"), (5, "nothing"), (6, None))
+BLOBS = Fixture("id int, body string", (1, "plain s3cr3t-value here"), (2, "blob czNjcjN0LXZhbHVl end"), (3, "xxx" + "eHhzM2NyM3QtdmFsdWU"), (4, "YXMzY3IzdC12YWx1ZQ"), (5, "nothing"), (6, None)).over("documents", "doc_id", text="text", into="body")
 
 
 def _needles_sql() -> str:
@@ -138,7 +146,7 @@ def _needles_sql() -> str:
 @query(f"SELECT id, contains(body, 's3cr3t-value') AS exact, {_needles_sql()} AS encoded FROM {BLOBS.sql}")
 def tripwire_base64(spark, sf_dir):
     body = F.col("body")
-    return BLOBS.frame(spark).select("id", body.contains("s3cr3t-value").alias("exact"), G.contains_any(body, G.base64_needles("s3cr3t-value")).alias("encoded"))
+    return BLOBS.frame(spark, sf_dir).select("id", body.contains("s3cr3t-value").alias("exact"), G.contains_any(body, G.base64_needles("s3cr3t-value")).alias("encoded"))
 
 
 #: Names and values, and the reason and operator written by hand.
@@ -148,40 +156,40 @@ CANDIDATE_ROWS = [
     ("TOKEN", "0123456789abcdefghijklmnopqrstuv", "both", "hash"), ("RANDOM", "k3J9x2Lq8Zv1", "entropy", "redact"), ("password", "abcdefgh", "name_match", "redact"), ("FLAG", " Enabled ", "boolean_like", None),
     ("SIGNING_KEY", "aaaaaaaa1", "name_match", "redact"), ("DB_DSN", "aaaaaaaa1", "name_match", "redact"), ("BEARER", "aaaaaaaa1", "name_match", "redact"), ("PRIVATE", "aaaaaaaa1", "name_match", "redact"),
 ]
-CANDIDATES = Fixture("name string, value string, reason string, operator string", *CANDIDATE_ROWS)
+CANDIDATES = Fixture("name string, value string, reason string, operator string", *CANDIDATE_ROWS).over("clients", "client_id")
 
 
 @query(f"SELECT * FROM {CANDIDATES.sql}")
 def classify_secret(spark, sf_dir):
     reason, operator = G.classified(F.col("name"), F.col("value"))
-    return CANDIDATES.frame(spark).select("name", "value", reason.alias("reason"), operator.alias("operator"))
+    return CANDIDATES.frame(spark, sf_dir).select("id", "name", "value", reason.alias("reason"), operator.alias("operator"))
 
 
-REFS = Fixture("id int, ref string", (1, "env:DB_PASSWORD"), (2, "dotenv:.env#API_KEY"), (3, "pass:work/db#user"), (4, "sops:secrets.yaml#a.b"), (5, "plain"), (6, "age:x.age"), (7, ":x"))
+REFS = Fixture("id int, ref string", (1, "env:DB_PASSWORD"), (2, "dotenv:.env#API_KEY"), (3, "pass:work/db#user"), (4, "sops:secrets.yaml#a.b"), (5, "plain"), (6, "age:x.age"), (7, ":x")).over("clients", "client_id")
 
 
 @query(f"SELECT id, nullif(regexp_extract(ref, '^([a-z]+):([^#]+)(?:#(.+))?$', 1), '') AS scheme, nullif(regexp_extract(ref, '^([a-z]+):([^#]+)(?:#(.+))?$', 2), '') AS path, nullif(regexp_extract(ref, '^([a-z]+):([^#]+)(?:#(.+))?$', 3), '') AS field FROM {REFS.sql}")
 def secret_ref_parse(spark, sf_dir):
-    return REFS.frame(spark).select("id", *[p.alias(n) for p, n in zip(G.parsed_ref(F.col("ref")), ("scheme", "path", "field"), strict=True)])
+    return REFS.frame(spark, sf_dir).select("id", *[p.alias(n) for p, n in zip(G.parsed_ref(F.col("ref")), ("scheme", "path", "field"), strict=True)])
 
 
-OUTPUTS = Fixture("id int, form string, field string, body string", (1, "first_line", None, "s3cret\nuser: ada\n"), (2, "key_value", "User", "s3cret\nuser: ada\nurl: x"), (3, "json", "a.b", '{"a": {"b": "deep"}}'), (4, "trim", None, "value\n"), (5, "dotenv", "KEY", "A=1\nKEY=two\n"), (6, "key_value", "none", "x"))
+OUTPUTS = Fixture("id int, form string, field string, body string", (1, "first_line", None, "s3cret\nuser: ada\n"), (2, "key_value", "User", "s3cret\nuser: ada\nurl: x"), (3, "json", "a.b", '{"a": {"b": "deep"}}'), (4, "trim", None, "value\n"), (5, "dotenv", "KEY", "A=1\nKEY=two\n"), (6, "key_value", "none", "x")).over("clients", "client_id")
 
 
 @query(f"""SELECT id, CASE form WHEN 'first_line' THEN split_part(body, chr(10), 1) WHEN 'key_value' THEN nullif(regexp_extract(body, '(?im)^' || field || ':[ \\t]*(.*)$', 1), '')
 WHEN 'json' THEN CASE WHEN json_valid(body) THEN json_extract_string(body, '$.' || field) END WHEN 'dotenv' THEN nullif(regexp_extract(body, '(?m)^' || field || '=(.*)$', 1), '') ELSE rtrim(body, chr(10)) END AS value FROM {OUTPUTS.sql}""")
 def secret_field(spark, sf_dir):
-    return OUTPUTS.frame(spark).select("id", G.field_of(F.col("form"), F.col("field"), F.col("body")).alias("value"))
+    return OUTPUTS.frame(spark, sf_dir).select("id", G.field_of(F.col("form"), F.col("field"), F.col("body")).alias("value"))
 
 
 NEEDLES = ("alpha beta", "alpha")
-SCRUB = Fixture("id int, text string", (1, "alpha beta alpha"), (2, "alphabet"), (3, "none"), (4, None), (5, 'say "alpha beta"'))
+SCRUB = Fixture("id int, text string", (1, "alpha beta alpha"), (2, "alphabet"), (3, "none"), (4, None), (5, 'say "alpha beta"')).over("documents", "doc_id", text="text", into="text")
 
 
 @query(f"SELECT id, replace(replace(text, 'alpha beta', '[R]'), 'alpha', '[R]') AS text, (length(text) - length(replace(text, 'alpha beta', ''))) // 10 + (length(replace(text, 'alpha beta', '[R]')) - length(replace(replace(text, 'alpha beta', '[R]'), 'alpha', ''))) // 5 AS hits FROM {SCRUB.sql}")
 def scrub_counts(spark, sf_dir):
     text, hits = G.scrubbed(F.col("text"), NEEDLES, "[R]")
-    return SCRUB.frame(spark).select("id", text.alias("text"), hits.alias("hits"))
+    return SCRUB.frame(spark, sf_dir).select("id", text.alias("text"), hits.alias("hits"))
 
 
 #: Values of the ledger's pairs: one is a part of the other, one is written otherwise inside a JSON string.
@@ -203,19 +211,19 @@ def redact_userinfo(spark, sf_dir):
     return pages.select("page_id", G.without_userinfo(F.col("url")).alias("url"))
 
 
-HEADER_NAMES = Fixture("name string", *[(n,) for n in ("Authorization", "X-Api-Key", "x-idempotency-key", "Cookie", "X-Amz-Security-Token", "Content-Type", "x-goog-signature", "Host", "Set-Cookie")])
+HEADER_NAMES = Fixture("name string", *[(n,) for n in ("Authorization", "X-Api-Key", "x-idempotency-key", "Cookie", "X-Amz-Security-Token", "Content-Type", "x-goog-signature", "Host", "Set-Cookie")]).over("clicks", "click_id")
 
 
-@query(f"SELECT name, regexp_matches(lower(name), '{'|'.join(G.AUTH_WORDS)}') AS auth FROM {HEADER_NAMES.sql}")
+@query(f"SELECT id, name, regexp_matches(lower(name), '{'|'.join(G.AUTH_WORDS)}') AS auth FROM {HEADER_NAMES.sql}")
 def auth_header(spark, sf_dir):
-    return HEADER_NAMES.frame(spark).select("name", F.lower("name").rlike("|".join(G.AUTH_WORDS)).alias("auth"))
+    return HEADER_NAMES.frame(spark, sf_dir).select("id", "name", F.lower("name").rlike("|".join(G.AUTH_WORDS)).alias("auth"))
 
 
-PATHS = Fixture("id int, path string", (1, "/s/abc%20d/v1/messages"), (2, "/s/x/../y"), (3, "/v1/messages"), (4, "/s/%zz/v1"), (5, "/s/a+b/v1/messages/batches"), (6, "/s/ok/v1/messages?x=1"))
+PATHS = Fixture("id int, path string", (1, "/s/abc%20d/v1/messages"), (2, "/s/x/../y"), (3, "/v1/messages"), (4, "/s/%zz/v1"), (5, "/s/a+b/v1/messages/batches"), (6, "/s/ok/v1/messages?x=1")).over("pages", "page_id")
 _RAW = "regexp_extract(path, '^/s/([^/]+)/', 1)"
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(path, '(^|/)[.][.](/|$)') OR regexp_matches({_RAW}, '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|$)') THEN NULL ELSE nullif(url_decode({_RAW}), '') END AS session,
 regexp_matches(path, '/messages/batches(/|[?]|$)') AS batches FROM {PATHS.sql}""")
 def session_path(spark, sf_dir):
-    return PATHS.frame(spark).select("id", G.session_of(F.col("path")).alias("session"), F.col("path").rlike("/messages/batches(/|[?]|$)").alias("batches"))
+    return PATHS.frame(spark, sf_dir).select("id", G.session_of(F.col("path")).alias("session"), F.col("path").rlike("/messages/batches(/|[?]|$)").alias("batches"))
