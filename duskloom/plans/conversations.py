@@ -39,7 +39,7 @@ LANE_ROWS = Fixture(
     "id int, kind string, role string, text string",
     (1, "system", None, " x-anthropic-billing: 1"), (2, "system", None, "You are"), (3, "tool_use", "assistant", "ls"), (4, "tool_result", "user", "out"), (5, "message", "system", "hook"), (6, "message", "assistant", "hi"),
     (7, "message", "user", "<system-reminder>\nContents of CLAUDE.md"), (8, "message", "user", "<system-reminder>todo"), (9, "message", "user", "  <command-name>x"), (10, "message", "user", "hello"), (11, "message", None, "?"), (12, "message", "user", "<command-message>go"),
-)
+).over("documents", "doc_id", text="text", into="text", first=True)
 _MARKS = " OR ".join(f"contains(lower(substr(ltrim(text), 18, 600)), '{m}')" for m in ("claudemd", "claude.md", "memory.md", "# memory", "codebase and user instructions", "user''s private global instructions"))
 
 
@@ -47,7 +47,7 @@ _MARKS = " OR ".join(f"contains(lower(substr(ltrim(text), 18, 600)), '{m}')" for
 WHEN role = 'system' THEN 'harness_frame' WHEN role = 'assistant' THEN 'assistant' WHEN starts_with(ltrim(text), '<system-reminder>') AND ({_MARKS}) THEN 'userctx' WHEN starts_with(ltrim(text), '<system-reminder>') THEN 'harness_frame'
 WHEN starts_with(ltrim(text), '<command-message>') OR starts_with(ltrim(text), '<command-name>') THEN 'harness_frame' ELSE 'user_input' END AS lane FROM {LANE_ROWS.sql}""")
 def provenance_lanes(spark, sf_dir):
-    return LANE_ROWS.frame(spark).select("id", C.provenance(F.col("kind"), F.col("role"), F.col("text")).alias("lane"))
+    return LANE_ROWS.frame(spark, sf_dir).select("id", C.provenance(F.col("kind"), F.col("role"), F.col("text")).alias("lane"))
 
 
 @query("SELECT conv_id, turn, sha256(text)[1:16] AS hash FROM conversations")
@@ -103,29 +103,30 @@ def predecessor_turn(spark, sf_dir):
     return C.predecessors(words_of_turns(spark, sf_dir), "conv_id", "turn", "hash")
 
 
-IDS = Fixture("id int, value string", (1, "abc"), (2, ""), (3, None), (4, "  "), (5, "x" * 129), (6, "a\nb"), (7, " pad "), (8, "é" * 65))
+IDS = Fixture("id int, value string", (1, "abc"), (2, ""), (3, None), (4, "  "), (5, "x" * 129), (6, "a\nb"), (7, " pad "), (8, "é" * 65)).over("clients", "client_id", text="email")
 _BOUND = "CASE WHEN coalesce(trim(value), '') = '' THEN 'unknown' WHEN strlen(value) > 128 OR regexp_matches(value, '[\\x00-\\x1F\\x7F]') THEN 'h-' || sha256(value)[1:16] ELSE trim(value) END"
 
 
-@query(f"SELECT id, {_BOUND} AS bound FROM {IDS.sql}")
+@query(f"SELECT id, {_BOUND} AS bound FROM (SELECT id, unnest([value, own]) AS value FROM {IDS.sql})")
 def bound_id(spark, sf_dir):
-    return IDS.frame(spark).select("id", C.bounded_id(F.col("value")).alias("bound"))
+    """The clients' addresses as ids, and one of the ids above beside each."""
+    return IDS.frame(spark, sf_dir).select("id", F.explode(F.array("value", "own")).alias("value")).select("id", C.bounded_id(F.col("value")).alias("bound"))
 
 
-SESSIONS = Fixture("id int, metadata string", (1, '{"user_id": "{\\"session_id\\": \\"s-1\\"}"}'), (2, '{"user_id": "plain"}'), (3, "{}"), (4, None))
+SESSIONS = Fixture("id int, metadata string", (1, '{"user_id": "{\\"session_id\\": \\"s-1\\"}"}'), (2, '{"user_id": "plain"}'), (3, "{}"), (4, None)).over("clicks", "click_id")
 
 
 @query(f"SELECT id, try_cast(json_extract_string(metadata, '$.user_id') AS JSON) ->> '$.session_id' AS session FROM {SESSIONS.sql}")
 def session_id(spark, sf_dir):
-    return SESSIONS.frame(spark).select("id", F.get_json_object(F.get_json_object("metadata", "$.user_id"), "$.session_id").alias("session"))
+    return SESSIONS.frame(spark, sf_dir).select("id", F.get_json_object(F.get_json_object("metadata", "$.user_id"), "$.session_id").alias("session"))
 
 
-HEADERS = Fixture("id int, conversation string, session string, thread string", (1, "c", "s", "t"), (2, " ", "s", "t"), (3, None, "", "t"), (4, None, None, None), (5, "", "", "  "))
+HEADERS = Fixture("id int, conversation string, session string, thread string", (1, "c", "s", "t"), (2, " ", "s", "t"), (3, None, "", "t"), (4, None, None, None), (5, "", "", "  ")).over("clicks", "click_id")
 
 
 @query(f"SELECT id, coalesce(nullif(trim(conversation), ''), nullif(trim(session), ''), nullif(trim(thread), '')) AS conversation_id FROM {HEADERS.sql}")
 def conversation_id(spark, sf_dir):
-    return HEADERS.frame(spark).select("id", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("conversation", "session", "thread")]).alias("conversation_id"))
+    return HEADERS.frame(spark, sf_dir).select("id", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("conversation", "session", "thread")]).alias("conversation_id"))
 
 
 # Events stand for the requests of a ledger: a user is a token, an event type a lane, in a fixed and documented mapping.
@@ -156,13 +157,13 @@ def ledger_top_k(spark, sf_dir):
     return L.newest(rows, L.TOP_TOKENS, (F.col("lane") == "user_input").desc(), F.col("last_seen").desc(), F.col("token")).select("token", "last_seen")
 
 
-CLASSES = Fixture("id int, kind string, entity string", (1, "pii", "CVV"), (2, "broker", "DB"), (3, "local", "HOME"), (4, "pii", "EMAIL_ADDRESS"), (5, None, "URL"))
+CLASSES = Fixture("id int, kind string, entity string", (1, "pii", "CVV"), (2, "broker", "DB"), (3, "local", "HOME"), (4, "pii", "EMAIL_ADDRESS"), (5, None, "URL")).over("documents", "doc_id")
 
 
 @query(f"SELECT id, CASE WHEN entity = 'CVV' THEN 'sad' WHEN kind = 'broker' THEN 'broker' WHEN kind = 'local' THEN 'local' ELSE 'auto_pii' END AS class, CASE WHEN entity = 'CVV' OR kind IN ('broker') THEN false ELSE true END AS peekable FROM {CLASSES.sql}")
 def token_class(spark, sf_dir):
     own = L.token_class(F.col("kind"), F.col("entity"))
-    return CLASSES.frame(spark).select("id", own.alias("class"), (~own.isin("sad", "broker")).alias("peekable"))
+    return CLASSES.frame(spark, sf_dir).select("id", own.alias("class"), (~own.isin("sad", "broker")).alias("peekable"))
 
 
 @query("SELECT conv_id, max(turn) AS turn_count, max(turn * 60) AS last_updated, count(*) FILTER (role = 'system') AS pending FROM conversations GROUP BY conv_id")
@@ -255,25 +256,27 @@ def approval_outcomes(spark, sf_dir):
     return asked.join(pending, "us").select("event_id", outcome.alias("outcome"))
 
 
-HOLDS = Fixture("id int, mode string, found boolean, enabled boolean", *[(i, m, f, e) for i, (m, f, e) in enumerate((m, f, e) for m in ("off", "detections", "all") for f in (True, False) for e in (True, False))])
+HOLDS = Fixture("id int, mode string, found boolean, enabled boolean", *[(i, m, f, e) for i, (m, f, e) in enumerate((m, f, e) for m in ("off", "detections", "all") for f in (True, False) for e in (True, False))]).over("events", "event_id")
 
 
 @query(f"SELECT id, CASE WHEN NOT enabled THEN false WHEN mode = 'all' THEN true WHEN mode = 'detections' THEN found ELSE false END AS hold FROM {HOLDS.sql}")
 def hold_decision(spark, sf_dir):
     hold = F.when(~F.col("enabled"), False).when(F.col("mode") == "all", True).when(F.col("mode") == "detections", F.col("found")).otherwise(False)
-    return HOLDS.frame(spark).select("id", hold.alias("hold"))
+    return HOLDS.frame(spark, sf_dir).select("id", hold.alias("hold"))
 
 
 LIVES = Fixture(
     "request string, seq int, state string",
     ("a", 1, "pending"), ("a", 2, "accepted"), ("a", 3, "dispatched"), ("a", 4, "completed"), ("a", 5, "aborted"), ("b", 1, "pending"), ("b", 2, "rejected"), ("b", 3, "dispatched"), ("c", 1, "auto_accepted"), ("c", 2, "dispatched"), ("d", 1, "backpressure_rejected"),
-)
+).over("clicks", "click_id")
 
 
-@query(f"""WITH l AS (SELECT *, min(seq) FILTER (state IN {L.TERMINAL}) OVER (PARTITION BY request) AS e FROM {LIVES.sql})
+@query(f"""WITH l AS (SELECT *, min(seq) FILTER (state IN {L.TERMINAL}) OVER (PARTITION BY request) AS e FROM (SELECT DISTINCT request || '-' || (id // 11) AS request, seq, state FROM {LIVES.sql}))
 SELECT request, arg_max(state, seq) AS final, count(*) AS n FROM l WHERE e IS NULL OR seq <= e GROUP BY request""")
 def request_lifecycle(spark, sf_dir):
-    return L.lifecycles(LIVES.frame(spark), "request", "seq", "state")
+    """Clicks stand for what is logged: eleven in a row are the states of four requests. A click that is logged twice counts once."""
+    logged = LIVES.frame(spark, sf_dir).select(F.concat("request", F.lit("-"), F.expr("id div 11").cast("string")).alias("request"), "seq", "state").distinct()
+    return L.lifecycles(logged, "request", "seq", "state")
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) FILTER (e IS NULL OR event_id <= e) AS final, count(*) FILTER (e IS NULL OR event_id <= e) AS n
@@ -285,12 +288,11 @@ def event_lifecycle(spark, sf_dir):
     return rows.select("user_id", F.when(F.col("final") == "completed", "purchase").otherwise(F.col("final")).alias("final"), "n")
 
 
-LISTS = Fixture("layer string, value string", ("user", "a"), ("user", "b"), ("project", "b"), ("local", "c"), ("local", None))
-
-
-@query(f"SELECT DISTINCT value FROM {LISTS.sql} WHERE value IS NOT NULL")
+@query("SELECT DISTINCT value FROM (SELECT unnest([city, segment, source]) AS value FROM clients) WHERE value IS NOT NULL")
 def allow_list_union(spark, sf_dir):
-    rows = LISTS.frame(spark)
+    """Lists of three layers: the clients' cities, segments and sources."""
+    lists = F.array(*[F.struct(F.lit(layer).alias("layer"), F.col(c).alias("value")) for layer, c in (("user", "city"), ("project", "segment"), ("local", "source"))])
+    rows = table(spark, sf_dir, "clients").select(F.inline(lists))
     parts = [rows.filter(F.col("layer") == layer).select("value") for layer in ("user", "project", "local")]
     return parts[0].union(parts[1]).union(parts[2]).filter("value IS NOT NULL").distinct()
 
@@ -313,13 +315,14 @@ def prefix_conversations(spark, sf_dir):
     return best.select("request", F.coalesce("m.conversation", F.concat(F.lit("auto-"), F.col("head"))).alias("conversation"))
 
 
-SELECTIONS = Fixture("conversation string, target string", ("c1", "local"), ("c2", "vendor"), ("c3", "gone"), ("c4", "beta"))
+SELECTIONS = Fixture("target string", ("local",), ("vendor",), ("gone",), ("beta",)).over("conversations", "conv_id")
 TARGETS = Fixture("name string, user_verified boolean, attested boolean", ("local", True, False), ("vendor", False, True), ("beta", True, True))
 
 
-@query(f"SELECT conversation, CASE WHEN user_verified THEN target END AS target, CASE WHEN user_verified THEN 'restored' WHEN name IS NULL THEN 'reverted_missing' ELSE 'reverted_unverified' END AS outcome FROM {SELECTIONS.sql} LEFT JOIN {TARGETS.sql} ON name = target")
+@query(f"SELECT DISTINCT id AS conversation, CASE WHEN user_verified THEN target END AS target, CASE WHEN user_verified THEN 'restored' WHEN name IS NULL THEN 'reverted_missing' ELSE 'reverted_unverified' END AS outcome FROM {SELECTIONS.sql} LEFT JOIN {TARGETS.sql} ON name = target")
 def revalidate_selections(spark, sf_dir):
-    rows = SELECTIONS.frame(spark).join(F.broadcast(TARGETS.frame(spark)), F.col("target") == F.col("name"), "left")
+    """Each conversation has chosen a target."""
+    rows = SELECTIONS.frame(spark, sf_dir).select(F.col("id").alias("conversation"), "target").distinct().join(F.broadcast(TARGETS.frame(spark)), F.col("target") == F.col("name"), "left")
     outcome = F.when(F.col("user_verified"), "restored").when(F.col("name").isNull(), "reverted_missing").otherwise("reverted_unverified")
     return rows.select("conversation", F.when(F.col("user_verified"), F.col("target")).alias("target"), outcome.alias("outcome"))
 

@@ -153,19 +153,20 @@ def op_local(spark, sf_dir):
     return mask_all(spark, sf_dir, Operator("local"))
 
 
-SLUGS = Fixture("id int, name string", *enumerate(["db-password", "API key (prod)", "", "é", "a" * 40, "x_1", "--"]))
+SLUGS = Fixture("id int, name string", *enumerate(["db-password", "API key (prod)", "", "é", "a" * 40, "x_1", "--"])).over("clients", "client_id", text="name")
 _SLUG = "CASE WHEN name = '' THEN '_' ELSE upper(substr(regexp_replace(name, '[^0-9A-Za-z]', '_', 'g'), 1, 32)) END"
 
 
-@query(f"SELECT id, {_SLUG} AS slug FROM {SLUGS.sql}")
+@query(f"SELECT id, {_SLUG} AS slug FROM (SELECT id, unnest([name, own]) AS name FROM {SLUGS.sql})")
 def slugify(spark, sf_dir):
-    return SLUGS.frame(spark).select("id", T.slug(F.col("name")).alias("slug"))
+    """Slugs of the clients' names, and of one of the names above beside each."""
+    return SLUGS.frame(spark, sf_dir).select("id", F.explode(F.array("name", "own")).alias("name")).select("id", T.slug(F.col("name")).alias("slug"))
 
 
 BYPASS = Fixture(
     "id int, text string",
     (1, "mail a@b.io and >>c@d.io<< end"), (2, ">>x@y.io"), (3, ">>a@b.io<<>>c@d.io<<"), (4, "a >>b << c << d@e.io"), (5, ">>one\ntwo@x.io<< u@v.io"), (6, ""), (7, "no marks u@v.io"),
-)
+).over("documents", "doc_id", text="text", into="text")
 
 
 @query(f"""WITH parts AS (
@@ -176,16 +177,18 @@ heads AS (SELECT id, n, string_agg(substr(t, prev + 1, start - prev) || {token_s
 SELECT id, string_agg(CASE WHEN head IS NULL THEN part ELSE head || substr(part, last + 1) END || raw, '' ORDER BY n) AS text FROM rows LEFT JOIN heads USING (id, n) GROUP BY id""")
 def user_bypass(spark, sf_dir):
     mask = lambda t: S.splice(t, S.find(t, P.EMAIL.plain, "EMAIL_ADDRESS", 1.0), A.rendered(POLICY))
-    return BYPASS.frame(spark).select("id", A.with_bypass(F.col("text"), mask).alias("text"))
+    return BYPASS.frame(spark, sf_dir).select("id", A.with_bypass(F.col("text"), mask).alias("text"))
 
 
-SURFACE_ROWS = Fixture("id int, surface string, text string", *[(i, s, f"mail u{i}@v.io") for i, s in enumerate(["user_message", "system_prompt", "tool_result", "assistant_text", "tool_use_input"])])
+SURFACE_ROWS = Fixture("id int, surface string", *enumerate(["user_message", "system_prompt", "tool_result", "assistant_text", "tool_use_input"])).over("clients", "client_id", text="email")
 
 
-@query(f"SELECT id, surface, CASE WHEN surface IN ('system_prompt', 'tool_use_input') THEN text ELSE 'mail ' || {token_sql('salt', "'EMAIL_ADDRESS'", 'substr(text, 6)')} END AS text FROM {SURFACE_ROWS.sql}")
+@query(f"SELECT id, surface, CASE WHEN surface IN ('system_prompt', 'tool_use_input') THEN 'mail ' || own ELSE 'mail ' || {token_sql('salt', "'EMAIL_ADDRESS'", 'own')} END AS text FROM {SURFACE_ROWS.sql}")
 def surface_gate(spark, sf_dir):
+    """The clients' addresses, each on one of five surfaces: two aren't masked."""
+    rows = SURFACE_ROWS.frame(spark, sf_dir).withColumn("text", F.concat(F.lit("mail "), "own"))
     masked = S.splice(F.col("text"), spans_of(P.EMAIL), A.rendered(POLICY))
-    return SURFACE_ROWS.frame(spark).select("id", "surface", F.when(F.col("surface").isin("system_prompt", "tool_use_input"), F.col("text")).otherwise(masked).alias("text"))
+    return rows.select("id", "surface", F.when(F.col("surface").isin("system_prompt", "tool_use_input"), F.col("text")).otherwise(masked).alias("text"))
 
 
 @query(f"""WITH found AS ({found_sql()}), shown AS (SELECT *, {rendered_sql()} AS token FROM found),
@@ -196,22 +199,22 @@ def manifest(spark, sf_dir):
     return rows.select("doc_id", "m.token", "m.value", "m.entity", "m.start", F.col("m.end").alias("stop"), "m.masked_start", F.col("m.masked_end").alias("masked_stop"))
 
 
-MARKED = Fixture("id int, text string", (1, "hello ⟪a@b.io⟫ there"), (2, "⟪⟫"), (3, "none"), (4, "⟪open"))
+MARKED = Fixture("id int, text string", (1, "hello ⟪a@b.io⟫ there"), (2, "⟪⟫"), (3, "none"), (4, "⟪open")).over("documents", "doc_id", text="text", into="text")
 
 
 @query(f"SELECT id, replace(replace(text, '⟪', ''), '⟫', '') AS text, contains(text, '⟪') OR contains(text, '⟫') AS marked FROM {MARKED.sql}")
 def marker_strip(spark, sf_dir):
     left, right = U.MARKER
     text = F.col("text")
-    return MARKED.frame(spark).select("id", F.replace(F.replace(text, F.lit(left), F.lit("")), F.lit(right), F.lit("")).alias("text"), (text.contains(left) | text.contains(right)).alias("marked"))
+    return MARKED.frame(spark, sf_dir).select("id", F.replace(F.replace(text, F.lit(left), F.lit("")), F.lit(right), F.lit("")).alias("text"), (text.contains(left) | text.contains(right)).alias("marked"))
 
 
-ANSI = Fixture("id int, text string", (1, "\x1b[31mred\x1b[0m plain"), (2, "cut \x1b["), (3, "\x1b lone"), (4, "none"), (5, "\x1b[1;2Hx"))
+ANSI = Fixture("id int, text string", (1, "\x1b[31mred\x1b[0m plain"), (2, "cut \x1b["), (3, "\x1b lone"), (4, "none"), (5, "\x1b[1;2Hx")).over("documents", "doc_id", text="text", into="text")
 
 
 @query(f"SELECT id, regexp_replace(text, '\x1b(\\[[^@-~]*[@-~]?)?', '', 'g') AS text FROM {ANSI.sql}")
 def ansi_strip(spark, sf_dir):
-    return ANSI.frame(spark).select("id", T.strip_ansi(F.col("text")).alias("text"))
+    return ANSI.frame(spark, sf_dir).select("id", T.strip_ansi(F.col("text")).alias("text"))
 
 
 SECRET = "thwh"
@@ -313,26 +316,42 @@ def vault_promotions(spark, sf_dir):
     return V.tool_values(rows.select("session", "token").distinct(), vault, both)
 
 
-STORE = Fixture(
-    "token string, value string, kind string, secret_name string, expires string",
-    ("[A_000000000001]", "a@b.io", "pii", None, None), ("[B_000000000002]", "s3cr3t", "broker", "db", None), ("[C_000000000003]", "loc", "local", "home", None),
-    ("[D_000000000004]", "old", "pii", None, "2026-01-01 00:00:00"), ("[E_000000000005]", "new", "pii", None, "2027-01-01 00:00:00"),
-)
-ASKED = Fixture("id int, token string", *enumerate(["[A_000000000001]", "[B_000000000002]", "[C_000000000003]", "[D_000000000004]", "[E_000000000005]", "[F_000000000006]"]))
+#: A client's token, from its number; what is sold asks for it.
+_CLIENT = "('[CLIENT_' || sha256(client_id::VARCHAR)[1:12] || ']')"
+#: A vault of clients: two in four personal data, of which one runs out 60 days after it was last seen; the others a brokered secret and a local one.
+_STORE = f"""store AS (SELECT {_CLIENT} AS token, max(email) AS value, CASE client_id % 4 WHEN 1 THEN 'broker' WHEN 2 THEN 'local' ELSE 'pii' END AS kind, CASE WHEN client_id % 4 IN (1, 2) THEN 'client-' || client_id END AS secret_name,
+CASE WHEN client_id % 4 = 3 THEN max(updated_at) + INTERVAL 60 DAYS END AS expires_at FROM clients WHERE client_id IS NOT NULL GROUP BY client_id)"""
+_ASKED = f"asked AS (SELECT sale_id AS id, {_CLIENT} AS token FROM sales)"
+_NOW = "2024-04-15 00:00:00"
 
 
-def store(spark: SparkSession) -> DataFrame:
-    return STORE.frame(spark).withColumn("expires_at", F.col("expires").cast("timestamp"))
+def client_token() -> Column:
+    return F.concat(F.lit("[CLIENT_"), F.substring(F.sha2(F.col("client_id").cast("string"), 256), 1, 12), F.lit("]"))
 
 
-@query(f"SELECT id, a.token, s.value FROM {ASKED.sql} a LEFT JOIN {STORE.sql} s ON s.token = a.token AND s.kind = 'pii' AND (s.expires IS NULL OR s.expires > '2026-05-29 00:00:00')")
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vault with a token for each client."""
+    seen = table(spark, sf_dir, "clients").filter("client_id IS NOT NULL").groupBy("client_id").agg(F.max("email").alias("value"), F.max("updated_at").alias("at"))
+    part = F.col("client_id") % 4
+    kind = F.when(part == 1, "broker").when(part == 2, "local").otherwise("pii")
+    name = F.when(part.isin(1, 2), F.concat(F.lit("client-"), F.col("client_id").cast("string")))
+    ends = F.when(part == 3, F.col("at").cast("timestamp") + F.expr("INTERVAL 60 DAYS"))
+    return seen.select(client_token().alias("token"), "value", kind.alias("kind"), name.alias("secret_name"), ends.alias("expires_at"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "sales").select(F.col("sale_id").alias("id"), client_token().alias("token"))
+
+
+@query(f"WITH {_STORE}, {_ASKED} SELECT id, a.token, s.value FROM asked a LEFT JOIN store s ON s.token = a.token AND s.kind = 'pii' AND (s.expires_at IS NULL OR s.expires_at > TIMESTAMP '{_NOW}')")
 def reveal(spark, sf_dir):
-    return V.revealed(ASKED.frame(spark), store(spark), now="2026-05-29 00:00:00").select("id", "token", "value")
+    """The address behind the client of each sale, where it may be shown and its time isn't up."""
+    return V.revealed(asked(spark, sf_dir), store(spark, sf_dir), now=_NOW).select("id", "token", "value")
 
 
-@query(f"SELECT id, a.token, coalesce(kind, 'unknown') AS class, CASE WHEN kind IN ('pii', 'local') THEN value WHEN kind = 'broker' THEN secret_name END AS shown FROM {ASKED.sql} a LEFT JOIN {STORE.sql} s USING (token)")
+@query(f"WITH {_STORE}, {_ASKED} SELECT id, a.token, coalesce(kind, 'unknown') AS class, CASE WHEN kind IN ('pii', 'local') THEN value WHEN kind = 'broker' THEN secret_name END AS shown FROM asked a LEFT JOIN store s USING (token)")
 def reveal_audit(spark, sf_dir):
-    return V.audited(ASKED.frame(spark), store(spark))
+    return V.audited(asked(spark, sf_dir), store(spark, sf_dir))
 
 
 @query(f"WITH {MASKED_SQL} SELECT doc_id, regexp_extract_all(text, '{U.TOKEN}').len() AS n FROM masked WHERE regexp_matches(text, '{U.TOKEN}')")
@@ -360,29 +379,31 @@ def unmask_display(spark, sf_dir):
     return U.unmasked(masked.filter((F.col("n_cards") == 0) & F.col("text").rlike(U.TOKEN)).select("doc_id", "text"), "text", vault, U.MARKER)
 
 
-REPLIES = Fixture("id int, text string", (1, "see [A_000000000001] and [F_000000000006]"), (2, "[F_000000000006][Z_00000000000a]"), (3, "[a_000000000001] [A_00000000001]"), (4, "none"), (5, None))
+REPLIES = Fixture("id int, text string", (1, "and [F_000000000006]"), (2, "[F_000000000006][Z_00000000000a]"), (3, "[a_000000000001] [A_00000000001]"), (4, "none"), (5, None)).over("clicks", "click_id")
 
 
-@query(f"SELECT id, token FROM (SELECT id, unnest(regexp_extract_all(text, '{U.TOKEN}')) AS token FROM {REPLIES.sql}) WHERE token NOT IN (SELECT token FROM {STORE.sql})")
+@query(f"WITH {_STORE}, said AS (SELECT id, concat_ws(' ', {_CLIENT}, text) AS text FROM (SELECT *, id // 7 AS client_id FROM {REPLIES.sql})) SELECT id, token FROM (SELECT id, unnest(regexp_extract_all(text, '{U.TOKEN}')) AS token FROM said) WHERE token NOT IN (SELECT token FROM store)")
 def fabricated_handles(spark, sf_dir):
-    seen = REPLIES.frame(spark).select("id", F.explode(U.tokens_in(F.col("text"))).alias("token"))
-    return seen.join(store(spark).select("token"), "token", "left_anti").select("id", "token")
+    """A reply to each click names a client, which may not exist, and one of the texts above: tokens that the vault lacks."""
+    said = REPLIES.frame(spark, sf_dir).withColumn("client_id", F.expr("id div 7"))
+    seen = said.select("id", F.explode(U.tokens_in(F.concat_ws(" ", client_token(), "text"))).alias("token"))
+    return seen.join(store(spark, sf_dir).select("token"), "token", "left_anti").select("id", "token")
 
 
 _LABELS = [*dict.fromkeys(e for labels in CATEGORIES.values() for e in labels), "DATE_TIME", "MY_RULE"]
-LABELS = Fixture("entity string", *[(e,) for e in _LABELS])
+LABELS = Fixture("entity string", *[(e,) for e in _LABELS]).over("documents", "doc_id")
 _RESTORE = f"CASE WHEN entity IN ('URL', 'DOMAIN', 'IP_ADDRESS') THEN 'embedded' WHEN entity IN {('MAC_ADDRESS', *CATEGORIES['personal'])} THEN 'whole_value' ELSE 'gated' END"
 
 
-@query(f"SELECT entity, {_RESTORE} AS policy FROM {LABELS.sql}")
+@query(f"SELECT id, entity, {_RESTORE} AS policy FROM {LABELS.sql}")
 def restore_policy(spark, sf_dir):
-    return LABELS.frame(spark).select("entity", U.restore_policy(F.col("entity")).alias("policy"))
+    return LABELS.frame(spark, sf_dir).select("id", "entity", U.restore_policy(F.col("entity")).alias("policy"))
 
 
 AROUND = Fixture(
     "id int, before string, after string",
     (1, "", ""), (2, "  ", "\n"), (3, '"', '"'), (4, '{"a": "', '"}'), (5, '"', '": 1'), (6, '\\"', '"'), (7, '\\\\"', '"'), (8, 'curl "', ' x"'), (9, '"', ""), (10, "x", ""), (11, '"', '"  :'),
-)
+).over("clicks", "click_id")
 _BARE = "regexp_replace(before || after, '\\s+', '', 'g') = ''"
 
 
@@ -390,13 +411,13 @@ _BARE = "regexp_replace(before || after, '\\s+', '', 'g') = ''"
 CASE WHEN {_BARE} THEN 'bare' END AS on_leaf FROM {AROUND.sql}""")
 def whole_value(spark, sf_dir):
     b, a = F.col("before"), F.col("after")
-    return AROUND.frame(spark).select("id", U.whole_value(b, a, True).alias("on_raw"), U.whole_value(b, a, False).alias("on_leaf"))
+    return AROUND.frame(spark, sf_dir).select("id", U.whole_value(b, a, True).alias("on_raw"), U.whole_value(b, a, False).alias("on_leaf"))
 
 
 TOOL = Fixture(
     "id int, text string",
     (1, "curl [URL_000000000001] -v"), (2, "[EMAIL_ADDRESS_000000000002]"), (3, " [PERSON_000000000003] "), (4, "dear [PERSON_000000000003]"), (5, "[MAC_ADDRESS_000000000004]"), (6, "[DATE_TIME_000000000005]"), (7, "x [DOMAIN_000000000006] [URL_00000000000f]"),
-)
+).over("documents", "doc_id", text="source")
 TOOL_VALUES = Fixture("token string, value string", ("[URL_000000000001]", "http://a.io"), ("[EMAIL_ADDRESS_000000000002]", "a@b.io"), ("[PERSON_000000000003]", "Ada"), ("[MAC_ADDRESS_000000000004]", "00:1A"), ("[DATE_TIME_000000000005]", "2020"), ("[DOMAIN_000000000006]", "b.io"))
 
 
@@ -408,10 +429,10 @@ def unmask_tool_input(spark, sf_dir):
     """A decoded leaf of a tool's input: request targets come back anywhere, names only as the whole value, all else stays."""
     policy = U.restore_policy(U.label_of(F.col("token")))
     allowed = (policy == "embedded") | ((policy == "whole_value") & (F.trim("_whole") == F.col("token")))
-    return U.unmasked(TOOL.frame(spark), "text", TOOL_VALUES.frame(spark), allowed=allowed)
+    return U.unmasked(TOOL.frame(spark, sf_dir).select("id", "text"), "text", TOOL_VALUES.frame(spark), allowed=allowed)
 
 
-CUSTOM = Fixture("id int, text string", (1, "deploy <<PROJECT>> now"), (2, "<<PROJECT>><<CODE>>"), (3, "nothing"))
+CUSTOM = Fixture("id int, text string", (1, "deploy <<PROJECT>> now"), (2, "<<PROJECT>><<CODE>>"), (3, "nothing")).over("documents", "doc_id", text="text", into="text")
 
 
 @query(f"SELECT id, replace(replace(text, '<<PROJECT>>', 'Apollo'), '<<CODE>>', 'x9') AS text FROM {CUSTOM.sql}")
@@ -419,7 +440,7 @@ def literal_token_unmask(spark, sf_dir):
     text = F.col("text")
     for token, value in (("<<PROJECT>>", "Apollo"), ("<<CODE>>", "x9")):
         text = F.replace(text, F.lit(token), F.lit(value))
-    return CUSTOM.frame(spark).select("id", text.alias("text"))
+    return CUSTOM.frame(spark, sf_dir).select("id", text.alias("text"))
 
 
 @query(f"""WITH f AS ({found_sql()}), s AS (SELECT doc_id, count(*) FILTER (entity NOT IN ('CREDIT_CARD', 'CVV')) AS tokens, count(*) FILTER (entity IN ('CREDIT_CARD', 'CVV')) AS masked, count(*) AS spans FROM f GROUP BY doc_id)
