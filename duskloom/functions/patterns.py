@@ -37,7 +37,7 @@ class Recognizer(NamedTuple):
 
 _START = "(^|[^0-9A-Za-z_])"
 
-EMAIL = Recognizer("EMAIL_ADDRESS", r"(^|[^0-9A-Za-z._%+-])([0-9A-Za-z._%+-]++@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,24})", 1.0, guard=("@",))
+EMAIL = Recognizer("EMAIL_ADDRESS", r"(^|[^0-9\p{L}\p{M}._%+-])([0-9\p{L}\p{M}._%+-]++@[0-9\p{L}\p{M}-]+(?:\.[0-9\p{L}\p{M}-]+)*\.\p{L}{2,24})", 1.0, guard=("@",))
 PHONE = Recognizer("PHONE_NUMBER", r"(^|[^0-9A-Za-z+])(\+?(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4,})", 0.4, ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call", "tel", "fax"), guard="[0-9]{3}[ .-]?[0-9]{4}")
 CARD = Recognizer("CREDIT_CARD", r"(^|[^0-9A-Za-z])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7})", 0.85, guard="[0-9]{4}")
 IPV4 = Recognizer("IP_ADDRESS", r"(^|[^0-9A-Za-z.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", 0.85, guard="[0-9][.][0-9]")

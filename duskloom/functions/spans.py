@@ -75,9 +75,14 @@ _FIRST, _VALUE, _REST = "\uFDD0", "\uFDD1", "\uFDD2"
 _MARKS = _FIRST + _VALUE + _REST
 
 
+def _groups(pattern: str) -> int:
+    """How many groups a pattern of the JVM takes: its opening brackets outside classes and escapes, without those that ask for something else."""
+    return len(re.findall(r"\((?!\?)", re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "x", pattern)))
+
+
 def _matches(s: Search) -> str:
     """The text cut before each match of a search, as a struct with what the search says of it; null if the guard fails. One scan."""
-    marked = f"{_FIRST}$1{_VALUE}$2{_REST}{'$3' * (re.compile(s.pattern).groups > 2)}" if s.groups else f"{_FIRST}{_VALUE}$0{_REST}"
+    marked = f"{_FIRST}$1{_VALUE}$2{_REST}{'$3' * (_groups(s.pattern) > 2)}" if s.groups else f"{_FIRST}{_VALUE}$0{_REST}"
     parts = {"cut": f"split(regexp_replace(b.text, {literal(s.pattern)}, '{marked}'), '{_FIRST}', -1)", "entity": literal(s.entity), "score": f"{float(s.score)}D", "source": literal(s.source), "literal": str(s.literal).lower(), "ord": str(s.order)}
     return f"CASE WHEN {_guarded(s)} THEN named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())}) END"
 

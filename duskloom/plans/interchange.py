@@ -25,14 +25,16 @@ BODIES = Fixture(
     "id int, body string",
     (1, '{"model":"m@x.io","messages":[{"role":"user","content":"mail a@b.io"},{"role":"assistant","content":[{"type":"text","text":"hi"},{"type":"image","data":"aGk="}]}],"metadata":{"note":"to c@d.io"}}'),
     (2, '{"z":1.50,"a":[true,null,"x"],"t":{"s":"é a@b.io"}}'), (3, '"bare a@b.io"'), (4, "[]"), (5, None),
-)
+).over("clicks", "click_id", text="props")
+#: The clicks' own JSON, and one of the bodies above beside each. What is no JSON has no leaves.
+_BODIES = f"(SELECT id, n, body FROM (SELECT id, unnest([0, 1]) AS n, unnest([own, body]) AS body FROM {BODIES.sql}) WHERE json_valid(body))"
 _SKIP = "[.](" + "|".join(J.CONTRACT_KEYS["messages"]) + r")([.]|\[|$)"
 
 
-@query(f"SELECT b.id, t.fullkey AS path, t.value ->> '$' AS text FROM {BODIES.sql} b, json_tree(b.body) t WHERE t.type = 'VARCHAR' AND NOT regexp_matches(t.fullkey, '{_SKIP}')")
+@query(f"SELECT b.id, b.n, t.fullkey AS path, t.value ->> '$' AS text FROM {_BODIES} b, json_tree(b.body) t WHERE t.type = 'VARCHAR' AND NOT regexp_matches(t.fullkey, '{_SKIP}')")
 def json_leaves(spark, sf_dir):
-    rows = BODIES.frame(spark).select("id", F.explode(J.leaves(F.col("body"))).alias("l"))
-    return rows.select("id", "l.path", "l.text")
+    bodies = BODIES.frame(spark, sf_dir).select("id", F.posexplode(F.array("own", "body")).alias("n", "body"))
+    return bodies.select("id", "n", F.explode(J.leaves(F.col("body"))).alias("l")).select("id", "n", "l.path", "l.text")
 
 
 #: A note that no row of the table has: it is masked beside the text.
@@ -132,70 +134,84 @@ def leaves_responses_wire(spark, sf_dir):
     return W.responses_leaves(ANSWERS.frame(spark), "id", "body")
 
 
-BLOCKS = Fixture("id int, block string", (1, '{"type":"text","text":"hi"}'), (2, '{"type":"tool_use","name":"ls","input":{"p":"/"}}'), (3, '{"type":"tool_result","content":"ok"}'), (4, '{"type":"image"}'))
-
-
-@query(f"""SELECT id, CASE block ->> '$.type' WHEN 'tool_use' THEN (block ->> '$.name') || '(' || coalesce((block -> '$.input')::VARCHAR, '') || ')' WHEN 'tool_result' THEN block ->> '$.content' ELSE block ->> '$.text' END AS text,
-CASE WHEN block ->> '$.type' IN ('tool_use', 'tool_result') THEN block ->> '$.type' ELSE 'message' END AS kind FROM {BLOCKS.sql}""")
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'ls({"p":' || to_json(text)::VARCHAR || '})' WHEN 2 THEN text END AS text, CASE turn % 4 WHEN 1 THEN 'tool_use' WHEN 2 THEN 'tool_result' ELSE 'message' END AS kind FROM conversations WHERE text IS NOT NULL""")
 def surface_extract(spark, sf_dir):
+    """Turns as content blocks: in turn a text, a tool call with the text in its input, a result, and an image that shows nothing."""
+    rows, part = table(spark, sf_dir, "conversations").filter("text IS NOT NULL"), F.col("turn") % 4
+    call = F.struct(F.lit("tool_use").alias("type"), F.lit("ls").alias("name"), F.struct(F.col("text").alias("p")).alias("input"))
+    result, image = F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content")), F.struct(F.lit("image").alias("type"), F.struct(F.col("text").alias("data")).alias("source"))
+    block = F.when(part == 0, F.to_json(F.struct(F.lit("text").alias("type"), "text"))).when(part == 1, F.to_json(call)).when(part == 2, F.to_json(result)).otherwise(F.to_json(image))
     text, kind = W.block_surface(F.col("block"))
-    return BLOCKS.frame(spark).select("id", text.alias("text"), kind.alias("kind"))
+    return rows.withColumn("block", block).select("conv_id", "turn", text.alias("text"), kind.alias("kind"))
 
 
-ARGS = Fixture("id int, args string", (1, '{ "b" : 1, "a" : [ 1.0, 2 ] }'), (2, "not json"), (3, '"x"'), (4, None))
+ARGS = Fixture("id int, args string", (1, '{ "b" : 1, "a" : [ 1.0, 2 ] }'), (2, "not json"), (3, '"x"'), (4, None)).over("clicks", "click_id", text="props")
 
 
-@query(f"SELECT id, CASE WHEN json_valid(args) THEN json(args)::VARCHAR ELSE args END AS args FROM {ARGS.sql}")
+@query(f"SELECT id, CASE WHEN json_valid(args) THEN json(args)::VARCHAR ELSE args END AS args FROM (SELECT id, unnest([own, args]) AS args FROM {ARGS.sql})")
 def canonical_args(spark, sf_dir):
-    return ARGS.frame(spark).select("id", J.canonical(F.col("args")).alias("args"))
+    """The clicks' own JSON, and one of the arguments above beside each."""
+    return ARGS.frame(spark, sf_dir).select("id", F.explode(F.array("own", "args")).alias("args")).select("id", J.canonical(F.col("args")).alias("args"))
+
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as a transcript: conv_id, turn, uuid and parent of each turn."""
+    name = lambda turn: F.concat(F.lit("c"), "conv_id", F.lit("-"), turn)
+    return table(spark, sf_dir, "conversations").withColumns({"uuid": name(F.col("turn")), "parent": F.when(F.col("turn") > 0, name(F.col("turn") - 1))})
 
 
-LINES = Fixture("idx long, value string", (0, '{"uuid":"a","parentUuid":null,"type":"user","message":{"x":1}}'), (1, "   "), (2, '{"uuid":"b","parentUuid":"a","type":"assistant"}'))
+_TRANSCRIPT = "(SELECT *, 'c' || conv_id || '-' || turn AS uuid, CASE WHEN turn > 0 THEN 'c' || conv_id || '-' || (turn - 1) END AS parent FROM conversations)"
 
 
-@query(f"SELECT idx, value ->> '$.uuid' AS uuid, value ->> '$.parentUuid' AS parent, value ->> '$.type' AS type FROM {LINES.sql} WHERE trim(value) <> ''")
+@query(f"SELECT conv_id * 1000000 + turn AS idx, uuid, parent, role AS type, to_json({{'content': text}})::VARCHAR AS message FROM {_TRANSCRIPT} WHERE text IS NOT NULL")
 def transcript_scan(spark, sf_dir):
-    return parsed_transcript(LINES.frame(spark)).select("idx", "uuid", "parent", "type")
+    """The conversations written as the lines of a transcript, each followed by a blank one, and read back."""
+    rows = transcript(spark, sf_dir).filter("text IS NOT NULL")
+    record = F.struct("uuid", F.col("parent").alias("parentUuid"), F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message"))
+    lines = rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("idx"), F.explode(F.array(F.to_json(record), F.lit("  "))).alias("value"))
+    return parsed_transcript(lines).select("idx", "uuid", "parent", "type", "message")
 
 
-STREAMS = Fixture("id int, body string", (1, 'event: a\ndata: {"x":1}\n\nevent: b\ndata: l1\ndata: l2\n\n: ping\n\n'), (2, "data: only\r\n\r\n"), (3, ""))
+STREAMS = Fixture("id int, body string", (1, 'event: a\ndata: {"x":1}\n\nevent: b\ndata: l1\ndata: l2\n\n: ping\n\n'), (2, "data: only\r\n\r\n"), (3, "")).over("documents", "doc_id", text="text")
+_PARSED = "(SELECT id, unnest(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10) || chr(10))) AS f FROM (SELECT id, body || 'event: doc' || chr(10) || 'data: ' || replace(replace(own, chr(13), ''), chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS body FROM {}))"
 
 
 @query(f"""SELECT id, nullif(regexp_extract(f, '(?m)^event: ?(.*)$', 1), '') AS event, CASE WHEN regexp_matches(f, '(?m)^data:') THEN array_to_string(regexp_extract_all(f, '(?m)^data: ?(.*)$', 1), chr(10)) END AS data
-FROM (SELECT id, unnest(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10) || chr(10))) AS f FROM {STREAMS.sql}) WHERE trim(f) <> ''""")
+FROM {_PARSED.format(STREAMS.sql)} WHERE trim(f) <> ''""")
 def sse_parse(spark, sf_dir):
-    return STREAMS.frame(spark).select("id", F.explode(W.sse_events(F.col("body"))).alias("e")).select("id", "e.event", "e.data")
+    """One of the streams above, then an event with a whole document."""
+    rows = STREAMS.frame(spark, sf_dir).withColumn("body", F.concat("body", W.sse_frame(F.lit("doc"), F.replace("own", F.lit("\r"), F.lit("")))))
+    return rows.select("id", F.explode(W.sse_events(F.col("body"))).alias("e")).select("id", "e.event", "e.data")
 
 
-FRAMES = Fixture("event string, data string", ("delta", "one"), (None, "two\nlines"), ("stop", ""))
-
-
-@query(f"SELECT coalesce('event: ' || event || chr(10), '') || 'data: ' || replace(data, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS frame FROM {FRAMES.sql}")
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE 'event: ' || role || chr(10) END || 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS frame FROM conversations")
 def sse_frame(spark, sf_dir):
-    return FRAMES.frame(spark).select(W.sse_frame(F.col("event"), F.col("data")).alias("frame"))
+    """Turns as frames of a stream, those of users without an event."""
+    event = F.when(F.col("role") != "user", F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", W.sse_frame(event, F.col("text")).alias("frame"))
 
 
-RUNS = Fixture("id int, text string", (1, "a [URL_000000000001] b [X_00000000000a]"), (2, "[URL_000000000001]"), (3, "plain"), (4, ""))
+RUNS = Fixture("id int, text string", (1, "a [URL_000000000001] b [X_00000000000a]"), (2, "[URL_000000000001]"), (3, "plain"), (4, "")).over("documents", "doc_id", text="text", into="text")
 
 
 @query(f"""SELECT id, k, kind, text FROM (SELECT id, i * 2 AS k, 'plain' AS kind, g[i] AS text FROM (SELECT id, unnest(range(1, len(string_split_regex(text, '{U.TOKEN}')) + 1)) AS i, string_split_regex(text, '{U.TOKEN}') AS g FROM {RUNS.sql})
 UNION ALL SELECT id, i * 2 + 1, 'token', m[i] FROM (SELECT id, unnest(range(1, len(regexp_extract_all(text, '{U.TOKEN}')) + 1)) AS i, regexp_extract_all(text, '{U.TOKEN}') AS m FROM {RUNS.sql})) WHERE text <> ''""")
 def segment_runs(spark, sf_dir):
     """Plain and token runs in turn: their texts in order are the text."""
-    rows = RUNS.frame(spark).select("id", F.posexplode(U.pieces(F.col("text"))).alias("i", "p"))
+    rows = RUNS.frame(spark, sf_dir).select("id", F.posexplode(U.pieces(F.col("text"))).alias("i", "p"))
     plain = rows.select("id", ((F.col("i") + 1) * 2).cast("long").alias("k"), F.lit("plain").alias("kind"), F.col("p.text").alias("text"))
     token = rows.select("id", ((F.col("i") + 1) * 2 + 1).cast("long").alias("k"), F.lit("token").alias("kind"), F.col("p.token").alias("text"))
     return plain.union(token).filter("text <> ''")
 
 
-VALUE_ROWS = Fixture("id int, preview string", (1, "ada@x.io wrote to ada@x.io and bob"), (2, "nobody"), (3, "bobada@x.io"))
+VALUE_ROWS = Fixture("id int, preview string", (1, "ada@x.io wrote to ada@x.io and bob"), (2, "nobody"), (3, "bobada@x.io")).over("documents", "doc_id", text="text", into="preview")
 
 
 @query(f"""SELECT id, value, strpos(preview, value) - 1 AS start, strpos(preview, value) - 1 + length(value) AS stop FROM {VALUE_ROWS.sql}, (VALUES ('ada@x.io'), ('bob')) v(value) WHERE contains(preview, value)""")
 def value_spans(spark, sf_dir):
     """The first place of each known value in a preview."""
     values = F.array(F.lit("ada@x.io"), F.lit("bob"))
-    rows = VALUE_ROWS.frame(spark).select("id", "preview", F.explode(values).alias("value")).withColumn("start", (F.call_function("position", F.col("value"), F.col("preview")) - 1).cast("long"))
+    rows = VALUE_ROWS.frame(spark, sf_dir).select("id", "preview", F.explode(values).alias("value")).withColumn("start", (F.call_function("position", F.col("value"), F.col("preview")) - 1).cast("long"))
     return rows.filter("start >= 0").select("id", "value", "start", (F.col("start") + F.length("value")).alias("stop"))
 
 
@@ -203,15 +219,16 @@ CALLS = Fixture(
     "id int, secret string, tool string, pointer string, value string",
     (1, "db", "psql", "/command", "psql -h DB.internal -U u"), (2, "db", "psql", "/command", "postgres://u:p@evil.com/x"), (3, "db", "Bash", "/command", "x"), (4, "db", "mcp__x", "/a", "x"), (5, "api", "curl", "/url", "https://api.a.io/v1?k=[T]"),
     (6, "api", "curl", "/url", "no url"), (7, "other", "curl", "/url", "https://api.a.io"), (8, "ssh-key", "ssh", "/args", "ssh -i key user@host.a.io:22 ls"), (9, "db", "mysql", "/c", "mysql --host=db2 x"), (10, "db", "psql", "/c", "host=db.internal port=1"), (11, "db", "Task", "/c", "x"), (12, "api", "curl", "/url", "https://api.a.io.evil.com"),
-)
+).over("clicks", "click_id")
 RULE_ROWS = [(1, "db", "psql", "/c*", ["db.internal"]), (2, "api", "curl", "/url", ["API.a.io"]), (3, "ssh-*", "ssh", "*", None), (4, "db", "mysql", "*", ["db1"])]
 
 
-@query("""SELECT * FROM (VALUES (1, 'resolve', 'db.internal'), (2, 'host_not_allowed', 'evil.com'), (3, 'opaque_command', NULL), (4, 'egress_boundary', NULL), (5, 'resolve', 'api.a.io'), (6, 'host_unparsed', NULL), (7, 'no_rule', 'api.a.io'),
-(8, 'resolve', 'host.a.io'), (9, 'host_not_allowed', 'db2'), (10, 'resolve', 'db.internal'), (11, 'egress_boundary', NULL), (12, 'host_not_allowed', 'api.a.io.evil.com')) t(id, decision, host)""")
+@query(f"""SELECT c.id, t.decision, t.host FROM {CALLS.sql} c JOIN (VALUES (1, 'resolve', 'db.internal'), (2, 'host_not_allowed', 'evil.com'), (3, 'opaque_command', NULL), (4, 'egress_boundary', NULL), (5, 'resolve', 'api.a.io'), (6, 'host_unparsed', NULL), (7, 'no_rule', 'api.a.io'),
+(8, 'resolve', 'host.a.io'), (9, 'host_not_allowed', 'db2'), (10, 'resolve', 'db.internal'), (11, 'egress_boundary', NULL), (12, 'host_not_allowed', 'api.a.io.evil.com')) t(id, decision, host) ON t.id = c.row""")
 def broker_decide(spark, sf_dir):
+    """Each click stands for a tool call."""
     rules = spark.createDataFrame(RULE_ROWS, "rule_idx int, secret_glob string, tool_glob string, param_glob string, hosts array<string>")
-    return B.decided(CALLS.frame(spark), rules, "id")
+    return B.decided(CALLS.frame(spark, sf_dir), rules, "id")
 
 
 @query("SELECT page_id, nullif(lower(regexp_extract(url, '[A-Za-z][A-Za-z0-9+.-]*://(?:[^\\s/@\"'']*@)?([^\\s/:?#\"'']+)', 1)), '') AS host FROM pages")
@@ -219,10 +236,12 @@ def dest_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", B._url_host(F.col("url")).alias("host"))
 
 
-@query("""SELECT * FROM (VALUES (1, '$.url', 'https://api.a.io/?k=v@lue'), (2, '$.url', 'https://evil.io/?k=[BROKER__API_000000000001]')) t(id, path, text)""")
+@query("""SELECT page_id AS id, '$.url' AS path, CASE WHEN page_id % 2 = 0 THEN 'https://api.a.io/?k=v@lue&at=' || url ELSE url || '&k=[BROKER__API_000000000001]' END AS text FROM pages WHERE url IS NOT NULL""")
 def broker_resolve(spark, sf_dir):
-    """Leaves of a tool's input that hold a broker token: resolved where the policy allows it, else left."""
-    bodies = spark.createDataFrame([(1, '{"url":"https://api.a.io/?k=[BROKER__API_000000000001]"}'), (2, '{"url":"https://evil.io/?k=[BROKER__API_000000000001]"}')], "id int, body string")
+    """Leaves of a tool's input that hold a broker token: resolved where the policy allows it, else left. Calls go to an allowed host or to a page's own."""
+    pages = table(spark, sf_dir, "pages").filter("url IS NOT NULL")
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://api.a.io/?k=[BROKER__API_000000000001]&at="), "url")).otherwise(F.concat("url", F.lit("&k=[BROKER__API_000000000001]")))
+    bodies = pages.select(F.col("page_id").alias("id"), F.to_json(F.struct(url.alias("url"))).alias("body"))
     leaves = bodies.select("id", F.explode(J.leaves(F.col("body"), ())).alias("l")).select("id", "l.path", F.col("l.text").alias("value"))
     calls = leaves.select(F.col("id"), F.lit("api").alias("secret"), F.lit("curl").alias("tool"), F.lit("/url").alias("pointer"), "value", "path")
     rules = spark.createDataFrame(RULE_ROWS, "rule_idx int, secret_glob string, tool_glob string, param_glob string, hosts array<string>")
@@ -231,45 +250,47 @@ def broker_resolve(spark, sf_dir):
     return decided.select("id", "path", value.alias("text"))
 
 
-TREE = Fixture("uuid string, parent string, removed boolean", ("a", None, False), ("b", "a", True), ("c", "b", True), ("d", "c", False), ("e", "d", False), ("f", "g", True), ("g", "f", True), ("h", "f", False), ("i", "gone", False))
+_REMOVED = "coalesce(length(text) % 3 <> 0, true)"
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT * FROM {TREE.sql}), walk AS (
+@query(f"""WITH RECURSIVE t AS (SELECT uuid, parent, {_REMOVED} AS removed FROM {_TRANSCRIPT}), walk AS (
   SELECT uuid, parent, 0 AS n FROM t WHERE NOT removed
-  UNION ALL SELECT w.uuid, t.parent, n + 1 FROM walk w JOIN t ON t.uuid = w.parent WHERE t.removed AND n < 20)
-SELECT uuid, CASE WHEN n >= 20 THEN NULL ELSE parent END AS parent FROM walk QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY n DESC) = 1""")
+  UNION ALL SELECT w.uuid, t.parent, n + 1 FROM walk w JOIN t ON t.uuid = w.parent WHERE t.removed)
+SELECT uuid, parent FROM walk QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY n DESC) = 1""")
 def relink_parents(spark, sf_dir):
-    return R.relinked(TREE.frame(spark))
-
-
-RECORDS = Fixture("session string, idx int, kind string, redacted boolean", ("s", 1, "thinking", False), ("s", 2, "text", True), ("s", 3, "thinking", False), ("s", 4, "text", False), ("t", 1, "thinking", False), ("u", 1, "thinking", True))
+    """Two turns in three are removed, by the length of their text: what is left hangs on the nearest turn that stays."""
+    return R.relinked(transcript(spark, sf_dir).select("uuid", "parent", F.expr(_REMOVED).alias("removed")))
 
 
-@query(f"SELECT session, idx, kind FROM (SELECT *, min(idx) FILTER (redacted) OVER (PARTITION BY session) AS f FROM {RECORDS.sql}) WHERE f IS NULL OR idx < f OR kind <> 'thinking'")
+@query("""SELECT session, idx, kind FROM (SELECT *, min(idx) FILTER (redacted) OVER (PARTITION BY session) AS f FROM (SELECT conv_id AS session, turn AS idx, CASE role WHEN 'assistant' THEN 'thinking' ELSE 'text' END AS kind, coalesce(length(text) % 5 = 0, false) AS redacted FROM conversations))
+WHERE f IS NULL OR idx < f OR kind <> 'thinking'""")
 def drop_thinking(spark, sf_dir):
-    return R.drop_thinking(RECORDS.frame(spark)).select("session", "idx", "kind")
+    """Assistant turns stand for thinking, every text whose length divides by five for a redacted one."""
+    kind = F.when(F.col("role") == "assistant", "thinking").otherwise("text")
+    records = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("idx"), kind.alias("kind"), F.coalesce(F.length("text") % 5 == 0, F.lit(False)).alias("redacted"))
+    return R.drop_thinking(records).select("session", "idx", "kind")
 
 
-BUFFERS = Fixture("id int, buffer string", *enumerate(["hello", "x [EMA", "x [EMAIL_ADDRESS_0123456789ab]", "x [not a", "[", "a [A_0] b [C_1", "[" + "A" * 70, "[A_0123456789ab"]))
+BUFFERS = Fixture("id int, buffer string", *enumerate(["hello", "x [EMA", "x [EMAIL_ADDRESS_0123456789ab]", "x [not a", "[", "a [A_0] b [C_1", "[" + "A" * 70, "[A_0123456789ab"])).over("documents", "doc_id", text="text", into="buffer")
 _TAIL_SQL = r"regexp_extract(buffer, '\[[A-Z0-9_a-f]*$')"
 
 
 @query(f"SELECT id, CASE WHEN length({_TAIL_SQL}) <= 63 THEN substr(buffer, 1, length(buffer) - length({_TAIL_SQL})) ELSE buffer END AS safe, CASE WHEN length({_TAIL_SQL}) <= 63 THEN {_TAIL_SQL} ELSE '' END AS held FROM {BUFFERS.sql}")
 def split_safe(spark, sf_dir):
     held = carry.held_tail(F.col("buffer"))
-    return BUFFERS.frame(spark).select("id", F.substring("buffer", F.lit(1), F.length("buffer") - F.length(held)).alias("safe"), held.alias("held"))
+    return BUFFERS.frame(spark, sf_dir).select("id", F.substring("buffer", F.lit(1), F.length("buffer") - F.length(held)).alias("safe"), held.alias("held"))
 
 
-PROFILE_TEXTS = Fixture("kind string, needle string, text string", ("EMAIL_ADDRESS", "a@b.io", "mail a@b.io"), ("IP_ADDRESS", "8.8.8.8", "host 8.8.8.8 up"), ("CREDIT_CARD", "4111111111111111", "card 4111111111111111"), ("NONE", "", "no data 12.5"), ("NONE", "", "v1.2.3"))
+PROFILE_TEXTS = Fixture("kind string, needle string, text string", ("EMAIL_ADDRESS", "a@b.io", "mail a@b.io"), ("IP_ADDRESS", "8.8.8.8", "host 8.8.8.8 up"), ("CREDIT_CARD", "4111111111111111", "card 4111111111111111"), ("NONE", "", "no data 12.5"), ("NONE", "", "v1.2.3")).over("clients", "client_id")
 
 
-@query("""SELECT * FROM (VALUES ('strict', 'EMAIL_ADDRESS', 1, 1, 0), ('strict', 'IP_ADDRESS', 1, 1, 0), ('strict', 'CREDIT_CARD', 1, 1, 0), ('strict', 'NONE', 2, 0, 0), ('balanced', 'EMAIL_ADDRESS', 1, 1, 0), ('balanced', 'IP_ADDRESS', 1, 0, 0), ('balanced', 'CREDIT_CARD', 1, 1, 0), ('balanced', 'NONE', 2, 0, 0),
-('minimal', 'EMAIL_ADDRESS', 1, 0, 0), ('minimal', 'IP_ADDRESS', 1, 0, 0), ('minimal', 'CREDIT_CARD', 1, 1, 0), ('minimal', 'NONE', 2, 0, 0), ('secrets_only', 'EMAIL_ADDRESS', 1, 0, 0), ('secrets_only', 'IP_ADDRESS', 1, 0, 0), ('secrets_only', 'CREDIT_CARD', 1, 0, 0), ('secrets_only', 'NONE', 2, 0, 0)) t(profile, kind, n, found, wrong)""")
+@query(f"""SELECT profile, kind, count(*) AS n, (count(*) * max(found / n))::BIGINT AS found, 0::BIGINT AS wrong FROM {PROFILE_TEXTS.sql} JOIN (VALUES ('strict', 'EMAIL_ADDRESS', 1, 1, 0), ('strict', 'IP_ADDRESS', 1, 1, 0), ('strict', 'CREDIT_CARD', 1, 1, 0), ('strict', 'NONE', 2, 0, 0), ('balanced', 'EMAIL_ADDRESS', 1, 1, 0), ('balanced', 'IP_ADDRESS', 1, 0, 0), ('balanced', 'CREDIT_CARD', 1, 1, 0), ('balanced', 'NONE', 2, 0, 0),
+('minimal', 'EMAIL_ADDRESS', 1, 0, 0), ('minimal', 'IP_ADDRESS', 1, 0, 0), ('minimal', 'CREDIT_CARD', 1, 1, 0), ('minimal', 'NONE', 2, 0, 0), ('secrets_only', 'EMAIL_ADDRESS', 1, 0, 0), ('secrets_only', 'IP_ADDRESS', 1, 0, 0), ('secrets_only', 'CREDIT_CARD', 1, 0, 0), ('secrets_only', 'NONE', 2, 0, 0)) t(profile, kind, n, found, wrong) USING (kind) GROUP BY profile, kind""")
 def profile_recall(spark, sf_dir):
     """Needles found and false finds by profile and entity."""
     from .policy import PROFILES, Policy
 
-    rows, parts = PROFILE_TEXTS.frame(spark), []
+    rows, parts = PROFILE_TEXTS.frame(spark, sf_dir), []
     for profile in PROFILES:
         spans = D.detected(F.col("text"), Policy(profile=profile), (P.EMAIL, P.IPV4, P.CARD))
         hit = F.exists(spans, lambda s: (s["entity"] == F.col("kind")) & (s["value"] == F.col("needle")))
