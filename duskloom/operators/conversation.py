@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +113,64 @@ def bounded_id(value: Column) -> Column:
     return F.when(F.coalesce(F.trim(value), F.lit("")) == "", "unknown").when(odd, F.concat(F.lit("h-"), T.short_hash(value, digits=16))).otherwise(F.trim(value))
 
 
-def prefix_keys(blocks: Column) -> Column:
-    """A hash for every prefix of an array of block hashes, the shortest first."""
-    return F.transform(F.sequence(F.lit(1), F.size(blocks)), lambda n: F.sha2(F.array_join(F.slice(blocks, F.lit(1), n), ":"), 256))
+def prefix_chain(blocks: Column) -> Column:
+    """A hash for every prefix of an array of block hashes, the shortest first: each made of the one before and a block, so that work grows with the length."""
+    step = lambda s, x: F.struct(F.substring(F.sha2(F.concat(s["last"], F.lit("|"), x), 256), 1, 32).alias("last"), F.array_append(s["all"], s["last"]).alias("all"))
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
+    return F.aggregate(blocks, start, step, lambda s: F.slice(F.array_append(s["all"], s["last"]), F.lit(2), F.size(blocks)))
+
+
+def content_conversations(requests: DataFrame, key: str, order: str, blocks: str, known: DataFrame | None = None) -> DataFrame:
+    """key, conversation: the conversation of each request without an id of its own, by what it repeats.
+
+    requests: blocks, an array of hashes, the whole transcript; order says who comes first, ties go by key. known (conversation, blocks): where conversations
+    stood before. In order, a request joins the conversation that stands at the longest prefix of its blocks, of equals the one with the smallest id, and moves
+    it to its own end; with none it starts 'auto-<first block>', or with a digest of all blocks behind where that name is in use, wherever the one of that name
+    stood. Requests with no or null blocks get none (null).
+
+    A conversation stands only where some request or known one ends. So requests are dealt by their shortest prefix that is such an end, and the deals don't
+    touch each other but for the first name, which goes to the first request of a head. A deal is read in order as a stream by one task, which holds a
+    hash and a name for each conversation of it: order decides inside a deal, so one doesn't come apart.
+    """
+    rows = requests.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(blocks).alias("blocks"), F.lit(None).cast("string").alias("name"))
+    if known is not None:
+        rows = rows.union(known.select(F.lit(None).cast(requests.schema[key].dataType), F.lit(None).cast(requests.schema[order].dataType), "blocks", F.col("conversation").cast("string")))
+    used = F.col("blocks").isNotNull() & (F.size("blocks") > 0) & ~F.exists("blocks", lambda b: b.isNull())
+    full = saved(rows.filter(used).withColumn("chain", prefix_chain(F.col("blocks"))).withColumns({"here": F.element_at("chain", -1), "head": F.col("blocks")[0], "digest": F.substring(F.sha2(F.array_join("blocks", "|"), 256), 1, 8), "uid": F.expr("uuid()")}).drop("blocks"))
+    ends = full.select(F.col("here").alias("end")).distinct()
+    met = full.select("uid", F.posexplode("chain").alias("n", "end")).join(ends, "end").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "end"))).alias("m"))
+    base = F.concat(F.lit("auto-"), "head")
+    first = full.groupBy("head").agg(F.min(F.when(F.col("name").isNull(), F.struct("at", "key", "uid"))).alias("f"), F.max((F.col("name") == base).cast("int")).alias("taken"))
+    dealt = full.join(met, "uid").join(first, "head")
+    ready = dealt.select("key", "at", "name", "here", base.alias("base"), "digest", ((F.col("f.uid") == F.col("uid")) & (F.coalesce("taken", F.lit(0)) == 0)).alias("first"), F.transform("m", lambda x: x["end"]).alias("ends"), F.col("m")[0]["end"].alias("deal"))
+    sorted_deals = ready.repartition("deal").sortWithinPartitions("deal", F.col("name").isNull(), "name", "at", "key")
+    found = sorted_deals.mapInPandas(_joined, f"key {requests.schema[key].dataType.simpleString()}, conversation string")
+    return requests.select(F.col(key).alias("key")).distinct().join(found, "key", "left").select(F.col("key").alias(key), "conversation")
+
+
+def _joined(batches):
+    """Rows of deals in order, each with the conversation it joins or starts; at: where conversations stand, by the end of their last request."""
+    deal, at, where = None, {}, {}
+    for batch in batches:
+        keys, names = [], []
+        for row in batch.itertuples(index=False):
+            if row.deal != deal:
+                deal, at, where = row.deal, {}, {}
+            if row.name is not None:
+                bisect.insort(at.setdefault(row.here, []), row.name)
+                where[row.name] = row.here
+                continue
+            place = next((e for e in reversed(row.ends) if at.get(e)), None)
+            if place is None:
+                name = row.base if row.first else f"{row.base}-{row.digest}"
+                place = where.get(name)
+            else:
+                name = at[place][0]
+            if place != row.here:
+                if place is not None:
+                    at[place].remove(name)
+                bisect.insort(at.setdefault(row.here, []), name)
+                where[name] = row.here
+            keys.append(row.key)
+            names.append(name)
+        yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "conversation": pd.Series(names, dtype=object)})

@@ -297,22 +297,29 @@ def allow_list_union(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2]).filter("value IS NOT NULL").distinct()
 
 
-PREFIXES = Fixture(
-    "request string, blocks string, conversation string",
-    ("r1", "a", "c1"), ("r2", "a b", "c2"), ("r3", "x y", "c3"), ("q1", "a b c", None), ("q2", "a z", None), ("q3", "n o", None), ("q4", "x y", None),
-)
-
-
-@query(f"""WITH known AS (SELECT conversation, string_split(blocks, ' ') AS b FROM {PREFIXES.sql} WHERE conversation IS NOT NULL),
-asked AS (SELECT request, string_split(blocks, ' ') AS b FROM {PREFIXES.sql} WHERE conversation IS NULL)
-SELECT request, coalesce(arg_max(k.conversation, len(k.b)), 'auto-' || any_value(a.b[1])) AS conversation FROM asked a LEFT JOIN known k ON len(k.b) <= len(a.b) AND a.b[1:len(k.b)] = k.b GROUP BY request""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each user's turn, that repeats all of its conversation's user turns so far: id, at, blocks. Texts of equal length modulo 3 stand for
+    equal ones, so that conversations share beginnings; they speak in turn, the later turns after all earlier ones."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    block = F.substring(F.sha2((F.coalesce(F.length("text"), F.lit(0)) % 3).cast("string"), 256), 1, 16)
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    said = rows.withColumn("blocks", F.collect_list(block).over(so_far))
+    return said.select((F.col("turn") * 1_000_000_000 + F.col("conv_id")).alias("id"), F.col("turn").alias("at"), "blocks")
+
+
+@query("""WITH RECURSIVE said AS (SELECT turn * 1000000000 + conv_id AS id, turn AS came, list(sha256((coalesce(length(text), 0) % 3)::VARCHAR)[1:16]) OVER (PARTITION BY conv_id ORDER BY turn) AS blocks FROM conversations WHERE role = 'user'),
+asked AS (SELECT id, 'auto-' || blocks[1] AS base, array_to_string(blocks, '|') || '|' AS seq, sha256(array_to_string(blocks, '|'))[1:8] AS digest, row_number() OVER (PARTITION BY blocks[1] ORDER BY came, id) AS k FROM said),
+walk AS (
+  SELECT DISTINCT base, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS conversation, []::STRUCT(c VARCHAR, s VARCHAR)[] AS standing FROM asked
+  UNION ALL
+  SELECT base, k, id, c, list_append(list_filter(standing, lambda x: x.c <> c), {'c': c, 's': seq}) FROM (
+    SELECT a.base, a.k, a.id, a.seq, w.standing, coalesce(list_sort(list_transform(list_filter(w.standing, lambda x: starts_with(a.seq, x.s)), lambda x: {'n': -length(x.s), 'c': x.c}))[1].c,
+      CASE WHEN len(list_filter(w.standing, lambda x: x.c = a.base)) > 0 THEN a.base || '-' || a.digest ELSE a.base END) AS c
+    FROM walk w JOIN asked a ON a.base = w.base AND a.k = w.k + 1))
+SELECT id, conversation FROM walk WHERE k > 0""")
 def prefix_conversations(spark, sf_dir):
-    """The conversation whose blocks are the longest prefix of a request's, found by an equi-join on prefix hashes; else a new one."""
-    rows = PREFIXES.frame(spark).withColumn("b", F.split("blocks", " "))
-    known = rows.filter("conversation IS NOT NULL").select(F.element_at(C.prefix_keys(F.col("b")), -1).alias("k"), "conversation")
-    asked = rows.filter("conversation IS NULL").select("request", F.col("b")[0].alias("head"), F.posexplode(C.prefix_keys(F.col("b"))).alias("n", "k"))
-    best = asked.join(known, "k", "left").groupBy("request", "head").agg(F.max(F.when(F.col("conversation").isNotNull(), F.struct("n", "conversation"))).alias("m"))
-    return best.select("request", F.coalesce("m.conversation", F.concat(F.lit("auto-"), F.col("head"))).alias("conversation"))
+    """The conversation of each request by the longest prefix that one stands at, in order of arrival; else a new one."""
+    return C.content_conversations(transcripts(spark, sf_dir), "id", "at", "blocks")
 
 
 SELECTIONS = Fixture("target string", ("local",), ("vendor",), ("gone",), ("beta",)).over("conversations", "conv_id")
