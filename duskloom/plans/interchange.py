@@ -110,28 +110,47 @@ def unmask_json(spark, sf_dir):
     return J.with_leaves_changed(rows, "body", restored, kind_of=response_kind)
 
 
-CHATS = Fixture(
-    "id int, body string",
-    (1, '{"model":"m","messages":[{"role":"developer","content":"be brief"},{"role":"user","content":[{"type":"text","text":"hi a@b.io"},{"type":"image_url"}]},{"role":"assistant","content":null,"tool_calls":[{"id":"1","function":{"name":"f","arguments":"{}"}}]},{"role":"tool","content":"out"}]}'),
-    (2, '{"messages":[]}'),
-)
+def _with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("text IS NOT NULL").withColumn("id", F.concat_ws("/", "conv_id", "turn"))
 
 
-@query("SELECT * FROM (VALUES (1, '/messages/0/content', 'system_prompt', 'be brief'), (1, '/messages/1/content', 'user_message', 'hi a@b.io'), (1, '/messages/2/tool_calls/0', 'tool_use_input', '{}'), (1, '/messages/3/content', 'tool_result', 'out')) t(id, leaf, surface, text)")
-def leaves_chat_wire(spark, sf_dir):
-    return W.chat_leaves(CHATS.frame(spark), "id", "body")
+def _wire_sql(*leaves: tuple[str, str, str]) -> str:
+    """A row for each leaf (place, surface, SQL of its text) of every turn."""
+    rows = ", ".join(f"{{'leaf': '{leaf}', 'surface': '{surface}', 'text': {text}}}" for leaf, surface, text in leaves)
+    return f"SELECT id, l.leaf AS leaf, l.surface AS surface, l.text AS text FROM (SELECT conv_id || '/' || turn AS id, unnest([{rows}]) AS l FROM conversations WHERE text IS NOT NULL)"
 
 
-ANSWERS = Fixture(
-    "id int, body string",
-    (1, '{"instructions":"be kind","input":"hello"}'),
-    (2, '{"input":[{"type":"message","role":"user","content":[{"type":"input_text","text":"hi"}]},{"type":"function_call","arguments":"{\\"a\\":1}"},{"type":"function_call_output","output":"done"},{"role":"assistant","content":[{"type":"refusal","refusal":"no"}]}]}'),
-)
+_INPUT = """'{"q":' || to_json(text)::VARCHAR || '}'"""
 
 
-@query("""SELECT * FROM (VALUES (1, '/instructions', 'system_prompt', 'be kind'), (1, '/input', 'user_message', 'hello'), (2, '/input/0', 'user_message', 'hi'), (2, '/input/1', 'tool_use_input', '{"a":1}'), (2, '/input/2', 'tool_result', 'done'), (2, '/input/3', 'assistant_text', 'no')) t(id, leaf, surface, text)""")
+@query(_wire_sql(("/messages/0/content", "system_prompt", "'be brief'"), ("/messages/1/content", "user_message", "text"), ("/messages/1/content", "user_message", "'https://a.io/' || conv_id"), ("/messages/1/name", "user_message", "role"),
+    ("/messages/2/tool_calls/0", "tool_use_input", _INPUT), ("/messages/2/tool_calls/0/name", "tool_name", "'find'"), ("/messages/3/content", "tool_result", "text"), ("/messages/3/tool_call_id", "tool_result", "'call-' || turn")))
+def leaves_chat_wire(spark, sf_dir):
+    """Each turn in a chat request: said by someone with a name beside two images, given to a tool, and answered by it."""
+    rows = _with_id(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    image = lambda url: F.struct(F.lit("image_url").alias("type"), none.alias("text"), F.struct(url.alias("url")).alias("image_url"))
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("struct<url:string>").alias("image_url")), image(F.concat(F.lit("https://a.io/"), "conv_id")), image(F.lit("data:image/png;base64,aGk="))))
+    call = F.to_json(F.array(F.struct(F.lit("1").alias("id"), F.struct(F.lit("find").alias("name"), F.to_json(F.struct(F.col("text").alias("q"))).alias("arguments")).alias("function"))))
+    body = F.concat(
+        F.lit('{"model":"m","messages":[{"role":"developer","content":"be brief"},{"role":"user","name":"'), "role", F.lit('","content":'), parts, F.lit('},{"role":"assistant","content":null,"tool_calls":'), call,
+        F.lit('},{"role":"tool","tool_call_id":"call-'), "turn", F.lit('","content":'), F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1), F.lit("}]}"),
+    )
+    return W.chat_leaves(rows.select("id", body.alias("body")), "id", "body")
+
+
+@query(f"""{_wire_sql(("/instructions", "system_prompt", "'be kind to ' || role"), ("/input/0", "user_message", "text"), ("/input/1", "tool_use_input", _INPUT), ("/input/2", "tool_result", "text"), ("/input/3", "assistant_text", "'no'"),
+    ("/metadata.note", "user_message", "text"), ("/metadata.by.names[1]", "user_message", "role"), ("/metadata.by.names[0]", "user_message", "'it'"))} UNION ALL SELECT conv_id || '/' || turn || '/plain', '/input', 'user_message', text FROM conversations WHERE text IS NOT NULL AND NOT starts_with(text, '[')""")
 def leaves_responses_wire(spark, sf_dir):
-    return W.responses_leaves(ANSWERS.frame(spark), "id", "body")
+    """Each turn in a responses request, as the items of its input, in its metadata, and once more as a plain input."""
+    rows = _with_id(spark, sf_dir).withColumn("quoted", F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1))
+    arguments = F.regexp_extract(F.to_json(F.array(F.to_json(F.struct(F.col("text").alias("q"))))), r"(?s)^\[(.*)\]$", 1)
+    body = F.concat(
+        F.lit('{"instructions":"be kind to '), "role", F.lit('","input":[{"type":"message","role":"user","content":[{"type":"input_text","text":'), "quoted", F.lit('}]},{"type":"function_call","arguments":'), arguments,
+        F.lit('},{"type":"function_call_output","output":'), "quoted", F.lit('},{"role":"assistant","content":[{"type":"refusal","refusal":"no"}]}],"metadata":{"note":'), "quoted", F.lit(',"n":1,"by":{"names":["it","'), "role", F.lit('"]}}}'),
+    )
+    plain = rows.filter(~F.col("text").startswith("[")).select(F.concat("id", F.lit("/plain")).alias("id"), F.concat(F.lit('{"input":'), "quoted", F.lit("}")).alias("body"))
+    return W.responses_leaves(rows.select("id", body.alias("body")).union(plain), "id", "body")
 
 
 @query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'ls({"p":' || to_json(text)::VARCHAR || '})' WHEN 2 THEN text END AS text, CASE turn % 4 WHEN 1 THEN 'tool_use' WHEN 2 THEN 'tool_result' ELSE 'message' END AS kind FROM conversations WHERE text IS NOT NULL""")
