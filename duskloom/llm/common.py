@@ -105,3 +105,20 @@ def without(rows: DataFrame, keys: DataFrame, on: list[str], most: int | None =
     keys = keys.toDF(*mine)
     same = [rows[name].eqNullSafe(keys[key]) for name, key in zip(on, mine, strict=True)]
     return rows.join(F.broadcast(keys) if few else keys, same, "left_anti")
+
+
+#: A key is heavy if it has more than one in so many of all rows, so that fewer keys than this are heavy whatever the input.
+HEAVY_KEYS = 512
+
+
+def beside(rows: DataFrame, values: DataFrame, on: str, total: int, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
+    """rows joined with values on a column without nulls; values: one row a key, its number of rows in n, which isn't passed on.
+
+    total is at least the sum of n. The values of heavy keys, fewer than heavy_keys, are broadcast, so a key's rows stay where they are
+    however many they are; only rows of other keys are shuffled. rows and values are both read twice: give tables.
+    """
+    limit = total / heavy_keys
+    others = [c for c in values.columns if c not in (on, "n")]
+    heavy = F.broadcast(values.filter(F.col("n") > limit).select(on, *others))
+    light = values.filter(F.col("n") <= limit).select(on, *others)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(light, on))

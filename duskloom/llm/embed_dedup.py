@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, saved
+from .common import BROADCAST_KEYS, beside, saved
 from .components import connected_components, contract
 
 COSINE = 0.93
@@ -317,8 +317,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
     roots = connected_components(found.filter("a IS NOT NULL").select("a", "b"))
     counts = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("key", "node", "size").join(counts, "node", "left").join(roots, "node", "left")
-    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    linked = unit.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
+    named = saved(named.select("key", F.col("size").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")))
+    linked = beside(unit.select("vec_id", "key"), named, "key", unit.count()).select("vec_id", "n_links", "component_id")
     loose = rows.filter(~known).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(loose).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

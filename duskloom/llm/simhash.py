@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, map_batches, saved, without
+from .common import BROADCAST_KEYS, beside, map_batches, saved, without
 from .components import connected_components, contract
 
 SHINGLE = 3
@@ -239,12 +239,13 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     """
     node = F.col("words")[0] if sketches == 1 else F.xxhash64("words")
     fps = saved(fingerprints(docs, shingle, seed, sketches).withColumn("node", node))
-    classes = saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")))
+    classes = saved(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.count("*").alias("n")))
     roots = connected_components(near_links(classes.select("node", "words"), sketches, pieces, radius, tile_rows))
     roots = roots.withColumnRenamed("node", "linked")
-    rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("node", "component_id"), "node").select("doc_id", "text_key", F.col("words")[0].alias("fp"), "component_id")
+    rooted = saved(classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
+    named = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    found = saved(beside(rooted.withColumnRenamed("n", "size"), named, "root", rooted.count()).select("node", F.col("size").alias("n"), "component_id"))
+    return beside(fps, found, "node", fps.count()).select("doc_id", "text_key", F.col("words")[0].alias("fp"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
@@ -257,8 +258,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int =
     """docs with one text of each component, all columns kept: that of its smallest doc_id, of several texts under that doc_id the one
     with the least key. A null doc_id stays; rows that repeat a doc_id and a text stay or go together."""
     found = saved(simhash_components(docs, shingle, radius, sketches=sketches, pieces=pieces).filter("doc_id IS NOT NULL"))
-    first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_key").alias("first")).withColumnRenamed("component_id", "c")
-    lost = found.join(first, F.col("component_id") == F.col("c"), "left").filter("doc_id <> component_id OR text_key <> first")
+    first = saved(found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("text_key"))).alias("first"), F.count("*").alias("n")))
+    lost = beside(found, first, "component_id", found.count()).filter("doc_id <> component_id OR text_key <> first")
     lost = lost.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("__near_id"), F.col("text_key").alias("__near_key"))
     keyed = docs.withColumns({"__near_id": F.col("doc_id"), "__near_key": text_key(F.col("text"))})
     return without(keyed, lost, ["__near_id", "__near_key"]).drop("__near_id", "__near_key")

@@ -61,6 +61,30 @@ def arrow(df):
     return pa.Table.from_pandas(df.toPandas(), schema=pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}[f.dataType.simpleString()]) for f in df.schema]))
 
 
+def test_rows_beside_values_of_heavy_keys(spark):
+    """Whatever number of keys counts as heavy, each row meets the value of its key once; keys without a value meet none."""
+    keys = [7] * 500 + [8] * 60 + list(range(20, 80)) + [21] * 9 + [-1]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    counts = [(k, keys.count(k), f"v{k}") for k in sorted(set(keys)) if k != -1]
+    values = spark.createDataFrame(counts, "k long, n long, v string")
+    for heavy in (1, 3, 10, 1_000_000):
+        met = common.beside(rows, values, "k", len(keys), heavy)
+        assert met.columns == ["k", "i", "v"]
+        assert sorted(map(tuple, met.collect())) == sorted((k, i, f"v{k}") for i, k in enumerate(keys) if k != -1)
+        assert sum(n > len(keys) / heavy for _, n, _ in counts) <= heavy
+    assert common.beside(rows.limit(0), values.limit(0), "k", 0).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [1, 4, 512])
+def test_components_with_giant_stars(spark, heavy):
+    """Stars whose centre is the least, the greatest or a middle node, joined by a chain."""
+    edges = [(0, i) for i in range(1, 300)] + [(5000, i) for i in range(1000, 1300)] + [(2000, i) for i in [*range(1900, 2000), *range(2001, 2100)]]
+    edges += [(299, 3000), (3000, 3001), (3001, 1000), (9000, 9001)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), heavy).collect()}
+    want = {n: 0 for e in edges[:599] + edges[-4:-1] for n in e} | {n: 1900 for e in edges[599:-4] for n in e} | {9000: 9000, 9001: 9000}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)] + [(5, 5), (None, 3)]
