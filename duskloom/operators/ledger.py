@@ -43,10 +43,11 @@ def last_wins(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
 def masking_off(commands: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """events with off: whether the last command at or before an event (as-of, by one sort of both) still has masking off.
 
-    commands (key, at, seconds or null): a null switches on, others off for so long, a day at most.
+    commands (key, at, off, seconds or null): off switches masking off for so many seconds, half an hour where none are given and a day at most; else it is
+    switched on.
     """
     both = events.select(key, "at", "event_id", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("late")).unionByName(
-        commands.select(key, "at", F.lit(None).cast("long").alias("event_id"), F.when(F.col("seconds").isNotNull(), F.timestamp_add("SECOND", F.least("seconds", F.lit(OFF_MOST_S)), F.col("at"))).otherwise(F.col("at")).alias("until"), F.lit(0).alias("late")))
+        commands.select(key, "at", F.lit(None).cast("long").alias("event_id"), F.when(F.col("off"), F.timestamp_add("SECOND", F.least(F.coalesce("seconds", F.lit(OFF_DEFAULT_S)), F.lit(OFF_MOST_S)), F.col("at"))).otherwise(F.col("at")).alias("until"), F.lit(0).alias("late")))
     w = Window.partitionBy(key).orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("until", F.last("until", ignorenulls=True).over(w)).filter("late = 1")
     return seen.select("event_id", F.coalesce(F.col("at") < F.col("until"), F.lit(False)).alias("off"))

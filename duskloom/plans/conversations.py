@@ -231,13 +231,13 @@ def routed_recently(spark, sf_dir):
     return seen.groupBy("user_id").agg((F.max("ts") >= now - F.expr("INTERVAL 10 MINUTES")).alias("routed"))
 
 
-@query("""WITH commands AS (SELECT user_id, ts AS since, CASE WHEN event_id % 2 = 0 THEN ts + to_seconds(least((value * 1000)::BIGINT, 86400)) ELSE ts END AS until FROM events WHERE event_type = 'signup'),
+@query("""WITH commands AS (SELECT user_id, ts AS since, CASE WHEN event_id % 4 = 0 THEN ts + to_seconds(1800) WHEN event_id % 4 = 2 THEN ts + to_seconds(least((value * 1000)::BIGINT, 86400)) ELSE ts END AS until FROM events WHERE event_type = 'signup'),
 held AS (SELECT e.event_id, e.ts, c.until FROM events e ASOF LEFT JOIN commands c ON e.user_id = c.user_id AND e.ts >= c.since WHERE e.event_type <> 'signup')
 SELECT event_id, coalesce(ts < until, false) AS off FROM held""")
 def masking_off_windows(spark, sf_dir):
-    """A signup stands for a command: with an even id it switches masking off for 1000 seconds a unit of value, else on."""
+    """A signup stands for a command: with an even id it switches masking off, for 1000 seconds a unit of value or, where 4 divides the id, for the time that counts without one; else on."""
     events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    commands = events.filter("event_type = 'signup'").select("user_id", "at", F.when(F.col("event_id") % 2 == 0, F.round(F.col("value") * 1000).cast("long")).alias("seconds"))
+    commands = events.filter("event_type = 'signup'").select("user_id", "at", (F.col("event_id") % 2 == 0).alias("off"), F.when(F.col("event_id") % 4 == 2, F.round(F.col("value") * 1000).cast("long")).alias("seconds"))
     return L.masking_off(commands, events.filter("event_type <> 'signup'"), "user_id")
 
 

@@ -10,6 +10,7 @@ from ..functions import spans as S
 from ..operators import apply as A
 from ..operators import broker as B
 from ..operators import detect as D
+from ..operators import gate
 from ..operators import transcript as R
 from ..operators import unmask as U
 from ..sources import json_text as J
@@ -92,6 +93,24 @@ def mask_json_roundtrip(spark, sf_dir):
     return J.with_leaves_changed(conversation_bodies(spark, sf_dir), "body", masked_texts)
 
 
+SECRETS = Fixture("name string, value string, case_sensitive boolean", ("key_a", "the", True), ("key_b", "ENE", False))
+
+
+@query(f"""WITH {masked_sql(_TURNS, "id")}, turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn % 4 AS form FROM conversations),
+named AS (SELECT t.*, m.text AS masked, CASE WHEN form <> 2 THEN NULL WHEN contains(t.text, 'the') THEN 'key_a' WHEN contains(translate(t.text, 'EN', 'en'), 'ene') THEN 'key_b' END AS secret
+  FROM turns t JOIN masked m ON m.id = t.conv_id || '/' || t.turn)
+SELECT conv_id, turn, secret, CASE form WHEN 1 THEN 'not_json' WHEN 3 THEN 'too_deep' ELSE CASE WHEN secret IS NOT NULL THEN 'secret_in_contract' END END AS refusal,
+  CASE WHEN form = 0 THEN '{{"id":"r","text":' || to_json(coalesce(masked, ''))::VARCHAR || '}}' WHEN form = 2 AND secret IS NULL THEN '{{"id":' || to_json(text)::VARCHAR || '}}' END AS body FROM named""")
+def gated_bodies(spark, sf_dir):
+    """Every turn as a body: its text in a leaf, the same with a comma behind it, as an id that is never rewritten, or below 300 brackets. What can't be masked is refused."""
+    text, form = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    plain, contract = F.to_json(F.struct(F.lit("r").alias("id"), text.alias("text"))), F.to_json(F.struct(text.alias("id")))
+    deep = F.concat(F.lit("[" * 300), F.to_json(F.array(text)), F.lit("]" * 300))
+    body = F.when(form == 0, plain).when(form == 1, F.concat(plain, F.lit(","))).when(form == 2, contract).otherwise(deep)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
+    return gate.gated(rows, "body", SECRETS.frame(spark), masked_texts).select("conv_id", "turn", "secret", "refusal", "body")
+
+
 def response_kind(path: str) -> str | None:
     """How a response's leaf is restored: prose with all values, a tool's input by policy, other leaves not at all."""
     return "tool" if ".input" in path else "prose" if path.endswith(".text") else None

@@ -13,6 +13,8 @@ from duskloom.functions import spans as S
 from duskloom.functions import text as T
 from duskloom.operators import apply as A
 from duskloom.operators import detect as D
+from duskloom.operators import gate
+from duskloom.operators import ledger as L
 from duskloom.operators import secrets as G
 from duskloom.operators import unmask as U
 from duskloom.operators import vault as V
@@ -66,6 +68,27 @@ def test_malformed_json_has_no_leaves(spark):
     assert [r.l is not None for r in got] == [True, False, False, False, False] and [r.p for r in got] == [None, "not_json", None, "not_json", "too_deep"]
 
 
+def test_bodies_that_cannot_be_masked_are_refused(spark):
+    """Nothing goes on in the clear: what isn't JSON, is nested too deep, or has a secret where nothing is rewritten."""
+    rows = [(1, '{"id":"r1","text":"mail S3CRET"}', "x"), (2, '{"id":"a-S3CRET-b","text":"t"}', "x"), (3, '{"text":"t"', "x"), (4, "[" * 300 + '"t"' + "]" * 300, "x"), (5, None, "x"), (None, '{"id":"r1","text":"t"}', "x"),
+            (6, '{"source":{"type":"base64","data":"S3CRET"}}', "x"), (7, '{"model":"pA","tools":[{"name":"ss"}]}', "x"), (7, '{"model":"PASS"}', "x"), (8, "", "x")]
+    secrets = spark.createDataFrame([("k1", "S3CRET", True), ("k2", "pass", False), ("k3", "", True), ("k4", None, True)], "name string, value string, case_sensitive boolean")
+    upper = lambda t: t.select("kind", "text", F.upper("text").alias("changed"))
+    got = sorted(map(tuple, gate.gated(spark.createDataFrame(rows, "n long, body string, secret_of string"), "body", secrets, upper).select("n", "body", "refusal", "secret", "secret_of").collect()), key=str)
+    want = [(1, '{"id":"r1","text":"MAIL S3CRET"}', None, None), (2, None, "secret_in_contract", "k1"), (3, None, "not_json", None), (4, None, "too_deep", None), (5, None, None, None), (None, '{"id":"r1","text":"T"}', None, None),
+            (6, '{"source":{"type":"base64","data":"S3CRET"}}', None, None), (7, '{"model":"pA","tools":[{"name":"SS"}]}', None, None), (7, None, "secret_in_contract", "k2"), (8, None, "not_json", None)]
+    assert got == sorted([(*w, "x") for w in want], key=str)
+    assert gate.gated(spark.createDataFrame([], "n long, body string"), "body", secrets, upper).count() == 0
+
+
+def test_masking_off_for_half_an_hour_by_default(spark):
+    commands = spark.createDataFrame([("a", 0, True, None), ("b", 0, True, 10), ("c", 0, True, 10**6), ("d", 0, True, 50), ("d", 20, False, None)], "u string, s long, off boolean, seconds long").withColumn("at", F.timestamp_seconds("s"))
+    places = [("a", 1799), ("a", 1800), ("b", 9), ("b", 10), ("c", 86_399), ("c", 86_400), ("d", 19), ("d", 20), ("e", 5)]
+    events = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "event_id long, u string, s long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.event_id: r.off for r in L.masking_off(commands, events, "u").collect()}
+    assert [got[i] for i in range(len(places))] == [True, False, True, False, True, False, True, False, False]
+
+
 def test_characters_that_mark_cuts(spark):
     text = "\uFDD0a@b.io\uFDD1 c@d.io \uFDD2"
     got = spark.createDataFrame([(text,)], "t string").select(D.recognized(F.col("t"), P.EMAIL).alias("s")).first().s
