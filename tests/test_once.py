@@ -15,6 +15,7 @@ QUERIES, _ = load()
 #: Queries, and a pattern that each search of a text takes once; all recognizers search once for shapes and four times for credentials.
 SEARCHES = {
     "token_scan": (PROSE, 5),
+    "op_redact": (PROSE, 5),
 }
 
 
