@@ -16,6 +16,7 @@ QUERIES, _ = load()
 SEARCHES = {
     "token_scan": (PROSE, 5),
     "op_redact": (PROSE, 5),
+    "cvv_spans": (X.CODES, 1),
 }
 
 
