@@ -17,6 +17,7 @@ SEARCHES = {
     "token_scan": (PROSE, 5),
     "op_redact": (PROSE, 5),
     "cvv_spans": (X.CODES, 1),
+    "context_boost": (PROSE, 1),
 }
 
 
