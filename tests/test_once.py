@@ -18,6 +18,7 @@ SEARCHES = {
     "op_redact": (PROSE, 5),
     "cvv_spans": (X.CODES, 1),
     "context_boost": (PROSE, 1),
+    "id_document_spans": (PROSE, 1),
 }
 
 
