@@ -19,6 +19,7 @@ SEARCHES = {
     "cvv_spans": (X.CODES, 1),
     "context_boost": (PROSE, 1),
     "id_document_spans": (PROSE, 1),
+    "medical_id_spans": (PROSE, 1),
 }
 
 
