@@ -20,6 +20,7 @@ SEARCHES = {
     "context_boost": (PROSE, 1),
     "id_document_spans": (PROSE, 1),
     "medical_id_spans": (PROSE, 1),
+    "op_local": (PROSE, 5),
 }
 
 
