@@ -21,6 +21,7 @@ SEARCHES = {
     "id_document_spans": (PROSE, 1),
     "medical_id_spans": (PROSE, 1),
     "op_local": (PROSE, 5),
+    "document_found": (PROSE, 5),
 }
 
 
