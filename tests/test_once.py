@@ -22,6 +22,7 @@ SEARCHES = {
     "medical_id_spans": (PROSE, 1),
     "op_local": (PROSE, 5),
     "document_found": (PROSE, 5),
+    "uk_id_spans": (PROSE, 1),
 }
 
 
