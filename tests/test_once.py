@@ -23,6 +23,7 @@ SEARCHES = {
     "op_local": (PROSE, 5),
     "document_found": (PROSE, 5),
     "uk_id_spans": (PROSE, 1),
+    "category_gate": (PROSE, 1),
 }
 
 
