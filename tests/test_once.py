@@ -24,6 +24,7 @@ SEARCHES = {
     "document_found": (PROSE, 5),
     "uk_id_spans": (PROSE, 1),
     "category_gate": (PROSE, 1),
+    "mint_tokens": (PROSE, 5),
 }
 
 
