@@ -25,6 +25,7 @@ SEARCHES = {
     "uk_id_spans": (PROSE, 1),
     "category_gate": (PROSE, 1),
     "mint_tokens": (PROSE, 5),
+    "op_mask": (PROSE, 5),
 }
 
 
