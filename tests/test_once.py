@@ -26,6 +26,7 @@ SEARCHES = {
     "category_gate": (PROSE, 1),
     "mint_tokens": (PROSE, 5),
     "op_mask": (PROSE, 5),
+    "op_keep": (PROSE, 5),
 }
 
 
