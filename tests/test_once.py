@@ -27,6 +27,7 @@ SEARCHES = {
     "mint_tokens": (PROSE, 5),
     "op_mask": (PROSE, 5),
     "op_keep": (PROSE, 5),
+    "entity_counts": (PROSE, 5),
 }
 
 
