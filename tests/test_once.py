@@ -28,6 +28,7 @@ SEARCHES = {
     "op_mask": (PROSE, 5),
     "op_keep": (PROSE, 5),
     "entity_counts": (PROSE, 5),
+    "dob_spans": (X.DATES, 1),
 }
 
 
