@@ -29,6 +29,7 @@ SEARCHES = {
     "op_keep": (PROSE, 5),
     "entity_counts": (PROSE, 5),
     "dob_spans": (X.DATES, 1),
+    "op_hash": (PROSE, 5),
 }
 
 
