@@ -30,6 +30,7 @@ SEARCHES = {
     "entity_counts": (PROSE, 5),
     "dob_spans": (X.DATES, 1),
     "op_hash": (PROSE, 5),
+    "op_broker": (PROSE, 5),
 }
 
 
