@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.checkpoint import folder
 from ..operators import unmask as U
@@ -41,25 +40,38 @@ def chunks(text: Column, size: int) -> Column:
     return F.transform(cuts, lambda i: F.struct(i.alias("i"), F.substring(text, i * size + 1, F.lit(size)).alias("text")))
 
 
-def written_frames(spark: SparkSession, events: DataFrame, place: str) -> int:
-    """Write (stream_id, i, data) as frames in three files a task: the first, second and last third of every stream; then, a day later, a ping. Returns the number of files."""
-    w = Window.partitionBy("stream_id")
-    rows = events.withColumns({"seq": F.row_number().over(w.orderBy("i")) - 1, "n": F.count("*").over(w)})
-    frames = rows.select("stream_id", F.col("seq").cast("long").alias("seq"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("seq")).alias("at"), F.lit(None).cast("string").alias("event"), "data", F.floor(3 * F.col("seq") / F.col("n")).alias("third"))
-    frames.write.partitionBy("third").parquet(f"{place}/made")
+#: Frames that a task of a micro-batch takes on average at most, and frames of a file.
+TASK_FRAMES, FILE_FRAMES = 1_000_000, 500_000
+
+
+def spread(replies: DataFrame) -> DataFrame:
+    """Replies dealt over the tasks before they become frames, which take many times their room."""
+    return replies.repartition(int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id")
+
+
+def written_frames(spark: SparkSession, events: DataFrame, place: str, file_frames: int = FILE_FRAMES) -> tuple[int, int]:
+    """Write (stream_id, data), the events of each stream as an array, as frames: files with the first, second and last third of every stream; then, a day
+    later, a ping. A frame's number is its place in the array, so no frame is moved or sorted. Returns the numbers of files and of frames."""
+    events.select("stream_id", "data", F.size("data").alias("n")).write.parquet(f"{place}/made")
     made = spark.read.parquet(f"{place}/made")
     for third in range(3):
-        made.filter(F.col("third") == third).drop("third").write.mode("append").parquet(f"{place}/frames")
+        first, end = (F.expr(f"({k} * n + 2) div 3").cast("int") for k in (third, third + 1))
+        some = made.select("stream_id", first.alias("first"), F.posexplode(F.slice("data", first + 1, end - first)).alias("at", "data"))
+        seq = (F.col("first") + F.col("at")).cast("long")
+        frames = some.select("stream_id", seq.alias("seq"), F.timestamp_millis(F.lit(1_704_067_200_000) + seq).alias("at"), F.lit(None).cast("string").alias("event"), "data")
+        frames.write.mode("append").option("maxRecordsPerFile", file_frames).parquet(f"{place}/frames")
     ping = spark.range(1).select(F.lit("").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.timestamp_millis(F.lit(1_704_153_600_000)).alias("at"), F.lit("ping").alias("event"), F.lit('{"type":"ping"}').alias("data"))
     ping.write.mode("append").parquet(f"{place}/frames")
-    return len(spark.read.parquet(f"{place}/frames").inputFiles())
+    return len(spark.read.parquet(f"{place}/frames").inputFiles()), made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
 
 
-def relayed(spark: SparkSession, events: DataFrame, pieces) -> DataFrame:
-    """The blocks of all streams, restored through the stateful relay in two micro-batches and one that the ping's watermark asks for."""
+def relayed(spark: SparkSession, events: DataFrame, pieces, task_frames: int = TASK_FRAMES, file_frames: int = FILE_FRAMES) -> DataFrame:
+    """The blocks of all streams, restored through the stateful relay in two micro-batches, or as many as leave a task task_frames frames, and one that the
+    ping's watermark asks for."""
     place = f"{folder(spark)}/relay-{uuid.uuid4().hex}"
-    files = written_frames(spark, events, place)
-    return Y.joined_blocks(Y.relay(spark, f"{place}/frames", pieces, VALUES.frame(spark), place, files // 2 + 1))
+    files, frames = written_frames(spark, events, place, file_frames)
+    most = task_frames * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Y.joined_blocks(Y.relay(spark, f"{place}/frames", pieces, VALUES.frame(spark), place, max(1, min(files // 2 + 1, files * most // frames))))
 
 
 def event(**parts: Column | str | int) -> Column:
@@ -68,13 +80,13 @@ def event(**parts: Column | str | int) -> Column:
 
 
 def messages_events(rows: DataFrame, size: int) -> DataFrame:
-    """stream_id, i, data: a text block and a tool block, one after the other. Streams whose text has an even length break off before their ends."""
+    """stream_id, data: a text block and a tool block, one after the other. Streams whose text has an even length break off before their ends."""
     text = lambda c: F.struct(F.lit("text_delta").alias("type"), c["text"].alias("text"))
     tool = lambda c: F.struct(F.lit("input_json_delta").alias("type"), c["text"].alias("partial_json"))
     block = lambda n, parts, delta: F.concat(F.array(event(type="content_block_start", index=n)), F.transform(parts, lambda c: event(type="content_block_delta", index=n, delta=delta(c))), F.array(event(type="content_block_stop", index=n)))
     whole = F.concat(block(0, chunks(F.col("said"), size), text), block(1, chunks(F.col("args"), size), tool), F.array(event(type="message_stop")))
     cut = F.when(F.length("said") % 2 == 0, F.slice(whole, F.lit(1), F.size(whole) - 2)).otherwise(whole)
-    return rows.select("stream_id", F.posexplode(cut).alias("i", "data"))
+    return rows.select("stream_id", cut.alias("data"))
 
 
 def _blocks_sql(text: str, args: str) -> str:
@@ -84,7 +96,7 @@ def _blocks_sql(text: str, args: str) -> str:
 @query(_blocks_sql("0", "1"))
 def stream_unmask(spark, sf_dir):
     """Messages wire, deltas of 7 characters: text and tool arguments, half of the streams broken off and let out by the timer."""
-    return relayed(spark, messages_events(replies(spark, sf_dir), 7), Y.messages_pieces).select("stream_id", "block", "text")
+    return relayed(spark, messages_events(spread(replies(spark, sf_dir)), 7), Y.messages_pieces).select("stream_id", "block", "text")
 
 
 def in_turn(parts: Column, lane: int, data: Callable[[Column], Column]) -> Column:
@@ -92,12 +104,17 @@ def in_turn(parts: Column, lane: int, data: Callable[[Column], Column]) -> Colum
     return F.transform(parts, lambda c: F.struct((c["i"] * 4 + lane).alias("at"), data(c).alias("data")))
 
 
+def in_order(events: Column) -> Column:
+    """The data of array<struct<at,data>> by their places."""
+    return F.transform(F.array_sort(events), lambda e: e["data"])
+
+
 def _chunk_of(chunk: Callable, choice: int, own: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda c: chunk(choice, own(c))
 
 
 def chat_events(rows: DataFrame, size: int) -> DataFrame:
-    """stream_id, i, data: two choices and two calls of the first, their deltas in turn; then a finish reason for each, and [DONE]."""
+    """stream_id, data: two choices and two calls of the first, their deltas in turn; then a finish reason for each, and [DONE]."""
     delta = lambda c: F.struct(c["text"].alias("content"))
     call = lambda n: lambda c: F.struct(F.array(F.struct(F.lit(n).alias("index"), F.struct(c["text"].alias("arguments")).alias("function"))).alias("tool_calls"))
     chunk = lambda choice, own, reason=None: event(choices=F.array(F.struct(F.lit(choice).alias("index"), own.alias("delta"), F.lit(reason).cast("string").alias("finish_reason"))))
@@ -105,18 +122,17 @@ def chat_events(rows: DataFrame, size: int) -> DataFrame:
     turns = [in_turn(parts, lane, _chunk_of(chunk, choice, own)) for lane, (parts, choice, own) in enumerate(lanes)]
     nothing = F.struct(F.lit(None).cast("string").alias("content"))
     ends = [F.struct(F.lit(2_000_000_000 + k).alias("at"), data.alias("data")) for k, data in enumerate((chunk(0, nothing, "tool_calls"), chunk(1, nothing, "stop"), F.lit("[DONE]")))]
-    both = F.concat(*turns, F.array(*ends))
-    return rows.select("stream_id", F.explode(both).alias("e")).select("stream_id", F.col("e.at").alias("i"), "e.data")
+    return rows.select("stream_id", in_order(F.concat(*turns, F.array(*ends))).alias("data"))
 
 
 @query(f"WITH {REPLIES_SQL} SELECT stream_id, b AS block, CASE WHEN b IN ('c0', 'c1') THEN {SAID_SQL} ELSE {ARGS_SQL} END AS text FROM replies, (VALUES ('c0'), ('c1'), ('c0t0'), ('c0t1')) v(b)")
 def stream_unmask_chat(spark, sf_dir):
     """Chat wire: state under choices and (choice, call), interleaved."""
-    return relayed(spark, chat_events(replies(spark, sf_dir), 11), Y.chat_pieces).select("stream_id", "block", "text")
+    return relayed(spark, chat_events(spread(replies(spark, sf_dir)), 11), Y.chat_pieces).select("stream_id", "block", "text")
 
 
 def responses_events(rows: DataFrame, size: int) -> DataFrame:
-    """stream_id, i, data: two texts of one item and the arguments of another, their deltas in turn; each then repeated whole. Of streams whose
+    """stream_id, data: two texts of one item and the arguments of another, their deltas in turn; each then repeated whole. Of streams whose
     text has an odd length one delta is lost, so that the repeated text doesn't agree with the parts."""
     text = lambda n: lambda c: event(type="response.output_text.delta", item_id="m", output_index=0, content_index=n, delta=c["text"])
     args = lambda c: event(type="response.function_call_arguments.delta", item_id="f", output_index=1, delta=c["text"])
@@ -125,14 +141,14 @@ def responses_events(rows: DataFrame, size: int) -> DataFrame:
     done = [event(type="response.output_text.done", item_id="m", output_index=0, content_index=n, text=F.col("said")) for n in (0, 1)]
     done += [event(type="response.function_call_arguments.done", item_id="f", output_index=1, arguments=F.col("args")), event(type="response.completed")]
     ends = [F.struct(F.lit(2_000_000_000 + k).alias("at"), data.alias("data")) for k, data in enumerate(done)]
-    return rows.select("stream_id", F.explode(F.concat(*turns, F.array(*ends))).alias("e")).select("stream_id", F.col("e.at").alias("i"), "e.data")
+    return rows.select("stream_id", in_order(F.concat(*turns, F.array(*ends))).alias("data"))
 
 
 @query(f"""WITH {REPLIES_SQL} SELECT stream_id, b AS block, CASE WHEN b LIKE 'text%' THEN {SAID_SQL} ELSE {ARGS_SQL} END AS text, b NOT LIKE 'text:m:0:1' OR length(text) % 2 = 1 AS agrees
 FROM replies, (VALUES ('text:m:0:0'), ('text:m:0:1'), ('call:f:1')) v(b)""")
 def stream_unmask_responses(spark, sf_dir):
     """Responses wire: state under (item, output, content); where a done event says other than the parts did, what it says counts."""
-    rows = relayed(spark, responses_events(replies(spark, sf_dir), 64), Y.responses_pieces)
+    rows = relayed(spark, responses_events(spread(replies(spark, sf_dir)), 64), Y.responses_pieces)
     return rows.select("stream_id", "block", F.when(F.col("agrees"), F.col("text")).otherwise(F.col("done")).alias("text"), "agrees")
 
 

@@ -181,6 +181,21 @@ class Stream:
             self.early, self.blocks, self.ended = {}, {}, True
 
 
+def joined(rows: list[tuple]) -> list[tuple]:
+    """Rows of a stream with those of a block that follow each other in one, where none has a token; a row with one stays as it is, so that few texts
+    are looked up."""
+    out: list[list] = []
+    last: dict[str, list | None] = {}
+    for seq, block, kind, text, whole, agrees in rows:
+        plain, own = not whole and agrees is None and not _TOKEN.search(text), last.get(block)
+        if plain and own is not None and own[2] == kind:
+            own[3].append(text)
+            continue
+        out.append([seq, block, kind, [text], whole, agrees])
+        last[block] = out[-1] if plain else None
+    return [(seq, block, kind, "".join(texts), whole, agrees) for seq, block, kind, texts, whole, agrees in out]
+
+
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     own = Stream(state.get[0] if state.exists else None)
     if state.hasTimedOut:
@@ -195,7 +210,7 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         out = list(own.advance())
         state.update((own.saved(),))
         state.setTimeoutTimestamp(max(own.last + SILENCE_S * 1000, state.getCurrentWatermarkMs() + 1))
-    rows = [(*key, seq, i, block, kind, text, whole, agrees) for i, (seq, block, kind, text, whole, agrees) in enumerate(out)]
+    rows = [(*key, seq, i, block, kind, text, whole, agrees) for i, (seq, block, kind, text, whole, agrees) in enumerate(joined(out))]
     yield pd.DataFrame(rows, columns=["stream_id", "seq", "ord", "block", "kind", "text", "whole", "agrees"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duskloom.operators import unmask as U
 from duskloom.plans import streams
 from duskloom.streaming import relay
-from duskloom.streaming.carry import Held, Stream, split_safe, taken
+from duskloom.streaming.carry import Held, Stream, joined, split_safe, taken
 
 PARTS = ["[URL_0123456789ab]", "[PERSON_0123456789ab]", '"', ":", ",", "{", "}", '\\"', "\\\\", " ", "x", "[", "A", "[URL_01", "\n"]
 
@@ -102,3 +102,24 @@ def test_parsers_of_odd_frames(spark):
         assert all(p is None or all(x.text is None for x in p) for p in got)
     chat = [r.p for r in frame.select(relay.chat_pieces(F.col("data")).alias("p")).collect()]
     assert chat[4][0].end and chat[7][0].end and not chat[5]
+
+
+def test_rows_without_a_token_are_one():
+    url = "[URL_0123456789ab]"
+    rows = [(0, "0", "text", "a", False, None), (1, "1", "input_json", "{", False, None), (2, "0", "text", "b", False, None), (3, "0", "text", url, False, None), (4, "0", "text", "c", False, None), (5, "1", "input_json", url, True, None), (6, "1", "input_json", "}", False, None), (7, "1", "done_json", "{}", False, True)]
+    assert joined(rows) == [(0, "0", "text", "ab", False, None), rows[1], rows[3], rows[4], *rows[5:]]
+
+
+def test_many_small_batches_give_the_same_and_frames_are_not_sorted(spark, tmp_path):
+    talks = [("c", t, "assistant", f"say {t} [URL_000000000001] " + "x" * t) for t in range(30)]
+    spark.createDataFrame(talks, "conv_id string, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    replies = streams.replies(spark, str(tmp_path))
+    want = {r.stream_id: r.said for r in U.unmasked(replies, "said", streams.VALUES.frame(spark)).collect()}
+    events = streams.messages_events(streams.spread(replies), 7)
+    got = {r.stream_id: r.text for r in streams.relayed(spark, events, relay.messages_pieces, task_frames=100, file_frames=150).filter("block = '0'").collect()}
+    assert got == want
+    files, frames = streams.written_frames(spark, events, str(tmp_path / "made"), 150)
+    made = [r.n for r in events.select(F.size("data").alias("n")).collect()]
+    assert frames == sum(made) + 1 and files >= sum(made) / 150
+    back = spark.read.parquet(str(tmp_path / "made/frames")).filter("stream_id <> ''")
+    assert back.groupBy("stream_id").agg(F.sort_array(F.collect_list("seq")).alias("s")).filter("s <> sequence(0L, size(s) - 1L)").count() == 0
