@@ -123,3 +123,11 @@ def test_many_small_batches_give_the_same_and_frames_are_not_sorted(spark, tmp_p
     assert frames == sum(made) + 1 and files >= sum(made) / 150
     back = spark.read.parquet(str(tmp_path / "made/frames")).filter("stream_id <> ''")
     assert back.groupBy("stream_id").agg(F.sort_array(F.collect_list("seq")).alias("s")).filter("s <> sequence(0L, size(s) - 1L)").count() == 0
+
+
+def test_chat_frames_stand_in_turn(spark):
+    rows = spark.createDataFrame([("s", "a" * 25, "b" * 25)], "stream_id string, said string, args string")
+    data = [json.loads(d) if d != "[DONE]" else d for d in streams.chat_events(rows, 11).first().data]
+    lanes = [(d["choices"][0]["index"], "tool_calls" in d["choices"][0]["delta"]) for d in data[:4]]
+    assert len(data) == 3 + 3 + 3 + 2 + 3 and lanes == [(0, False), (1, False), (0, True), (0, True)] and data[-1] == "[DONE]"
+    assert "".join(d["choices"][0]["delta"].get("content", "") for d in data[:-3] if d["choices"][0]["index"] == 1) == "a" * 25
