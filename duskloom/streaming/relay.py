@@ -89,7 +89,8 @@ def _restored(rows: DataFrame, values: DataFrame, marker: tuple[str, str] | None
     known = asked.join(values.groupBy("token").agg(F.min("value").alias("value")), "token").groupBy("_asked").agg(F.map_from_entries(F.collect_list(F.struct("token", value.alias("value")))).alias("_values"))
     own, found = F.col("text"), F.col("_values")
     text = F.when(found.isNull(), own).when(how == "raw", U.restored_raw_json(own, found)).otherwise(U.restored(own, found))
-    return keyed.join(known, F.col("_key") == F.col("_asked"), "left").withColumn("text", text).select(rows.columns)
+    back = keyed.filter("_key IS NOT NULL").join(known, F.col("_key") == F.col("_asked"), "left").withColumn("text", text).select(rows.columns)
+    return rows.filter(~F.coalesce(F.col("text").rlike(U.TOKEN), F.lit(False))).union(back)  # beside the join, where they would all have the same key
 
 
 def relay(spark: SparkSession, source: str, pieces: Callable[[Column], Column], values: DataFrame, folder: str, files: int = 1000, marker: tuple[str, str] | None = None) -> DataFrame:

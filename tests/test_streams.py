@@ -131,3 +131,10 @@ def test_chat_frames_stand_in_turn(spark):
     lanes = [(d["choices"][0]["index"], "tool_calls" in d["choices"][0]["delta"]) for d in data[:4]]
     assert len(data) == 3 + 3 + 3 + 2 + 3 and lanes == [(0, False), (1, False), (0, True), (0, True)] and data[-1] == "[DONE]"
     assert "".join(d["choices"][0]["delta"].get("content", "") for d in data[:-3] if d["choices"][0]["index"] == 1) == "a" * 25
+
+
+def test_rows_without_a_token_are_not_joined(spark):
+    rows = spark.createDataFrame([("s", 0, 0, "0", "text", "plain", False, None)], "stream_id string, seq long, ord int, block string, kind string, text string, whole boolean, agrees boolean")
+    plan = relay._restored(rows, streams.VALUES.frame(spark), None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
+    assert [r.text for r in relay._restored(rows, streams.VALUES.frame(spark), None).collect()] == ["plain"]
