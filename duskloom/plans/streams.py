@@ -70,8 +70,10 @@ def relayed(spark: SparkSession, events: DataFrame, pieces, task_frames: int = T
     ping's watermark asks for."""
     place = f"{folder(spark)}/relay-{uuid.uuid4().hex}"
     files, frames = written_frames(spark, events, place, file_frames)
-    most = task_frames * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return Y.joined_blocks(Y.relay(spark, f"{place}/frames", pieces, VALUES.frame(spark), place, max(1, min(files // 2 + 1, files * most // frames))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = Y.relay(spark, f"{place}/frames", pieces, VALUES.frame(spark), place, max(1, min(files // 2 + 1, files * task_frames * tasks // frames)))
+    parts = frames // task_frames + 1
+    return Y.joined_blocks(rows, parts if parts > tasks else 0)
 
 
 def event(**parts: Column | str | int) -> Column:

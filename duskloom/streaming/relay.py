@@ -112,8 +112,10 @@ def relay(spark: SparkSession, source: str, pieces: Callable[[Column], Column],
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
-def joined_blocks(rows: DataFrame) -> DataFrame:
-    """(stream_id, block, text, done, agrees): what a block's rows give in order; what its done event said, and whether it agrees."""
+def joined_blocks(rows: DataFrame, parts: int = 0) -> DataFrame:
+    """(stream_id, block, text, done, agrees): what a block's rows give in order; what its done event said, and whether it agrees. parts: tasks that the blocks
+    are dealt over, since a task holds the rows of all its blocks at once; by default as many as the session's shuffles have."""
+    rows = rows.repartition(parts, "stream_id", "block") if parts else rows
     part = F.col("kind").isin("text", "compaction", "input_json")
     parts = F.array_sort(F.collect_list(F.when(part, F.struct("seq", "ord", "text"))))
     grouped = rows.groupBy("stream_id", "block").agg(parts.alias("p"), F.max(F.when(~part, F.col("text"))).alias("done"), F.bool_and("agrees").alias("agrees"))

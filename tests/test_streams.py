@@ -138,3 +138,15 @@ def test_rows_without_a_token_are_not_joined(spark):
     plan = relay._restored(rows, streams.VALUES.frame(spark), None)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")
     assert [r.text for r in relay._restored(rows, streams.VALUES.frame(spark), None).collect()] == ["plain"]
+
+
+def test_blocks_of_many_frames_are_dealt_over_more_tasks(spark):
+    """A micro-batch and the last grouping take a bounded number of frames a task, whatever the session's shuffles are set to."""
+    rows = spark.range(3000).selectExpr("string(id % 60) AS stream_id", "id AS seq", "0 AS ord", "string(id % 2) AS block", "'text' AS kind", "string(id) AS text", "false AS whole", "cast(null AS boolean) AS agrees")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) + 5
+    dealt = relay.joined_blocks(rows, tasks)
+    assert dealt.rdd.getNumPartitions() == tasks
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, relay.joined_blocks(rows).collect()))
+    events = spark.range(40).selectExpr("string(id) AS stream_id", """transform(sequence(0, 99), i -> '{"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"ab"}}') AS data""")
+    done = streams.relayed(spark, events, relay.messages_pieces, task_frames=4000 // tasks, file_frames=1000)
+    assert done.rdd.getNumPartitions() >= tasks and {r.text for r in done.collect()} == {"ab" * 100} and done.count() == 40
