@@ -53,7 +53,7 @@ def _by_hand(found: Callable[[str, str], str], *entities: str) -> str:
 
 @query(_by_hand(birth_sql, "DATE_OF_BIRTH"))
 def dob_spans(spark, sf_dir):
-    return care(spark, sf_dir, X.birth_dates)
+    return care(spark, sf_dir, lambda text: D.recognized(text, D.BIRTH))
 
 
 @query(_by_hand(code_sql, "CVV"))
