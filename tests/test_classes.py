@@ -16,10 +16,9 @@ from duskloom.operators import detect as D
 from duskloom.plans import load
 
 QUERIES, _ = load()
-#: Of the queries that mask with all recognizers those that render otherwise.
 NAMES = (
     "op_redact", "cvv_spans", "id_document_spans", "medical_id_spans", "document_found", "uk_id_spans", "category_gate", "dob_spans", "op_broker",
-    "mint_tokens", "op_mask", "op_keep", "entity_counts",
+    "mint_tokens", "op_mask", "op_keep", "entity_counts", "op_hash",
 )
 
 
